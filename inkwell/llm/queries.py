@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import sentencepiece_codec, token_counts
+from inkwell.llm import near_dedup, sentencepiece_codec, token_counts
 from inkwell.session import table
 
 PIECES = "piece_bpe_32k.model"
@@ -30,5 +30,9 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
-QUERIES = {f.__name__: f for f in (op3_sentencepiece, op4_token_counts)}
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_sentencepiece, op4_token_counts, op7_near_dedup)}
 ORACLES: dict[str, str] = {}
