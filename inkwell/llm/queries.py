@@ -6,12 +6,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import near_dedup, sentencepiece_codec, token_counts
+from inkwell.llm import audio, language_id, near_dedup, sentencepiece_codec, token_counts
 from inkwell.session import table
 
 PIECES = "piece_bpe_32k.model"
 
 
+def op1_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = audio.features(audio.store(table(spark, sf_dir, "documents")))
+    seconds = F.aggregate("segments", F.lit(0.0), lambda t, s: t + s["end_s"] - s["start_s"])
+    feature = F.format_string(
+        "frames=%d;patches=%d;segments=%d;active_s=%.3f;mean_db=%.2f",
+        "n_frames", "n_patches", F.size("segments"), seconds, "mean_db",
+    )
+    return found.select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256",
+        feature.alias("feature"),
+    )
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(PIECES)
     encoded = sentencepiece_codec.encode(table(spark, sf_dir, "documents"), path)
@@ -34,5 +47,17 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_sentencepiece, op4_token_counts, op7_near_dedup)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language_id.held_out(docs["doc_id"], 5, 0)
+    names, model = language_id.learn(docs.where(~out), docs["lang"])
+    found = language_id.predict(docs, names, model)
+    return found.select(
+        "doc_id", language_id.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score", "languages"
+    )
+
+
+QUERIES = {
+    f.__name__: f for f in (op1_audio, op3_sentencepiece, op4_token_counts, op7_near_dedup, op9_language_id)
+}
 ORACLES: dict[str, str] = {}
