@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import audio, language_id, near_dedup, sentencepiece_codec, token_counts
+from inkwell.llm import audio, language_id, near_dedup, quality, sentencepiece_codec, token_counts
 from inkwell.session import table
 
 PIECES = "piece_bpe_32k.model"
@@ -43,6 +43,27 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def quality_machine(spark: SparkSession, sf_dir: str) -> quality.Machine:
+    """Fitted on labels whose fold isn't the held-out one."""
+    labels = table(spark, sf_dir, "labels")
+    return quality.train(
+        table(spark, sf_dir, "documents"), labels.where(~language_id.held_out(labels["doc_id"], 4, 2))
+    )
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), quality.score(docs, quality_machine(spark, sf_dir)).alias("score")
+    )
+    return scored.select(
+        "doc_id",
+        language_id.held_out(F.col("doc_id"), 4, 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -58,6 +79,6 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_audio, op3_sentencepiece, op4_token_counts, op7_near_dedup, op9_language_id)
+    f.__name__: f for f in (op1_audio, op3_sentencepiece, op4_token_counts, op6_quality, op7_near_dedup, op9_language_id)
 }
 ORACLES: dict[str, str] = {}
