@@ -6,7 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import audio, language_id, near_dedup, quality, sentencepiece_codec, token_counts
+from inkwell.llm import (
+    audio,
+    decontaminate,
+    language_id,
+    near_dedup,
+    quality,
+    sentencepiece_codec,
+    token_counts,
+    url_filter,
+)
 from inkwell.session import table
 
 PIECES = "piece_bpe_32k.model"
@@ -25,6 +34,10 @@ def op1_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(PIECES)
     encoded = sentencepiece_codec.encode(table(spark, sf_dir, "documents"), path)
@@ -43,6 +56,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def quality_machine(spark: SparkSession, sf_dir: str) -> quality.Machine:
     """Fitted on labels whose fold isn't the held-out one."""
     labels = table(spark, sf_dir, "labels")
@@ -79,6 +96,16 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_audio, op3_sentencepiece, op4_token_counts, op6_quality, op7_near_dedup, op9_language_id)
+    f.__name__: f
+    for f in (
+        op1_audio,
+        op2_url_filter,
+        op3_sentencepiece,
+        op4_token_counts,
+        op5_decontaminate,
+        op6_quality,
+        op7_near_dedup,
+        op9_language_id,
+    )
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_url_filter": url_filter.oracle_sql(), "op5_decontaminate": decontaminate.oracle_sql()}
