@@ -60,10 +60,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = _state(edges)
     while before[0]:
         both = edges.union(edges.select("b", "a"))
-        low = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        low = checkpointed(both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m")))
         large = both.where("b > a").join(low, F.col("a") == F.col("u")).select(F.col("m").alias("a"), "b")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
-        low = down.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        down = checkpointed(down)
+        low = checkpointed(down.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")))
         small = down.join(low, F.col("a") == F.col("u")).select(
             F.explode(F.array(F.struct("m", F.col("b").alias("v")), F.struct("m", F.col("a").alias("v")))).alias("e")
         )

@@ -7,8 +7,9 @@
 2.  Texts with equal sets are one class, stood for by its smallest id.  Only these go on.
 3.  In every bucket (band and hash) the smallest id leads; each pair of a leader and a member is
     verified on the full sets of both texts.  Leaders of many members are dealt out in blocks.
-4.  Links are grouped into components.  Pairs of members of one bucket that are then still in
-    different components are verified too, so banding loses no link to the choice of leaders.
+4.  Links are grouped into components.  Members of one bucket that are then still in different
+    components are tested against each other too (see ``grouping``), so no link is lost to the
+    choice of leaders.
 
 At similarity 0.75 the 32 bands of 4 slots miss a pair with a chance of 5 in a million.
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import id_text, mix64, slices, text_bytes
-from inkwell.llm.components import connected_components
+from inkwell.llm.grouping import link_groups
 from inkwell.llm.words import shingles
 from inkwell.session import checkpointed
 
@@ -122,7 +123,7 @@ def _compare(percent: int):
 
 def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Of the pairs a, b those whose full shingle sets have 100 * intersection >= percent * union."""
-    sizes = pairs.groupBy(F.col("a").alias("lead")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    sizes = checkpointed(pairs.groupBy(F.col("a").alias("lead")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
     dealt = pairs.join(sizes, F.col("a") == F.col("lead")).select(
         "a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), "b"
     )
@@ -148,26 +149,9 @@ def near_duplicates(
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
         .where("rep is not null")
     )
-    rows = classes.select("rep", "n", F.explode("bands").alias("bucket"))
-    leaders = rows.groupBy("bucket").agg(F.min_by(F.struct("rep", "n"), "rep").alias("lead"), F.count("*").alias("many"))
-    leaders = leaders.where("many > 1").select("bucket", F.col("lead.rep").alias("a"), F.col("lead.n").alias("lead_n"))
-    near = F.least("n", "lead_n") * 100 >= F.greatest("n", "lead_n") * percent
-    shared = checkpointed(rows.join(leaders, "bucket").select("bucket", "rep", "n", "a", "lead_n"))
-    pairs = checkpointed(shared.where("rep != a").where(near).select("a", F.col("rep").alias("b")).distinct())
-    links = checkpointed(verify(pairs, classes, texts, percent))
-    found = connected_components(links)
-    # Members of a bucket that the leaders left apart.
-    placed = shared.join(found, F.col("rep") == F.col("node"), "left").select(
-        "bucket", "rep", "n", "a", F.coalesce("component", "rep").alias("part")
-    )
-    split = placed.groupBy("bucket").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least != most")
-    members = checkpointed(placed.join(split.select("bucket"), "bucket", "left_semi").where("rep != a"))
-    other = members.select("bucket", F.col("rep").alias("b"), F.col("n").alias("lead_n"), F.col("part").alias("part_b"))
-    apart = members.select("bucket", F.col("rep").alias("a"), "n", "part").join(other, "bucket")
-    apart = apart.where("a < b and part != part_b").where(near).select("a", "b").distinct()
-    apart = checkpointed(apart)
-    links = links.union(verify(apart, classes, texts, percent))
-    found = connected_components(links)
+    members = classes.select(F.explode("bands").alias("group"), F.col("rep").alias("id"), F.col("n").alias("size"))
+    near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
+    found = link_groups(members, lambda pairs: verify(pairs, classes, texts, percent), near)
     parts = classes.join(found, F.col("rep") == F.col("node"), "left").select(
         F.col("set_a").alias("class_a"), F.col("set_b").alias("class_b"), F.coalesce("component", "rep").alias("part")
     )

@@ -10,6 +10,7 @@ from inkwell.llm import (
     audio,
     decontaminate,
     language_id,
+    line_dedup,
     near_dedup,
     quality,
     sentencepiece_codec,
@@ -95,6 +96,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, counted = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return counted.select("doc_id", "n_lines", "n_long", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -106,6 +112,7 @@ QUERIES = {
         op6_quality,
         op7_near_dedup,
         op9_language_id,
+        op10_line_dedup,
     )
 }
 ORACLES = {"op2_url_filter": url_filter.oracle_sql(), "op5_decontaminate": decontaminate.oracle_sql()}
