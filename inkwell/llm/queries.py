@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from inkwell.llm import (
     audio,
     decontaminate,
+    html_text,
     language_id,
     line_dedup,
     near_dedup,
@@ -86,6 +87,11 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", F.length("text").cast("long").alias("n_chars"), "text")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = language_id.held_out(docs["doc_id"], 5, 0)
@@ -111,6 +117,7 @@ QUERIES = {
         op5_decontaminate,
         op6_quality,
         op7_near_dedup,
+        op8_html_text,
         op9_language_id,
         op10_line_dedup,
     )
