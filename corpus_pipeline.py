@@ -1,25 +1,71 @@
-"""The training-data pipeline over ``documents``: each stage's rows are written and read again."""
+"""The training-data pipeline over ``documents``: each stage's rows are written and read again.
+
+All stages but the last return the columns of documents.
+
+1.  quality classifier: documents with a score under 0.7 go;
+2.  line dedup: lines within two edits of an earlier line are cut out; a document whose long lines
+    were all cut out goes;
+3.  MinHash near-dedup: of each component of near copies the document with the smallest id stays;
+4.  benchmark decontamination: documents that contain a benchmark item go;
+5.  SentencePiece encoding: doc_id, n_tokens and token_ids of what is left.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkwell.llm import decontaminate, line_dedup, near_dedup, quality, sentencepiece_codec
+from inkwell.llm.queries import PIECES, quality_machine
+from inkwell.session import checkpointed, table
+
+LEAST_SCORE = 0.7
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject; it is fitted on the labels outside of the held-out fold."""
+    return docs.where(quality.score(docs, quality_machine(spark, sf_dir)) >= LEAST_SCORE)
+
+
+def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat earlier ones."""
+    kept, _ = line_dedup.dedup_lines(docs)
+    return kept
+
+
+def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component; of rows with one id, all if they hold the component's smallest id."""
+    return near_dedup.without_copies(docs)
+
 
-from inkwell.llm import sentencepiece_codec
-from inkwell.session import table
+def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every remaining document."""
-    return sentencepiece_codec.encode(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "token_ids")
+    encoded = sentencepiece_codec.encode(docs, public_tokenizers.path(PIECES))
+    return encoded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
 
 
-STAGES = [("sentencepiece encoding", encode_pieces)]
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("line dedup", cut_repeated_lines),
+    ("MinHash near-dedup", keep_one_of_copies),
+    ("benchmark decontamination", keep_uncontaminated),
+    ("SentencePiece encoding", encode_pieces),
+]
+#: The classifier and the encoder have no form in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each one's rows are written to the shared checkpoint folder before the next."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = checkpointed(docs)
     return docs

@@ -162,3 +162,13 @@ def near_duplicates(
         .select("doc_id", "n_shingles", component.alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     )
+
+
+def without_copies(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, but of each component only the one with the smallest id.
+
+    Rows with a null id stay.  Of rows that repeat an id all stay or none.
+    """
+    found = near_duplicates(docs, percent, id_col, text_col)
+    gone = checkpointed(found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__copy")).distinct())
+    return docs.join(gone, docs[id_col].cast("long") == gone["__copy"], "left_anti")
