@@ -40,8 +40,10 @@ ENCODED = T.StructType(
 )
 DECODED = T.StructType([*ENCODED.fields, T.StructField("decoded", T.StringType())])
 #: Pre-tokens whose ids a worker keeps, and slots for verdicts on pairs of pieces.
-CACHE_WORDS, PAIR_BITS = 600_000, 21
+CACHE_WORDS, PAIR_BITS = 300_000, 21
 PAIR_SLOTS = 1 << PAIR_BITS
+#: Text whose new words are indexed at once; the edges take some hundred times a new word's bytes.
+INDEX_BYTES = 1 << 20
 _NEVER = 1 << 60
 _workers: dict[str, tuple] = {}
 
@@ -273,7 +275,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         encoder = _workers.setdefault(model_path, None) or Encoder(table.value)
         _workers[model_path] = encoder
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, 1, INDEX_BYTES):
                 ids = encoder.encode(piece.column(1).to_pylist())
                 offsets = np.concatenate([[0], np.cumsum([len(b) // 4 for b in ids])]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
@@ -294,8 +296,8 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
         of = table.value.__getitem__
         for batch in batches:
             lists = batch.column(2)
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
+            for k in range(0, batch.num_rows, 200):
+                part = batch.slice(k, 200)
                 texts = []
                 for ids in part.column(2):
                     raw = b"".join(map(of, ids.values.to_numpy().tolist())) if ids.is_valid else b""
