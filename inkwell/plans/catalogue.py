@@ -1,2 +1,9 @@
-QUERIES = {}
-ORACLES = {}
+"""All registered queries of the library, with their SQL equivalents."""
+
+from __future__ import annotations
+
+from inkwell.plans import relational, retrieval
+
+MODULES = (relational, retrieval)
+QUERIES = {name: f for m in MODULES for name, f in m.catalogue.queries.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.catalogue.oracles.items()}
