@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from inkwell.plans import relational, retrieval
+from inkwell.plans import graph, relational, retrieval, scalars
 
-MODULES = (relational, retrieval)
+MODULES = (graph, relational, retrieval, scalars)
 QUERIES = {name: f for m in MODULES for name, f in m.catalogue.queries.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.catalogue.oracles.items()}
