@@ -222,3 +222,50 @@ def hash_guard(t):
     h = F.sha2("text", 256)
     part = F.when(F.col("doc_id") % 3 == 0, F.upper(h)).when(F.col("doc_id") % 3 == 1, F.upper(F.substring(h, 1, 16)))
     return t("documents").select("doc_id", ids.same_content(h, part.otherwise(F.substring(h, 1, 15))).alias("same"))
+
+
+@query("""with v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
+n as (select vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as norm from v),
+p as (select a.vec_id as a, b.vec_id as b, round(list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])) / (a.norm * b.norm), 6) as score
+from n a join n b on a.vec_id < b.vec_id) select * from p where score >= 0.8""")
+def similar_pairs(t):
+    """J17"""
+    return retrieval.similar_pairs(t("embeddings"), "vec_id", 0.8, bands=160)[0]
+
+
+@query(f"""with {VECTOR_SQL}, hits as (select query_id, item_id, score from vec where rank <= 8) select h.* from hits h join embeddings e on e.vec_id = item_id
+where score >= 0.3 and label < 5""")
+def card_search(t):
+    """The limit comes before the threshold, the filter on the kind of card last."""
+    kinds = t("embeddings").where("label < 5").select(F.col("vec_id").alias("item_id"))
+    hits = retrieval.above_threshold(_vector_hits(t).where("rank <= 8"), ["query_id"], 0.3)
+    return hits.join(kinds, "item_id").select("query_id", "item_id", "score")
+
+
+@query("""with l as (select c_nationkey as q, 0 as list, c_custkey as position, c_mktsegment as text from customer union all
+select s_nationkey, 1, s_suppkey, s_name from supplier union all select n_nationkey, 2, 1, 'BUILDING' from nation)
+select q, text, row_number() over (partition by q order by list, position, text)::integer as place from
+(select q, text, list, position from l qualify row_number() over (partition by q, text order by list, position) = 1)""")
+def card_union(t):
+    """T1, T3, T4"""
+    one = t("customer").select(F.col("c_nationkey").alias("q"), F.col("c_custkey").alias("position"), F.col("c_mktsegment").alias("text"))
+    two = t("supplier").select(F.col("s_nationkey").alias("q"), F.col("s_suppkey").alias("position"), F.col("s_name").alias("text"))
+    three = t("nation").select(F.col("n_nationkey").alias("q"), F.lit(1).cast("long").alias("position"), F.lit("BUILDING").alias("text"))
+    return retrieval.card_union([one, two, three], "q", "text")
+
+
+@query("""with once as (select p_type as text, min((p_brand, p_partkey)) as f from part group by 1),
+turn as (select text, f[1] as p_brand, f[2] as p_partkey, row_number() over (partition by f[1] order by f[2])::integer as turn from once)
+select text as p_type, p_brand, p_partkey, turn from turn order by turn, p_brand limit 40""")
+def round_robin_questions(t):
+    """Distinct texts in turn from each source, up to a total."""
+    return retrieval.round_robin(t("part"), "p_brand", "p_type", "p_partkey", 40)
+
+
+@query("""select doc_id, doc_id % 6 < 3 as allowed from documents""")
+def upload_whitelist(t):
+    """S8"""
+    from inkwell.sources.files import may_upload
+
+    names = F.array(*map(F.lit, ("a.pdf", "b.Docx", "c.csv", "d.exe", "../e.txt", "f")))
+    return t("documents").select("doc_id", may_upload(F.get(names, (F.col("doc_id") % 6).cast("int"))).alias("allowed"))
