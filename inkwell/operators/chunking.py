@@ -281,33 +281,37 @@ def stitch_tables(pages: DataFrame, doc_id: str, page: str, text: str) -> DataFr
 
     pages of one document are joined in order; its lines are one group, as large as the document.
     """
-    going_on = re.compile(r"^\s*(续|continued)", re.I)
+    skipped = re.compile(r"\s*$|\s*(续|[(（]?continued)", re.I)
+    rule = re.compile(r"[\s|:-]+$")
 
     def join(t: str) -> str:
         out: list[str] = []
-        header, skipped = None, []
-        for line in t.split("\n"):
-            table = bool(_TABLE.match(line))
-            if table and header is not None and skipped:
-                if line.strip() == header:
-                    skipped = ["="]
-                    continue
-                if skipped[-1] == "=" and not set(line.strip()) - set("|-: "):
-                    continue
-                if "=" not in skipped:
-                    out += skipped
-                    header = line.strip()
-                skipped = []
-            elif not table and header is not None and (not line.strip() or going_on.match(line)):
-                skipped = [x for x in skipped if x != "="] + [line]
+        gap: list[str] = []  # lines since the last table that may stand between its parts
+        header = None
+        lines = t.split("\n")
+        k = 0
+        while k < len(lines):
+            line = lines[k]
+            if not _TABLE.match(line):
+                if header is not None and skipped.match(line):
+                    gap.append(line)
+                else:
+                    out += [*gap, line]
+                    gap, header = [], None
+                k += 1
                 continue
-            elif not table:
-                out += [x for x in skipped if x != "="]
-                header, skipped = None, []
-            elif header is None:
-                header = line.strip()
-            out.append(line)
-        return "\n".join(out + [x for x in skipped if x != "="])
+            stop = k
+            while stop < len(lines) and _TABLE.match(lines[stop]):
+                stop += 1
+            rows = lines[k:stop]
+            if gap and rows[0].strip() == header:
+                rows = rows[2:] if len(rows) > 1 and rule.match(rows[1]) else rows[1:]
+                gap = []
+            else:
+                header = rows[0].strip()
+            out += gap + rows
+            gap, k = [], stop
+        return "\n".join(out + gap)
 
     ordered = F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.col(text).alias("t"))))
     whole = pages.groupBy(F.col(doc_id).alias("doc_id")).agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "\n").alias("text"))

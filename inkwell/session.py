@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,14 +18,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``, which every executor shares.
+
+    Only where that is unset, as in tests, it is a temporary one.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="inkwell-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+    """``df`` written to the shared folder and read back: no lineage, and nothing that a lost executor takes along.
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``, which every
-    executor shares.  Only where that is unset, as in tests, a temporary folder is used.
+    A written table, unlike ``checkpoint()``, has its real size as its statistics.  A checkpoint keeps
+    the estimate of the plan behind it, in which each join multiplies its sides' sizes; over the rounds
+    of an iteration that number grows until the driver has no memory left for it.
     """
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="inkwell-"))
-    return df.checkpoint(eager=True)
+    path = f"{_folder(df.sparkSession)}/inkwell-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.inkwell_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``checkpointed`` wrote and nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "inkwell_path", None)
+        if path:
+            context = df.sparkSession.sparkContext
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)

@@ -109,21 +109,23 @@ def session_titles(turns: DataFrame, by: str, order: str, role: str, text: str,
 
 
 def session_memory(turns: DataFrame, most: int, ttl_ms: int) -> DataFrame:
-    """Stream of turns (session, seq, text) into (session, seq, kept): the turns held after each batch; idle sessions are dropped."""
+    """Stream of turns (session, seq, at in milliseconds) into (session, newest, kept): the turns held after each batch.
+
+    A turn that comes more than ``ttl_ms`` after the session's last one begins anew.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = list(state.get[0]) if state.exists else []
+        held, last = state.get if state.exists else ([], 0)
+        held = list(held)
         for frame in frames:
-            held = sorted(held + frame["seq"].tolist())[-most:]
-        state.update((held,))
-        state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame({"session": key[0], "newest": [held[-1]], "kept": [len(held)]})
+            for seq, at in sorted(zip(frame["seq"].tolist(), frame["at"].tolist())):
+                held = (held if at - last <= ttl_ms else [])[1 - most :] + [seq]
+                last = at
+        state.update((held, last))
+        yield pd.DataFrame({"session": [key[0]], "newest": [held[-1]], "kept": [len(held)]})
 
     return turns.groupBy("session").applyInPandasWithState(
-        step, "session long, newest long, kept long", "seqs array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, "session long, newest long, kept long", "seqs array<long>, last long", "append", GroupStateTimeout.NoTimeout
     )
 
 

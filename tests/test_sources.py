@@ -107,12 +107,12 @@ def test_debounced_stream(spark, tmp_path):
 
 
 def test_session_memory_stream(spark, tmp_path):
-    df = spark.createDataFrame([(1, k, "x") for k in range(10)] + [(2, 0, "y")], "session long, seq long, text string")
+    df = spark.createDataFrame([(1, k, 1000 * k) for k in range(10)] + [(2, 0, 5), (2, 1, 900_000)], "session long, seq long, at long")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     run = ingest.session_memory(stream, 4, 60_000).writeStream.format("memory").queryName("sessions").trigger(availableNow=True).start()
     run.awaitTermination()
-    assert sorted(map(tuple, spark.table("sessions").collect())) == [(1, 9, 4), (2, 0, 1)]
+    assert sorted(map(tuple, spark.table("sessions").collect())) == [(1, 9, 4), (2, 1, 1)]
 
 
 def test_catalogue_scan(spark):
