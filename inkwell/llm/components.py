@@ -2,7 +2,8 @@
 
 Each task first joins its own edges with union-find and keeps a spanning star of each tree, then
 large-star and small-star rounds over the rest run until no edge changes.  No node gathers its
-neighbours: a round needs only each node's smallest neighbour.  Each round is checkpointed.
+neighbours: a round needs only each node's smallest neighbour.  Each round's edges are written to
+the shared folder.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.session import checkpointed
+from inkwell.session import checkpointed, discard
 
 #: Edges that a task's union-find holds before it hands on their stars and starts anew.
 FOREST_EDGES = 500_000
@@ -62,13 +63,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select("b", "a"))
         low = checkpointed(both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m")))
         large = both.where("b > a").join(low, F.col("a") == F.col("u")).select(F.col("m").alias("a"), "b")
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
-        down = checkpointed(down)
-        low = checkpointed(down.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")))
-        small = down.join(low, F.col("a") == F.col("u")).select(
+        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")
+        down = checkpointed(down.distinct())
+        least = checkpointed(down.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")))
+        small = down.join(least, F.col("a") == F.col("u")).select(
             F.explode(F.array(F.struct("m", F.col("b").alias("v")), F.struct("m", F.col("a").alias("v")))).alias("e")
         )
+        done = edges
         edges = checkpointed(small.select(F.col("e.m").alias("a"), F.col("e.v").alias("b")).where("a != b").distinct())
+        discard(done, low, down, least)
         after = _state(edges)
         if after == before:
             break
