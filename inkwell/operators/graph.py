@@ -110,7 +110,7 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int, most: int | None = MAX
     One join for each hop on the frontier of new nodes; with ``most`` only the first edges by hop and
     key are kept.
     """
-    near = edges.select(*KEY).distinct()
+    near = checkpointed(edges.select(*KEY).distinct())
     seen = checkpointed(seeds.select("name").distinct())
     frontier, found = seen, None
     for hop in range(1, clamp(hops, 1, MAX_HOPS) + 1):
