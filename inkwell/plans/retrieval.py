@@ -183,7 +183,7 @@ def simple_queries(t):
     )
 
 
-@query("""with q as (select item_id as query_id, substr(text, 1, 40) as text, item_id % 4 = 0 as simple from benchmark),
+@query("""with q as (select item_id as query_id, text, item_id % 4 = 0 as simple from benchmark),
 rw as (select query_id, p as position, reverse(substr(text, 1, 5 * (p % 3 + 1)::int)) as text from q, range(1, 7) r(p)),
 first as (select query_id, text, min(position) as position from rw group by 1, 2),
 more as (select f.query_id, row_number() over (partition by f.query_id order by position) as spec, f.text from first f
@@ -191,7 +191,7 @@ more as (select f.query_id, row_number() over (partition by f.query_id order by
 select query_id, 0 as spec, text, false as vector_only from q union all select query_id, spec::integer, text, false from more
 union all select query_id, 5, substr(text || ' ' || text, 1, 1500), true from q where not simple""")
 def query_specs(t):
-    q = t("benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 40).alias("text"))
+    q = t("benchmark").select(F.col("item_id").alias("query_id"), "text")
     rewrites = q.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("position"), "text")
     rewrites = rewrites.withColumn("text", F.expr("reverse(substring(text, 1, 5 * (position % 3 + 1)))"))
     answers = q.select("query_id", F.concat_ws(" ", "text", "text").alias("text"))
@@ -207,12 +207,12 @@ def doc_ids(t):
 @query("""with c as (select doc_id, '0:d' || doc_id || ':' || substr(sha256(text), 1, 16) as source_doc_id,
 unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as chunk_index from documents)
 select doc_id, chunk_index::integer as chunk_index, source_doc_id || ':' || chunk_index || ':' || substr(sha256(line), 1, 12) as chunk_id,
-source_doc_id || ':' || chunk_index || ':' || substr(sha256(line), 1, 12) || ':sub:' || substr(sha256(substr(line, 1, 20)), 1, 12) as child_id from c""")
+source_doc_id || ':' || chunk_index || ':' || substr(sha256(line), 1, 12) || ':sub:' || substr(sha256(line), 1, 12) as child_id from c""")
 def chunk_ids(t):
     owner = ids.source_doc_id(F.lit(0), F.concat(F.lit("d"), F.col("doc_id").cast("string")), F.col("text"))
     lines = t("documents").select("doc_id", owner.alias("owner"), F.posexplode(F.split("text", "\n")).alias("chunk_index", "line"))
     lines = lines.withColumn("chunk_id", ids.chunk_id(F.col("owner"), F.col("chunk_index"), F.col("line")))
-    return lines.select("doc_id", "chunk_index", "chunk_id", ids.child_id(F.col("chunk_id"), F.substring("line", 1, 20)).alias("child_id"))
+    return lines.select("doc_id", "chunk_index", "chunk_id", ids.child_id(F.col("chunk_id"), F.col("line")).alias("child_id"))
 
 
 @query("""select doc_id, lower(full_hash) = lower(known) or (length(known) = 16 and starts_with(lower(full_hash), lower(known))) as same from (

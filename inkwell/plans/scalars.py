@@ -24,9 +24,9 @@ regexp_replace('a' || doc_id || 'user@mail.example', '(^.)[^@]*(@.*$)', '\1****\
 regexp_replace((13800000000 + doc_id)::varchar, '(\d{3})\d{4}(\d{4})', '\1****\2', 'g') as phone_mask,
 regexp_replace((110101199001010000 + doc_id)::varchar, '(\d{4})\d{10}(\d{3}[Xx]|\d{4})', '\1** **** ****\2', 'g') as id_mask,
 regexp_replace((622202000000000000 + doc_id)::varchar, '\d{15}(\d{3})', '**** **** **** **** \1', 'g') as bank_mask,
-repeat('*', length(s)) as password_mask, 'AB' || 'C***' || right(lpad(doc_id::varchar, 8, '0'), 1) as plate_mask from (select doc_id, substr(text, 1, 24) as s from documents)""")
+repeat('*', length(s)) as password_mask, 'AB' || 'C***' || right(lpad(doc_id::varchar, 8, '0'), 1) as plate_mask from (select doc_id, text as s from documents)""")
 def mask_pii(t):
-    d = t("documents").select("doc_id", F.substring("text", 1, 24).alias("s"))
+    d = t("documents").select("doc_id", F.col("text").alias("s"))
     n = F.col("doc_id")
     plate = F.concat(F.lit("ABC"), F.substring(F.lpad(n.cast("string"), 8, "0"), 6, 3), F.substring(F.lpad(n.cast("string"), 8, "0"), 8, 1))
     return d.select(
@@ -122,13 +122,13 @@ def string_functions(t):
     )
 
 
-@query("""select doc_id, substr(text, 1, 30) as answer, case when doc_id % 2 = 0 then doc_id || '|b' end as listed from
+@query("""select doc_id, trim(text) as answer, case when doc_id % 2 = 0 then doc_id || '|b' end as listed from
 (select doc_id, regexp_replace(trim(replace(text, chr(10), ' ')), '\\s+', ' ', 'g') as text from documents)""".replace("\\\\", "\\"))
 def model_output(t):
     """Thought blocks, fences and noise around a JSON list are cut off."""
-    plain = F.substring(F.regexp_replace(F.trim(F.replace("text", F.lit("\n"), F.lit(" "))), r"\s+", " "), 1, 30)
+    plain = F.regexp_replace(F.trim(F.replace("text", F.lit("\n"), F.lit(" "))), r"\s+", " ")
     noisy = F.concat(F.lit("<think>a\nb</think>```json\n"), plain, F.lit("\n```"))
     key = F.col("doc_id").cast("string")
     found = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('Sure: ["'), key, F.lit('", "b"] ok'))).otherwise("none")
-    answer = F.regexp_replace(text.without_thoughts(noisy), "^\n|\n$", "")
-    return t("documents").select("doc_id", F.concat(answer, F.repeat(F.lit(" "), F.length(plain) - F.length(answer))).alias("answer"), F.array_join(text.json_array(found), "|").alias("listed"))
+    answer = F.trim(F.regexp_replace(text.without_thoughts(noisy), "^\n|\n$", ""))
+    return t("documents").select("doc_id", answer.alias("answer"), F.array_join(text.json_array(found), "|").alias("listed"))
