@@ -7,8 +7,11 @@ in the group is tested against the other components' members, and at last whatev
 different components are left.  So a group of copies costs as many tests as it has members, and no
 pair of a common group that could join two components goes untested.
 
-Aggregates are checkpointed before they are joined back, so that a join has exchanges of its own
-on both sides and Spark can split a hot key.
+Before a pair is formed, ``near`` bounds by the traits of its items whether they can be linked at all;
+it stands in the join's condition, so that pairs which it rules out are never rows.
+
+Aggregates are written before they are joined back, so that a join has exchanges of its own on both
+sides and Spark can split a hot key.
 """
 
 from __future__ import annotations
@@ -19,53 +22,64 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.components import connected_components
-from inkwell.session import checkpointed
+from inkwell.session import checkpointed, discard
 
 
-def link_groups(members: DataFrame, test: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column], Column]) -> DataFrame:
-    """node and component of the items of members (group, id, size) that ``test`` links.
+def link_groups(
+    members: DataFrame, traits: DataFrame, test: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column], Column]
+) -> DataFrame:
+    """node and component of the items of members (group, id) that ``test`` links.
 
-    ``test`` takes distinct pairs a, b and returns those that are linked; ``near`` says by the sizes
-    of two items whether they may be linked at all.
+    ``test`` takes distinct pairs a, b and returns those that are linked.  traits (id, traits) has a row
+    for each item; ``near`` says by the traits of two items whether they may be linked.
     """
-    members = checkpointed(members)
-    lead = members.groupBy("group").agg(F.min(F.struct("id", "size")).alias("lead"), F.count("*").alias("many"))
-    lead = checkpointed(lead.where("many > 1").select("group", F.col("lead.id").alias("a"), F.col("lead.size").alias("size_a")))
-    shared = checkpointed(members.join(lead, "group"))
-    pairs = shared.where("id != a").where(near(F.col("size"), F.col("size_a"))).select("a", F.col("id").alias("b"))
-    tested = checkpointed(pairs.distinct())
+    traits = traits.select(F.col("id").alias("of"), "traits")
+    lead = members.groupBy("group").agg(F.min("id").alias("a"), F.count("*").alias("many")).where("many > 1")
+    lead = checkpointed(lead.select("group", "a"))
+    shared = checkpointed(members.join(lead, "group").select("group", "id", "a"))
+    pairs = shared.where("id != a").select("a", F.col("id").alias("b")).distinct()
+    left = traits.select(F.col("of").alias("of_a"), F.col("traits").alias("traits_a"))
+    pairs = pairs.join(left, F.col("a") == F.col("of_a")).join(traits, F.col("b") == F.col("of"))
+    tested = checkpointed(pairs.where(near(F.col("traits_a"), F.col("traits"))).select("a", "b"))
     links = checkpointed(test(tested))
     found = connected_components(links)
     for leaders_only in (True, False):
-        apart = _apart(shared.select("group", "id", "size"), found)
+        apart = _apart(shared, found, traits)
         if apart.isEmpty():
             break
         pairs = _pairs(apart, leaders_only, near).join(tested, ["a", "b"], "left_anti")
         pairs = checkpointed(pairs)
+        discard(apart)
         if pairs.isEmpty():
             continue
         links = checkpointed(links.union(test(pairs)))
         tested = checkpointed(tested.union(pairs))
         found = connected_components(links)
+    discard(lead, shared)
     return found
 
 
-def _apart(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """group, id, size, part of the members of groups that hold several components (part)."""
+def _apart(shared: DataFrame, found: DataFrame, traits: DataFrame) -> DataFrame:
+    """group, id, traits, part of the members of groups that hold several components (part)."""
     placed = shared.join(found, F.col("id") == F.col("node"), "left")
-    placed = checkpointed(placed.select("group", "id", "size", F.coalesce("component", "id").alias("part")))
+    placed = checkpointed(placed.select("group", "id", F.coalesce("component", "id").alias("part")))
     split = placed.groupBy("group").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least != most")
-    return checkpointed(placed.join(checkpointed(split.select("group")), "group", "left_semi"))
+    split = checkpointed(split.select("group"))
+    kept = placed.join(split, "group", "left_semi").join(traits, F.col("id") == F.col("of"))
+    kept = checkpointed(kept.select("group", "id", "traits", "part"))
+    discard(placed, split)
+    return kept
 
 
 def _pairs(apart: DataFrame, leaders_only: bool, near: Callable[[Column, Column], Column]) -> DataFrame:
     """Distinct pairs a < b of different components in one group; of each component only its leader meets the others."""
     left = apart
     if leaders_only:
-        left = apart.groupBy("group", "part").agg(F.min(F.struct("id", "size")).alias("l"))
-        left = checkpointed(left.select("group", "part", F.col("l.id").alias("id"), F.col("l.size").alias("size")))
-    left = left.select("group", F.col("part").alias("part_a"), F.col("id").alias("x"), F.col("size").alias("size_a"))
-    met = left.join(apart, "group").where("part != part_a").where(near(F.col("size"), F.col("size_a")))
+        left = checkpointed(apart.groupBy("group", "part").agg(F.min_by(F.struct("id", "traits"), "id").alias("l")))
+        left = left.select("group", "part", "l.id", "l.traits")
+    left = left.select("group", F.col("part").alias("part_a"), F.col("id").alias("x"), F.col("traits").alias("traits_a"))
+    fits = (F.col("part") != F.col("part_a")) & near(F.col("traits_a"), F.col("traits"))
     if not leaders_only:
-        met = met.where("x < id")
+        fits = fits & (F.col("x") < F.col("id"))
+    met = left.join(apart, "group").where(fits)
     return met.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()

@@ -10,7 +10,7 @@ segment): each line indexes its own segments and, for every length from its own
 probes the substrings at the places that the edits before and behind a segment allow.  A task reads
 the keys off prefix sums of a polynomial hash, drops what repeats, and deals them out packed in
 arrays by parts of the key space; one part is sorted at a time.  Lines that share a key are
-candidates.  They are verified with banded bit-parallel edit distance, for many pairs at once, and
+candidates.  Those that lengths and parity maps of trigrams don't rule out are verified with banded bit-parallel edit distance, for many pairs at once, and
 grouped (see ``grouping``).
 
 Lines are named by 64-bit hashes in the join; exact repeats are told by 128 bits.
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import mix64, slices
@@ -35,10 +35,14 @@ from inkwell.llm.grouping import link_groups
 from inkwell.session import checkpointed
 
 TAU, MIN_CHARS = 2, 24
+#: Characters of the grams, and bits, of a line's parity map: bit k says whether an odd number of grams falls on k.
+GRAM, PARITY_BITS = 3, 512
 #: Keys that one part of the key space holds about, and the parts at least.
 PART_KEYS, LEAST_PARTS = 400_000, 32
 #: Characters of both sides that are verified at once.
 VERIFY_CHARS = 1 << 20
+#: Text whose lines are hashed at once; the arrays take some fifty times its bytes.
+LINE_BYTES = 1 << 20
 #: Candidates' names are broadcast to find their lines up to this many, else joined.
 BROADCAST_NAMES = 200_000
 _BASE = 0xD6E8FEB86659FD93 | 1
@@ -166,7 +170,7 @@ def _name_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         at = 0
-        for part in slices(batch):
+        for part in slices(batch, 1, LINE_BYTES):
             lines = Lines(part.column(1).to_pylist())
             first, second = lines.names()
             yield pa.RecordBatch.from_arrays(
@@ -179,7 +183,7 @@ def _name_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _deal_keys(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 1, LINE_BYTES):
                 lines = Lines(part.column(1).to_pylist())
                 names, _ = lines.names()
                 _, distinct = np.unique(names, return_index=True)
@@ -236,7 +240,7 @@ def _match_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, 1, LINE_BYTES):
             texts = part.column(1).to_pylist()
             lines = Lines(texts)
             names, _ = lines.names()
@@ -246,6 +250,36 @@ def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(cut, pa.string())], names=["name", "text"])
 
 
+def parity(lines: Lines) -> np.ndarray:
+    """The parity maps of the long lines, a row each."""
+    many = lines.ends - lines.starts - GRAM + 1
+    owner = np.repeat(np.arange(len(many)), many)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + lines.starts[owner]
+    falls = (lines.hashes(at, at + GRAM) >> np.uint64(20)).astype(np.int64) % PARITY_BITS
+    odd = np.bincount(owner * PARITY_BITS + falls, minlength=len(many) * PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(many), PARITY_BITS // 64)
+
+
+def may_be_linked(x: Column, y: Column) -> Column:
+    """Whether traits (n, parity) of two lines leave it open that they are within TAU edits.
+
+    An edit adds or takes one character at most, and GRAM grams on either side.
+    """
+    differ = sum(F.bit_count(F.get(x["parity"], k).bitwiseXOR(F.get(y["parity"], k))) for k in range(PARITY_BITS // 64))
+    return (F.abs(x["n"] - y["n"]) <= TAU) & (differ <= 2 * GRAM * TAU)
+
+
+def _traits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, 1, LINE_BYTES):
+            lines = Lines(part.column(1).to_pylist())
+            maps = parity(lines)
+            offsets = pa.array((np.arange(len(maps) + 1) * maps.shape[1]).astype(np.int32))
+            sizes = pa.array(lines.ends - lines.starts, pa.int64())
+            columns = [part.column(0), sizes, pa.ListArray.from_arrays(offsets, pa.array(maps.ravel()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "parity"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b, left, right = (c.to_pylist() for c in batch.columns)
@@ -272,8 +306,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = max(LEAST_PARTS, total * 12 // PART_KEYS)
     dealt = rows.mapInArrow(_deal_keys(parts), "part long, keys array<long>, lines array<long>")
     dealt = dealt.repartition(parts, "part").sortWithinPartitions("part")
-    members = dealt.mapInArrow(_match_keys, "group long, id long").withColumn("size", F.lit(1))
-    members = checkpointed(members)
+    members = checkpointed(dealt.mapInArrow(_match_keys, "group long, id long"))
     names = members.select("id").distinct()
     names = checkpointed(names)
     sized = F.broadcast(names) if names.count() <= BROADCAST_NAMES else names
@@ -287,7 +320,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         both = both.where(F.abs(F.length("text_a") - F.length("text_b")) <= TAU)
         return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
 
-    found = link_groups(members, test, lambda x, y: F.lit(True))
+    traits = texts.select("name", "text").mapInArrow(_traits, "id long, n long, parity array<long>")
+    traits = checkpointed(traits.select("id", F.struct("n", "parity").alias("traits")))
+    found = link_groups(members, traits, test, may_be_linked)
     named = lines.join(found, F.col("name") == F.col("node"), "left")
     # A line alone in its class is told apart from another of the same name by its check.
     named = named.select(

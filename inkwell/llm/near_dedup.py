@@ -5,8 +5,8 @@
     shingle ranks the slots of the signature by its own random permutation; its j-th slot gets a
     value in [j, j + 1), and a text is done as soon as no later value can be the least of a slot.
 2.  Texts with equal sets are one class, stood for by its smallest id.  Only these go on.
-3.  In every bucket (band and hash) the smallest id leads; each pair of a leader and a member is
-    verified on the full sets of both texts.  Leaders of many members are dealt out in blocks.
+3.  In every bucket (band and hash) the smallest id leads; each pair of a leader and a member that
+    sizes and parity maps don't rule out is verified on the full sets of both texts.  Leaders of many members are dealt out in blocks.
 4.  Links are grouped into components.  Members of one bucket that are then still in different
     components are tested against each other too (see ``grouping``), so no link is lost to the
     choice of leaders.
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import id_text, mix64, slices, text_bytes
@@ -36,7 +36,9 @@ from inkwell.session import checkpointed
 BANDS, ROWS = 32, 4
 #: Members that one leader is compared with in one block.
 BLOCK = 128
-SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+#: Bits of a set's parity map: bit k says whether an odd number of the set's shingles falls on k.
+PARITY_BITS = 1024
+SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, parity array<long>"
 _NONE = np.uint64((1 << 64) - 1)
 _STEP, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
@@ -76,6 +78,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             full = np.array([len(s) > 0 for s in sets], bool)
             offsets = np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32)
             prints = np.array([fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
+            words = PARITY_BITS // 64
+            maps = np.array([parity(s) for s in sets], np.int64).reshape(-1)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
@@ -83,11 +87,29 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(prints[:, 0]),
                     pa.array(prints[:, 1]),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[full].ravel(), pa.int64())),
+                    pa.ListArray.from_arrays(pa.array((np.arange(len(sets) + 1) * words).astype(np.int32)), pa.array(maps)),
                 ],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "parity"],
             )
 
 
+def parity(items: np.ndarray) -> np.ndarray:
+    """The parity map of a set.  Where the maps of two sets differ, the sets differ in a shingle at least."""
+    odd = np.bincount((items >> np.uint64(20) & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_be_linked(x: Column, y: Column, percent: int) -> Column:
+    """Whether traits (n, parity) of two sets leave it open that 100 * intersection >= percent * union.
+
+    Their sizes must be that near, and they may differ in so many shingles at most:
+    (100 - percent) / (100 + percent) of their sizes' sum.
+    """
+    sizes = F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent
+    differ = sum(F.bit_count(F.get(x["parity"], k).bitwiseXOR(F.get(y["parity"], k))) for k in range(PARITY_BITS // 64))
+    return sizes & (differ * (100 + percent) <= (x["n"] + y["n"]) * (100 - percent))
+
+
 def fingerprint(items: np.ndarray) -> tuple[int, int]:
     """128 bits that depend on a set's elements, not on their order."""
     sums = [mix64(items ^ s).sum(dtype=np.uint64) for s in (np.uint64(0x51ED270B), np.uint64(0x2545F4914F6CDD1D))]
@@ -146,12 +168,13 @@ def near_duplicates(
     classes = checkpointed(
         signed.where("n_shingles > 0")
         .groupBy("set_a", "set_b")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("parity").alias("parity"))
         .where("rep is not null")
     )
-    members = classes.select(F.explode("bands").alias("group"), F.col("rep").alias("id"), F.col("n").alias("size"))
-    near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    found = link_groups(members, lambda pairs: verify(pairs, classes, texts, percent), near)
+    members = classes.select(F.explode("bands").alias("group"), F.col("rep").alias("id"))
+    traits = classes.select(F.col("rep").alias("id"), F.struct("n", "parity").alias("traits"))
+    near = lambda x, y: may_be_linked(x, y, percent)
+    found = link_groups(members, traits, lambda pairs: verify(pairs, classes, texts, percent), near)
     parts = classes.join(found, F.col("rep") == F.col("node"), "left").select(
         F.col("set_a").alias("class_a"), F.col("set_b").alias("class_b"), F.coalesce("component", "rep").alias("part")
     )

@@ -290,18 +290,29 @@ def test_signatures_estimate_similarity():
     assert sorted(sig[2] >> np.uint64(32)) == list(range(256)) and (sig[3] == near_dedup._NONE).all()
 
 
+def test_parity_maps_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        pool = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+        a, b = pool[: rng.integers(1, 300)], pool[rng.integers(0, 299) :]
+        maps = near_dedup.parity(a) ^ near_dedup.parity(b)
+        assert sum(int(x).bit_count() for x in maps.view(np.uint64)) <= len(np.setxor1d(a, b))
+
+
 def test_shingle_sets_match_plain_code():
     texts = [*ODD, "A b C d E f g", "a b c d e f G", "x " * 50]
     assert [len(x) for x in shingles(*text_bytes(pa.array(texts)))] == [len(word_sets(t)) for t in texts]
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     rng = random.Random(8)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1100)] + [(5000, k) for k in range(4000, 4300)]
     nodes = {x for e in edges if e[0] != e[1] for x in e}
     wanted = components_of([e for e in edges if e[0] != e[1]], nodes)
     df = spark.createDataFrame([*edges, (None, 3), edges[0]], "a long, b long").repartition(7)
-    assert {r.node: r.component for r in components.connected_components(df).collect()} == wanted
+    for limit in (components.TASK_EDGES, 0):  # by one task, and by rounds
+        monkeypatch.setattr(components, "TASK_EDGES", limit)
+        assert {r.node: r.component for r in components.connected_components(df).collect()} == wanted
     assert components.connected_components(df.where("false")).count() == 0
 
 
@@ -358,6 +369,17 @@ def test_banded_distance():
     assert [bool(x) for x in line_dedup.within(left, right)] == [distance(a, b) <= 2 for a, b in zip(left, right)]
 
 
+def test_line_parity_maps_bound_the_edits():
+    rng = random.Random(3)
+    for _ in range(300):
+        a = "".join(rng.choice("abc ") for _ in range(rng.randint(30, 80)))
+        b = edited(rng, a, rng.randint(0, 2))[:-1] if rng.random() < 0.5 else a[1:-1]
+        maps = line_dedup.parity(line_dedup.Lines([a + "\n", b]))
+        if distance(a, b) <= line_dedup.TAU:
+            differ = sum(int(x).bit_count() for x in (maps[0] ^ maps[1]).view(np.uint64))
+            assert differ <= 2 * line_dedup.GRAM * line_dedup.TAU
+
+
 def test_line_dedup(spark, odd_docs):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 7)))
