@@ -40,7 +40,7 @@ ENCODED = T.StructType(
 )
 DECODED = T.StructType([*ENCODED.fields, T.StructField("decoded", T.StringType())])
 #: Pre-tokens whose ids a worker keeps, and slots for verdicts on pairs of pieces.
-CACHE_WORDS, PAIR_BITS = 300_000, 21
+CACHE_WORDS, PAIR_BITS = 200_000, 21
 PAIR_SLOTS = 1 << PAIR_BITS
 #: Text whose new words are indexed at once; the edges take some hundred times a new word's bytes.
 INDEX_BYTES = 1 << 20
