@@ -1,10 +1,10 @@
 """Connected components of an edge table, as Spark jobs.
 
-Each task first joins its own edges with union-find and keeps a spanning star of each tree.  If all
-that is left fits one task (``TASK_EDGES``, some megabytes), the same union-find ends it; else
-large-star and small-star rounds run until no edge changes.  No node gathers its
-neighbours: a round needs only each node's smallest neighbour.  Each round's edges are written to
-the shared folder.
+Each task first joins its own edges with union-find and keeps a spanning star of each tree.  Then
+large-star and small-star rounds run until no edge changes.  As soon as what is left fits one task
+(``TASK_EDGES``, some megabytes), at first or after any round, the same union-find ends it.  No node
+gathers its neighbours: a round needs only each node's smallest neighbour.  Each round's edges are
+written to the shared folder.
 """
 
 from __future__ import annotations
@@ -62,11 +62,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a != b")
     edges = checkpointed(edges.mapInPandas(_stars, "a long, b long").where("a != b").distinct())
     before = _state(edges)
-    if before[0] <= TASK_EDGES:
-        done = edges
-        edges = checkpointed(edges.coalesce(1).mapInPandas(_stars, "a long, b long"))
-        discard(done)
-    while before[0] > TASK_EDGES:
+    while True:
+        if before[0] <= TASK_EDGES:
+            done = edges
+            edges = checkpointed(edges.coalesce(1).mapInPandas(_stars, "a long, b long"))
+            discard(done)
+            break
         both = edges.union(edges.select("b", "a"))
         low = checkpointed(both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m")))
         large = both.where("b > a").join(low, F.col("a") == F.col("u")).select(F.col("m").alias("a"), "b")

@@ -316,6 +316,25 @@ def test_components(spark, monkeypatch):
     assert components.connected_components(df.where("false")).count() == 0
 
 
+def test_components_limit_crossed_in_mid_run(spark, monkeypatch):
+    rng = random.Random(9)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1200)]
+    edges = [e for e in edges if e[0] != e[1]]
+    wanted = components_of(edges, {x for e in edges for x in e})
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    counts, state = [], components._state
+    monkeypatch.setattr(components, "_state", lambda e: counts.append(state(e)) or counts[-1])
+    monkeypatch.setattr(components, "TASK_EDGES", -1)
+    components.connected_components(df)
+    first, *later = (n for n, _ in counts)
+    limits = {n for n in later if n < first}
+    assert limits
+    for limit in limits:
+        monkeypatch.setattr(components, "TASK_EDGES", limit)
+        found = components.connected_components(df).collect()
+        assert len(found) == len(wanted) and {r.node: r.component for r in found} == wanted
+
+
 # -- 9
 
 
