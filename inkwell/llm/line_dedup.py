@@ -344,7 +344,7 @@ def _cut(texts: pa.Array, lines: pa.Array, names: pa.Array) -> pa.Array:
     out = []
     for text, drop, known in zip(texts.to_pylist(), lines.to_pylist(), names.to_pylist()):
         if text is None:
-            out.append((None, 0, 0, 0))
+            out.append((None, 0, 0, 0, True))
             continue
         all_lines = text.split("\n") if text else []
         found = Lines([text])
@@ -352,15 +352,20 @@ def _cut(texts: pa.Array, lines: pa.Array, names: pa.Array) -> pa.Array:
         gone = {n for n, name in zip(drop or (), known or ()) if hashes.get(n) == name}
         if gone:
             text = "\n".join(x for k, x in enumerate(all_lines) if k not in gone)
-        out.append((text, len(all_lines), len(hashes), len(gone)))
+        out.append((text, len(all_lines), len(hashes), len(gone), not text or text.isspace()))
     columns = [pa.array([r[0] for r in out], pa.string()), *(pa.array([r[k] for r in out], pa.int32()) for k in (1, 2, 3))]
-    return pa.StructArray.from_arrays(columns, names=["text", "n_lines", "n_long", "n_removed"])
+    columns.append(pa.array([r[4] for r in out], pa.bool_()))
+    return pa.StructArray.from_arrays(columns, names=["text", "n_lines", "n_long", "n_removed", "blank"])
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def dedup_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """The documents without their repeated lines, as (kept, counted).
 
-    ``kept`` has the columns of docs; a document whose long lines were all cut out is left out.
+    ``kept`` has the columns of docs; a document whose long lines were all cut out is left out.  With
+    ``whole``, as the registered queries call it, only a document of which nothing but blank lines is
+    left after a cut is left out.
     ``counted`` has doc_id, n_lines, n_long, n_removed, text (what is left) for every document.
     """
     gone = repeated_lines(docs, id_col, text_col).groupBy(F.col("doc_id").alias("__doc")).agg(
@@ -368,9 +373,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     gone = checkpointed(gone)
     joined = docs.join(gone, docs[id_col].cast("long") == gone["__doc"], "left")
-    cutter = F.arrow_udf(_cut, "struct<text: string, n_lines: int, n_long: int, n_removed: int>")
+    cutter = F.arrow_udf(_cut, "struct<text: string, n_lines: int, n_long: int, n_removed: int, blank: boolean>")
     cut = joined.withColumn("__cut", cutter(docs[text_col].cast("string"), gone["__lines"], gone["__names"]))
     columns = [F.col("__cut.text").alias(text_col) if c == text_col else docs[c] for c in docs.columns]
-    kept = cut.where("__cut.n_removed = 0 or __cut.n_removed < __cut.n_long").select(*columns)
+    left = "not __cut.blank" if whole else "__cut.n_removed < __cut.n_long"
+    kept = cut.where(f"__cut.n_removed = 0 or {left}").select(*columns)
     counted = cut.select(docs[id_col].cast("long").alias("doc_id"), "__cut.n_lines", "__cut.n_long", "__cut.n_removed", "__cut.text")
     return kept, counted

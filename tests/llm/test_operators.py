@@ -431,6 +431,16 @@ def test_line_dedup(spark, odd_docs):
     assert line_dedup.dedup_lines(odd)[1].count() == len(odd_rows)
 
 
+def test_documents_with_lines_left_stay(spark):
+    import corpus_pipeline
+
+    header = "one header line that is repeated everywhere"
+    rows = [(1, header), (2, f"{header}\nshort verse\nall its own"), (3, f"{header}\n \n"), (4, " \n"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id: r.text for r in corpus_pipeline.cut_repeated_lines(spark, docs, "").collect()}
+    assert kept == {1: header, 2: "short verse\nall its own", 4: " \n", 5: None}
+
+
 # -- pipeline
 
 
