@@ -3,8 +3,8 @@
 All stages but the last return the columns of documents.
 
 1.  quality classifier: documents with a score under 0.7 go;
-2.  line dedup: lines within two edits of an earlier line are cut out; a document of which only
-    blank lines are left goes;
+2.  line dedup: lines within two edits of an earlier line, and short ones equal to an earlier line,
+    are cut out; a document of which only blank lines are left goes;
 3.  MinHash near-dedup: of each component of near copies the document with the smallest id stays;
 4.  benchmark decontamination: documents that contain a benchmark item go;
 5.  SentencePiece encoding: doc_id, n_tokens and token_ids of what is left.

@@ -13,6 +13,9 @@ arrays by parts of the key space; one part is sorted at a time.  Lines that shar
 candidates.  Those that lengths and parity maps of trigrams don't rule out are verified with banded bit-parallel edit distance, for many pairs at once, and
 grouped (see ``grouping``).
 
+Shorter lines are compared exactly, if asked for (``whole``): of equal ones the first stays.  Blank
+lines part paragraphs and are neither compared nor cut.
+
 Lines are named by 64-bit hashes in the join; exact repeats are told by 128 bits.
 
 Defined results: a null text stays null and an empty one empty; rows with a null id are neither
@@ -46,6 +49,8 @@ LINE_BYTES = 1 << 20
 #: Candidates' names are broadcast to find their lines up to this many, else joined.
 BROADCAST_NAMES = 200_000
 _BASE = 0xD6E8FEB86659FD93 | 1
+#: Whether a character is white space; the last place stands for all beyond.
+_SPACE = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
@@ -60,9 +65,12 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Lines:
-    """The long lines of some texts: where each begins and ends among all characters, its text and its number there."""
+    """The long lines of some texts: where each begins and ends among all characters, its text and its number there.
+
+    With ``short``, the shorter lines that aren't blank too.
+    """
 
-    def __init__(self, texts: list[str]) -> None:
+    def __init__(self, texts: list[str], short: bool = False) -> None:
         self.chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         n = len(self.chars)
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
@@ -74,8 +82,11 @@ class Lines:
         ends = np.minimum(after, offsets[owner + 1])
         first = np.searchsorted(owner, owner)  # the text's first line
         number = np.arange(len(starts)) - first
-        long = ends - starts >= MIN_CHARS
-        self.starts, self.ends, self.owner, self.number = starts[long], ends[long], owner[long], number[long]
+        taken = ends - starts >= MIN_CHARS
+        if short:
+            ink = np.append(0, np.cumsum(~_SPACE[np.minimum(self.chars, len(_SPACE) - 1)], dtype=np.int64))
+            taken |= ink[ends] > ink[starts]
+        self.starts, self.ends, self.owner, self.number = starts[taken], ends[taken], owner[taken], number[taken]
         self.up, self.down = _power(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(mix64(self.chars.astype(np.uint64) + np.uint64(1)) * self.up[:n], out=self.sums[1:])
@@ -85,7 +96,7 @@ class Lines:
         return mix64((self.sums[b] - self.sums[a]) * self.down[a] + (b - a).astype(np.uint64))
 
     def names(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two 64-bit hashes of every long line: of the whole, and of the hashes of its segments."""
+        """Two 64-bit hashes of every line: of the whole, and of the hashes of its segments."""
         size = self.ends - self.starts
         second = np.zeros(len(size), np.uint64)
         for at, length in segments(size):
@@ -166,18 +177,21 @@ def within(left: list[str], right: list[str], tau: int = TAU) -> np.ndarray:
     return distance <= tau
 
 
-def _name_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        at = 0
-        for part in slices(batch, 1, LINE_BYTES):
-            lines = Lines(part.column(1).to_pylist())
-            first, second = lines.names()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[at + lines.owner]), pa.array(lines.number, pa.int32()), pa.array(first), pa.array(second)],
-                names=["doc_id", "line", "name", "check"],
-            )
-            at += part.num_rows
+def _name_lines(short: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            at = 0
+            for part in slices(batch, 1, LINE_BYTES):
+                lines = Lines(part.column(1).to_pylist(), short)
+                first, second = lines.names()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[at + lines.owner]), pa.array(lines.number, pa.int32()), pa.array(first), pa.array(second)],
+                    names=["doc_id", "line", "name", "check"],
+                )
+                at += part.num_rows
+
+    return run
 
 
 def _deal_keys(parts: int):
@@ -297,11 +311,14 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line, name, first_doc, first_line: every long line that repeats an earlier one of its class."""
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """doc_id, line, name, first_doc, first_line: every long line that repeats an earlier one of its class.
+
+    With ``whole``, every shorter line too that equals an earlier one.
+    """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     rows = rows.where("doc_id is not null and text is not null")
-    lines = checkpointed(rows.mapInArrow(_name_lines, "doc_id long, line int, name long, check long"))
+    lines = checkpointed(rows.mapInArrow(_name_lines(whole), "doc_id long, line int, name long, check long"))
     total = lines.count()
     parts = max(LEAST_PARTS, total * 12 // PART_KEYS)
     dealt = rows.mapInArrow(_deal_keys(parts), "part long, keys array<long>, lines array<long>")
@@ -340,22 +357,28 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def _cut(texts: pa.Array, lines: pa.Array, names: pa.Array) -> pa.Array:
-    out = []
-    for text, drop, known in zip(texts.to_pylist(), lines.to_pylist(), names.to_pylist()):
-        if text is None:
-            out.append((None, 0, 0, 0, True))
-            continue
-        all_lines = text.split("\n") if text else []
-        found = Lines([text])
-        hashes = dict(zip(found.number.tolist(), found.names()[0].tolist())) if len(found.number) else {}
-        gone = {n for n, name in zip(drop or (), known or ()) if hashes.get(n) == name}
-        if gone:
-            text = "\n".join(x for k, x in enumerate(all_lines) if k not in gone)
-        out.append((text, len(all_lines), len(hashes), len(gone), not text or text.isspace()))
-    columns = [pa.array([r[0] for r in out], pa.string()), *(pa.array([r[k] for r in out], pa.int32()) for k in (1, 2, 3))]
-    columns.append(pa.array([r[4] for r in out], pa.bool_()))
-    return pa.StructArray.from_arrays(columns, names=["text", "n_lines", "n_long", "n_removed", "blank"])
+def _cut(short: bool):
+    def run(texts: pa.Array, lines: pa.Array, names: pa.Array) -> pa.Array:
+        out = []
+        for text, drop, known in zip(texts.to_pylist(), lines.to_pylist(), names.to_pylist()):
+            if text is None:
+                out.append((None, 0, 0, 0, True))
+                continue
+            all_lines = text.split("\n") if text else []
+            n_long = sum(len(x) >= MIN_CHARS for x in all_lines)
+            gone = set()
+            if drop:
+                found = Lines([text], short)
+                hashes = dict(zip(found.number.tolist(), found.names()[0].tolist())) if len(found.number) else {}
+                gone = {n for n, name in zip(drop, known) if hashes.get(n) == name}
+            if gone:
+                text = "\n".join(x for k, x in enumerate(all_lines) if k not in gone)
+            out.append((text, len(all_lines), n_long, len(gone), not text or text.isspace()))
+        columns = [pa.array([r[0] for r in out], pa.string()), *(pa.array([r[k] for r in out], pa.int32()) for k in (1, 2, 3))]
+        columns.append(pa.array([r[4] for r in out], pa.bool_()))
+        return pa.StructArray.from_arrays(columns, names=["text", "n_lines", "n_long", "n_removed", "blank"])
+
+    return run
 
 
 def dedup_lines(
@@ -364,16 +387,16 @@ def dedup_lines(
     """The documents without their repeated lines, as (kept, counted).
 
     ``kept`` has the columns of docs; a document whose long lines were all cut out is left out.  With
-    ``whole``, as the registered queries call it, only a document of which nothing but blank lines is
-    left after a cut is left out.
+    ``whole``, as the registered queries call it, exact repeats of shorter lines are cut as well, and
+    only a document of which nothing but blank lines is left after a cut is left out.
     ``counted`` has doc_id, n_lines, n_long, n_removed, text (what is left) for every document.
     """
-    gone = repeated_lines(docs, id_col, text_col).groupBy(F.col("doc_id").alias("__doc")).agg(
+    gone = repeated_lines(docs, id_col, text_col, whole).groupBy(F.col("doc_id").alias("__doc")).agg(
         F.collect_list("line").alias("__lines"), F.collect_list("name").alias("__names")
     )
     gone = checkpointed(gone)
     joined = docs.join(gone, docs[id_col].cast("long") == gone["__doc"], "left")
-    cutter = F.arrow_udf(_cut, "struct<text: string, n_lines: int, n_long: int, n_removed: int, blank: boolean>")
+    cutter = F.arrow_udf(_cut(whole), "struct<text: string, n_lines: int, n_long: int, n_removed: int, blank: boolean>")
     cut = joined.withColumn("__cut", cutter(docs[text_col].cast("string"), gone["__lines"], gone["__names"]))
     columns = [F.col("__cut.text").alias(text_col) if c == text_col else docs[c] for c in docs.columns]
     left = "not __cut.blank" if whole else "__cut.n_removed < __cut.n_long"

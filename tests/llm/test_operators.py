@@ -441,6 +441,22 @@ def test_documents_with_lines_left_stay(spark):
     assert kept == {1: header, 2: "short verse\nall its own", 4: " \n", 5: None}
 
 
+def test_short_lines_are_cut_exactly(spark, tmp_path):
+    from inkwell.llm import queries
+
+    texts = {1: "Les.\n\nAnd ornd.\n漢字の文。", 2: "Les.\n\nand ornd.\nLes.", 3: "漢字の文。\nx\n\u3000", 4: "x\ny\n" + "a long line " * 3, 5: "y", 6: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    left = {1: texts[1], 2: "\nand ornd.", 3: "x\n\u3000", 4: "y\n" + "a long line " * 3, 5: ""}
+    removed = {1: 0, 2: 2, 3: 1, 4: 1, 5: 1}
+    found = by_id(queries.op10_line_dedup(spark, str(tmp_path)))
+    assert {k: r[0].n_removed for k, r in found.items()} == {**removed, 6: 0}
+    assert all(found[k][0].text_sha256 == hashlib.sha256(t.encode()).hexdigest() for k, t in left.items())
+    assert {k: r[0].n_long for k, r in found.items()} == {1: 0, 2: 0, 3: 0, 4: 1, 5: 0, 6: 0}
+    kept = {r.doc_id for r in line_dedup.dedup_lines(docs, whole=True)[0].collect()}
+    assert kept == {1, 2, 3, 4, 6}
+
+
 # -- pipeline
 
 
