@@ -287,6 +287,30 @@ def similar_pairs(vectors: DataFrame, key: str, least: float, vector: str = "emb
     return found, members
 
 
+#: Shares that the members of a class are dealt into on one side where pairs of them are listed.
+MEMBER_SHARES = 32
+
+
+def all_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs a < b of items with their scores, from what ``similar_pairs`` gives: every copy of a vector counts.
+
+    Links of classes hold for all their members, and equal vectors are linked with a score of 1.  The
+    result has a row for each pair, so a class of n members gives n (n - 1) / 2 of them.
+    """
+    share = F.pmod(F.hash("item"), F.lit(MEMBER_SHARES))
+    left = members.select(F.col("class").alias("ca"), F.col("item").alias("x"), share.alias("share"))
+    right = members.select(F.col("class").alias("cb"), F.col("item").alias("y"))
+    dealt = lambda df: df.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(MEMBER_SHARES - 1))))
+    several = members.groupBy("class").agg(F.count("*").alias("many")).where("many > 1").select("class")
+    same = dealt(right.join(several, F.col("cb") == F.col("class"), "left_semi"))
+    same = left.join(same, (F.col("ca") == F.col("cb")) & (left["share"] == same["share"])).where("x < y")
+    same = same.select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1.0).alias("score"))
+    links = pairs.join(right, F.col("b") == F.col("cb")).select("a", "y", "score")
+    links = links.join(left, F.col("a") == F.col("ca"))
+    links = links.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
+    return links.union(same)
+
+
 def card_union(lists: list[DataFrame], by: str, text: str) -> DataFrame:
     """by, text, place: the lists' texts, earlier lists first, each text once at its first place.
 

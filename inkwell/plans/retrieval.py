@@ -230,7 +230,7 @@ p as (select a.vec_id as a, b.vec_id as b, round(list_sum(list_transform(list_zi
 from n a join n b on a.vec_id < b.vec_id) select * from p where score >= 0.8""")
 def similar_pairs(t):
     """J17"""
-    return retrieval.similar_pairs(t("embeddings"), "vec_id", 0.8, bands=160)[0]
+    return retrieval.all_pairs(*retrieval.similar_pairs(t("embeddings"), "vec_id", 0.8, bands=160))
 
 
 @query(f"""with {VECTOR_SQL}, hits as (select query_id, item_id, score from vec where rank <= 8) select h.* from hits h join embeddings e on e.vec_id = item_id

@@ -24,6 +24,22 @@ def test_similar_pairs(spark):
     assert {r.item: r["class"] for r in members.collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
+def test_similar_pairs_of_copies(spark, tmp_path):
+    import duckdb
+
+    from inkwell.plans import catalogue
+
+    base = [float(k % 5 - 2) + 0.1 * k for k in range(16)]
+    near, far = [x + 0.01 for x in base], [-x for x in base]
+    rows = [(k, [base, near, base, far, base][k % 5]) for k in range(1, 30)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = sorted((r.a, r.b, r.score) for r in catalogue.QUERIES["similar_pairs"](spark, str(tmp_path)).collect())
+    duck = duckdb.connect()
+    duck.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    wanted = sorted(duck.execute(catalogue.ORACLES["similar_pairs"]).fetchall())
+    assert len(wanted) > 200 and found == wanted
+
+
 def test_data_scope(spark):
     rows = spark.createDataFrame([(1, 10), (2, 20), (3, 21)], "user int, dept int")
     depts = spark.createDataFrame([(10, "0"), (20, "0"), (21, "0,20")], "dept_id int, ancestors string")
