@@ -3,8 +3,10 @@
 Each language is a distribution over byte trigrams, counted over all training texts in Spark.  A
 text's words come from a mixture of languages: expectation-maximisation estimates the proportions
 from the words' trigram likelihoods.  The languages are then ranked by proportion, the mixture is
-refitted to the first one, two, ... of them, and the set with the best likelihood after a penalty
-for each language is kept.  The prediction is the set's largest language, its score its proportion.
+refitted to the first one, two, ... and at last all of them, and the set with the best likelihood
+after a penalty for each language is kept.  No word is likelier than under its best language, so a
+text for which the penalty alone outweighs that set's gain needs no larger one.  The prediction is
+the set's largest language, its score its proportion.
 
 The model is languages x 2**15 counts, so its size does not depend on the number of texts.
 
@@ -28,8 +30,6 @@ from inkwell.llm.common import id_text, slices, text_bytes
 
 BUCKETS = 1 << 15
 ROUNDS = 10
-#: Languages of a mixture at most, and the least proportion at which one more is tried.
-MOST, LEAST = 3, 0.04
 #: What each further language must add to the log-likelihood, times the log of the number of words.
 PENALTY = 3.0
 #: How far a word's log-likelihoods may lie under its best language's.
@@ -120,8 +120,9 @@ def infer(raw: np.ndarray, offsets: np.ndarray, model: np.ndarray) -> tuple[np.n
     ranked = np.argsort(-share, axis=1, kind="stable")
     words = np.diff(np.append(first, len(owner)))
     best = np.full(len(texts), -np.inf)
-    for size in range(1, min(MOST, langs) + 1):
-        tried = np.flatnonzero(np.take_along_axis(share, ranked[:, size - 1 : size], 1)[:, 0] >= (0 if size == 1 else LEAST))
+    for size in range(1, langs + 1):
+        # Log-likelihoods are at most 0, so no larger set is better than its penalty.
+        tried = np.flatnonzero(best < -PENALTY * (size - 1) * np.log(words + 1))
         if not len(tried):
             break
         allowed = np.zeros((len(tried), langs), np.float32)

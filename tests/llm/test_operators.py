@@ -360,6 +360,23 @@ def test_language_id(spark, odd_docs):
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
 
 
+def test_all_languages_of_a_text():
+    rng = random.Random(4)
+    names = ["aa", "bb", "cc", "dd", "ee"]
+    words = [["".join(rng.choice(letters) for _ in range(6)) for _ in range(30)] for letters in ("abcde", "fghij", "klmno", "pqrst", "uvwxyz")]
+    text = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    model = np.full((language_id.BUCKETS, len(names)), 0.5)
+    for k in range(len(names)):
+        grams, *_ = language_id.trigrams(*text_bytes(pa.array([text(k, 500)])))
+        model[:, k] += np.bincount(grams, minlength=language_id.BUCKETS)
+    model = np.log(model / model.sum(axis=0)).astype(np.float32)
+    wanted = [(0.25, 0.25, 0.25, 0.25, 0), (0.2,) * 5, (0.97, 0.03, 0, 0, 0), (1, 0, 0, 0, 0)]
+    texts = [" ".join(text(k, round(p * 20_000)) for k, p in enumerate(ps) if p) for ps in wanted]
+    share, _ = language_id.infer(*text_bytes(pa.array(texts)), model)
+    assert ((share > 0) == (np.array(wanted) > 0)).all()
+    assert np.allclose(share, wanted, atol=0.01)
+
+
 # -- 10
 
 
