@@ -9,6 +9,8 @@
 * segments of the frames' energy with hysteresis: a segment opens above one level and closes
   below a lower one.
 
+``read_patches`` reads patches that were written back as Arrow tensors of fixed shape.
+
 Long audio is worked on in blocks, so memory doesn't grow with a payload's length beyond the
 payload and its features.
 
@@ -26,9 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from inkwell.llm.common import id_text, slices
+from inkwell.llm.common import id_text, slices, text_bytes
 
 RATE, UP, DOWN, TAPS = 12_000, 2, 3, 16
 FRAME, HOP, MELS = 256, 128, 24
@@ -46,6 +49,10 @@ FEATURES = (
     "media_sha256 string, n_frames long, n_patches long, segments array<struct<start_s: double, end_s: double>>, "
     "mean_db double"
 )
+#: A row for each document: its features, and its patches in order, each tensor as the bytes of its 32-bit floats.
+PATCHED = FEATURES + ", patches array<struct<start_s: double, end_s: double, log_mel: binary>>"
+#: What ``read_patches`` adds: number, end of the last one's span, and SHA-256 of spans and tensors.
+READ = "patches_read long, end_s double, tensors_sha256 string"
 PATCHES = "doc_id long, patch long, start_s double, end_s double, log_mel array<float>"
 
 
@@ -151,10 +158,14 @@ def patches(mels: np.ndarray) -> np.ndarray:
 
 
 def tensor_column(log_mels: pa.Array | pa.ChunkedArray) -> pa.ExtensionArray:
-    """A log_mel column, as read from what ``log_mel_patches`` wrote, as Arrow tensors of fixed shape."""
+    """A log_mel column, as read from what ``log_mel_patches`` wrote or PATCHED holds, as Arrow tensors of fixed shape."""
     if isinstance(log_mels, pa.ChunkedArray):
         log_mels = log_mels.combine_chunks()
-    flat = pa.FixedSizeListArray.from_arrays(log_mels.flatten().cast(pa.float32()), PATCH * MELS)
+    if pa.types.is_binary(log_mels.type):
+        values = pa.array(text_bytes(log_mels)[0].view(np.float32))
+    else:
+        values = log_mels.flatten().cast(pa.float32())
+    flat = pa.FixedSizeListArray.from_arrays(values, PATCH * MELS)
     return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (PATCH, MELS)), flat)
 
 
@@ -174,17 +185,36 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return id_text(docs, id_col, text_col).mapInArrow(run, STORED)
 
 
-def features(stored: DataFrame) -> DataFrame:
-    """Digests of the payload read back and of the stored form, frame and patch counts, segments, mean level."""
+def _patch_lists(mels: list[np.ndarray]) -> pa.Array:
+    """For each text's log-mel energies the list of its patches, as in PATCHED."""
+    seconds = HOP * DOWN / (RATE * UP)
+    cut = [patches(m) for m in mels]
+    many = np.array([len(c) for c in cut])
+    k = np.concatenate([np.arange(n) for n in many])
+    frames = np.repeat([len(m) for m in mels], many)
+    offsets = (np.arange(len(k) + 1) * (4 * PATCH * MELS)).astype(np.int32)
+    tensors = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(cut))])
+    spans = [pa.array(k * PATCH * seconds), pa.array(np.minimum((k + 1) * PATCH, frames) * seconds)]
+    rows = pa.StructArray.from_arrays([*spans, tensors], names=["start_s", "end_s", "log_mel"])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)).astype(np.int32)), rows)
+
+
+def features(stored: DataFrame, tensors: bool = False) -> DataFrame:
+    """Digests of the payload read back and of the stored form, frame and patch counts, segments, mean level.
+
+    With ``tensors``, the patches too: their time spans and their log-mel tensors (see PATCHED).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
         for batch in batches:
             for part in slices(batch, 2):
-                rows = []
+                rows, energies = [], []
                 for media in part.column(2).to_pylist():
                     payload = from_wav(media)
                     mels, energy = log_mel(payload)
+                    if tensors:
+                        energies.append(mels)
                     rows.append(
                         (
                             len(payload),
@@ -201,9 +231,37 @@ def features(stored: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), spans, pa.float64()]
                 columns = [pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)]
                 names = [x.split()[0] for x in FEATURES.replace("array<struct<start_s: double, end_s: double>>", "a").split(", ")]
+                if tensors:
+                    columns.append(_patch_lists(energies))
+                    names.append("patches")
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=names)
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, FEATURES)
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, PATCHED if tensors else FEATURES)
+
+
+def read_patches(written: DataFrame) -> DataFrame:
+    """The columns of a table of PATCHED but the patches, and READ, taken from the patches as tensors."""
+    others = [c for c in written.columns if c != "patches"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(len(others))
+            rows = lists.flatten()
+            read = tensor_column(pc.struct_field(rows, "log_mel")).to_numpy_ndarray()
+            spans = np.stack([pc.struct_field(rows, c).to_numpy(zero_copy_only=False) for c in ("start_s", "end_s")], axis=1)
+            ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            starts = np.append(0, ends[:-1]).astype(np.int64)
+            digests = [
+                hashlib.sha256(spans[a:b].tobytes() + read[a:b].tobytes()).hexdigest() for a, b in zip(starts.tolist(), ends.tolist())
+            ]
+            found = [pa.array(ends - starts, pa.int64()), pa.array(spans[ends - 1, 1]), pa.array(digests, pa.string())]
+            names = [*others, *(x.split()[0] for x in READ.split(", "))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *found], names=names)
+
+    schema = FEATURES + ", " + READ
+    return written.select(*others, "patches").mapInArrow(run, schema)
 
 
 def log_mel_patches(stored: DataFrame) -> DataFrame:

@@ -18,17 +18,18 @@ from inkwell.llm import (
     token_counts,
     url_filter,
 )
-from inkwell.session import table
+from inkwell.session import checkpointed, table
 
 PIECES = "piece_bpe_32k.model"
 
 
 def op1_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = audio.features(audio.store(table(spark, sf_dir, "documents")))
+    patched = audio.features(audio.store(table(spark, sf_dir, "documents")), tensors=True)
+    found = audio.read_patches(checkpointed(patched))
     seconds = F.aggregate("segments", F.lit(0.0), lambda t, s: t + s["end_s"] - s["start_s"])
     feature = F.format_string(
-        "frames=%d;patches=%d;segments=%d;active_s=%.3f;mean_db=%.2f",
-        "n_frames", "n_patches", F.size("segments"), seconds, "mean_db",
+        "frames=%d;patches=%d;segments=%d;active_s=%.3f;mean_db=%.2f;end_s=%.3f;tensors=%s",
+        "n_frames", "patches_read", F.size("segments"), seconds, "mean_db", "end_s", "tensors_sha256",
     )
     return found.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256",

@@ -98,6 +98,22 @@ def test_blocks_and_tensors(spark, monkeypatch):
     assert tensors.type.shape == [audio.PATCH, audio.MELS] and len(tensors) == table.num_rows > 1
 
 
+def test_audio_query_reads_tensors_back(spark, tmp_path):
+    from inkwell.llm import queries
+
+    texts = {1: "a" * 50, 2: "some words " * 3000, 3: None, 4: "é" * 6144}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    wanted = by_id(audio.log_mel_patches(audio.store(docs)))
+    for doc_id, (r,) in by_id(queries.op1_audio(spark, str(tmp_path))).items():
+        rows = sorted(wanted[doc_id], key=lambda p: p.patch)
+        spans = np.array([(p.start_s, p.end_s) for p in rows])
+        tensors = np.array([p.log_mel for p in rows], np.float32)
+        feature = dict(x.split("=") for x in r.feature.split(";"))
+        assert int(feature["patches"]) == len(rows) and feature["end_s"] == f"{rows[-1].end_s:.3f}"
+        assert feature["tensors"] == hashlib.sha256(spans.tobytes() + tensors.tobytes()).hexdigest()
+
+
 # -- 2
 
 
