@@ -7,7 +7,8 @@ All stages but the last return the columns of documents.
     are cut out; a document of which only blank lines are left goes;
 3.  MinHash near-dedup: of each component of near copies the document with the smallest id stays;
 4.  benchmark decontamination: documents that contain a benchmark item go;
-5.  SentencePiece encoding: doc_id, n_tokens and token_ids of what is left.
+5.  SentencePiece encoding and decoding: doc_id, n_tokens and token_ids of what is left, decoded_sha256
+    and round_trip.
 """
 
 from __future__ import annotations
@@ -45,9 +46,17 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every remaining document."""
-    encoded = sentencepiece_codec.encode(docs, public_tokenizers.path(PIECES))
-    return encoded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
+    """Token ids of every remaining document, and whether they decode to its text."""
+    path = public_tokenizers.path(PIECES)
+    decoded = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, path), path)
+    digest = F.sha2("decoded", 256)
+    return decoded.select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        "token_ids",
+        digest.alias("decoded_sha256"),
+        (digest == F.col("text_sha256")).alias("round_trip"),
+    )
 
 
 STAGES = [

@@ -514,3 +514,14 @@ def test_pipeline(spark, tmp_path):
     assert set(range(40)) <= set(found) and not set(range(40, 60)) & set(found)
     assert not {100, 101, 102} & set(found)
     assert all(found[k] == sp.encode(clean[k]) for k in range(40))
+
+
+def test_pipeline_decodes(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "some plain text"), (2, "  two  spaces ")], "doc_id long, text string")
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    for r in corpus_pipeline.encode_pieces(spark, docs, "").collect():
+        text = {1: "some plain text", 2: "  two  spaces "}[r.doc_id]
+        decoded = hashlib.sha256(sp.decode(r.token_ids).encode()).hexdigest()
+        assert (r.decoded_sha256, r.round_trip) == (decoded, sp.decode(sp.encode(text)) == text)
