@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,24 +22,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``, which every executor shares.
 
-    Only where that is unset, as in tests, it is a temporary one.
+    Where that is unset, as in tests, a session whose tasks run in its own process gets a temporary one.
+    On a cluster no folder of one machine would do, so there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="inkwell-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, codec: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back: no lineage, and nothing that a lost executor takes along.
 
     A written table, unlike ``checkpoint()``, has its real size as its statistics.  A checkpoint keeps
     the estimate of the plan behind it, in which each join multiplies its sides' sizes; over the rounds
-    of an iteration that number grows until the driver has no memory left for it.
+    of an iteration that number grows until the driver has no memory left for it.  ``codec`` names the
+    files' compression where it isn't the session's.
     """
     path = f"{_folder(df.sparkSession)}/inkwell-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.inkwell_path = path
     return out
