@@ -12,11 +12,24 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task works on at once.
 SLICE_BYTES = 1 << 20
+#: Rows that Spark hands to Python at once, unless the session says otherwise.
+BATCH_ROWS, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session hands rows to Python in small batches from now on, if nothing else was set.
+
+    A batch is held whole on both sides, and at Spark's default of 10,000 rows that is tens of megabytes
+    of texts for every task.
+    """
+    if df.sparkSession.conf.get(BATCH_SETTING, None) is None:
+        df.sparkSession.conf.set(BATCH_SETTING, BATCH_ROWS)
+    return df
 
 
 def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns that an operator reads; whatever else the table carries stays behind."""
-    return docs.select(
+    return small_batches(docs).select(
         docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")
     )
 

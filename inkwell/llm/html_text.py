@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import slices
+from inkwell.llm.common import slices, small_batches
 
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -325,5 +325,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
                 texts = [render(html) if html else "" for html in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["page_id", "text"])
 
-    rows = pages.select(pages[id_col].cast("long").alias("page_id"), F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("html"))
+    rows = small_batches(pages).select(pages[id_col].cast("long").alias("page_id"), F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("html"))
     return rows.mapInArrow(run, "page_id long, text string")

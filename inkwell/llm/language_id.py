@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import id_text, slices, text_bytes
+from inkwell.llm.common import id_text, slices, small_batches, text_bytes
 
 BUCKETS = 1 << 15
 ROUNDS = 10
@@ -80,7 +80,7 @@ def learn(docs: DataFrame, lang: Column, id_col: str = "doc_id", text_col: str =
                 names=["lang", "bucket", "n"],
             )
 
-    rows = docs.where(lang.isNotNull() & docs[text_col].isNotNull()).select(
+    rows = small_batches(docs).where(lang.isNotNull() & docs[text_col].isNotNull()).select(
         docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), lang.alias("lang")
     )
     found = (
