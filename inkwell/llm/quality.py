@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import slices, text_bytes
+from inkwell.llm.common import slices, small_batches, text_bytes
 from inkwell.llm.words import words
 
 BUCKETS, FACTORS = 1 << 15, 8
@@ -180,4 +180,21 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text") -> Column:
             parts = [shared.value.score(*inputs(*text_bytes(p.column(0)))) for p in slices(batch, 0)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-    return scored(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    return scored(F.coalesce(small_batches(docs)[text_col].cast("string"), F.lit("")))
+
+
+def keep(docs: DataFrame, machine: Machine, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text is scored ``least`` or more.
+
+    Whole rows pass through the task in batches, so none waits in a queue for its score.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, batch.num_columns - 1):
+                scores = shared.value.score(*inputs(*text_bytes(part.column(part.num_columns - 1))))
+                yield part.filter(pa.array(scores >= least)).select(list(range(part.num_columns - 1)))
+
+    text = F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("__text")
+    return small_batches(docs).select(*docs.columns, text).mapInArrow(run, docs.schema)
