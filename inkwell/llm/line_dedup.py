@@ -32,8 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from inkwell.llm.common import mix64, slices
+from inkwell.llm.common import mix64, slices, small_batches
 from inkwell.llm.grouping import link_groups
 from inkwell.session import checkpointed
 
@@ -316,7 +317,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     With ``whole``, every shorter line too that equals an earlier one.
     """
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    rows = small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     rows = rows.where("doc_id is not null and text is not null")
     lines = checkpointed(rows.mapInArrow(_name_lines(whole), "doc_id long, line int, name long, check long"))
     total = lines.count()
@@ -357,30 +358,58 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def _cut(short: bool):
-    def run(texts: pa.Array, lines: pa.Array, names: pa.Array) -> pa.Array:
-        out = []
-        for text, drop, known in zip(texts.to_pylist(), lines.to_pylist(), names.to_pylist()):
-            if text is None:
-                out.append((None, 0, 0, 0, True))
-                continue
-            all_lines = text.split("\n") if text else []
-            n_long = sum(len(x) >= MIN_CHARS for x in all_lines)
-            gone = set()
-            if drop:
-                found = Lines([text], short)
-                hashes = dict(zip(found.number.tolist(), found.names()[0].tolist())) if len(found.number) else {}
-                gone = {n for n, name in zip(drop, known) if hashes.get(n) == name}
-            if gone:
-                text = "\n".join(x for k, x in enumerate(all_lines) if k not in gone)
-            out.append((text, len(all_lines), n_long, len(gone), not text or text.isspace()))
-        columns = [pa.array([r[0] for r in out], pa.string()), *(pa.array([r[k] for r in out], pa.int32()) for k in (1, 2, 3))]
-        columns.append(pa.array([r[4] for r in out], pa.bool_()))
-        return pa.StructArray.from_arrays(columns, names=["text", "n_lines", "n_long", "n_removed", "blank"])
+COUNTS = "n_lines int, n_long int, n_removed int"
+
+
+def _cut(text_at: int, counts: bool, short: bool):
+    """Rows whose last two columns list the lines to cut from the text at ``text_at``, and these lines' names.
+
+    With ``counts``, every row comes out, with COUNTS behind its other columns; else those of which something is left.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_at, LINE_BYTES):
+                texts, drops, known = (part.column(k).to_pylist() for k in (text_at, part.num_columns - 2, part.num_columns - 1))
+                gone = _found(texts, drops, known, short)
+                n_lines = [t.count("\n") + 1 if t else 0 for t in texts]
+                n_long = [0] * len(texts)
+                if counts or not short:
+                    n_long = [sum(len(x) >= MIN_CHARS for x in t.split("\n")) if t else 0 for t in texts]
+                for k, lines in gone.items():
+                    texts[k] = "\n".join(x for n, x in enumerate(texts[k].split("\n")) if n not in lines)
+                columns = part.columns[:-2]
+                columns[text_at] = pa.array(texts, pa.string())
+                if counts:
+                    removed = [len(gone.get(k, ())) for k in range(len(texts))]
+                    columns += [pa.array(x, pa.int32()) for x in (n_lines, n_long, removed)]
+                    yield pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(len(columns))])
+                else:
+                    left = pa.array([k not in gone or (bool(texts[k]) and not texts[k].isspace() if short else len(gone[k]) < n_long[k]) for k in range(len(texts))], pa.bool_())
+                    yield pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(len(columns))]).filter(left)
 
     return run
 
 
+def _found(texts: list[str | None], drops: list, known: list, short: bool) -> dict[int, set[int]]:
+    """For each text with lines to cut, those that bear the names given; another text under the same id may lack them."""
+    asked = [k for k, drop in enumerate(drops) if drop and texts[k]]
+    if not asked:
+        return {}
+    lines = Lines([texts[k] for k in asked], short)
+    place = lines.owner << 32 | lines.number
+    wanted = np.concatenate([np.array(drops[k], np.int64) | i << 32 for i, k in enumerate(asked)])
+    names = np.concatenate([np.array(known[k], np.int64) for k in asked])
+    if not len(place):
+        return {}
+    at = np.minimum(np.searchsorted(place, wanted), len(place) - 1)
+    same = (place[at] == wanted) & (lines.names()[0][at] == names)
+    gone: dict[int, set[int]] = {}
+    for x in wanted[same].tolist():
+        gone.setdefault(asked[x >> 32], set()).add(x & 0xFFFFFFFF)
+    return gone
+
+
 def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False
 ) -> tuple[DataFrame, DataFrame]:
@@ -396,10 +425,10 @@ def dedup_lines(
     )
     gone = checkpointed(gone)
     joined = docs.join(gone, docs[id_col].cast("long") == gone["__doc"], "left")
-    cutter = F.arrow_udf(_cut(whole), "struct<text: string, n_lines: int, n_long: int, n_removed: int, blank: boolean>")
-    cut = joined.withColumn("__cut", cutter(docs[text_col].cast("string"), gone["__lines"], gone["__names"]))
-    columns = [F.col("__cut.text").alias(text_col) if c == text_col else docs[c] for c in docs.columns]
-    left = "not __cut.blank" if whole else "__cut.n_removed < __cut.n_long"
-    kept = cut.where(f"__cut.n_removed = 0 or {left}").select(*columns)
-    counted = cut.select(docs[id_col].cast("long").alias("doc_id"), "__cut.n_lines", "__cut.n_long", "__cut.n_removed", "__cut.text")
-    return kept, counted
+    text = docs[text_col].cast("string")
+    rows = joined.select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns), "__lines", "__names")
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in docs.schema])
+    kept = rows.mapInArrow(_cut(docs.columns.index(text_col), False, whole), schema)
+    brief = joined.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), "__lines", "__names")
+    counted = brief.mapInArrow(_cut(1, True, whole), f"doc_id long, text string, {COUNTS}")
+    return kept, counted.select("doc_id", "n_lines", "n_long", "n_removed", "text")
