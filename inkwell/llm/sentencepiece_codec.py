@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.common import mix64, slices
+from inkwell.llm.common import mix64, slices, small_batches
 from inkwell.llm.pretokens import SPACE, check_model, load, parts, pretokens
 
 ENCODED = T.StructType(
@@ -267,41 +267,70 @@ class Encoder:
         return [b"".join(map(self.words.__getitem__, words)) for words in cut]
 
 
+def _encoder(model_path: str, table: PieceTable) -> Encoder:
+    """This worker's encoder of the model."""
+    encoder = _workers.setdefault(model_path, None) or Encoder(table)
+    _workers[model_path] = encoder
+    return encoder
+
+
+def _lists(ids: list[bytes]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(b) // 4 for b in ids])]).astype(np.int32)
+    values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+    return pa.ListArray.from_arrays(pa.array(offsets), values, type=pa.list_(pa.field("element", pa.int32(), False)))
+
+
+def _texts(lists: pa.Array, decoded: list[bytes]) -> pa.Array:
+    """What each list of ids decodes to."""
+    of, texts = decoded.__getitem__, []
+    for ids in lists:
+        raw = b"".join(map(of, ids.values.to_numpy().tolist())) if ids.is_valid else b""
+        texts.append((raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace"))
+    return pa.array(texts, pa.string())
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    return small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("sha"))
+
+
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_sha256 (of the text's UTF-8) and token_ids of every document, as the library encodes it."""
     table = docs.sparkSession.sparkContext.broadcast(PieceTable(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _workers.setdefault(model_path, None) or Encoder(table.value)
-        _workers[model_path] = encoder
+        encoder = _encoder(model_path, table.value)
         for batch in batches:
             for piece in slices(batch, 1, INDEX_BYTES):
-                ids = encoder.encode(piece.column(1).to_pylist())
-                offsets = np.concatenate([[0], np.cumsum([len(b) // 4 for b in ids])]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                field = pa.list_(pa.field("element", pa.int32(), False))
-                lists = pa.ListArray.from_arrays(pa.array(offsets), values, type=field)
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), lists], names=ENCODED.names)
+                ids = _lists(encoder.encode(piece.column(1).to_pylist()))
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), ids], names=ENCODED.names)
 
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("sha"))
-    return rows.mapInArrow(run, ENCODED)
+    return _rows(docs, id_col, text_col).mapInArrow(run, ENCODED)
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """``encoded`` (as ``encode`` returns it) with the text that its ids stand for, in column decoded."""
-    table = encoded.sparkSession.sparkContext.broadcast(PieceTable(model_path).decoded)
+    table = small_batches(encoded).sparkSession.sparkContext.broadcast(PieceTable(model_path).decoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = table.value.__getitem__
         for batch in batches:
-            lists = batch.column(2)
             for k in range(0, batch.num_rows, 200):
                 part = batch.slice(k, 200)
-                texts = []
-                for ids in part.column(2):
-                    raw = b"".join(map(of, ids.values.to_numpy().tolist())) if ids.is_valid else b""
-                    texts.append((raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace"))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=DECODED.names)
+                yield pa.RecordBatch.from_arrays([*part.columns, _texts(part.column(2), table.value)], names=DECODED.names)
 
     return encoded.select(*ENCODED.names).mapInArrow(run, DECODED)
+
+
+def recode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode`` of ``encode`` in one pass: each part of a batch is encoded, and its ids decoded, by one worker."""
+    table = docs.sparkSession.sparkContext.broadcast(PieceTable(model_path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(model_path, table.value)
+        for batch in batches:
+            for piece in slices(batch, 1, INDEX_BYTES):
+                ids = _lists(encoder.encode(piece.column(1).to_pylist()))
+                texts = _texts(ids, table.value.decoded)
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), ids, texts], names=DECODED.names)
+
+    return _rows(docs, id_col, text_col).mapInArrow(run, DECODED)
