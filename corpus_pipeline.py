@@ -26,7 +26,7 @@ LEAST_SCORE = 0.7
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject; it is fitted on the labels outside of the held-out fold."""
-    return docs.where(quality.score(docs, quality_machine(spark, sf_dir)) >= LEAST_SCORE)
+    return quality.keep(docs, quality_machine(spark, sf_dir), LEAST_SCORE)
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +47,7 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every remaining document, and whether they decode to its text."""
-    path = public_tokenizers.path(PIECES)
-    decoded = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, path), path)
+    decoded = sentencepiece_codec.recode(docs, public_tokenizers.path(PIECES))
     digest = F.sha2("decoded", 256)
     return decoded.select(
         "doc_id",
