@@ -18,14 +18,16 @@ from inkwell.llm import (
     token_counts,
     url_filter,
 )
-from inkwell.session import checkpointed, table
+from inkwell.session import checkpointed, discard, table
 
 PIECES = "piece_bpe_32k.model"
 
 
 def op1_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    patched = audio.features(audio.store(table(spark, sf_dir, "documents")), tensors=True)
-    found = audio.read_patches(checkpointed(patched))
+    stored = checkpointed(audio.store(table(spark, sf_dir, "documents")), "zstd")
+    patched = checkpointed(audio.features(stored, tensors=True), "zstd")
+    discard(stored)
+    found = audio.read_patches(patched)
     seconds = F.aggregate("segments", F.lit(0.0), lambda t, s: t + s["end_s"] - s["start_s"])
     feature = F.format_string(
         "frames=%d;patches=%d;segments=%d;active_s=%.3f;mean_db=%.2f;end_s=%.3f;tensors=%s",
@@ -43,8 +45,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(PIECES)
-    encoded = sentencepiece_codec.encode(table(spark, sf_dir, "documents"), path)
-    decoded = sentencepiece_codec.decode(encoded, path)
+    decoded = sentencepiece_codec.recode(table(spark, sf_dir, "documents"), path)
     return decoded.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
