@@ -10,17 +10,20 @@ The renderer keeps block spacing (paragraphs and headings a blank line apart, ot
 of their own), list markers with indentation, preformatted text, and tables whose cells are padded
 to the width of their column.  White space elsewhere collapses to single spaces.
 
-A page is parsed within its task; nothing is shuffled.
+A page is parsed within its task; nothing is shuffled.  Tree and renderer keep their own stacks, so
+elements may be nested to any depth, and what is open is looked up by tag, not searched for.
 
 Defined results: a null or empty page has an empty text; a null id stays null; broken markup is
-rendered by the rules above; elements nested deeper than ``MAX_DEPTH`` are taken as siblings;
-repeated rows give repeated rows; an empty table gives an empty result; further columns are not read.
+rendered by the rules above; marked sections other than in comments are bogus comments, up to the
+next ``>``; spans of cells that aren't numbers are 1, larger ones than the HTML standard's bounds are
+these bounds; a character reference beyond all characters is U+FFFD; repeated rows give repeated
+rows; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -52,10 +55,14 @@ SIBLINGS = {
     "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
 }
+PARAGRAPH_STOPS = ("table", "td", "th", "li", "dd", "button", "caption")
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 SPACED = HEADINGS | frozenset("p blockquote ul ol dl pre table figure fieldset menu dir hr".split())
 BLOCKS = CLOSES_PARAGRAPH | frozenset("html body li dt dd tr caption legend optgroup option".split())
-MAX_DEPTH = 200
+#: The standard's bounds of a cell's spans.
+MAX_COLUMNS, MAX_ROWS = 1000, 65534
+_NUMBER = re.compile(r"[ \t\n\f\r]*\+?0*([0-9]*)")
+_ZEROS, _FAR = re.compile(r"&#0{7,}(?=[0-9])"), re.compile(r"&#[1-9][0-9]{7,};?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _VISIBILITY = re.compile(r"visibility\s*:\s*(\w+)", re.I)
@@ -75,32 +82,37 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
+        #: Of each tag the places among the open elements, innermost last.
+        self.places: dict[str, list[int]] = {}
 
-    def close_until(self, tags: set[str], stops: set[str]) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in tags:
-                del self.open[k:]
-                return
-            if self.open[k].tag in stops:
-                return
+    def innermost(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close_until(self, tags, stops) -> bool:
+        """Closes the innermost open element of these tags, and what is open inside it, unless it lies beyond a stop."""
+        at = self.innermost(tags)
+        if not at or at < self.innermost(stops):
+            return False
+        while len(self.open) > at:
+            self.places[self.open.pop().tag].pop()
+        return True
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "html":
             return
         if tag in CLOSES_PARAGRAPH:
-            self.close_until({"p"}, {"table", "td", "th", "li", "dd", "button", "caption"})
+            self.close_until(("p",), PARAGRAPH_STOPS)
             if tag in HEADINGS and self.open[-1].tag in HEADINGS:
-                self.open.pop()
+                self.places[self.open.pop().tag].pop()
         if tag in SIBLINGS:
             closed, stops = SIBLINGS[tag]
             for _ in range(3):
-                before = len(self.open)
-                self.close_until(closed, stops)
-                if len(self.open) == before:
+                if not self.close_until(closed, stops):
                     break
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < MAX_DEPTH:
+        if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -110,17 +122,20 @@ class TreeBuilder(HTMLParser):
         if tag == "br":
             self.open[-1].children.append(Node("br", {}))
             return
-        if tag == "p" and all(node.tag != "p" for node in self.open):
+        if tag == "p" and not self.places.get("p"):
             self.open[-1].children.append(Node("p", {}))
             return
-        stops = {"table"} if tag not in ("table", "body") else set()
+        stops = ("table",) if tag not in ("table", "body") else ()
         if tag not in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption", "table", "body", "html"):
-            stops = {"td", "th", "caption", "table"}
-        self.close_until({tag}, stops)
+            stops = ("td", "th", "caption", "table")
+        self.close_until((tag,), stops)
 
     def handle_data(self, data: str) -> None:
         self.open[-1].children.append(data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self.parse_bogus_comment(i)
+
 
 def visible(node: Node, inherited: bool) -> tuple[bool, bool]:
     """Whether the element is laid out at all, and whether its own text shows."""
@@ -140,7 +155,7 @@ class Block:
 
     def __init__(self) -> None:
         self.lines: list[str] = []
-        self.line = ""
+        self.line: list[str] = []
         self.space = False  # a collapsed space is due
         self.gap = 0
         self.lead = 0  # the same before the first line, for the block around this one
@@ -150,20 +165,23 @@ class Block:
             for k, part in enumerate(data.replace("\r\n", "\n").split("\n")):
                 if k:
                     self.end_line(force=True)
-                self.line += part
+                if part:
+                    self.line.append(part)
             return
         for k, word in enumerate(_SPACE.split(data)):
             if k:
                 self.space = True
             if word:
-                self.line += (" " if self.space and self.line else "") + word
+                if self.space and self.line:
+                    self.line.append(" ")
+                self.line.append(word)
                 self.space = False
 
     def end_line(self, force: bool = False) -> None:
         if self.line or force:
             self.flush_gap()
-            self.lines.append(self.line.rstrip())
-        self.line, self.space = "", False
+            self.lines.append("".join(self.line).rstrip())
+        self.line, self.space = [], False
 
     def flush_gap(self) -> None:
         if self.lines and self.gap:
@@ -187,7 +205,26 @@ class Block:
             self.gap = max(gap, tail)
 
 
-def inline(node: Node, out: Block, shown: bool, keep: bool, depth: int) -> None:
+#: A renderer of one element: it yields the renderers of elements inside it and is sent what they return.
+Rendering = Generator["Rendering", object, object]
+
+
+def completed(rendering: Rendering) -> object:
+    """What a rendering returns, run on a stack of its own."""
+    stack, value = [rendering], None
+    while stack:
+        try:
+            inner = stack[-1].send(value)
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+        else:
+            stack.append(inner)
+            value = None
+    return value
+
+
+def inline(node: Node, out: Block, shown: bool, keep: bool, depth: int) -> Rendering:
     for child in node.children:
         if isinstance(child, str):
             if shown:
@@ -206,22 +243,22 @@ def inline(node: Node, out: Block, shown: bool, keep: bool, depth: int) -> None:
         elif tag == "input" and show and child.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text"):
             out.text(" " + child.attrs.get("value", "") + " ", False)
         elif tag in ("ul", "ol", "menu", "dir"):
-            out.add(list_lines(child, show, depth + 1), depth == 0)
+            out.add((yield list_lines(child, show, depth + 1)), depth == 0)
         elif tag == "table":
-            out.add(table_lines(child, show), True)
+            out.add((yield table_lines(child, show)), True)
         elif tag in BLOCKS:
             inner = Block()
-            inline(child, inner, show, keep or tag == "pre", depth)
+            yield inline(child, inner, show, keep or tag == "pre", depth)
             inner.end_line()
             lines = inner.lines
             if tag in ("blockquote", "dd"):
                 lines = ["  " + x if x else x for x in lines]
             out.add(lines, tag in SPACED, inner.lead, inner.gap)
         else:
-            inline(child, out, show, keep or tag in ("textarea", "listing"), depth)
+            yield inline(child, out, show, keep or tag in ("textarea", "listing"), depth)
 
 
-def list_lines(node: Node, shown: bool, depth: int) -> list[str]:
+def list_lines(node: Node, shown: bool, depth: int) -> Rendering:
     """Items with markers; what follows an item's first line is indented to it."""
     lines: list[str] = []
     try:
@@ -240,7 +277,7 @@ def list_lines(node: Node, shown: bool, depth: int) -> list[str]:
         holder = child if child.tag == "li" else Node("li", {})
         if child.tag != "li":
             holder.children = [child]
-        inline(holder, inner, show, False, depth)
+        yield inline(holder, inner, show, False, depth)
         inner.end_line()
         mark = ""
         if child.tag == "li":
@@ -251,19 +288,68 @@ def list_lines(node: Node, shown: bool, depth: int) -> list[str]:
     return lines
 
 
-def table_lines(node: Node, shown: bool) -> list[str]:
-    """A caption, then rows of cells padded to the widths of their columns; spanned columns stay empty."""
+def span(value: str, most: int) -> int:
+    """A cell's span by the standard's rules for numbers, at most ``most``; -1 for a zero, 1 for what isn't a number."""
+    digits = _NUMBER.match(value)
+    if not digits[1]:
+        return -1 if "0" in digits[0] else 1
+    return min(int(digits[1][:6]), most)
+
+
+class Grid:
+    """Rows of a table as (column, lines) of the cells that begin in them."""
+
+    def __init__(self) -> None:
+        self.rows: list[list[tuple[int, list[str]]]] = []
+        self.down: dict[int, int] = {}  # rows that a column's cell from above still takes
+
+    def end_group(self) -> None:
+        self.down = {}
+
+    def new_row(self) -> None:
+        self.rows.append([])
+        self.taken = self.down
+        self.down = {c: n - 1 for c, n in self.down.items() if n > 1}
+        self.at = 0
+
+    def cell(self, lines: list[str], across: int, deep: int) -> None:
+        while self.at in self.taken:
+            self.at += 1
+        self.rows[-1].append((self.at, lines))
+        if deep > 1:
+            self.down.update((c, deep - 1) for c in range(self.at, self.at + across))
+        self.at += across
+
+    def lines(self) -> list[str]:
+        widths: dict[int, int] = {}
+        for row in self.rows:
+            for c, lines in row:
+                widths[c] = max([widths.get(c, 0), *map(len, lines)])
+        order = sorted(c for c, width in widths.items() if width)
+        out = []
+        for row in self.rows:
+            cells = dict(row)
+            if cells:
+                used = [c for c in order if c <= row[-1][0]]
+                for n in range(max(map(len, cells.values()))):
+                    parts = ((cells[c][n] if c in cells and n < len(cells[c]) else "").ljust(widths[c]) for c in used)
+                    out.append("  ".join(parts).rstrip())
+        return out
+
+
+def table_lines(node: Node, shown: bool) -> Rendering:
+    """A caption, then rows of cells padded to the widths of their columns; spanned columns and rows stay empty."""
     caption: list[str] = []
-    rows: list[list[list[str]]] = []
+    grid = Grid()
 
-    def cell(source: Node, show: bool) -> list[str]:
+    def cell(source: Node, show: bool) -> Rendering:
         inner = Block()
-        inline(source, inner, show, False, 1)
+        yield inline(source, inner, show, False, 1)
         inner.end_line()
         return [x for x in inner.lines if x]
 
-    def walk(parent: Node, show: bool) -> None:
-        loose: list[list[str]] | None = None
+    def walk(parent: Node, show: bool) -> Rendering:
+        in_row = parent.tag == "tr"
         for child in parent.children:
             if isinstance(child, str):
                 if child.strip() and show:
@@ -273,47 +359,45 @@ def table_lines(node: Node, shown: bool) -> list[str]:
             if not laid_out:
                 continue
             if child.tag in ("td", "th"):
-                if loose is None:
-                    loose = []
-                    rows.append(loose)
-                loose.append(cell(child, seen))
-                span = child.attrs.get("colspan", "1")
-                loose += [[]] * (min(int(span), 1000) - 1 if span.isdigit() else 0)
-            elif child.tag == "tr" or child.tag in ("tbody", "thead", "tfoot"):
-                loose = None
-                walk(child, seen)
+                if not in_row:
+                    in_row = True
+                    grid.new_row()
+                across = max(1, span(child.attrs.get("colspan", "1"), MAX_COLUMNS))
+                deep = span(child.attrs.get("rowspan", "1"), MAX_ROWS)
+                grid.cell((yield cell(child, seen)), across, MAX_ROWS if deep < 0 else deep)
+            elif child.tag == "tr":
+                in_row = False
+                grid.new_row()
+                yield walk(child, seen)
+            elif child.tag in ("tbody", "thead", "tfoot"):
+                in_row = False
+                grid.end_group()
+                yield walk(child, seen)
+                grid.end_group()
             elif child.tag not in ("col", "colgroup"):
-                caption.extend(cell(child, seen))
-
-    walk(node, shown)
-    widths: list[int] = []
-    for row in rows:
-        for k, lines in enumerate(row):
-            if k == len(widths):
-                widths.append(0)
-            widths[k] = max([widths[k], *map(len, lines)])
-    out = list(caption)
-    for row in rows:
-        for n in range(max(map(len, row), default=0)):
-            line = "  ".join((lines[n] if n < len(lines) else "").ljust(widths[k]) for k, lines in enumerate(row) if widths[k])
-            out.append(line.rstrip())
-    return out
+                caption.extend((yield cell(child, seen)))
+
+    yield walk(node, shown)
+    return caption + grid.lines()
 
 
 def render(html: str) -> str:
     """The visible text of a page."""
+    if "&#" in html:  # the standard library reads a number of any length
+        html = _FAR.sub("\uFFFD", _ZEROS.sub("&#", html))
     builder = TreeBuilder()
     builder.feed(html)
     builder.close()
     out = Block()
-    inline(builder.root, out, True, False, 0)
+    completed(inline(builder.root, out, True, False, 0))
     out.end_line()
     lines = out.lines
-    while lines and not lines[0].strip():
-        lines = lines[1:]
-    while lines and not lines[-1].strip():
-        lines = lines[:-1]
-    return "\n".join(lines)
+    first, last = 0, len(lines)
+    while first < last and not lines[first].strip():
+        first += 1
+    while last > first and not lines[last - 1].strip():
+        last -= 1
+    return "\n".join(lines[first:last])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

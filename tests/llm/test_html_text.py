@@ -1,5 +1,8 @@
-"""Rendering against hand-written expectations."""
+"""Rendering against hand-written expectations, and of randomly broken pages against a plain recursive renderer."""
 
+import random
+
+import plain_html
 import pytest
 
 from inkwell.llm.html_text import extract, render
@@ -26,6 +29,12 @@ CASES = {
     "</div></p>a<b>b<i>c</b>d</i>": "abcd",
     "<dl><dt>t<dd>d1<dd>d2</dl>": "t\n  d1\n  d2",
     "<img alt='A picture' src=x>": "A picture",
+    "<table><tr><td rowspan=2>a<td>b<tr><td>c</table>": "a  b\n   c",
+    "<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d</table>": "a  b\n   c\nd",
+    "<table><tr><td colspan='\u00b2'>a<td>b</table>": "a  b",
+    f"<table><tr><td colspan={'9' * 5000}>a<td>b</table>": "a  b",
+    "a<![foo[x]]>b<![CDATA[c]]>d": "abd",
+    f"a&#{'0' * 5000}66;&#{'7' * 5000};": "aB\ufffd",
 }
 
 
@@ -34,6 +43,40 @@ def test_render(html):
     assert render(html) == CASES[html]
 
 
+TAGS = "p div span b li ul ol dl dt dd table tr td th tbody thead caption pre h1 h2 br hr blockquote select option a img input title script button".split()
+ATTRIBUTES = ["", "", "", "", " hidden", " style='visibility:hidden'", " style='display:none'", " style='visibility:visible'", " colspan=2", " rowspan=2", " rowspan=0", " colspan=x", " start=3", " value=v", " alt='an image'", " type=hidden"]
+
+
+def broken(rng):
+    out = []
+    for _ in range(rng.randint(1, 60)):
+        tag = rng.choice(TAGS)
+        out.append(
+            rng.choice(
+                [f"<{tag}{rng.choice(ATTRIBUTES)}>"] * 5
+                + [f"</{tag}>"] * 3
+                + [rng.choice(["word", " two words ", "\n", " a\n b", "<", "&", "&lt;", "é"])] * 5
+                + [rng.choice(["<!-- x -->", "<!-- ", "<![x[y]]>", "<!", "</", "<?x>", "<a b='", "&#99999999999;", "</>", "<!doctype html>"])]
+            )
+        )
+    return "".join(out)
+
+
+def test_broken_pages():
+    rng = random.Random(12)
+    for _ in range(10_000):
+        html = broken(rng)
+        plain = html.replace("&#99999999999;", "\ufffd")
+        assert render(html) == plain_html.render(plain), html
+
+
+def test_deep_pages_are_linear():
+    n = 50_000
+    assert render("<p>" + "<div>" * n + "x") == "x"
+    assert render("<p><button>" + "<div>" * n + "x" + "</div>" * n) == "x"
+    assert render("<b>" * n + "<table>" * 2000 + "<tr><td>x") == "x"
+
+
 def test_long_and_deep_pages():
     assert render("<div>" * 5000 + "x" + "</div>" * 5000) == "x"
     assert len(render("<p>word" * 20_000).split("\n\n")) == 20_000
