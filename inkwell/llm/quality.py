@@ -8,8 +8,9 @@ interactions of all inputs through low-rank factors; by the sum-of-squares ident
 this takes time linear in the inputs.
 
 Training takes at most ``max_rows`` labelled documents, those with the smallest hashes of their
-ids; only their sparse inputs reach the driver, at most ``max_words`` drawn words of each (scoring
-reads whole texts).  Words and statistics enter with the same code in training and scoring.
+ids, with one text each (of rows that repeat an id the one with the least hash); only their sparse
+inputs reach the driver.  Whole texts enter with the same code in training and scoring, and the
+examples are ordered by their inputs, so the machine doesn't depend on how rows are partitioned.
 
 Defined results: a null or empty text is scored by its statistics (all zero); a null id stays null
 and counts as held out; a null label teaches nothing, and of several labels of one id the least
@@ -31,7 +32,8 @@ from inkwell.llm.common import slices, small_batches, text_bytes
 from inkwell.llm.words import words
 
 BUCKETS, FACTORS = 1 << 15, 8
-MAX_ROWS, MAX_WORDS = 6000, 4000
+#: Labelled documents that a machine is fitted on at most; each has BUCKETS different words at most.
+MAX_ROWS = 6000
 EPOCHS, BATCH, RATE, DECAY = 8, 64, 0.08, 1e-5
 STATISTICS = (
     "upper digit mark bar newline high_byte word_length long_words short_words distinct repeated capital_words size lines"
@@ -134,18 +136,16 @@ class Machine:
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rng = np.random.default_rng(3)
     for batch in batches:
         for part in slices(batch):
             first, at, x, stats = inputs(*text_bytes(part.column(1)))
-            rows = []
-            for k in range(part.num_rows):
-                drawn = np.arange(first[k], first[k + 1])
-                if len(drawn) > MAX_WORDS:
-                    drawn = np.sort(rng.choice(drawn, MAX_WORDS, replace=False))
-                rows.append((at[drawn].tolist(), x[drawn].tolist(), stats[k].tolist()))
-            columns = [pa.array([r[0] for r in rows], pa.list_(pa.int32()))]
-            columns += [pa.array([r[c] for r in rows], pa.list_(pa.float32())) for c in (1, 2)]
+            offsets = pa.array(first.astype(np.int32))
+            every = pa.array((np.arange(len(stats) + 1) * stats.shape[1]).astype(np.int32))
+            columns = [
+                pa.ListArray.from_arrays(offsets, pa.array(at.astype(np.int32))),
+                pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.float32))),
+                pa.ListArray.from_arrays(every, pa.array(stats.ravel())),
+            ]
             yield pa.RecordBatch.from_arrays([part.column(2), *columns], names=["quality", "at", "x", "stats"])
 
 
@@ -155,11 +155,11 @@ def train(
     """A machine fitted on at most ``max_rows`` documents with a label (columns doc_id, quality of ``labels``)."""
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("__labelled"))
     chosen = known.agg(F.min("quality").cast("int").alias("__quality")).orderBy(F.xxhash64("__labelled"), "__labelled").limit(max_rows)
-    rows = docs.join(chosen, docs[id_col].cast("long") == chosen["__labelled"]).select(
-        chosen["__labelled"], F.coalesce(docs[text_col].cast("string"), F.lit("")), chosen["__quality"]
-    )
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    rows = small_batches(docs).join(chosen, docs[id_col].cast("long") == chosen["__labelled"]).groupBy("__labelled")
+    rows = rows.agg(F.min(F.struct(F.xxhash64(text).alias("h"), text.alias("t"))).alias("__least"), F.min("__quality").alias("__quality"))
+    rows = rows.select("__labelled", "__least.t", "__quality")
     schema = "quality int, at array<int>, x array<float>, stats array<float>"
-    # Only ids and labels were sorted; repeated rows of an id may make it a few more.
     found = rows.mapInArrow(_examples, schema).toArrow()
     flat = lambda name: [np.asarray(v.values) for v in found.column(name)]
     order = sorted(range(found.num_rows), key=lambda k, s=flat("stats"), a=flat("at"): (s[k].tobytes(), a[k].tobytes()))
