@@ -6,15 +6,18 @@ of the item's set is in the document's set, however long the document is.
 
 Search.  Benchmark items are partitioned by the size of their sets (1-8, 9-16, 17-32, ... shingles).
 Each partition keeps as many minima of every item as a document that contains the item can't all
-lack: with sets of up to ``u`` shingles, ``u - ceil(u * percent / 100) + 1`` least hashes.  A
-document's hashes are looked up among these minima, after a filter by the largest of them; every hit
-makes a candidate, so the search loses nothing at any size of a document.
+lack: with sets of up to ``u`` shingles, ``u - ceil(u * percent / 100) + 1`` least hashes.  Each
+partition is searched for with its own bound, the largest of its minima, and its own marks in one
+bitmap of all minima; of a document's shingles only those go on that lie under a partition's bound
+and on one of its marks.  These are looked up among the minima; every hit makes a candidate, so the
+search loses nothing at any size of a document.
 
 Verification.  The sets of candidates' documents are taken once more and counted against the items'
 full sets.
 
-The items' minima and sets are broadcast only if the benchmark has at most ``BROADCAST_ITEMS``
-items; else both joins shuffle by hash, after each document's set has been made distinct.
+The items' minima and sets are broadcast only if the benchmark has at most ``broadcast_items``
+items; else both joins shuffle by hash, after each document's set has been made distinct.  The
+bitmap has ``BITMAP_BITS`` bits at any size; the more minima, the more shingles pass it for nothing.
 
 Defined results: null and empty texts, on either side, have an empty set and match nothing; a text
 with fewer than five words has its whole sequence as its only shingle; rows with a null id are left
@@ -30,6 +33,8 @@ from pyspark.sql import functions as F
 from inkwell.session import checkpointed
 
 PERCENT = 75
+#: Bits of the bitmap of minima, and of each of the numbers that hold it.
+BITMAP_BITS, WORD_BITS = 1 << 19, 32
 BROADCAST_ITEMS = 20_000
 SMALLEST = 8
 """Upper end of the first size partition; each further one's is twice the one before."""
@@ -66,10 +71,33 @@ def minima(items: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
 
 
+def _mark(shingle: Column, part: int | Column) -> Column:
+    """The bit of the bitmap that stands for a shingle in a size partition."""
+    return F.pmod(F.xxhash64(shingle, F.lit(part) if isinstance(part, int) else part), F.lit(BITMAP_BITS)).cast("int")
+
+
+def among_minima(low: DataFrame, shingle: Column) -> Column:
+    """Whether a shingle may be one of the minima ``low``: under the bound and on a mark of a size partition."""
+    bounds = low.groupBy("part").agg(F.max("rank").alias("top")).collect()
+    mark = _mark(F.col("shingle"), F.col("part"))
+    words = low.groupBy(F.floor(mark / WORD_BITS).cast("int").alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(shingle, part), {BITMAP_BITS}) as int) & {WORD_BITS - 1})")).alias("bits")
+    )
+    held = {r.word: r.bits for r in words.collect()}
+    bitmap = F.expr(f"array({', '.join(f'{held.get(k, 0)}L' for k in range(BITMAP_BITS // WORD_BITS))})")
+    found = F.lit(False)
+    for part, top in sorted((r.part, r.top) for r in bounds):
+        mark = _mark(shingle, part)
+        word = F.get(bitmap, F.shiftright(mark, WORD_BITS.bit_length() - 1))
+        found = found | ((rank(shingle) <= top) & (F.getbit(word, mark.bitwiseAND(F.lit(WORD_BITS - 1))) == 1))
+    return found
+
+
 def contained_items(
     docs: DataFrame,
     benchmark: DataFrame,
     percent: int = PERCENT,
+    broadcast_items: int = BROADCAST_ITEMS,
     id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
@@ -83,11 +111,11 @@ def contained_items(
         F.array_distinct(shingle_hashes(benchmark[item_text_col].cast("string"))).alias("shingles"),
     )
     items = checkpointed(items.where("item_id is not null and size(shingles) > 0").distinct())
-    small = items.count() <= BROADCAST_ITEMS
+    small = items.count() <= broadcast_items
     sized = F.broadcast if small else lambda df: df
     low = checkpointed(minima(items, percent))
-    top = low.agg(F.max("rank")).first()[0] or 0
-    grams = texts.select("doc_id", F.explode(shingle_hashes(F.col("text"))).alias("shingle")).where(rank(F.col("shingle")) <= top)
+    grams = texts.select("doc_id", F.explode(shingle_hashes(F.col("text"))).alias("shingle"))
+    grams = grams.where(among_minima(low, F.col("shingle")))
     if not small:
         grams = grams.distinct()
     found = grams.join(sized(low.select("item_id", "shingle")), "shingle").select("doc_id", "item_id").distinct()
