@@ -195,3 +195,23 @@ def without_copies(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", t
     found = near_duplicates(docs, percent, id_col, text_col)
     gone = checkpointed(found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__copy")).distinct())
     return docs.join(gone, docs[id_col].cast("long") == gone["__copy"], "left_anti")
+
+
+def oracle_sql(percent: int = 75) -> str:
+    """The same in DuckDB's SQL, counting every pair that shares a shingle."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return (
+        f"with recursive w as (select doc_id, regexp_extract_all(translate(text, '{upper}', '{lower}'), '[^\x20\x09-\x0D]+') as w "
+        "from documents where text is not null and doc_id is not null), "
+        "s as materialized (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else "
+        "list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) end) as shingle from w), "
+        "n as materialized (select doc_id, count(*) as n from s group by 1), "
+        "shared as (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.shingle = y.shingle and x.doc_id < y.doc_id group by all), "
+        "links as materialized (select a, b from shared join n x on a = x.doc_id join n y on b = y.doc_id "
+        f"where 100 * c >= {percent} * (x.n + y.n - c)), "
+        "edges as materialized (select a, b from links union all select b, a from links), "
+        "reach(node, root) as (select a, a from edges union select e.b, r.root from reach r join edges e on e.a = r.node where r.root < e.b), "
+        "part as (select node, min(root) as root from reach group by 1) "
+        "select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(p.root, d.doc_id) as component_id, "
+        "coalesce(p.root, d.doc_id) = d.doc_id as kept from documents d left join n on d.doc_id = n.doc_id left join part p on d.doc_id = p.node"
+    )

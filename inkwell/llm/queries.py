@@ -124,4 +124,8 @@ QUERIES = {
         op10_line_dedup,
     )
 }
-ORACLES = {"op2_url_filter": url_filter.oracle_sql(), "op5_decontaminate": decontaminate.oracle_sql()}
+ORACLES = {
+    "op2_url_filter": url_filter.oracle_sql(),
+    "op5_decontaminate": decontaminate.oracle_sql(),
+    "op7_near_dedup": near_dedup.oracle_sql(),
+}
