@@ -14,12 +14,16 @@ so the ids equal the library's.  Characters without a piece fall back to their b
 
 Defined results: a null or empty text has no ids and decodes to an empty text; a null id stays
 null; repeated rows give repeated rows; an empty table gives an empty result; further columns are
-not read.  A very long text is worked on in parts.  A space sign (U+2581) in a text decodes as a
+not read.  A very long text is worked on in parts, and so is a long run without a space: windows of
+it that overlap are encoded apart and joined at a token that both have, which gives the encoding of
+the whole because each neighbouring pair stands together.  Windows without a common token are encoded
+as one.  A space sign (U+2581) in a text decodes as a
 space, as in the library.
 """
 
 from __future__ import annotations
 
+from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +48,8 @@ CACHE_WORDS, PAIR_BITS = 200_000, 21
 PAIR_SLOTS = 1 << PAIR_BITS
 #: Text whose new words are indexed at once; the edges take some hundred times a new word's bytes.
 INDEX_BYTES = 1 << 20
+#: Bytes of a word that is encoded in windows, of a window, and of what it shares with the next one.
+LONG_BYTES, WINDOW, OVERLAP = 1 << 13, 1 << 12, 1 << 9
 _NEVER = 1 << 60
 _workers: dict[str, tuple] = {}
 
@@ -210,14 +216,13 @@ class Encoder:
             self.pairs[slots[one]], self.fits[slots[one]] = fresh[one], verdicts[one]
         return out
 
-    def learn(self, words: list[str]) -> None:
-        """Encode words (each without the first of its space signs) into the cache."""
-        raw = [(" " + w).encode() for w in words]
+    def tokens(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The texts' tokens in order: piece, start and end among all bytes, text's number; and these bytes."""
         text = np.frombuffer(b"".join(raw), np.uint8)
         sizes = np.array([len(b) for b in raw])
         ends = np.cumsum(sizes)
         begins = ends - sizes
-        word_of = np.repeat(np.arange(len(words)), sizes)
+        word_of = np.repeat(np.arange(len(raw)), sizes)
         start, end, piece = self.edges(text, word_of, ends)
         depth = end - begins[word_of[start]]
         by_depth = np.argsort(depth.astype(np.uint16) if depth.max() < 1 << 16 else depth, kind="stable")
@@ -240,18 +245,61 @@ class Encoder:
             at = back[at]
             at = at[~opens[at]]
         at = np.sort(np.concatenate(found))  # where tokens end, in the order of the text
-        pieces, froms = last[at], back[at]
-        ids = self.ids[pieces]
-        owner = word_of[froms]
-        if (pieces < 0).any():  # characters without a piece become their bytes
-            many = np.where(pieces < 0, at - froms, 1)
-            nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            ids = np.where(np.repeat(pieces < 0, many), self.byte_ids[text[np.repeat(froms, many) + nth]], np.repeat(ids, many))
-            owner = np.repeat(owner, many)
-        stops = np.cumsum(np.bincount(owner, minlength=len(words)) * 4).tolist()
+        return last[at], back[at], at, word_of[back[at]], text
+
+    def token_ids(self, pieces: np.ndarray, froms: np.ndarray, at: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens' ids, and how many each has: characters without a piece become their bytes."""
+        many = np.where(pieces < 0, at - froms, 1)
+        if (pieces >= 0).all():
+            return self.ids[pieces], many
+        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        bare = np.repeat(pieces < 0, many)
+        of_bytes = self.byte_ids[text[np.minimum(np.repeat(froms, many) + nth, len(text) - 1)]]
+        return np.where(bare, of_bytes, np.repeat(self.ids[pieces], many)), many
+
+    def learn(self, words: list[str]) -> None:
+        """Encode words (each without the first of its space signs) into the cache."""
+        pieces, froms, at, owner, text = self.tokens([(" " + w).encode() for w in words])
+        ids, many = self.token_ids(pieces, froms, at, text)
+        stops = np.cumsum(np.bincount(np.repeat(owner, many), minlength=len(words)) * 4).tolist()
         flat = ids.astype("<i4").tobytes()
         self.words.update(zip(words, map(flat.__getitem__, map(slice, [0, *stops], stops))))
 
+    def long_word(self, word: str) -> bytes:
+        """The ids of a long word, as ``encode`` gives them, with memory for some windows of it."""
+        raw = (" " + word).encode()
+        starts = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+        cut = lambda x: int(starts[np.searchsorted(starts, x)]) if x <= starts[-1] else len(raw)
+        begins = [cut(x) for x in range(0, len(raw), WINDOW)]
+        begins = [x for x in begins if x < len(raw)]
+        ends = [cut(x + WINDOW + OVERLAP) for x in begins]
+        many, done, held = max(1, INDEX_BYTES // (2 * WINDOW)), [], None
+
+        def finished(tokens: tuple) -> None:
+            ids, _ = self.token_ids(*tokens, whole)
+            done.append(ids.astype("<i4").tobytes())
+
+        whole = np.frombuffer(raw, np.uint8)
+        for k in range(0, len(begins), many):
+            pieces, froms, at, owner, text = self.tokens([raw[a:b] for a, b in zip(begins[k : k + many], ends[k : k + many])])
+            base = np.cumsum([0, *(b - a for a, b in zip(begins[k : k + many], ends[k : k + many]))])
+            for n, begin in enumerate(begins[k : k + many]):
+                mine = owner == n
+                new = pieces[mine], froms[mine] - base[n] + begin, at[mine] - base[n] + begin
+                if held is not None:
+                    keys = [x[1] << 16 | (x[2] - x[1]) for x in (held, new)]
+                    common, left, right = np.intersect1d(*keys, return_indices=True)
+                    if len(common):
+                        finished(tuple(x[: left[0]] for x in held))
+                        new = tuple(x[right[0] :] for x in new)
+                    else:
+                        first = int(held[1][0])
+                        p, f, a, *_ = self.tokens([raw[first : ends[k + n]]])
+                        new = p, f + first, a + first
+                held = new
+        finished(held)
+        return b"".join(done)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
         if len(self.words) > CACHE_WORDS:
@@ -262,9 +310,13 @@ class Encoder:
             for part in parts(text.replace(SPACE, " ")):
                 words += pretokens(part) or ([""] if text else [])
             cut.append(words)
-        if lacking := list(set().union(*cut).difference(self.words)):
+        lacking = set().union(*cut).difference(self.words)
+        known = self.words
+        if long := {w: self.long_word(w) for w in lacking if len(w) > LONG_BYTES}:
+            known = ChainMap(self.words, long)
+        if lacking := list(lacking.difference(long)):
             self.learn(lacking)
-        return [b"".join(map(self.words.__getitem__, words)) for words in cut]
+        return [b"".join(map(known.__getitem__, words)) for words in cut]
 
 
 def _encoder(model_path: str, table: PieceTable) -> Encoder:
