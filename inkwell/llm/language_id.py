@@ -2,7 +2,8 @@
 
 Each language is a distribution over byte trigrams, counted over all training texts in Spark.  A
 text's words come from a mixture of languages: expectation-maximisation estimates the proportions
-from the words' trigram likelihoods.  The languages are then ranked by proportion, the mixture is
+from the words' trigram likelihoods, of which none counts as less than ``exp(-SPREAD)`` of the word's
+best, so that one odd word doesn't rule out a language.  The languages are then ranked by proportion, the mixture is
 refitted to the first one, two, ... and at last all of them, and the set with the best likelihood
 after a penalty for each language is kept.  No word is likelier than under its best language, so a
 text for which the penalty alone outweighs that set's gain needs no larger one.  The prediction is

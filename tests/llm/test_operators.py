@@ -11,6 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from inkwell.llm import (
     audio,
@@ -81,6 +82,39 @@ def test_resampling_matches_direct_filtering():
     assert np.allclose(np.concatenate([audio.resample(x, 0, 101), audio.resample(x, 101, 199)]), direct, atol=1e-4)
 
 
+def test_log_mel_equals_a_plain_one():
+    payload = bytes(np.random.default_rng(4).integers(0, 256, 64 * 30, dtype=np.uint8))
+    got, energy = audio.log_mel(payload)
+    x = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128
+    n = audio.frame_count(len(x))
+    signal = audio.resample(x.astype(np.float32), 0, (n - 1) * audio.HOP + audio.FRAME).astype(float)
+    rate = audio.RATE * audio.UP / audio.DOWN
+    mel, hz = lambda f: 2595 * np.log10(1 + f / 700), lambda m: 700 * (10 ** (m / 2595) - 1)
+    edges = [hz(k * mel(rate / 2) / (audio.MELS + 1)) for k in range(audio.MELS + 2)]
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(audio.FRAME // 2 + 1), np.arange(audio.FRAME)) / audio.FRAME)
+    for f in range(n):
+        window = [signal[f * audio.HOP + k] * (0.5 - 0.5 * np.cos(2 * np.pi * k / (audio.FRAME - 1))) for k in range(audio.FRAME)]
+        power = np.abs(turn @ np.array(window)) ** 2
+        for m in range(audio.MELS):
+            total = 0.0
+            for k, p in enumerate(power):
+                hertz = k * rate / audio.FRAME
+                low, mid, high = edges[m : m + 3]
+                total += p * max(0.0, min((hertz - low) / (mid - low), (high - hertz) / (high - mid)))
+            assert abs(got[f, m] - max(audio.FLOOR_DB, 10 * np.log10(max(total, 1e-6)))) < 0.05
+        assert abs(energy[f] - 10 * np.log10(max(np.mean(np.square(window)), 1e-6))) < 0.05
+
+
+def test_patches_of_odd_documents(odd_docs):
+    docs, rows = odd_docs
+    found = by_id(audio.log_mel_patches(audio.store(docs)))
+    for doc_id, text, *_ in rows:
+        size = max(64, -(-len((text or "").encode()) // 64) * 64)
+        copies = sum(r[0] == doc_id for r in rows)
+        assert doc_id == 1 or len(found[doc_id]) == copies * -(-audio.frame_count(size) // audio.PATCH)
+    assert audio.log_mel_patches(audio.store(empty(docs))).count() == 0
+
+
 def test_segments_have_hysteresis():
     energy = np.array([0, 0, 0, 0, 5, 1.2, 1.2, 0.2, 1.2, 0, 0, 0], float)
     step = audio.HOP * audio.DOWN / (audio.RATE * audio.UP)
@@ -173,6 +207,21 @@ def test_random_texts_encode_as_the_library(monkeypatch):
     assert np.frombuffer(encoder.encode([text])[0], "<i4").tolist() == sp.encode(text)
 
 
+def test_long_words_encode_as_the_library(monkeypatch):
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    encoder = sentencepiece_codec.Encoder(sentencepiece_codec.PieceTable(MODEL))
+    rng = random.Random(14)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = [draw("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789+/", 60_000), draw("漢字學習機器算法很好用的是不了", 30_000)]
+    texts += ["a" * 30_001, "-" * 20_011, "abc" * 9_000, "the" * 9_000, draw("🙂é漢a", 12_000), "x " + draw("etaoin", 20_000) + " y"]
+    assert [np.frombuffer(b, "<i4").tolist() for b in encoder.encode(texts)] == [sp.encode(t) for t in texts]
+    assert max(map(len, encoder.words)) <= sentencepiece_codec.LONG_BYTES
+    monkeypatch.setattr(sentencepiece_codec, "WINDOW", 64)
+    monkeypatch.setattr(sentencepiece_codec, "OVERLAP", 5)  # often no common token
+    assert np.frombuffer(encoder.long_word(texts[0][:9000]), "<i4").tolist() == sp.encode(texts[0][:9000])
+    assert np.frombuffer(encoder.long_word(texts[4][:9000]), "<i4").tolist() == sp.encode(texts[4][:9000])
+
+
 def test_whole_tokens_are_proved():
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     whole = token_counts.whole_tokens(MODEL)
@@ -214,6 +263,12 @@ def test_decontamination(spark):
     assert {r.doc_id for r in kept.collect()} == {d for d, *_ in rows} - {d for d, _ in wanted}
     assert decontaminate.contained_items(empty(docs), bench).count() == 0
     assert decontaminate.contained_items(docs, bench.where("false")).count() == 0
+    shuffled = decontaminate.contained_items(docs, bench, broadcast_items=0)
+    assert sorted((r.doc_id, r.item_id) for r in shuffled.collect()) == sorted(wanted)
+    low = decontaminate.minima(bench.select("item_id", F.array_distinct(decontaminate.shingle_hashes(F.col("text"))).alias("shingles")).where("size(shingles) > 0"))
+    assert low.where(~decontaminate.among_minima(low, F.col("shingle"))).count() == 0
+    others = spark.range(10_000).select(F.xxhash64("id").alias("shingle"))
+    assert others.where(decontaminate.among_minima(low, F.col("shingle"))).count() < 500
 
 
 # -- 6
@@ -236,6 +291,66 @@ def test_quality(spark, odd_docs):
     assert docs.select(quality.score(docs, alone).alias("s")).first().s > 0.99
 
 
+def test_quality_training_is_bounded_and_independent_of_partitions(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["a", "b", "c", "ZZ", "Y!"]) + str(rng.randrange(9000)) for _ in range(6000 if k < 6 else 30)) for k in range(40)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(3, f"another text {n}") for n in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    one, many = quality.train(docs.repartition(1), labels), quality.train(docs.repartition(7), labels)
+    assert one.bias == many.bias and np.array_equal(one.linear, many.linear) and np.array_equal(one.factors, many.factors)
+    few = quality.train(docs, labels, max_rows=10)
+    assert not np.array_equal(few.linear, one.linear)
+
+
+def test_one_step_equals_a_plain_one():
+    """A batch's gradient against sums over explicit pairs."""
+    first, at, x, stats = quality.inputs(*text_bytes(pa.array(["one two TWO three!", "x y"])))
+    examples = [(at[first[k] : first[k + 1]], x[first[k] : first[k + 1]], stats[k]) for k in range(2)]
+    plain, labels = quality.Machine(), np.array([1.0, 0.0])
+    start = plain.factors.astype(float)
+    line, bend, bias = np.zeros(len(plain.linear)), np.zeros(plain.factors.shape), 0.0
+    for (cols, vals, extra), y in zip(examples, labels):
+        cols, vals = np.append(cols, np.arange(stats.shape[1]) + quality.BUCKETS), np.append(vals, extra).astype(float)
+        pairs = sum(start[cols[i]] @ start[cols[j]] * vals[i] * vals[j] for i in range(len(cols)) for j in range(i))
+        slope = (1 / (1 + np.exp(-pairs)) - y) / 2
+        bias += slope
+        for i, c in enumerate(cols):
+            line[c] += slope * vals[i]
+            bend[c] += slope * vals[i] * sum(start[cols[j]] * vals[j] for j in range(len(cols)) if j != i)
+    used = np.unique(np.concatenate([*(e[0] for e in examples), np.arange(stats.shape[1]) + quality.BUCKETS]))
+    bend[used] += quality.DECAY * start[used]
+    step = lambda g: quality.RATE * g / np.sqrt(1e-3 + g**2)
+    machine = quality.Machine()
+    epochs, quality.EPOCHS = quality.EPOCHS, 1
+    machine.fit(examples, labels)
+    quality.EPOCHS = epochs
+    assert np.allclose(machine.linear, -step(line), atol=1e-4) and np.allclose(machine.factors, start - step(bend), atol=1e-4)
+    assert np.isclose(machine.bias, -step(bias), atol=1e-6)
+
+
+def test_quality_query(spark, tmp_path):
+    """Held-out labels, languages, sources and ids don't enter; the cut is at 0.7."""
+    from inkwell.llm import queries
+
+    rng = random.Random(8)
+    text = lambda y: " ".join(rng.choice(["calm", "clear", "prose"] if y else ["BUY", "$$", "win#"]) for _ in range(40))
+    out = lambda k: zlib.crc32(str(k).encode()) % 4 == 2
+    rows = [(k, text(k % 2), "en", "s", 1) for k in range(120)]
+    labels = [(k, k % 2, 0) for k in range(120)]
+    found = []
+    for turn in range(2):
+        folder = f"{tmp_path}/{turn}"
+        changed = [(k, 1 - y if turn and out(k) else y, t) for k, y, t in labels]
+        moved = [(k, t, "de" if turn else a, "other" if turn else b, n) for k, t, a, b, n in rows]
+        spark.createDataFrame(moved, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(changed, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        found.append({r.doc_id: r for r in queries.op6_quality(spark, folder).collect()})
+    assert {k: r.score for k, r in found[0].items()} == {k: r.score for k, r in found[1].items()}
+    assert all(r.held_out == out(k) and r.predicted == int(r.score >= 0.7) for k, r in found[0].items())
+    assert all(r.predicted == k % 2 for k, r in found[0].items() if out(k))
+
+
 def test_sum_of_squares_identity():
     machine = quality.Machine()
     rng = np.random.default_rng(0)
@@ -376,6 +491,35 @@ def test_language_id(spark, odd_docs):
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
 
 
+def test_mixture_equals_plain_em():
+    rng = random.Random(11)
+    model = np.log(np.random.default_rng(1).dirichlet(np.full(language_id.BUCKETS, 0.2), 3).T + 1e-12).astype(np.float32)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7))) for _ in range(n)) for n in (1, 3, 40, 400)]
+    share, _ = language_id.infer(*text_bytes(pa.array(texts)), model)
+
+    def em(likes, allowed, rounds):
+        p = {k: 1 / len(allowed) for k in allowed}
+        for _ in range(rounds):
+            parts = [{k: p[k] * w[k] / sum(p[j] * w[j] for j in allowed) for k in allowed} for w in likes]
+            p = {k: sum(x[k] for x in parts) / len(parts) for k in allowed}
+        return p, sum(np.log(sum(p[k] * w[k] for k in allowed)) for w in likes)
+
+    for text, got in zip(texts, share):
+        likes = []
+        for word in text.split():
+            grams, *_ = language_id.trigrams(*text_bytes(pa.array([word])))
+            logs = [sum(float(model[g, k]) for g in grams) for k in range(3)]
+            likes.append([np.exp(max(x - max(logs), -language_id.SPREAD)) for x in logs])
+        p, _ = em(likes, [0, 1, 2], language_id.ROUNDS)
+        ranked, best = sorted(p, key=lambda k: -p[k]), None
+        for size in (1, 2, 3):
+            q, like = em(likes, ranked[:size], 1 if size == 1 else language_id.ROUNDS // 2)
+            like -= language_id.PENALTY * (size - 1) * np.log(len(likes) + 1)
+            if best is None or like > best[0]:
+                best = like, q
+        assert np.allclose(got, [best[1].get(k, 0) for k in range(3)], atol=1e-3)
+
+
 def test_all_languages_of_a_text():
     rng = random.Random(4)
     names = ["aa", "bb", "cc", "dd", "ee"]
