@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 # Full-width characters and what they stand for, brackets and quotes of entity names.
 FULL_WIDTH = "０１２３４５６７８９ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ（）．，：；！？－～　"
 HALF_WIDTH = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz(),.:;!?-~ "
-FULL_WIDTH_POINT = "．，"
 BRACKET_SUFFIX = "[（(][^（）()]*[）)]$"
 QUOTES = "[\"'‘’「」『』【】《》]"
 
@@ -124,15 +123,48 @@ def path_matches(path: Column, pattern: str) -> Column:
     return path.rlike(f"^{out}$")
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` where the value is computed once, however often ``use`` mentions it in lambdas."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def decode_labels(values: Column, expression: str, separator: str = ",") -> Column:
     """Labels of the values by an expression ``0=low,1=high``, in the expression's order."""
-    wanted = F.split(values, separator)
     pairs = [p.split("=", 1) for p in expression.split(",")]
-    labels = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in pairs])
-    found = F.filter(labels, lambda p: F.array_contains(wanted, p["k"]))
-    return F.array_join(F.transform(found, lambda p: p["v"]), separator)
+    found = lambda wanted: F.concat_ws(separator, *[F.when(F.array_contains(wanted, k), F.lit(v)) for k, v in pairs])
+    return F.when(values.isNotNull(), once(F.split(values, separator), found))
 
 
 def encode_labels(labels: Column, expression: str, separator: str = ",") -> Column:
     """The values of labels, in the expression's order."""
     return decode_labels(labels, ",".join("=".join(reversed(p.split("=", 1))) for p in expression.split(",")), separator)
+
+
+def fill_template(template: str, *values: Column) -> Column:
+    """The template with each ``{}`` replaced by the next value; what has no value stays; ``\\\\{}`` is a plain ``{}``."""
+    parts, left = [], list(values)
+    pieces = template.split("{}")
+    for k, piece in enumerate(pieces):
+        escaped = piece.endswith("\\")
+        parts.append(F.lit(piece[:-1] if escaped and k < len(pieces) - 1 else piece))
+        if k < len(pieces) - 1:
+            parts.append(F.lit("{}") if escaped or not left else F.coalesce(left.pop(0).cast("string"), F.lit("null")))
+    return F.concat(*parts)
+
+
+def json_object(text: Column, schema: str) -> Column:
+    """The object of a noisy text: the text itself, else what stands in a code fence, else from the first brace to the last."""
+    plain = F.trim(without_thoughts(text))
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    braced = F.regexp_extract(plain, r"(?s)(\{.*\})", 1)
+    read = lambda c: F.when(F.get_json_object(c, "$").isNotNull() & c.startswith("{"), F.from_json(c, schema))
+    return F.coalesce(read(plain), read(fenced), read(braced))
+
+
+def string_list(text: Column) -> Column:
+    """The strings of a model's JSON list: of the text itself, else of a code fence, else from the first bracket to the last."""
+    plain = F.trim(without_thoughts(text))
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\[.*?\])\s*```", 1)
+    braced = F.regexp_extract(plain, r"(?s)(\[.*\])", 1)
+    read = lambda c: F.when(c.startswith("["), F.from_json(c, "array<string>"))
+    return F.coalesce(read(plain), read(fenced), read(braced))

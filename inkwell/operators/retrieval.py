@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.session import checkpointed
+
 VECTOR_BLOCK, QUERY_BLOCK = 4096, 512
 #: Query terms up to this many are sent to every task, more are joined.
 BROADCAST_TERMS = 100_000
@@ -53,9 +55,9 @@ def _pack(size: int):
 def _top(k: int, same: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q_ids, q_values, ids, values in zip(*(c.to_pylist() for c in batch.columns)):
-                q_ids, ids = np.array(q_ids), np.array(ids)
-                scores = np.array(q_values).reshape(len(q_ids), -1) @ np.array(values).reshape(len(ids), -1).T
+            for row in range(batch.num_rows):
+                q_ids, q_values, ids, values = (c[row].values.to_numpy(zero_copy_only=False) for c in batch.columns)
+                scores = q_values.reshape(len(q_ids), -1) @ values.reshape(len(ids), -1).T
                 scores = np.round(scores, 6)
                 if not same:
                     scores[q_ids[:, None] == ids[None, :]] = -np.inf
@@ -107,53 +109,111 @@ def above_threshold(df: DataFrame, by: list[str], least: float, ratio: float = 0
 # -- text
 
 
+#: A letter or digit that isn't Han, and the tokens that begin at a place: two Han characters, one alone, or a whole run.
+_PLAIN = r"[\p{L}\p{N}&&[^\p{IsHan}]]"
+_TOKEN = rf"(?=(\p{{IsHan}}{{2}}|(?<!\p{{IsHan}})\p{{IsHan}}|{_PLAIN}+))(?:\p{{IsHan}}|{_PLAIN}+)"
+
+
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits; the same on both sides of a search."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
+    """Lower-cased runs of letters and digits, and of Han characters each two neighbours; the same on both sides of a search."""
+    return F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), 1)
 
 
-def bm25(
-    queries: DataFrame, docs: DataFrame, k: int, query_id: str, query_text: str, doc_id: str, doc_text: str, k1: float = 1.2, b: float = 0.75
-) -> DataFrame:
-    """query_id, item_id, score (6 places), rank: the k best documents of every query under BM25.
+def _sized(df: DataFrame, most: int) -> DataFrame:
+    """``df``, to be sent to every task if it has at most ``most`` rows."""
+    return F.broadcast(df) if df.count() <= most else df
 
-    Only tokens that some query has leave the scan; lengths are taken from the token arrays in the
-    same pass.  Term and corpus statistics are aggregated before they are joined.
+
+def term_statistics(
+    queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, doc_id: str, doc_text: str, broadcast_terms: int = BROADCAST_TERMS
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What BM25 needs, from one pass over the documents: asked (query_id, term), postings (item_id, term, tf, length,
+    df) of the asked terms, and one row n, average over all documents.
+
+    Each document's tokens leave the scan with one null behind them; this row carries the document's length, so
+    documents without an asked term count as well.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
+    terms = _sized(asked.select("term").distinct().withColumn("known", F.lit(True)), broadcast_terms)
     words = docs.select(F.col(doc_id).alias("item_id"), tokens(F.coalesce(F.col(doc_text), F.lit(""))).alias("words"))
-    terms = asked.select("term").distinct()
-    sized = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
-    total = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("average"))
-    postings = (
-        words.select("item_id", F.size("words").alias("length"), F.explode("words").alias("term"))
-        .join(sized, "term", "left_semi")
-        .groupBy("item_id", "term")
-        .agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    )
+    listed = words.select("item_id", F.size("words").alias("length"), F.explode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("term"))
+    kept = listed.join(terms, "term", "left").where("known or term is null")
+    counted = checkpointed(kept.groupBy("item_id", "term").agg(F.count("*").alias("tf"), F.sum("length").alias("total"), F.max("length").alias("length")))
+    total = counted.where("term is null").agg(F.sum("tf").alias("n"), (F.sum("total") / F.sum("tf")).alias("average"))
+    postings = counted.where("term is not null").drop("total")
     spread = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    hit = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("average")))
+    return asked, postings.join(spread, "term"), total
+
+
+def _weight() -> Column:
+    return F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+
+def _saturated(tf: str, k1: float, b: float) -> Column:
+    return F.col(tf) * (k1 + 1) / (F.col(tf) + k1 * (1 - b + b * F.col("length") / F.col("average")))
+
+
+def bm25(
+    queries: DataFrame, docs: DataFrame, k: int, query_id: str, query_text: str, doc_id: str, doc_text: str, k1: float = 1.2, b: float = 0.75
+) -> DataFrame:
+    """query_id, item_id, score (6 places), rank: the k best documents of every query under BM25."""
+    asked, postings, total = term_statistics(queries, docs, query_id, query_text, doc_id, doc_text)
     scored = (
         postings.join(asked, "term")
-        .join(spread, "term")
         .crossJoin(F.broadcast(total))  # one row
         .groupBy("query_id", "item_id")
-        .agg(F.round(F.sum(hit), 6).alias("score"))
+        .agg(F.round(F.sum(_weight() * _saturated("tf", k1, b)), 6).alias("score"))
     )
     return ranked(scored, k, ["query_id"], "score", "item_id")
 
 
-def phrase_matches(docs: DataFrame, phrases: DataFrame, doc_id: str, doc_text: str, phrase_id: str, phrase_text: str, slop: int = 0) -> DataFrame:
-    """phrase_id, item_id, n: places where a phrase's words stand in order, moved by at most ``slop`` against each other."""
-    parts = phrases.select(F.col(phrase_id).alias("phrase_id"), tokens(F.col(phrase_text)).alias("w"))
-    parts = parts.where(F.size("w") > 0).select("phrase_id", F.size("w").alias("width"), F.posexplode("w").alias("at", "term"))
-    words = docs.select(F.col(doc_id).alias("item_id"), F.posexplode(tokens(F.col(doc_text))).alias("pos", "term"))
-    hits = words.join(parts, "term").select("phrase_id", "item_id", "width", "at", (F.col("pos") - F.col("at")).alias("start"))
-    if slop:
-        hits = hits.select("phrase_id", "item_id", "width", "at", F.explode(F.sequence(F.col("start") - slop, F.col("start"))).alias("start"))
-    whole = hits.groupBy("phrase_id", "item_id", "width", "start").agg(F.countDistinct("at").alias("found"))
-    return whole.where("found = width").groupBy("phrase_id", "item_id").agg(F.count("*").alias("n"))
+def text_search(
+    queries: DataFrame, docs: DataFrame, k: int, query_id: str, query_text: str, doc_id: str, doc_text: str,
+    slop: int = 2, boost: float = 2.0, k1: float = 1.2, b: float = 0.75,
+) -> DataFrame:
+    """``bm25`` with a second clause: where the whole query stands in a document with ``slop``, its places score as the
+    tf of a term that weighs as much as all of the query's terms, times ``boost``."""
+    asked, postings, total = term_statistics(queries, docs, query_id, query_text, doc_id, doc_text)
+    joined = checkpointed(postings.join(asked, "term").select("query_id", "item_id", "tf", "df", "length"))
+    phrases = phrase_matches(docs, queries, doc_id, doc_text, query_id, query_text, slop).withColumnRenamed("phrase_id", "query_id")
+    weight = (
+        joined.crossJoin(F.broadcast(total))
+        .groupBy("query_id", "item_id")
+        .agg(F.sum(_weight() * _saturated("tf", k1, b)).alias("terms"), F.sum(_weight()).alias("weight"), F.max("length").alias("length"))
+    )
+    both = weight.join(phrases.withColumnRenamed("n", "places"), ["query_id", "item_id"], "left").crossJoin(F.broadcast(total))
+    score = F.round(F.col("terms") + F.coalesce(boost * F.col("weight") * _saturated("places", k1, b), F.lit(0.0)), 6)
+    return ranked(both.select("query_id", "item_id", score.alias("score")), k, ["query_id"], "score", "item_id")
+
+
+def phrase_matches(
+    docs: DataFrame, phrases: DataFrame, doc_id: str, doc_text: str, phrase_id: str, phrase_text: str, slop: int = 0,
+    broadcast_terms: int = BROADCAST_TERMS,
+) -> DataFrame:
+    """phrase_id, item_id, n: places where a phrase's words stand in order, moved by at most ``slop`` against each other.
+
+    A phrase is sought by its rarest word only; at the places where that stands, the other words are
+    looked for in the document's own tokens.
+    """
+    parts = phrases.select(F.col(phrase_id).alias("phrase_id"), tokens(F.col(phrase_text)).alias("w")).where(F.size("w") > 0)
+    slots = parts.select("phrase_id", F.posexplode("w").alias("slot", "term"))
+    words = docs.select(F.col(doc_id).alias("item_id"), tokens(F.coalesce(F.col(doc_text), F.lit(""))).alias("words"))
+    terms = _sized(slots.select("term").distinct(), broadcast_terms)
+    spread = words.select(F.explode(F.array_distinct("words")).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    rarest = slots.join(spread, "term", "left").groupBy("phrase_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "slot", "term")).alias("s"))
+    rarest = checkpointed(rarest.where("s.df > 0").select("phrase_id", "s.slot", "s.term"))
+    places = words.select("item_id", F.posexplode("words").alias("pos", "term")).join(_sized(rarest, broadcast_terms), "term")
+    hits = places.select("item_id", "phrase_id", F.explode(F.sequence(F.col("pos") - F.col("slot") - slop, F.col("pos") - F.col("slot"))).alias("start"))
+    hits = checkpointed(hits.distinct()).join(parts, "phrase_id")
+    met = words.join(hits, "item_id")
+    if not slop:
+        whole = (F.col("start") >= 0) & (F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, F.size("w")) == F.col("w"))
+    else:
+        first = lambda i: F.greatest(F.col("start") + i, F.lit(0))
+        room = lambda i: F.greatest(F.col("start") + i + slop + 1 - first(i), F.lit(0))
+        stands = lambda word, i: F.array_contains(F.slice("words", first(i) + 1, room(i)), word)
+        whole = F.forall(F.transform("w", stands), lambda x: x)
+    return met.where(whole).groupBy("phrase_id", "item_id").agg(F.countDistinct("start").alias("n"))
 
 
 def overlap_scorer(query: Column, text: Column) -> Column:
@@ -228,6 +288,109 @@ def query_specs(queries: DataFrame, rewrites: DataFrame, hypothetical: DataFrame
     )
 
 
+#: Specs of one question at most, as far as their numbers in one key go.
+MOST_SPECS = 64
+
+
+def to_parents(hits: DataFrame, by: list[str], chunks: DataFrame) -> DataFrame:
+    """hits (by, item_id, score) with children replaced by their parents, each parent once with its best child's score.
+
+    A hit that is neither a parent nor a child of a known parent is left out.  chunks: item_id, chunk_type, parent.
+    """
+    known = chunks.where("chunk_type = 'parent'").select(F.col("item_id").alias("known"))
+    kinds = chunks.select("item_id", "chunk_type", F.when(F.col("chunk_type") == "parent", F.col("item_id")).otherwise(F.col("parent")).alias("up"))
+    mapped = hits.join(kinds, "item_id").join(known, F.col("up") == F.col("known"))
+    best = mapped.groupBy(*by, F.col("up").alias("item_id")).agg(F.max("score").alias("score"))
+    order = Window.partitionBy(*by).orderBy(F.desc("score"), F.asc("item_id"))
+    return best.withColumn("rank", F.row_number().over(order))
+
+
+def rerank_fused(
+    candidates: DataFrame, specs: DataFrame, n: int = 6, per_source: int = 2, k: int = 60,
+    scorer: Callable[[Column, Column], Column] = overlap_scorer, query_chars: int = 200,
+) -> DataFrame:
+    """candidates (query_id, item_id, rank, text, source) in the order that the specs' rerankings give together.
+
+    Every spec (query_id, spec, text) scores every candidate of its question; a score of null is no answer, and a spec
+    that answers for none of them is no ranking.  Without any ranking the candidates' own order stays.  At last the
+    sources are spread (see ``diversify``), down to n.
+    """
+    asked = specs.select("query_id", "spec", F.substring("text", 1, query_chars).alias("asked"))
+    scored = candidates.join(asked, "query_id").withColumn("s", scorer(F.col("asked"), F.col("text"))).where("s is not null")
+    order = Window.partitionBy("query_id", "spec").orderBy(F.desc("s"), F.asc("rank"))
+    rankings = scored.select("query_id", F.col("spec").alias("channel"), "item_id", F.row_number().over(order).alias("rank"))
+    again = fuse(rankings, ["query_id"], k).select("query_id", "item_id", F.col("rank").alias("new_rank"))
+    placed = candidates.join(again, ["query_id", "item_id"], "left")
+    new = Window.partitionBy("query_id").orderBy(F.col("new_rank").asc_nulls_last(), F.asc("rank"))
+    placed = placed.withColumn("rank", F.row_number().over(new)).drop("new_rank")
+    return diversify(placed, ["query_id"], "source", per_source, n)
+
+
+def search_context(
+    specs: DataFrame, chunks: DataFrame, k: int = 15, least: float = 0.35, ratio: float = 0.9, rrf_k: int = 60, fused_n: int = 12,
+    n: int = 6, parents: bool = False, scorer: Callable[[Column, Column], Column] = overlap_scorer,
+) -> DataFrame:
+    """query_id, item_id, position, max_score: the context of every question.
+
+    specs (query_id, spec, text, vector_only, embedding) are retrieved side by side, as keys of one plan: nearest
+    vectors over a relative threshold, and BM25 for those that aren't vector_only.  Both channels are fused for each
+    spec, the specs' rankings for each question, and the first ``fused_n`` are reranked by every spec.  chunks:
+    item_id, text, embedding, source, and with ``parents`` chunk_type and parent.  max_score is the best cosine before
+    the threshold, 0 without any hit; a question without hits has no rows.
+    """
+    key = (F.col("query_id") * MOST_SPECS + F.col("spec")).cast("long")
+    specs = specs.withColumn("key", key)
+    near = checkpointed(vector_topk(specs.where("embedding is not null"), chunks, k, "key", "item_id", include_self=True))
+    if parents:
+        near = checkpointed(to_parents(near, ["query_id"], chunks))
+    best = near.groupBy(F.floor(F.col("query_id") / MOST_SPECS).cast("long").alias("query_id")).agg(F.max("score").alias("max_score"))
+    near = above_threshold(near, ["query_id"], least, ratio).select("query_id", F.lit("vector").alias("channel"), "item_id", "rank")
+    text = bm25(specs.where("not vector_only"), chunks, k, "key", "text", "item_id", "text")
+    one = fuse(near.union(text.select("query_id", F.lit("text"), "item_id", "rank")), ["query_id"], rrf_k)
+    owner, spec = F.floor(F.col("query_id") / MOST_SPECS).cast("long"), (F.col("query_id") % MOST_SPECS).alias("channel")
+    fused = fuse(one.select(owner.alias("query_id"), spec, "item_id", "rank"), ["query_id"], rrf_k).where(F.col("rank") <= fused_n)
+    candidates = checkpointed(fused.join(chunks.select("item_id", "text", "source"), "item_id"))
+    final = rerank_fused(candidates, specs.select("query_id", "spec", "text"), n, k=rrf_k, scorer=scorer)
+    return final.join(best, "query_id", "left").select("query_id", "item_id", "position", F.coalesce("max_score", F.lit(0.0)).alias("max_score"))
+
+
+def dual_path(
+    questions: DataFrame, entity_hits: DataFrame, relation_hits: DataFrame, edges: DataFrame, summaries: DataFrame, n: int = 8,
+    scorer: Callable[[Column, Column], Column] = overlap_scorer,
+) -> DataFrame:
+    """query_id, card, position: graph evidence for questions (query_id, text) by two paths.
+
+    Locally the entities of entity_hits (query_id, position, name) are seeds: their own cards come first, then a card
+    for each edge (head, relation, tail, hint) at one of them.  Globally relation_hits (query_id, position, card) follow.
+    Equal cards of one question count once, at their first place; the n that the scorer puts first stay.
+    summaries: name, summary.
+    """
+    seeds = entity_hits.where("trim(name) != ''").select("query_id", "name", "position")
+    told = summaries.select("name", "summary")
+    own = seeds.join(told, "name", "left").select(
+        "query_id", F.lit(0).alias("list"), F.col("position").cast("long").alias("position"), entity_card(F.col("name"), F.col("summary")).alias("card")
+    )
+    near = edges.select(F.col("head").alias("name"), "head", "relation", "tail", "hint").union(edges.select("tail", "head", "relation", "tail", "hint"))
+    local = seeds.join(near, "name").groupBy("query_id", "head", "relation", "tail").agg(F.min("position").alias("position"), F.min("hint").alias("hint"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("position", "head", "relation", "tail"))
+    local = local.select("query_id", F.lit(1).alias("list"), place.cast("long").alias("position"), relation_card(F.col("head"), F.col("relation"), F.col("tail"), F.col("hint")).alias("card"))
+    whole = own.union(local).union(relation_hits.select("query_id", F.lit(2), F.col("position").cast("long"), "card"))
+    first = whole.groupBy("query_id", "card").agg(F.min(F.struct("list", "position")).alias("first"))
+    scored = first.join(questions.select("query_id", F.substring("text", 1, 200).alias("asked")), "query_id")
+    scored = scored.withColumn("s", scorer(F.col("asked"), F.col("card")))
+    order = Window.partitionBy("query_id").orderBy(F.desc("s"), "first", "card")
+    return scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= n).select("query_id", "card", "position")
+
+
+def entity_card(name: Column, summary: Column) -> Column:
+    return F.concat(F.lit("- 【实体】"), name, F.when(F.coalesce(summary, F.lit("")) != "", F.concat(F.lit("："), summary)).otherwise(""))
+
+
+def relation_card(head: Column, relation: Column, tail: Column, hint: Column) -> Column:
+    line = F.concat(F.lit("- 【关系】"), head, F.lit(" —["), relation, F.lit("]→ "), tail)
+    return F.concat(line, F.when(F.coalesce(hint, F.lit("")) != "", F.concat(F.lit("："), hint)).otherwise(""))
+
+
 def evidence_gate(queries: DataFrame, hits: DataFrame, cards: DataFrame) -> DataFrame:
     """query_id, sufficient, missing: whether any chunk or card was found for a question."""
     found = hits.select("query_id").union(cards.select("query_id")).distinct().withColumn("__found", F.lit(True))

@@ -128,7 +128,7 @@ def rerank_overlap(t):
     return retrieval.rerank(found, ["query_id"], "question", "text", 6).select("query_id", "item_id", "rerank_score", "position")
 
 
-_PHRASE = r"""with p as (select item_id as phrase_id, list_slice(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 1, 4) as w from benchmark),
+_PHRASE = r"""with p as (select item_id as phrase_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from benchmark),
 d as (select doc_id as item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as t from documents),
 words as (select item_id, unnest(t) as term, generate_subscripts(t, 1) - 1 as pos from d),
 parts as (select phrase_id, len(w) as width, unnest(w) as term, generate_subscripts(w, 1) - 1 as slot from p where len(w) > 0),
@@ -137,19 +137,14 @@ whole as (select phrase_id, item_id, start from hits group by phrase_id, item_id
 select phrase_id, item_id, count(*) as n from whole group by all"""
 
 
-def _phrases(t):
-    first = F.array_join(F.slice(retrieval.tokens(F.col("text")), 1, 4), " ")
-    return t("benchmark").select("item_id", first.alias("phrase"))
-
-
 @query(_PHRASE.replace("SLOP", "0"))
 def phrase_exact(t):
-    return retrieval.phrase_matches(t("documents"), _phrases(t), "doc_id", "text", "item_id", "phrase")
+    return retrieval.phrase_matches(t("documents"), t("benchmark"), "doc_id", "text", "item_id", "text")
 
 
 @query(_PHRASE.replace("SLOP", "2"))
 def phrase_slop(t):
-    return retrieval.phrase_matches(t("documents"), _phrases(t), "doc_id", "text", "item_id", "phrase", slop=2)
+    return retrieval.phrase_matches(t("documents"), t("benchmark"), "doc_id", "text", "item_id", "text", slop=2)
 
 
 @query(f"""with {BM25_SQL}, hits as (select query_id from bm where score >= 40 group by 1)
@@ -162,12 +157,12 @@ def evidence_gate(t):
 
 
 @query(f"""with {BM25_SQL} select query_id,
-string_agg('[' || item_id || '] ' || printf('%.4f', score) || chr(10) || substr(text, 1, 30), chr(10) || chr(10) order by rank) as observation,
+string_agg('[' || item_id || '] ' || printf('%.4f', score) || chr(10) || text, chr(10) || chr(10) order by rank) as observation,
 string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as citations
 from bm join documents d on d.doc_id = item_id where rank <= 3 group by query_id""")
 def observation_text(t):
-    texts = t("documents").select(F.col("doc_id").alias("item_id"), F.substring("text", 1, 30).alias("part"))
-    return retrieval.observation(_bm25_hits(t).where("rank <= 3").join(texts, "item_id"), ["query_id"], "item_id", "part", "score")
+    texts = t("documents").select(F.col("doc_id").alias("item_id"), "text")
+    return retrieval.observation(_bm25_hits(t).where("rank <= 3").join(texts, "item_id"), ["query_id"], "item_id", "text", "score")
 
 
 @query("""with q as (select item_id as query_id, substr(text, 1, 8 + (item_id % 8)::int) as text from benchmark)
@@ -269,3 +264,107 @@ def upload_whitelist(t):
 
     names = F.array(*map(F.lit, ("a.pdf", "b.Docx", "c.csv", "d.exe", "../e.txt", "f")))
     return t("documents").select("doc_id", may_upload(F.get(names, (F.col("doc_id") % 6).cast("int"))).alias("allowed"))
+
+
+@query(f"""with {BM25_SQL.replace("qualify rank <= 15", "")}, {_PHRASE.replace("SLOP", "2").replace("words", "standing").replace("with p as", "p as", 1).rsplit("select phrase_id", 1)[0]},
+places as (select phrase_id as query_id, item_id, count(*) as places from whole group by all),
+clause as (select query_id, item_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5))) as weight, max(length) as length,
+  sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average))) as terms
+  from postings join asked using (term) join spread using (term), total group by query_id, item_id),
+summed as (select query_id, item_id, round(terms + coalesce(2 * weight * places * 2.2 / (places + 1.2 * (0.25 + 0.75 * length / average)), 0), 6) as score
+  from clause left join places using (query_id, item_id), total)
+select query_id, item_id, score, (row_number() over (partition by query_id order by score desc, item_id))::integer as rank from summed qualify rank <= 15""")
+def text_search(t):
+    """R2 with its phrase clause"""
+    return retrieval.text_search(t("benchmark"), t("documents"), 15, "item_id", "text", "doc_id", "text")
+
+
+@query("""with w as (select c_custkey, '数据' || substr('库表行列值', 1, 1 + (c_custkey % 5)::int) || ' ' || c_name as s from customer),
+h as (select c_custkey, regexp_extract_all(s, '[\\p{Han}]+')[1] as han, regexp_extract_all(lower(s), '[a-z0-9]+') as latin from w)
+select c_custkey, array_to_string(list_concat(list_transform(generate_series(1, length(han) - 1), lambda i: substr(han, i, 2)), latin), ' ') as tokens from h""".replace("\\\\", "\\"))
+def han_bigrams(t):
+    """Runs of Han characters become pairs of neighbours."""
+    han = F.expr("substring('库表行列值', 1, cast(1 + c_custkey % 5 as int))")
+    s = F.concat(F.lit("数据"), han, F.lit(" "), "c_name")
+    return t("customer").select("c_custkey", F.array_join(retrieval.tokens(s), " ").alias("tokens"))
+
+
+_SPECS = """specs as (select *, query_id * 64 + spec as key from (
+  select item_id as query_id, 0 as spec, text, false as vector_only from benchmark
+  union all select query_id, row_number() over (partition by query_id order by position), text, false from (
+    select item_id as query_id, substr(text, 1 + 12 * min(p), 80) as text, min(p) as position from benchmark, range(1, 4) r(p)
+    where item_id % 4 <> 0 and substr(text, 1 + 12 * p, 80) <> text and trim(substr(text, 1 + 12 * p, 80)) <> '' group by item_id, text, substr(text, 1 + 12 * p, 80))
+  union all select item_id, 5, substr(text || ' ' || text, 1, 1500), true from benchmark where item_id % 4 <> 0 and trim(text) <> '')),
+chunks as (select doc_id as item_id, text, source, list_transform(embedding, lambda x: x::double) as e from documents join embeddings on doc_id = vec_id),
+c as (select *, sqrt(list_sum(list_transform(e, lambda x: x * x))) as norm from chunks),
+q as (select key, list_transform(embedding, lambda x: x::double) as e from specs join embeddings on vec_id = query_id * 50 + spec),
+qn as (select *, sqrt(list_sum(list_transform(e, lambda x: x * x))) as norm from q),
+raw as (select key, item_id, score, row_number() over (partition by key order by score desc, item_id) as rank from (
+  select key, item_id, round(list_sum(list_transform(list_zip(qn.e, c.e), lambda p: p[1] * p[2])) / (qn.norm * c.norm), 6) as score from qn, c) qualify rank <= 15),
+best as (select key // 64 as query_id, max(score) as max_score from raw group by 1),
+near as (select key, item_id, rank from (select *, max(score) over (partition by key) as top from raw) where score >= least(0.35, top * 0.9)),
+words as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from chunks),
+asked as (select distinct key, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as term from specs where not vector_only),
+total as (select count(*) as n, avg(len(w)) as average from words),
+postings as (select item_id, term, count(*) as tf, any_value(length) as length from
+  (select item_id, len(w) as length, unnest(w) as term from words) where term in (select term from asked) group by item_id, term),
+spread as (select term, count(*) as df from postings group by term),
+bm as (select key, item_id, row_number() over (partition by key order by score desc, item_id) as rank from (
+  select key, item_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average))), 6) as score
+  from postings join asked using (term) join spread using (term), total group by key, item_id) qualify rank <= 15),
+one as (select key, item_id, row_number() over (partition by key order by score desc, item_id) as rank from (
+  select key, item_id, round(sum(1.0::double / (60 + rank)), 9) as score from (select * from near union all select * from bm) group by key, item_id)),
+fused as (select query_id, item_id, row_number() over (partition by query_id order by score desc, item_id) as rank from (
+  select key // 64 as query_id, item_id, round(sum(1.0::double / (60 + rank)), 9) as score from one group by 1, 2) qualify rank <= 12),
+cand as (select query_id, item_id, rank, text, source from fused join chunks using (item_id)),
+sc as (select c.query_id, s.spec, item_id, rank, list_distinct(regexp_extract_all(lower(substr(s.text, 1, 200)), '[\\p{L}\\p{N}]+')) as qt,
+  regexp_extract_all(lower(c.text), '[\\p{L}\\p{N}]+') as dt from cand c join specs s using (query_id)),
+rr as (select query_id, spec, item_id, row_number() over (partition by query_id, spec order by s desc, rank) as rank from (
+  select *, case when len(qt) = 0 then 0 else round(len(list_filter(qt, lambda x: list_contains(dt, x))) / len(qt), 6) end as s from sc)),
+again as (select query_id, item_id, row_number() over (partition by query_id order by score desc, item_id) as rank from (
+  select query_id, item_id, round(sum(1.0::double / (60 + rank)), 9) as score from rr group by 1, 2)),
+nth as (select a.query_id, a.item_id, a.rank, row_number() over (partition by a.query_id, source order by a.rank) as nth
+  from again a join cand using (query_id, item_id)),
+final as (select query_id, item_id, row_number() over (partition by query_id order by nth > 2, rank) as position from nth qualify position <= 6)
+select query_id, item_id, position::integer as position, coalesce(max_score, 0) as max_score from final left join best using (query_id)""".replace("\\\\", "\\")
+
+
+@query("with " + _SPECS)
+def search_context(t):
+    """Specs, both channels, two fusions, reranking by every spec and its fusion, spread sources, best cosine."""
+    q = t("benchmark").select(F.col("item_id").alias("query_id"), "text")
+    rewrites = q.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("position"), "text")
+    rewrites = rewrites.withColumn("text", F.expr("substring(text, 1 + 12 * position, 80)"))
+    answers = q.select("query_id", F.concat_ws(" ", "text", "text").alias("text"))
+    specs = retrieval.query_specs(q, rewrites, answers, F.col("query_id") % 4 == 0)
+    vectors = t("embeddings").select("vec_id", "embedding")
+    specs = specs.join(vectors, F.col("query_id") * ASKED + F.col("spec") == F.col("vec_id"), "left").drop("vec_id")
+    chunks = t("documents").join(vectors, F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("item_id"), "text", "source", "embedding")
+    return retrieval.search_context(specs, chunks)
+
+
+@query("""with e as (select c_custkey, 'c' || c_custkey as head, n_name as tail, 'lives in' as relation, c_mktsegment as hint from customer join nation on c_nationkey = n_nationkey),
+seeds as (select s_suppkey % 40 as query_id, s_suppkey as position, n_name as name from supplier join nation on s_nationkey = n_nationkey where s_suppkey < 80),
+firsts as (select query_id, name, min(position) as position from seeds group by 1, 2),
+own as (select query_id, 0 as list, position, '- 【实体】' || name || '：region ' || n_regionkey as card from firsts join nation on name = n_name),
+loc as (select query_id, head, relation, tail, min(position) as position, min(hint) as hint from firsts join e on tail = name where c_custkey < 400 group by all),
+local as (select query_id, 1, row_number() over (partition by query_id order by position, head, relation, tail), '- 【关系】' || head || ' —[' || relation || ']→ ' || tail || '：' || hint from loc),
+rel as (select r_regionkey * 8 + p as query_id, 2, p as position, '- 【关系】' || r_name from region, range(0, 8) x(p)),
+whole as (select * from own union all select * from local union all select * from rel),
+first as (select query_id, card, min((list, position)) as f from whole group by 1, 2),
+s as (select query_id, card, f, list_distinct(regexp_extract_all(lower('machinery in ' || (query_id % 25)), '[\\p{L}\\p{N}]+')) as q, regexp_extract_all(lower(card), '[a-z0-9]+') as w from first)
+select query_id, card, (row_number() over (partition by query_id order by round(len(list_filter(q, lambda x: list_contains(w, x))) / len(q), 6) desc, f, card))::integer as position
+from s where query_id < 40 qualify position <= 8""".replace("\\\\", "\\"))
+def dual_path_search(t):
+    """Entity seeds with their edges, and relation cards, reranked as one pool."""
+    names = t("nation").select("n_nationkey", "n_name", "n_regionkey")
+    edges = t("customer").where("c_custkey < 400").join(names, F.col("c_nationkey") == F.col("n_nationkey"))
+    edges = edges.select(F.concat(F.lit("c"), "c_custkey").alias("head"), F.lit("lives in").alias("relation"), F.col("n_name").alias("tail"), F.col("c_mktsegment").alias("hint"))
+    seeds = t("supplier").where("s_suppkey < 80").join(names, F.col("s_nationkey") == F.col("n_nationkey"))
+    seeds = seeds.groupBy((F.col("s_suppkey") % 40).alias("query_id"), F.col("n_name").alias("name")).agg(F.min("s_suppkey").alias("position"))
+    rel = t("region").select((F.col("r_regionkey") * 8).alias("k"), F.concat(F.lit("- 【关系】"), "r_name").alias("card"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("position"))
+    rel = rel.select((F.col("k") + F.col("position")).alias("query_id"), "position", "card")
+    asked = seeds.select("query_id").union(rel.select("query_id")).distinct().where("query_id < 40")
+    asked = asked.select("query_id", F.concat(F.lit("machinery in "), (F.col("query_id") % 25).cast("string")).alias("text"))
+    told = names.select(F.col("n_name").alias("name"), F.concat(F.lit("region "), F.col("n_regionkey").cast("string")).alias("summary"))
+    return retrieval.dual_path(asked, seeds, rel, edges, told)
