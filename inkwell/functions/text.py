@@ -123,16 +123,12 @@ def path_matches(path: Column, pattern: str) -> Column:
     return path.rlike(f"^{out}$")
 
 
-def once(value: Column, use) -> Column:
-    """``use(value)`` where the value is computed once, however often ``use`` mentions it in lambdas."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def decode_labels(values: Column, expression: str, separator: str = ",") -> Column:
     """Labels of the values by an expression ``0=low,1=high``, in the expression's order."""
     pairs = [p.split("=", 1) for p in expression.split(",")]
-    found = lambda wanted: F.concat_ws(separator, *[F.when(F.array_contains(wanted, k), F.lit(v)) for k, v in pairs])
-    return F.when(values.isNotNull(), once(F.split(values, separator), found))
+    wanted = F.split(values, separator)  # a common subexpression: split once for all labels
+    found = F.concat_ws(separator, *[F.when(F.array_contains(wanted, k), F.lit(v)) for k, v in pairs])
+    return F.when(values.isNotNull(), found)
 
 
 def encode_labels(labels: Column, expression: str, separator: str = ",") -> Column:

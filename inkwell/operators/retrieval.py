@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.session import checkpointed
+from inkwell.session import checkpointed, spread
 
 VECTOR_BLOCK, QUERY_BLOCK = 4096, 512
 #: Query terms up to this many are sent to every task, more are joined.
@@ -116,7 +116,8 @@ _TOKEN = rf"(?=(\p{{IsHan}}{{2}}|(?<!\p{{IsHan}})\p{{IsHan}}|{_PLAIN}+))(?:\p{{I
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits, and of Han characters each two neighbours; the same on both sides of a search."""
-    return F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), 1)
+    plain = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
+    return F.when(text.rlike(r"\p{IsHan}"), F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), 1)).otherwise(plain)
 
 
 def _sized(df: DataFrame, most: int) -> DataFrame:
@@ -135,14 +136,15 @@ def term_statistics(
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
     terms = _sized(asked.select("term").distinct().withColumn("known", F.lit(True)), broadcast_terms)
-    words = docs.select(F.col(doc_id).alias("item_id"), tokens(F.coalesce(F.col(doc_text), F.lit(""))).alias("words"))
+    words = spread(docs.select(F.col(doc_id).alias("item_id"), F.coalesce(doc_text, F.lit("")).alias("text")))
+    words = words.select("item_id", tokens(F.col("text")).alias("words"))
     listed = words.select("item_id", F.size("words").alias("length"), F.explode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("term"))
     kept = listed.join(terms, "term", "left").where("known or term is null")
     counted = checkpointed(kept.groupBy("item_id", "term").agg(F.count("*").alias("tf"), F.sum("length").alias("total"), F.max("length").alias("length")))
     total = counted.where("term is null").agg(F.sum("tf").alias("n"), (F.sum("total") / F.sum("tf")).alias("average"))
     postings = counted.where("term is not null").drop("total")
-    spread = postings.groupBy("term").agg(F.count("*").alias("df"))
-    return asked, postings.join(spread, "term"), total
+    counts = postings.groupBy("term").agg(F.count("*").alias("df"))
+    return asked, postings.join(counts, "term"), total
 
 
 def _weight() -> Column:
@@ -197,10 +199,11 @@ def phrase_matches(
     """
     parts = phrases.select(F.col(phrase_id).alias("phrase_id"), tokens(F.col(phrase_text)).alias("w")).where(F.size("w") > 0)
     slots = parts.select("phrase_id", F.posexplode("w").alias("slot", "term"))
-    words = docs.select(F.col(doc_id).alias("item_id"), tokens(F.coalesce(F.col(doc_text), F.lit(""))).alias("words"))
+    words = spread(docs.select(F.col(doc_id).alias("item_id"), F.coalesce(doc_text, F.lit("")).alias("text")))
+    words = words.select("item_id", tokens(F.col("text")).alias("words"))
     terms = _sized(slots.select("term").distinct(), broadcast_terms)
-    spread = words.select(F.explode(F.array_distinct("words")).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    rarest = slots.join(spread, "term", "left").groupBy("phrase_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "slot", "term")).alias("s"))
+    counts = words.select(F.explode(F.array_distinct("words")).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    rarest = slots.join(counts, "term", "left").groupBy("phrase_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "slot", "term")).alias("s"))
     rarest = checkpointed(rarest.where("s.df > 0").select("phrase_id", "s.slot", "s.term"))
     places = words.select("item_id", F.posexplode("words").alias("pos", "term")).join(_sized(rarest, broadcast_terms), "term")
     hits = places.select("item_id", "phrase_id", F.explode(F.sequence(F.col("pos") - F.col("slot") - slop, F.col("pos") - F.col("slot"))).alias("start"))

@@ -19,6 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt over all cores if it comes in fewer parts than there are cores, as a file of one row group does.
+
+    For scans whose rows cost much more to work on than to send; a table of many parts stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``, which every executor shares.
 
