@@ -137,7 +137,7 @@ def encode_labels(labels: Column, expression: str, separator: str = ",") -> Colu
 
 
 def fill_template(template: str, *values: Column) -> Column:
-    """The template with each ``{}`` replaced by the next value; what has no value stays; ``\\\\{}`` is a plain ``{}``."""
+    """The template with each ``{}`` replaced by the next value; what has no value stays; ``\\{}`` is a plain ``{}``."""
     parts, left = [], list(values)
     pieces = template.split("{}")
     for k, piece in enumerate(pieces):

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,7 +22,11 @@ CUTS = ("。！？!?；;", "，,：:）)】]”\"", "\n\r", " \t")
 #: A soft cut is sought in the last 30 percent of the allowed stretch.
 LOOK_BACK = 0.7
 SIZE, MOST, OVERLAP, CHILD, LEAST_CHILD = 800, 1400, 120, 200, 64
-BATCH, SHORT_TAIL, DIRECT = 4000, 500, 4000
+BATCH, SHORT_TAIL = 4000, 500
+#: Units and windows for breaks; characters that an answer's part may be away from where the last one ended.
+UNIT, WINDOW, SLACK = 180, 8, 50
+CUT_MARK = "<<<<CUT>>>>"
+_THOUGHTS, _FENCED = re.compile(r"<think>.*?</think>", re.S | re.I), re.compile(r"```(?:\w+)?\s*(.*?)\s*```", re.S)
 _BLANK_LINES = re.compile(r"(?:\r?\n[ \t]*){2,}")
 _EDGE = " \t\n\r"
 _FENCE, _TABLE, _HEADING = re.compile(r"```"), re.compile(r"\s*\|.*\|\s*$"), re.compile(r"(#{1,6})\s+")
@@ -166,11 +171,6 @@ def batches(text: str, most: int = BATCH, short: int = SHORT_TAIL) -> list[Span]
     return out
 
 
-def longest(size: int, configured: int | None = None) -> int:
-    """The most characters of a chunk: as configured, or 400 or half more than its size."""
-    return configured if configured else max(size + 400, int(size * 1.5))
-
-
 def flat_spans(text: str, most: int = MOST) -> list[Span]:
     """Paragraphs, cut where they are too long."""
     return [p for s in paragraphs(text) for p in pieces(text, s, most)]
@@ -209,6 +209,53 @@ def children(text: str, parent: tuple[int, int, str], size: int = CHILD) -> list
     return [(start, end)] if kind != "text" else pieces(text, (start, end), max(LEAST_CHILD, size))
 
 
+def from_marks(text: str, answer: str) -> tuple[list[Span], str]:
+    """Spans between a model's marks, and how they were found: ``strict`` if the answer without marks is the text,
+    ``aligned`` if its parts follow each other in the text with little between, else none."""
+    plain = _THOUGHTS.sub("", answer or "").strip()
+    fence = _FENCED.search(plain) or _FENCED.search(answer or "")
+    tried = [answer, (answer or "").strip(), plain, *((fence[1], fence[1].strip()) if fence else ())]
+    for candidate in dict.fromkeys(x for x in tried if x):
+        parts = candidate.split(CUT_MARK)
+        if "".join(parts) == text:
+            ends = list(accumulate(map(len, parts)))
+            mode = "strict"
+        else:
+            ends, mode = [], "aligned"
+            at = 0
+            for part in parts if len(parts) > 1 else ():
+                found = text.find(part, at)
+                if found < 0 or found - at > SLACK:
+                    break
+                at = found + len(part)
+                ends.append(at)
+            if len(ends) != len(parts) or text[at:].strip():
+                continue
+            ends[-1] = len(text)
+        edges = sorted({0, *ends, len(text)})
+        if spans := list(zip(edges, edges[1:])):
+            return spans, mode
+    return [], ""
+
+
+def nearest_break(sizes: list[int], target: int) -> int:
+    """How many of the units, but not all of them, come nearest to the target length together; of equals the first."""
+    sums = list(accumulate(sizes[:-1]))
+    return min(range(len(sums)), key=lambda k: abs(sums[k] - target)) + 1 if sums else 1
+
+
+def windows(text: str, target: int = SIZE, choose=nearest_break) -> list[Span]:
+    """Units of up to UNIT characters, joined up to a break that ``choose`` finds in each window of WINDOW of them."""
+    units = [p for s in paragraphs(text) for p in pieces(text, s, UNIT)]
+    out, k = [], 0
+    while k < len(units):
+        window = units[k : k + WINDOW]
+        n = choose([b - a for a, b in window], target) if len(window) > 1 else 1
+        out.append((window[0][0], window[n - 1][1]))
+        k += n
+    return out
+
+
 # -- over columns
 
 _SPANS = "array<struct<start: int, end: int, kind: string, left: int, right: int>>"
@@ -266,6 +313,47 @@ def parent_child_chunks(docs: DataFrame, doc_id: str, text: str, most: int = MOS
     return rows.select("doc_id", "chunk_index", "chunk_id", "chunk_type", "content", listed_ids.alias("child_ids")), kids.distinct()
 
 
+def paragraph_sizes(text: Column) -> Column:
+    """The lengths of a text's paragraphs."""
+    inner = F.transform(F.split(F.coalesce(text, F.lit("")), r"(?:\r?\n[ \t]*){2,}"), lambda p: F.length(F.regexp_replace(p, r"^[ \t\r\n]+|[ \t\r\n]+$", "")))
+    return F.filter(inner, lambda n: n > 0)
+
+
+def needs_model(sizes: Column, batch: int, alone: int = 2000) -> Column:
+    """Whether paragraphs of these sizes can't cut a text: there is none, or one longer than a batch; without a limit of
+    batches, a single one longer than ``alone``."""
+    none = F.size(sizes) == 0
+    return none | ((F.array_max(sizes) > batch) if batch > 0 else ((F.size(sizes) == 1) & (F.array_max(sizes) > alone)))
+
+
+def longest(size: Column, configured: Column | None = None) -> Column:
+    """The most characters of a chunk: as configured, or 400 or half more than its size."""
+    cap = F.greatest(size + 400, (size * 1.5).cast("int"))
+    return cap if configured is None else F.coalesce(F.when(configured > 0, configured), cap)
+
+
+def marked_spans(docs: DataFrame, doc_id: str, text: str, answer: str) -> DataFrame:
+    """doc_id, mode, start, end: the spans that a model's answer marks in a text (see ``from_marks``)."""
+
+    def run(texts: pd.Series, answers: pd.Series) -> pd.Series:
+        out = []
+        for t, a in zip(texts, answers):
+            spans, mode = from_marks(t or "", a or "")
+            out.append([{"mode": mode, "start": x, "end": y} for x, y in spans])
+        return pd.Series(out)
+
+    run.__annotations__ = {"texts": pd.Series, "answers": pd.Series, "return": pd.Series}
+    found = F.pandas_udf(run, "array<struct<mode: string, start: int, end: int>>")(F.col(text), F.col(answer))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.explode(found).alias("s")).select("doc_id", "s.mode", "s.start", "s.end")
+
+
+def window_spans(docs: DataFrame, doc_id: str, text: str, target: int = SIZE, choose=nearest_break) -> DataFrame:
+    """doc_id, start, end: the spans of ``windows``; ``choose`` takes a model's place."""
+    cut = lambda t: [{"start": a, "end": b} for a, b in windows(t, target, choose)]
+    found = _over(F.col(text), cut, "array<struct<start: int, end: int>>")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.explode(found).alias("s")).select("doc_id", "s.start", "s.end")
+
+
 def excerpts(docs: DataFrame, doc_id: str, text: str, least: int = 60, most: int = 800) -> DataFrame:
     """doc_id, position, excerpt: paragraphs of at least ``least`` characters, long ones in soft parts."""
 

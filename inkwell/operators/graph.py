@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import entity_name, joined_all
-from inkwell.session import checkpointed
+from inkwell.operators.relational import all_of, containing, given, like
+from inkwell.session import checkpointed, discard
 
 KEY = ["head", "relation", "tail"]
-#: Limits of expansion: hops, edges, and elements of a list on an edge.
+#: Limits of expansion: hops and edges; and of the elements of a list that renaming joins.
 MAX_HOPS, MAX_EDGES, MAX_LIST = 10, 500, 500
 _ITEM = "array<map<string,string>>"
 
@@ -55,7 +56,7 @@ def first_seen(value: str, order: list[str]) -> Column:
 def merge_triples(triples: DataFrame, order: list[str], lists: list[str], texts: list[str]) -> DataFrame:
     """One row for each (head, relation, tail): lists in first-seen order, texts joined without what others hold."""
     return triples.groupBy(*KEY).agg(
-        *[F.slice(first_seen(c, order), 1, MAX_LIST).alias(c) for c in lists],
+        *[first_seen(c, order).alias(c) for c in lists],
         *[joined_all(first_seen(c, order)).alias(c) for c in texts],
     )
 
@@ -65,7 +66,7 @@ def merge_into(old: DataFrame, new: DataFrame, lists: list[str]) -> DataFrame:
     right = new.select(*KEY, *[F.col(c).alias(f"__{c}") for c in lists])
     both = old.join(right, KEY, "full_outer")
     empty = lambda c: F.coalesce(c, F.array().cast("array<string>"))
-    return both.select(*KEY, *[F.slice(F.array_union(empty(F.col(c)), empty(F.col(f"__{c}"))), 1, MAX_LIST).alias(c) for c in lists])
+    return both.select(*KEY, *[F.array_union(empty(F.col(c)), empty(F.col(f"__{c}"))).alias(c) for c in lists])
 
 
 def degrees(edges: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -95,38 +96,80 @@ def nodes_of(edges: DataFrame) -> DataFrame:
 def resolve(words: DataFrame, names: DataFrame) -> DataFrame:
     """word, name: entities equal to a word; for words without one, those that hold it or that it holds.
 
-    words: word; names: name.  Exact matches are an equi join; only words that have none meet the names.
+    words: word; names: name.  Exact matches are an equi join; words that have none meet the names that share a pair of
+    characters with them (see ``containing``).
     """
+    words, names = checkpointed(words), checkpointed(names)
     exact = words.join(names, F.col("word") == F.col("name")).select("word", "name")
     rest = words.join(exact.select("word").distinct(), "word", "left_anti")
-    plain = rest.select("word", entity_name(F.col("word")).alias("w")).where("w != ''")
-    close = plain.join(names, F.col("name").contains(F.col("w")) | F.col("w").contains(F.col("name")))
-    return exact.union(close.select("word", "name")).distinct()
+    plain = checkpointed(rest.select("word", entity_name(F.col("word")).alias("w")).where("w != ''"))
+    held = containing(names, "name", plain, "w").union(containing(plain, "w", names, "name").select("name", "word", "w"))
+    return exact.union(held.select("word", "name")).distinct()
 
 
 def expand(edges: DataFrame, seeds: DataFrame, hops: int, most: int | None = MAX_EDGES) -> DataFrame:
     """hop, head, relation, tail: edges within ``hops`` of the seeds (name), either way, each at its least hop.
 
-    One join for each hop on the frontier of new nodes; with ``most`` only the first edges by hop and
-    key are kept.
+    One join for each hop on the frontier of new nodes; each hop's edges and nodes are written once.  With ``most``
+    only the first edges by hop and key are kept.
     """
     near = checkpointed(edges.select(*KEY).distinct())
-    seen = checkpointed(seeds.select("name").distinct())
-    frontier, found = seen, None
+    frontier = seen = checkpointed(seeds.select("name").distinct())
+    found = None
     for hop in range(1, clamp(hops, 1, MAX_HOPS) + 1):
         touched = near.join(frontier, F.col("head") == F.col("name"), "left_semi").union(
             near.join(frontier, F.col("tail") == F.col("name"), "left_semi")
         )
-        step = touched.distinct().select(F.lit(hop).alias("hop"), *KEY)
+        step = checkpointed(touched.distinct().select(F.lit(hop).alias("hop"), *KEY))
         found = step if found is None else found.union(step)
         frontier = checkpointed(nodes_of(step).join(seen, "name", "left_anti"))
         if frontier.isEmpty():
             break
-        seen = checkpointed(seen.union(frontier))
+        seen = seen.union(frontier)
     best = found.groupBy(*KEY).agg(F.min("hop").alias("hop")).select("hop", *KEY)
     return best if most is None else best.orderBy("hop", *KEY).limit(clamp(most, 1, MAX_EDGES))
 
 
+def subgraph(edges: DataFrame, seeds: DataFrame, hops: int = 1, most: int = 200) -> tuple[DataFrame, DataFrame]:
+    """nodes (name) and links (source, target, relation) around seeds; up to five hops, the first ``most`` links by hop."""
+    links = expand(edges, seeds, clamp(hops, 1, 5), most)
+    return nodes_of(links), links.select(F.col("head").alias("source"), F.col("tail").alias("target"), "relation")
+
+
+def full_graph(edges: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes (the edges' ends with what entities (name, ...) say of them) and links (source, target, relation)."""
+    nodes = nodes_of(edges).join(entities, "name", "left")
+    return nodes, edges.select(F.col("head").alias("source"), F.col("tail").alias("target"), "relation")
+
+
+def edge_list(edges: DataFrame, entity: str | None = None, relation: str | None = None, chunks: DataFrame | None = None) -> DataFrame:
+    """Edges with a part of an end's name and of the relation, as far as given, that one of chunks (chunk_id) bears out."""
+    fits = all_of(
+        given(entity, lambda v: like(F.col("head"), v) | like(F.col("tail"), v)), given(relation, lambda v: like(F.col("relation"), v))
+    )
+    kept = edges.where(fits)
+    if chunks is None:
+        return kept
+    borne = kept.select(*KEY, F.explode("chunk_ids").alias("chunk_id")).join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+    return kept.join(borne.select(*KEY).distinct(), KEY, "left_semi")
+
+
+def edges_by_key(edges: DataFrame, keys: DataFrame) -> DataFrame:
+    """The edges that keys (head, relation, tail) name exactly."""
+    return edges.join(keys.select(*KEY).distinct(), KEY, "left_semi")
+
+
+def entity_detail(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """name, out_degree, in_degree, relations (sorted, distinct) of each of entities (name)."""
+    asked = entities.select("name").distinct()
+    out = edges.join(asked, F.col("head") == F.col("name")).select("name", "relation", F.lit(1).alias("o"), F.lit(0).alias("i"))
+    into = edges.join(asked, F.col("tail") == F.col("name")).select("name", "relation", F.lit(0), F.lit(1))
+    ends = out.union(into).union(asked.select("name", F.lit(None).cast("string"), F.lit(0), F.lit(0)))
+    return ends.groupBy("name").agg(
+        F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"), F.sort_array(F.collect_set("relation")).alias("relations")
+    )
+
+
 def by_hint(edges: DataFrame, hint: str, category: str = "category") -> DataFrame:
     """Edges whose relation holds the hint, or whose category holds it or is held by it; all edges if none does."""
     word = F.lit(hint)
@@ -214,18 +257,50 @@ def remove_entities(edges: DataFrame, names: list[str]) -> DataFrame:
 def canonical(pairs: DataFrame) -> DataFrame:
     """old, new: for every name of the pairs (a, b) the least name that it reaches.
 
-    Labels spread to neighbours until none changes; the pairs of near-equal names form small groups.
+    In each round a name takes the least label among its neighbours', then its label's own label; so a chain of n names
+    needs about log n rounds, and no name gathers its neighbours.
     """
     both = checkpointed(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
-    label = both.select(F.col("a").alias("old")).distinct().select("old", F.col("old").alias("new"))
+    label = checkpointed(both.select(F.col("a").alias("old")).distinct().select("old", F.col("old").alias("new")))
     while True:
         sent = both.join(label, F.col("a") == F.col("old")).select(F.col("b").alias("old"), "new")
-        after = checkpointed(label.union(sent).groupBy("old").agg(F.min("new").alias("new")))
-        if after.exceptAll(label).isEmpty():
+        # A label tells its own owner too: whoever bears it hears of what the owner's other bearers know.
+        told = sent.join(label.select("old", F.col("new").alias("owner")), "old").select(F.col("owner").alias("old"), "new")
+        least = checkpointed(label.union(sent).union(told).groupBy("old").agg(F.min("new").alias("new")))
+        jump = least.select(F.col("old").alias("new"), F.col("new").alias("further"))
+        after = checkpointed(least.join(jump, "new").select("old", F.least("new", "further").alias("new")))
+        moved = after.join(label.withColumnRenamed("new", "before"), "old").where("new != before")
+        done = moved.isEmpty()
+        discard(label, least)
+        if done:
             return after
         label = after
 
 
+def apply_deltas(entities: DataFrame, deltas: DataFrame) -> DataFrame:
+    """entities (name, out_degree, in_degree, glosses) after a document's deltas: degrees add up, glosses are replaced."""
+    new = deltas.select("name", F.col("out_degree").alias("__o"), F.col("in_degree").alias("__i"), F.col("glosses").alias("__g"), F.lit(True).alias("__new"))
+    both = entities.join(new, "name", "full_outer")
+    add = lambda x, y: (F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
+    return both.select(
+        "name", add("out_degree", "__o").alias("out_degree"), add("in_degree", "__i").alias("in_degree"),
+        F.when(F.col("__new"), F.col("__g")).otherwise(F.col("glosses")).alias("glosses"),
+    )
+
+
+def replace_edge(edges: DataFrame, old: DataFrame, new: DataFrame, lists: list[str]) -> DataFrame:
+    """Edges without those that ``old`` names by key, and with ``new`` merged in."""
+    return merge_into(edges.join(old.select(*KEY).distinct(), KEY, "left_anti"), new, lists)
+
+
+def write_cursor(cards: DataFrame, summaries: DataFrame) -> DataFrame:
+    """cards (name, hints, merged, summary) whose pending hints went into a new summary (name, summary)."""
+    new = summaries.select("name", F.col("summary").alias("__s"))
+    joined = cards.join(new, "name", "left")
+    merged = F.when(F.col("__s").isNotNull(), F.size("hints")).otherwise(F.col("merged")).alias("merged")
+    return joined.select("name", "hints", merged, F.coalesce("__s", "summary").alias("summary"))
+
+
 def per_container(edges: DataFrame) -> DataFrame:
     """A row for each knowledge base that an edge belongs to; none listed means base 0."""
     bases = F.when(F.size(F.coalesce("kb_ids", F.array().cast("array<int>"))) > 0, F.col("kb_ids")).otherwise(F.array(F.lit(0)))

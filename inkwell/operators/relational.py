@@ -8,9 +8,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.session import checkpointed
+
 MAX_PAGE, MAX_ORDER = 100, 500
-#: Words that a free-form condition may not hold.
-SQL_KEYWORDS = "and exec insert select drop grant alter delete update count chr mid master truncate char declare or union".split()
+# What a free-form condition may not hold.
+SQL_KEYWORDS = (
+    "\u000B", "%0A", "and ", "extractvalue", "updatexml", "sleep", "information_schema", "exec ", "insert ", "select ",
+    "delete ", "update ", "drop ", "count ", "chr ", "mid ", "master ", "truncate ", "char ", "declare ", "or ", "union ",
+    "like ", "+", "/*", "user()",
+)
 
 
 # -- predicates
@@ -91,13 +97,37 @@ def check_order(clause: str, columns: list[str]) -> list[Column]:
 
 
 def check_condition(text: str) -> str:
-    """The text, unless it holds an SQL keyword followed by a space."""
+    """The text, unless it holds a keyword in any case: one that ends in a space as a word before white space, any other
+    one wherever it stands once white space is left out."""
+    plain = re.sub(r"\s", "", text).lower()
     for word in SQL_KEYWORDS:
-        if re.search(rf"(?i)(^|\W){word}\s", text):
+        if re.search(rf"(?i)(^|\W){word.strip()}\s", text) if word.endswith(" ") else word.lower() in plain:
             raise ValueError(f"{word!r} isn't allowed here")
     return text
 
 
+def holds_keyword(text: Column) -> Column:
+    """Whether ``check_condition`` refuses a text."""
+    plain = F.lower(F.regexp_replace(text, r"[\p{Z}\s]", ""))
+    words = "|".join(w.strip() for w in SQL_KEYWORDS if w.endswith(" "))
+    marks = [plain.contains(w.lower()) for w in SQL_KEYWORDS if not w.endswith(" ")]
+    return reduce(lambda a, b: a | b, marks, text.rlike(rf"(?i)(^|\W)({words})\s"))
+
+
+def containing(texts: DataFrame, text: str, words: DataFrame, word: str) -> DataFrame:
+    """Pairs of rows whose text holds the word (none empty), found by the word's first two characters.
+
+    Every text is listed under each of its pairs of characters, and under each single one for words that are no longer;
+    so a word meets the texts that hold its beginning, not all of them.
+    """
+    grams = F.array_distinct(
+        F.transform(F.sequence(F.lit(1), 2 * F.length(text)), lambda i: F.substring(F.col(text), F.shiftright(i + 1, 1), i % 2 + 1))
+    )
+    listed = texts.where(F.length(text) > 0).withColumn("__gram", F.explode(grams))
+    asked = words.where(F.length(word) > 0).withColumn("__gram", F.substring(word, 1, 2))
+    return listed.join(asked, "__gram").where(F.col(text).contains(F.col(word))).drop("__gram")
+
+
 # -- paging
 
 
@@ -179,25 +209,26 @@ def three_way_sync(old: DataFrame, new: DataFrame, key: str, keep: list[str]) ->
 # -- trees
 
 
-def levels(nodes: DataFrame, node: str, parent: str, deepest: int = 50) -> DataFrame:
-    """node, root, depth, path of a forest; roots are nodes whose parent isn't a node.
+def levels(nodes: DataFrame, node: str, parent: str) -> DataFrame:
+    """node, root, depth, path of a forest of any depth; roots are nodes whose parent isn't a node.
 
-    One join for each level of the tree, and none of them gathers a level.
+    One join for each level of the tree, and none of them gathers a level.  Nodes of a cycle that no root reaches have
+    no root and no row; a cycle that one does reach (a node with several parents) is an error.
     """
-    from inkwell.session import checkpointed
-
-    plain = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"))
+    plain = checkpointed(nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent")))
+    most = plain.select("node").distinct().count()
     roots = plain.join(plain.select(F.col("node").alias("parent")), "parent", "left_anti")
     level = roots.select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.col("node").cast("string").alias("path"))
-    found = level
-    for depth in range(1, deepest + 1):
+    found, depth = level, 0
+    while not level.isEmpty():
+        depth += 1
+        if depth > most:
+            raise ValueError("the tree has a cycle")
         level = checkpointed(
             plain.join(level.select(F.col("node").alias("parent"), "root", "path"), "parent").select(
                 "node", "root", F.lit(depth).alias("depth"), F.concat_ws("/", "path", F.col("node").cast("string")).alias("path")
             )
         )
-        if level.isEmpty():
-            break
         found = found.union(level)
     return found
 
@@ -213,8 +244,31 @@ def to_list(rows: DataFrame, by: list[str], order: list[str], values: list[str])
     """One row for each group with the ordered list of its values, joined by commas."""
     items = F.array_sort(F.collect_list(F.struct(*order, *[F.col(v).alias(f"v_{v}") for v in values])))
 
-
     def listed(v: str) -> Column:
         return F.array_join(F.transform(items, lambda x: x[f"v_{v}"].cast("string")), ",").alias(v)
 
     return rows.groupBy(*by).agg(*map(listed, values))
+
+
+# -- logs and sessions
+
+
+def sessions(rows: DataFrame, key: str, prefix: str, ip: str | None = None, user: str | None = None) -> DataFrame:
+    """Rows whose key has the prefix, of an address and of a user if these are given, last key first."""
+    fits = all_of(given(ip, lambda v: F.col("ip") == v), given(user, lambda v: F.col("user_name") == v))
+    return rows.where(F.col(key).startswith(prefix) & fits).orderBy(F.desc(key))
+
+
+def job_log(runs: DataFrame, most: int = 2000) -> DataFrame:
+    """job, started, ended, millis, status ('0' fine, '1' failed), message and error, cut to ``most`` characters, of runs
+    (job, started, ended, error)."""
+    millis = F.unix_millis(F.col("ended").cast("timestamp")) - F.unix_millis(F.col("started").cast("timestamp"))
+    return runs.select(
+        "job", "started", "ended", millis.alias("millis"), F.when(F.col("error").isNull(), "0").otherwise("1").alias("status"),
+        F.concat("job", F.lit(": "), millis.cast("string"), F.lit(" ms")).alias("message"), F.substring("error", 1, most).alias("error"),
+    )
+
+
+def emptied(table: DataFrame) -> DataFrame:
+    """The state of a table after it was truncated."""
+    return table.where(F.lit(False))

@@ -308,6 +308,12 @@ def to_parents(hits: DataFrame, by: list[str], chunks: DataFrame) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(order))
 
 
+def max_scores(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """query_id, max_score: the best score among hits (query_id, score), 0 for a query without any."""
+    best = hits.groupBy("query_id").agg(F.max("score").alias("max_score"))
+    return queries.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce("max_score", F.lit(0.0)).alias("max_score"))
+
+
 def rerank_fused(
     candidates: DataFrame, specs: DataFrame, n: int = 6, per_source: int = 2, k: int = 60,
     scorer: Callable[[Column, Column], Column] = overlap_scorer, query_chars: int = 200,

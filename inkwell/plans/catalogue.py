@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from inkwell.plans import chunks, graph, relational, retrieval, scalars, streams
+from inkwell.plans import chunks, graph, relational, retrieval, scalars, storage, streams
 
-MODULES = (chunks, graph, relational, retrieval, scalars, streams)
+MODULES = (chunks, graph, relational, retrieval, scalars, storage, streams)
 QUERIES = {name: f for m in MODULES for name, f in m.catalogue.queries.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.catalogue.oracles.items()}

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkwell.operators import graph as G
+from inkwell.operators import relational as R
 from inkwell.operators.ids import container
 from inkwell.plans.base import Catalogue
 
@@ -225,3 +226,120 @@ def canonical_names(t):
     """Merged names take the least one of their group."""
     pairs = t("customer").where("c_custkey % 10 < 7").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 7).alias("b"))
     return G.canonical(pairs)
+
+
+_WALK = """seed as (select min(head) as name from edges where relation = 'O'),
+walk(name, hop) as (select name, 0 from seed union select b, hop + 1 from walk join both_ways on a = name where hop < 1),
+near as (select name, min(hop) as hop from walk group by 1),
+sub as (select min(hop) + 1 as hop, head, relation, tail from edges join near on name in (head, tail) where hop < 2 group by head, relation, tail order by 1, 2, 3, 4 limit 200)"""
+
+
+def _seed(edges):
+    return edges.where("relation = 'O'").agg(F.min("head").alias("name"))
+
+
+@query(f"with recursive {_EDGES}, {_BOTH}, {_WALK} select head as source, tail as target, relation from sub")
+def subgraph_links(t):
+    """G9"""
+    edges = _edges(t)
+    return G.subgraph(edges, _seed(edges), 2)[1]
+
+
+@query(f"with recursive {_EDGES}, {_BOTH}, {_WALK} select head as name from sub union select tail from sub")
+def subgraph_nodes(t):
+    """G9, T4"""
+    edges = _edges(t)
+    return G.subgraph(edges, _seed(edges), 2)[0]
+
+
+@query(f"with {_EDGES}, n as (select head as name from edges union select tail from edges) select name, n_regionkey as region from n left join nation on name = n_name")
+def full_graph_nodes(t):
+    """The edges' ends with what their own table says of them."""
+    entities = t("nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    return G.full_graph(_edges(t), entities)[0]
+
+
+@query(f"with {_EDGES} select head as source, tail as target, relation from edges")
+def full_graph_links(t):
+    """G10"""
+    return G.full_graph(_edges(t), t("nation").select(F.col("n_name").alias("name")))[1]
+
+
+@query(f"""with {_EDGES}, m as (select * from edges where (head like '%er#%1%' or tail like '%er#%1%') and relation like '%O%')
+select head, relation, tail from m order by head, relation, tail limit 20 offset 20""")
+def edge_list_page(t):
+    """The second page of edges by parts of names."""
+    rows = G.edge_list(_edges(t), "er#%1", "O").select(*G.KEY)
+    return R.page(rows, [F.asc(c) for c in G.KEY], 2, 20)[0]
+
+
+@query(f"""with {_RAW}, src as (select 'c' || o_orderkey as chunk_id from orders where o_orderpriority = '1-URGENT')
+select distinct head, relation, tail from raw where chunk_id in (select chunk_id from src)""")
+def edges_of_source(t):
+    """Edges that a chunk of one source bears out."""
+    chunks = t("orders").where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("c"), F.col("o_orderkey").cast("string")).alias("chunk_id"))
+    return G.edge_list(_edges(t), chunks=chunks).select(*G.KEY)
+
+
+@query(f"""with {_EDGES}, ends as (select head as name, relation, 1 as o, 0 as i from edges union all select tail, relation, 0, 1 from edges
+union all select r_name, null, 0, 0 from region), asked as (select n_name as name from nation union select r_name from region)
+select name, sum(o)::bigint as out_degree, sum(i)::bigint as in_degree, coalesce(string_agg(distinct relation, ',' order by relation), '') as relations
+from ends where name in (select name from asked) group by 1""")
+def entity_detail(t):
+    """G11"""
+    asked = t("nation").select(F.col("n_name").alias("name")).union(t("region").select("r_name"))
+    return G.entity_detail(_edges(t), asked).withColumn("relations", F.array_join("relations", ","))
+
+
+@query(f"with {_EDGES} select head, relation, tail, chunk_ids from edges where relation = 'F' and right(head, 1) = '3'")
+def key_triple_lookup(t):
+    """J16"""
+    keys = _raw(t).where("relation = 'F' and right(head, 1) = '3'").select(*G.KEY)
+    return G.edges_by_key(_edges(t), keys).withColumn("chunk_ids", F.array_join("chunk_ids", ","))
+
+
+@query(f"""with {_RAW}, ends as (select seq, head as name, 1 as o, 0 as i, hint from raw union all select seq, tail, 0, 1, 'to ' || hint from raw),
+old as (select name, sum(o) as o, sum(i) as i, max(hint) as g from ends where seq % 2 = 0 group by 1),
+new as (select name, sum(o) as o, sum(i) as i, min(hint) as g from ends where seq % 3 = 0 group by 1)
+select name, (coalesce(old.o, 0) + coalesce(new.o, 0))::bigint as out_degree, (coalesce(old.i, 0) + coalesce(new.i, 0))::bigint as in_degree,
+case when new.o is not null then new.g else old.g end as glosses from old full join new using (name)""")
+def graph_deltas_applied(t):
+    """K5: degrees add up, glosses are replaced."""
+    raw = _raw(t)
+    ends = raw.select("seq", F.col("head").alias("name"), F.lit(1).alias("o"), F.lit(0).alias("i"), "hint").union(
+        raw.select("seq", "tail", F.lit(0), F.lit(1), F.concat(F.lit("to "), "hint"))
+    )
+    part = lambda k, gloss: ends.where(F.col("seq") % k == 0).groupBy("name").agg(
+        F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"), gloss("hint").alias("glosses")
+    )
+    return G.apply_deltas(part(2, F.max), part(3, F.min))
+
+
+@query(f"""with {_EDGES}, kept as (select head, relation, tail, chunk_ids from edges where relation <> 'P'), new as (select n_name as head, 'in' as relation, r_name as tail, 'n1' as chunk_ids
+from nation join region on n_regionkey = r_regionkey), more as (select head, relation, tail, 'n2' as chunk_ids from edges where relation = 'supplied_by')
+select head, relation, tail, string_agg(chunk_ids, ',' order by chunk_ids desc) as chunk_ids from (select * from kept union all select * from new union all select * from more) group by 1, 2, 3""")
+def edge_replace(t):
+    """Edges are deleted by key, others created or given more evidence."""
+    edges = _edges(t)
+    n = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    new = n.select(F.col("n_name").alias("head"), F.lit("in").alias("relation"), F.col("r_name").alias("tail"), F.array(F.lit("n1")).alias("chunk_ids"))
+    more = edges.where("relation = 'supplied_by'").select(*G.KEY, F.array(F.lit("n2")).alias("chunk_ids"))
+    return G.replace_edge(edges, edges.where("relation = 'P'"), new.union(more), ["chunk_ids"]).withColumn("chunk_ids", F.array_join("chunk_ids", ","))
+
+
+@query("""with h as (select c_nationkey as name, count(*) as n from customer group by 1) select name, n::int as hints,
+case when name % 2 = 0 then n else least(n, 1) end::int as merged, case when name % 2 = 0 then 'new' else 'old' end as summary from h""")
+def cursor_write_back(t):
+    """G22"""
+    cards = t("customer").groupBy(F.col("c_nationkey").alias("name")).agg(F.collect_list("c_name").alias("hints"))
+    cards = cards.select("name", "hints", F.lit(1).alias("merged"), F.lit("old").alias("summary"))
+    done = G.write_cursor(cards, cards.where("name % 2 = 0").select("name", F.lit("new").alias("summary")))
+    return done.select("name", F.size("hints").alias("hints"), "merged", "summary")
+
+
+@query("""select a as old, 1 + (a - 1) % 7 as new from range(1, 701) r(a)""")
+def canonical_chain(t):
+    """Chains of a hundred names each."""
+    n = t("region").sparkSession.range(1, 694)
+    pairs = n.select(F.col("id").alias("a"), (F.col("id") + 7).alias("b"))
+    return G.canonical(pairs)

@@ -93,10 +93,22 @@ def array_predicates(t):
 @query("""with k as (select distinct lower(substr(p_name, 2, 4)) as kw from part)
 select p_partkey, kw from part join k on contains(lower(p_name), kw) or contains(kw, lower(p_name))""")
 def containment_join(t):
-    """The keyword list is a small side, broadcast by Spark."""
+    """Both ways, by pairs of characters."""
     words = t("part").select(F.lower(F.substring("p_name", 2, 4)).alias("kw")).distinct()
-    name = F.lower("p_name")
-    return t("part").join(words, name.contains(F.col("kw")) | F.col("kw").contains(name)).select("p_partkey", "kw")
+    names = t("part").select("p_partkey", F.lower("p_name").alias("name"))
+    held = R.containing(names, "name", words, "kw").select("p_partkey", "kw")
+    return held.union(R.containing(words, "kw", names, "name").select("p_partkey", "kw")).distinct()
+
+
+@query("""select c_custkey, contains(x, '+') or contains(x, '/*') or contains(x, 'sleep') or contains(x, '%0a') or contains(x, 'user()')
+or contains(x, 'updatexml') or contains(x, 'extractvalue') or contains(x, 'information_schema') or c_custkey % 6 = 0 as refused
+from (select c_custkey, lower(case c_custkey % 6 when 0 then 'a = 1 and b' when 1 then 'SLE EP(9)' when 2 then 'a+b' when 3 then '/ *' when 4 then 'Us er()' else c_name end) as y,
+regexp_replace(y, '\\s', '', 'g') as x from customer)""".replace("\\\\", "\\"))
+def keyword_guard(t):
+    """White space is left out before the search."""
+    k = F.col("c_custkey") % 6
+    text = F.when(k == 0, "a = 1 and b").when(k == 1, "SLE EP(9)").when(k == 2, "a+b").when(k == 3, "/ *").when(k == 4, "Us er()").otherwise(F.col("c_name"))
+    return t("customer").select("c_custkey", R.holds_keyword(text).alias("refused"))
 
 
 _ROLES = [
@@ -134,12 +146,35 @@ def null_dropping_map(t):
     return t("customer").select("c_custkey", F.to_json(F.struct("c_custkey", segment)).alias("row_map"))
 
 
-@query("""select user_id, max(event_id) as last_event, max(ts) as last_seen from events where event_type <> 'logout' and value > 20
-group by user_id""")
+@query("""select 'login_tokens:' || event_id as token, '10.0.0.' || user_id % 5 as ip, 'u' || user_id % 7 as user_name from events
+where event_type in ('login', 'click', 'view', 'error') and user_id % 5 = 2 and user_id % 7 = 3 order by 1 desc""")
 def online_sessions(t):
-    """P28"""
-    rows = t("events").where("event_type <> 'logout' and value > 20")
-    return rows.groupBy("user_id").agg(F.max("event_id").alias("last_event"), F.max("ts").alias("last_seen"))
+    """Keys with a prefix, of one address and one user, last key first."""
+    prefix = F.when(F.col("event_type").isin("login", "click", "view", "error"), "login_tokens:").otherwise("captcha_codes:")
+    rows = t("events").select(
+        F.concat(prefix, F.col("event_id").cast("string")).alias("token"),
+        F.concat(F.lit("10.0.0."), (F.col("user_id") % 5).cast("string")).alias("ip"),
+        F.concat(F.lit("u"), (F.col("user_id") % 7).cast("string")).alias("user_name"),
+    )
+    return R.sessions(rows, "token", "login_tokens:", "10.0.0.2", "u3")
+
+
+@query("""select 'job' || user_id % 9 as job, ts as started, ts + to_milliseconds((value * 10)::int) as ended, (value * 10)::int::bigint as millis, case when event_type = 'error' then '1' else '0' end as status,
+'job' || user_id % 9 || ': ' || (value * 10)::int || ' ms' as message, case when event_type = 'error' then substr(repeat(props, 300), 1, 2000) end as error from events where event_id < 2000""")
+def job_log(t):
+    """M13"""
+    millis = F.bround(F.col("value") * 10, 0).cast("int")
+    runs = t("events").where("event_id < 2000").select(
+        F.concat(F.lit("job"), (F.col("user_id") % 9).cast("string")).alias("job"), F.col("ts").alias("started"),
+        (F.col("ts") + F.make_dt_interval(secs=millis / 1000)).alias("ended"), F.when(F.col("event_type") == "error", F.repeat("props", F.lit(300))).alias("error"),
+    )
+    return R.job_log(runs)
+
+
+@query("select o_orderkey, o_orderstatus from orders where false")
+def truncate_table(t):
+    """K18"""
+    return R.emptied(t("orders").select("o_orderkey", "o_orderstatus"))
 
 
 # -- joins

@@ -368,3 +368,37 @@ def dual_path_search(t):
     asked = asked.select("query_id", F.concat(F.lit("machinery in "), (F.col("query_id") % 25).cast("string")).alias("text"))
     told = names.select(F.col("n_name").alias("name"), F.concat(F.lit("region "), F.col("n_regionkey").cast("string")).alias("summary"))
     return retrieval.dual_path(asked, seeds, rel, edges, told)
+
+
+@query(f"""with {BM25_SQL} select query_id, item_id, score from (select query_id, item_id, score, source from bm join documents on doc_id = item_id)
+where source = (select min(source) from documents) order by query_id, score desc, item_id""")
+def keyword_list(t):
+    """Hits of one source, by score, then by index."""
+    first = t("documents").agg(F.min("source").alias("source"))
+    texts = t("documents").join(F.broadcast(first), "source").select(F.col("doc_id").alias("item_id"))  # one row
+    return _bm25_hits(t).join(texts, "item_id").select("query_id", "item_id", "score").orderBy("query_id", F.desc("score"), "item_id")
+
+
+@query(f"""with {VECTOR_SQL}, best as (select query_id, max(score) as s from vec where query_id % 100 = 0 group by 1)
+select vec_id as query_id, coalesce(s, 0) as max_score from embeddings left join best on query_id = vec_id where vec_id % {ASKED} = 0""")
+def max_scores(t):
+    """The best cosine of a question, 0 without hits."""
+    asked = t("embeddings").where(F.col("vec_id") % ASKED == 0).select(F.col("vec_id").alias("query_id"))
+    return retrieval.max_scores(asked, _vector_hits(t).where("query_id % 100 = 0"))
+
+
+@query("""with h as (select l_partkey % 50 as query_id, l_orderkey * 8 + l_linenumber as item_id, l_extendedprice as score from lineitem where l_orderkey < 3000),
+m as (select query_id, case when item_id % 8 = 0 then item_id else item_id // 8 * 8 end as up, score from h where item_id % 8 = 0 or item_id // 8 % 3 <> 0),
+b as (select query_id, up as item_id, max(score) as score from m group by 1, 2)
+select query_id, item_id, score, (row_number() over (partition by query_id order by score desc, item_id))::integer as rank from b""")
+def parent_mapping(t):
+    """Children give way to their parents; hits without a known parent go."""
+    hits = t("lineitem").where("l_orderkey < 3000").select(
+        (F.col("l_partkey") % 50).alias("query_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("item_id"), F.col("l_extendedprice").alias("score")
+    )
+    up = F.expr("item_id div 8 * 8")
+    kids = hits.select("item_id").distinct().select("item_id", F.when(F.col("item_id") % 8 == 0, "parent").otherwise("child").alias("chunk_type"), up.alias("parent"))
+    parents = hits.select(up.alias("item_id")).distinct().where("item_id div 8 % 3 != 0 or item_id in (-1)")
+    extra = parents.join(kids.where("chunk_type = 'parent'").select("item_id"), "item_id", "left_anti")
+    chunks = kids.union(extra.select("item_id", F.lit("parent"), F.lit(None).cast("long")))
+    return retrieval.to_parents(hits, ["query_id"], chunks)

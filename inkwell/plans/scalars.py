@@ -103,16 +103,16 @@ def parse_dates(t):
     return t("orders").select("o_orderkey", F.date_format(read, "yyyy-MM-dd").alias("day"))
 
 
-@query("""select p_partkey, lower(replace(p_brand, '#', '_')) as snake, 'p' || 'Part' || 'Key' as camel, substr(p_name, 2, length(p_name) - 2) as inner_part,
+@query("""select p_partkey, 'brand_' || lower(replace(p_brand, 'Brand#', '')) || '_name' as snake, 'p' || 'Part' || 'Key' as camel, substr(p_name, 2, length(p_name) - 2) as inner_part,
 len(list_filter(list_transform(string_split(p_type || ', ,' || p_brand, ','), lambda x: trim(x)), lambda x: x <> '')) as items,
 regexp_matches('/part/' || p_partkey, '^/part/[^/]$') as one, regexp_matches('/part/' || p_partkey || '/x', '^/part/.*$') as deep, lpad(p_partkey::varchar, 9, '0') as padded from part""")
 def string_functions(t):
     key = F.col("p_partkey").cast("string")
-    brand = F.regexp_replace("p_brand", "#", "_")
+    brand = F.concat(F.regexp_replace("p_brand", "#", "_"), F.lit("_Name"))
     wrapped = F.concat(F.lit("x{"), F.expr("substring(p_name, 2, length(p_name) - 2)"), F.lit("}"))
     return t("part").select(
         "p_partkey",
-        F.lower(brand).alias("snake"),
+        text.snake_case(F.regexp_replace(brand, "_N", "N")).alias("snake"),
         text.camel_case(F.lit("p_part_key")).alias("camel"),
         text.between_last(wrapped, "{", "}").alias("inner_part"),
         F.size(text.to_list(F.concat_ws(",", "p_type", F.lit(" "), "p_brand"))).cast("long").alias("items"),
@@ -132,3 +132,25 @@ def model_output(t):
     found = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('Sure: ["'), key, F.lit('", "b"] ok'))).otherwise("none")
     answer = F.trim(F.regexp_replace(text.without_thoughts(noisy), "^\n|\n$", ""))
     return t("documents").select("doc_id", answer.alias("answer"), F.array_join(text.json_array(found), "|").alias("listed"))
+
+
+@query("""select c_custkey, 'dear ' || c_name || ', you owe ' || c_mktsegment || ' {} and {}' as filled from customer""")
+def template_fill(t):
+    """`{}` templates: values in turn, what lacks one stays, an escaped mark is plain."""
+    return t("customer").select("c_custkey", text.fill_template("dear {}, you owe {} \\{} and {}", F.col("c_name"), F.col("c_mktsegment")).alias("filled"))
+
+
+@query("""select p_partkey, case when p_partkey % 4 = 3 then null else p_size end as size, case when p_partkey % 4 = 3 then null else p_name end as name,
+case when p_partkey % 4 = 3 then null else p_type || '|' || p_brand end as listed from part""")
+def json_recovery(t):
+    """Objects and lists in bare, fenced and wordy answers."""
+    k = F.col("p_partkey") % 4
+    obj = F.to_json(F.struct(F.col("p_size").alias("size"), F.col("p_name").alias("name")))
+    arr = F.to_json(F.array("p_type", "p_brand"))
+
+    def noisy(x):
+        fenced = F.concat(F.lit("<think>{a [b</think>here:\n```json\n"), x, F.lit("\n```\ndone"))
+        return F.when(k == 0, x).when(k == 1, fenced).when(k == 2, F.concat(F.lit("well, "), x, F.lit(" is it"))).otherwise("nothing")
+
+    found = text.json_object(noisy(obj), "size int, name string")
+    return t("part").select("p_partkey", found["size"].alias("size"), found["name"].alias("name"), F.array_join(text.string_list(noisy(arr)), "|").alias("listed"))

@@ -52,7 +52,7 @@ def checkpointed(df: DataFrame, codec: str | None = None) -> DataFrame:
     of an iteration that number grows until the driver has no memory left for it.  ``codec`` names the
     files' compression where it isn't the session's.
     """
-    path = f"{_folder(df.sparkSession)}/inkwell-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path, compression=codec)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.inkwell_path = path
@@ -64,6 +64,16 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         path = getattr(df, "inkwell_path", None)
         if path:
-            context = df.sparkSession.sparkContext
-            where = context._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+            delete_folder(df.sparkSession, path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it is; nothing happens if there is none."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{_folder(spark)}/inkwell-{uuid.uuid4().hex}"

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
+import sys
 import zipfile
+import zlib
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -14,6 +17,11 @@ from pyspark.sql import functions as F
 # Kinds of files that may be uploaded, and encodings in the order in which they are tried.
 UPLOADS = "txt md csv json html htm pdf doc docx xls xlsx pptx".split()
 ENCODINGS = {"csv": ("utf-8-sig", "utf-8", "gbk"), "text": ("utf-8", "utf-16", "gbk")}
+#: How readers fail on files that are damaged, encrypted or not what their name says.
+UNREADABLE = (
+    ValueError, LookupError, AttributeError, TypeError, RuntimeError, EOFError, OSError,
+    csv.Error, zlib.error, zipfile.BadZipFile, ElementTree.ParseError,
+)
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
@@ -43,7 +51,8 @@ def xlsx_rows(raw: bytes) -> list[list[str]]:
     shared: list[str] = []
     if "xl/sharedStrings.xml" in book.namelist():
         shared = ["".join(t.text or "" for t in s.iter(f"{_S}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
-    sheet = ElementTree.fromstring(book.read("xl/worksheets/sheet1.xml"))
+    sheets = sorted(n for n in book.namelist() if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n))
+    sheet = ElementTree.fromstring(book.read(min(sheets, key=lambda n: (len(n), n))))
     out = []
     for row in sheet.iter(f"{_S}row"):
         cells: list[str] = []
@@ -61,8 +70,7 @@ def xlsx_rows(raw: bytes) -> list[list[str]]:
 
 
 def csv_text(raw: bytes) -> str:
-    import csv
-
+    csv.field_size_limit(sys.maxsize)  # a cell may be as long as its file
     rows = csv.reader(io.StringIO(decode(raw, ENCODINGS["csv"])))
     return "\n".join("\t".join(c.strip() for c in row) for row in rows)
 
@@ -76,7 +84,7 @@ def _to_text(suffix: str, raw: bytes) -> str | None:
         if suffix == "csv":
             return csv_text(raw)
         return None if suffix in ("pdf", "doc", "xls", "pptx") else decode(raw, ENCODINGS["text"])
-    except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError):
+    except UNREADABLE:
         return None
 
 
@@ -111,14 +119,20 @@ def csv_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def spreadsheet_rows(spark: SparkSession, path: str, header: dict[str, str]) -> DataFrame:
-    """Rows of the first sheets under a path, with the columns that ``header`` maps titles to."""
+    """Rows of the first sheets under a path, with the columns that ``header`` maps titles to; unreadable files have none."""
     files = spark.read.format("binaryFile").load(path)
 
     @F.pandas_udf("array<array<string>>")
     def rows(raw: pd.Series) -> pd.Series:
-        return raw.map(xlsx_rows)
+        return raw.map(readable)
+
+    def readable(content: bytes) -> list[list[str]]:
+        try:
+            return xlsx_rows(content)
+        except UNREADABLE:
+            return []
 
-    table = files.select(rows("content").alias("r")).select(F.element_at("r", 1).alias("titles"), F.explode(F.slice(F.col("r"), F.lit(2), F.size("r"))).alias("row"))
+    table = files.select(rows("content").alias("r")).where("size(r) > 0").select(F.element_at("r", 1).alias("titles"), F.explode(F.slice(F.col("r"), F.lit(2), F.size("r"))).alias("row"))
     at = lambda title: F.array_position("titles", title)
     return table.select(*[F.when(at(t) > 0, F.get("row", (at(t) - 1).cast("int"))).alias(c) for t, c in header.items()])
 
@@ -132,8 +146,14 @@ def dataset(spark: SparkSession, path: str) -> DataFrame:
 
 
 def checkpoint(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
-    """The last whole line of each key; half-written lines are skipped."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line"))
+    """The last whole line of each key; half-written lines are skipped.
+
+    Files follow each other by their time of change, then by name; lines by their place in the file.
+    """
+    place = F.struct(
+        "_metadata.file_modification_time", "_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n")
+    )
+    lines = spark.read.text(path).select("value", place.alias("line"))
     rows = lines.select("line", F.from_json("value", schema).alias("r")).where(F.col(f"r.{key}").isNotNull())
     return rows.groupBy(f"r.{key}").agg(F.max_by("r", "line").alias("r")).select("r.*")
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.session import delete_folder
+
 
 def write_state(df: DataFrame, root: str, version: int) -> None:
     """A table's state as a version of its own; writing a version again replaces it, others are untouched."""
@@ -25,13 +27,37 @@ def read_state(spark: SparkSession, root: str, version: int, schema: str) -> Dat
         return spark.createDataFrame([], schema)
 
 
-def rebuild_snapshot(df: DataFrame, root: str, by: str = "kb_id") -> None:
-    """Replaces the partitions that ``df`` has rows of; other containers stay."""
+def rebuild_snapshot(df: DataFrame, root: str, by: str = "kb_id", containers: list | None = None) -> None:
+    """Replaces the partitions that ``df`` has rows of, and empties those of ``containers`` without rows; others stay."""
+    if containers:
+        there = {r[0] for r in df.where(F.col(by).isin(containers)).select(by).distinct().collect()}
+        for container in set(containers) - there:
+            purge_container(df.sparkSession, root, container, by)
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(root)
 
 
-def export_csv(df: DataFrame, path: str, totals: list[str] | None = None) -> None:
-    """Rows with a header, and a last row of totals over the columns named; cells that aren't numbers count as 0."""
+def purge_container(spark: SparkSession, root: str, container: object, by: str = "kb_id") -> None:
+    """Drops one container's partition."""
+    delete_folder(spark, f"{root}/{by}={container}")
+
+
+def produce(events: DataFrame, path: str, topic: str) -> None:
+    """Appends events (kbId, docLogicalKey, ...) to a topic of JSON lines as key ``kb:logicalKey`` and value."""
+    key = F.concat(F.col("kbId").cast("string"), F.lit(":"), F.col("docLogicalKey"))
+    value = F.to_json(F.struct(*events.columns))
+    events.select(key.alias("key"), value.alias("value"), F.lit(topic).alias("topic")).write.mode("append").partitionBy("topic").json(path)
+
+
+def re_embed(rows: DataFrame, text: str, embedder: Callable[[Column], Column], vector: str = "embedding") -> DataFrame:
+    """``rows`` with their vectors computed anew from a text column; keys and payload stay."""
+    return rows.withColumn(vector, embedder(F.col(text)))
+
+
+def export_csv(df: DataFrame, path: str, totals: list[str] | None = None, sheet_rows: int = 65_536) -> None:
+    """Rows with a header, and a last row of totals over the columns named; cells that aren't numbers count as 0.
+
+    Files hold at most ``sheet_rows`` rows, as sheets do.
+    """
     rows = df.select(*[F.col(c).cast("string") for c in df.columns], F.lit(0).alias("__last"))
     if totals:
         total = df.agg(*[
@@ -40,7 +66,7 @@ def export_csv(df: DataFrame, path: str, totals: list[str] | None = None) -> Non
             for c in df.columns
         ])
         rows = rows.union(total.select("*", F.lit(1)))
-    rows.orderBy("__last").drop("__last").write.mode("overwrite").option("header", True).csv(path)
+    rows.orderBy("__last").drop("__last").write.mode("overwrite").option("header", True).option("maxRecordsPerFile", sheet_rows).csv(path)
 
 
 def report(metrics: DataFrame, path: str, numbers: list[str]) -> DataFrame:
@@ -53,10 +79,14 @@ def report(metrics: DataFrame, path: str, numbers: list[str]) -> DataFrame:
 
 
 def for_each_version(root: str, schema: str, change: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that turns version n into n + 1; a batch that is run again gives the same version."""
+    """A foreachBatch function that turns version n into n + 1; a batch that is run again gives the same version.
+
+    The version before the one that was read is deleted: no batch can be run again from it.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         old = read_state(batch.sparkSession, root, batch_id, schema)
         write_state(change(old, batch), root, batch_id + 1)
+        delete_folder(batch.sparkSession, f"{root}/version={batch_id - 1}")
 
     return run

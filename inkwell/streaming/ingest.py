@@ -111,10 +111,14 @@ def session_titles(turns: DataFrame, by: str, order: str, role: str, text: str,
 def session_memory(turns: DataFrame, most: int, ttl_ms: int) -> DataFrame:
     """Stream of turns (session, seq, at in milliseconds) into (session, newest, kept): the turns held after each batch.
 
-    A turn that comes more than ``ttl_ms`` after the session's last one begins anew.
+    A turn that comes more than ``ttl_ms`` after the session's last one begins anew; a session that the watermark is
+    that far beyond is forgotten.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held, last = state.get if state.exists else ([], 0)
         held = list(held)
         for frame in frames:
@@ -122,10 +126,12 @@ def session_memory(turns: DataFrame, most: int, ttl_ms: int) -> DataFrame:
                 held = (held if at - last <= ttl_ms else [])[1 - most :] + [seq]
                 last = at
         state.update((held, last))
+        state.setTimeoutTimestamp(max(last + ttl_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"session": [key[0]], "newest": [held[-1]], "kept": [len(held)]})
 
-    return turns.groupBy("session").applyInPandasWithState(
-        step, "session long, newest long, kept long", "seqs array<long>, last long", "append", GroupStateTimeout.NoTimeout
+    timed = turns.withColumn("__at", F.timestamp_millis("at")).withWatermark("__at", f"{ttl_ms} milliseconds")
+    return timed.groupBy("session").applyInPandasWithState(
+        step, "session long, newest long, kept long", "seqs array<long>, last long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
