@@ -5,8 +5,9 @@ all subdomains if the url's path starts with the rule's path, and the longest fi
 (longest as host + path; of equally long ones the longer host).  Urls that no rule fits get their
 host's verdict:
 
-*   host edges are the links between pages of different hosts (absolute href targets), and for
-    every host an edge to and from its parent domain of two labels or more;
+*   host edges are the links between pages of different hosts (absolute href targets; others lead to
+    the page's own host), each ``LINK`` in weight, and for every host an edge of weight 1 to and from
+    its parent domain of two labels or more, so that hosts under one public suffix share little;
 *   trusted seeds are hosts with pages that rules allow, blocked seeds hosts with pages that rules
     block, each weighed by its number of such pages;
 *   trust is personalised PageRank from the trusted seeds along the edges, distrust the same from the
@@ -40,6 +41,8 @@ RULES = (
 #: Rounds of propagation, the share that follows edges in percent, and what the ranks of all hosts sum to.
 ROUNDS, FOLLOW, WHOLE = 12, 85, 10**12
 THRESHOLD = 1
+#: What a link weighs against an edge to a parent domain.
+LINK = 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"^(?s)(.*?)://([^/?#]*)([^?#]*)"
 _LINK = r"(?i)href\s*=\s*[\"']?(?:https?:)?//([^/?#\"'<>\s]+)"
@@ -69,7 +72,7 @@ def host_edges(judged: DataFrame, pages: DataFrame) -> DataFrame:
     """src, dst and weight of the edges between hosts: links, and both ways to each host's parent domain."""
     links = pages.select("host", F.explode(F.regexp_extract_all("html", F.lit(_LINK), 1)).alias("to"))
     links = links.select(F.col("host").alias("src"), F.translate("to", _UPPER, _LOWER).alias("dst"))
-    links = links.where("src != '' and src != dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    links = links.where("src != '' and src != dst").groupBy("src", "dst").agg((F.count("*") * LINK).alias("weight"))
     hosts = judged.where("host != ''").select("host").distinct()
     labels = F.split("host", r"\.")
     ups = hosts.select(labels.alias("l")).select(
@@ -152,7 +155,7 @@ def oracle_sql(rules: tuple = RULES, rounds: int = ROUNDS, follow: int = FOLLOW,
         "ups as (with recursive up(h) as (select distinct host from judged where host <> '' union "
         "select substr(h, instr(h, '.') + 1) from up where len(string_split(h, '.')) >= 3) "
         "select h as src, substr(h, instr(h, '.') + 1) as dst from up where len(string_split(h, '.')) >= 3)",
-        "edges as materialized (select src, dst, count(*) as weight from links where src <> '' and src <> dst group by all "
+        f"edges as materialized (select src, dst, count(*) * {LINK} as weight from links where src <> '' and src <> dst group by all "
         "union all select src, dst, 1 from ups union all select dst, src, 1 from ups)",
         "seeds as materialized (select host, ruled, count(*) as weight from judged where ruled is not null and host <> '' group by all)",
     ]
