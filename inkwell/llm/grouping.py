@@ -30,7 +30,7 @@ def link_groups(
 ) -> DataFrame:
     """node and component of the items of members (group, id) that ``test`` links.
 
-    ``test`` takes distinct pairs a, b and returns those that are linked.  traits (id, traits) has a row
+    ``test`` takes distinct pairs a, b, where a may be in many of them, and returns those that are linked.  traits (id, traits) has a row
     for each item; ``near`` says by the traits of two items whether they may be linked.
     """
     traits = traits.select(F.col("id").alias("of"), "traits")
@@ -52,8 +52,9 @@ def link_groups(
         discard(apart)
         if pairs.isEmpty():
             continue
-        links = checkpointed(links.union(test(pairs)))
-        tested = checkpointed(tested.union(pairs))
+        other = F.when(F.col("lead") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+        links = checkpointed(links.union(test(pairs.select(F.col("lead").alias("a"), other.alias("b")))))
+        tested = checkpointed(tested.union(pairs.select("a", "b")))
         found = connected_components(links)
     discard(lead, shared)
     return found
@@ -72,7 +73,10 @@ def _apart(shared: DataFrame, found: DataFrame, traits: DataFrame) -> DataFrame:
 
 
 def _pairs(apart: DataFrame, leaders_only: bool, near: Callable[[Column, Column], Column]) -> DataFrame:
-    """Distinct pairs a < b of different components in one group; of each component only its leader meets the others."""
+    """Distinct pairs a < b of different components in one group, and which of both leads the test.
+
+    With ``leaders_only`` of each component only its leader meets the others; it leads, as it has many pairs.
+    """
     left = apart
     if leaders_only:
         left = checkpointed(apart.groupBy("group", "part").agg(F.min_by(F.struct("id", "traits"), "id").alias("l")))
@@ -82,4 +86,5 @@ def _pairs(apart: DataFrame, leaders_only: bool, near: Callable[[Column, Column]
     if not leaders_only:
         fits = fits & (F.col("x") < F.col("id"))
     met = left.join(apart, "group").where(fits)
-    return met.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+    pairs = met.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"), F.col("x").alias("lead"))
+    return pairs.groupBy("a", "b").agg(F.min("lead").alias("lead"))
