@@ -145,9 +145,10 @@ def _compare(percent: int):
 
 def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Of the pairs a, b those whose full shingle sets have 100 * intersection >= percent * union."""
-    sizes = checkpointed(pairs.groupBy(F.col("a").alias("lead")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
-    dealt = pairs.join(sizes, F.col("a") == F.col("lead")).select(
-        "a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), "b"
+    sizes = pairs.groupBy(F.col("a").alias("lead")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    sizes = checkpointed(sizes.where("blocks > 1"))  # few; leaders with one block need no row
+    dealt = pairs.join(sizes, F.col("a") == F.col("lead"), "left").select(
+        "a", F.pmod(F.xxhash64("b"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"), "b"
     )
     dealt = dealt.select("a", "block", F.lit(1).alias("turn"), "b")
     asked = dealt.union(dealt.select("a", "block", F.lit(0).alias("turn"), F.col("a").alias("b")).distinct())
