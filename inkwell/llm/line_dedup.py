@@ -8,8 +8,10 @@ The join cuts every line of length L into TAU + 1 segments.  A line within TAU e
 least one of them unchanged, near the same place, so lines are looked up by (L, segment number,
 segment): each line indexes its own segments and, for every length from its own down to TAU less,
 probes the substrings at the places that the edits before and behind a segment allow.  A task reads
-the keys off prefix sums of a polynomial hash, drops what repeats, and deals them out packed in
-arrays by parts of the key space; one part is sorted at a time.  Lines that share a key are
+the keys off prefix sums of a polynomial hash, once for each line that it meets, and deals them out
+packed in arrays by parts of the key space.  One part is joined at a time: its indexed keys come
+first and are held, one line for each; lines that probe them stream by, so that no segment's lines
+are gathered, however many share it.  Lines that share a key are
 candidates.  Those that lengths and parity maps of trigrams don't rule out are verified with banded bit-parallel edit distance, for many pairs at once, and
 grouped (see ``grouping``).
 
@@ -45,6 +47,10 @@ GRAM, PARITY_BITS = 3, 512
 PART_KEYS, LEAST_PARTS = 400_000, 32
 #: Characters of both sides that are verified at once.
 VERIFY_CHARS = 1 << 20
+#: Keys of one part that are looked up at once.
+LOOKUP_KEYS = 1 << 18
+#: Names of lines that a task remembers to tell which lines it has met; beyond, it forgets them and starts anew.
+SEEN_NAMES = 200_000
 #: Text whose lines are hashed at once; the arrays take some fifty times its bytes.
 LINE_BYTES = 1 << 20
 #: Candidates' names are broadcast to find their lines up to this many, else joined.
@@ -103,12 +109,16 @@ class Lines:
         for at, length in segments(size):
             begin = self.starts + at
             second = mix64(second ^ self.hashes(begin, begin + length))
-        return self.hashes(self.starts, self.ends).view(np.int64), second.view(np.int64)
+        return self.first_names(), second.view(np.int64)
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of the lines' segments (lowest bit 1) and of the substrings they probe (0), and each key's line."""
-        size = self.ends - self.starts
-        line = np.arange(len(size))
+    def first_names(self) -> np.ndarray:
+        """The first hash of every line."""
+        return self.hashes(self.starts, self.ends).view(np.int64)
+
+    def keys(self, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the segments of some lines (lowest bit 1) and of the substrings they probe (0), and each key's line."""
+        starts = self.starts[line]
+        size = self.ends[line] - starts
         keys, lines = [], []
         for less in range(TAU + 1):
             for k, (at, length) in enumerate(segments(size - less)):
@@ -117,7 +127,7 @@ class Lines:
                 for shift in range(-TAU, TAU + 1):
                     place = at + shift
                     ok = (place >= lo) & (place <= hi) & (place >= 0) & (place + length <= size)
-                    begin = (self.starts + place)[ok]
+                    begin = (starts + place)[ok]
                     key = mix64(self.hashes(begin, begin + length[ok]) + ((size[ok] - less) * (TAU + 1) + k).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                     own = np.uint64(less == 0 and shift == 0)
                     keys.append(key & ~np.uint64(1) | own)
@@ -195,71 +205,122 @@ def _name_lines(short: bool):
     return run
 
 
+class Fresh:
+    """Tells which names a task has not met yet."""
+
+    def __init__(self, most: int = SEEN_NAMES) -> None:
+        self.most, self.known = most, np.zeros(0, np.int64)
+
+    def __call__(self, names: np.ndarray) -> np.ndarray:
+        """Places, in their order, where names are met for the first time."""
+        distinct, first = np.unique(names, return_index=True)
+        at = np.searchsorted(self.known, distinct)
+        new = (at == len(self.known)) | (np.append(self.known, 0)[at] != distinct)
+        if len(self.known) + new.sum() > self.most:
+            self.known = distinct
+        else:
+            self.known = np.sort(np.concatenate([self.known, distinct[new]]), kind="stable")
+        return np.sort(first[new])
+
+
 def _deal_keys(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh = Fresh()
         for batch in batches:
             for part in slices(batch, 1, LINE_BYTES):
                 lines = Lines(part.column(1).to_pylist())
-                names, _ = lines.names()
-                _, distinct = np.unique(names, return_index=True)
-                kept = np.zeros(len(names), bool)
-                kept[distinct] = True
-                keys, line = lines.keys()
-                keys, line = keys[kept[line]], line[kept[line]]
-                to = (keys >> np.uint64(33)).astype(np.int64) % parts
+                names = lines.first_names()
+                keys, line = lines.keys(fresh(names))
+                probe, keys = 1 - (keys & np.uint64(1)).astype(np.int64), keys >> np.uint64(1)
+                to = (keys >> np.uint64(32)).astype(np.int64) % parts * 2 + probe
                 order = np.argsort(to, kind="stable")
                 to, keys, line = to[order], keys[order].view(np.int64), names[line[order]]
                 used, first = np.unique(to, return_index=True)
                 offsets = pa.array(np.append(first, len(to)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(used, pa.int64()),
+                        pa.array(used // 2, pa.int64()),
+                        pa.array(used % 2, pa.int64()),
                         pa.ListArray.from_arrays(offsets, pa.array(keys)),
                         pa.ListArray.from_arrays(offsets, pa.array(line)),
                     ],
-                    names=["part", "keys", "lines"],
+                    names=["part", "probe", "keys", "lines"],
                 )
 
     return run
 
 
+class _Index:
+    """The indexed keys of one part: each with its first line, and whether other lines were met."""
+
+    def __init__(self) -> None:
+        self.keys, self.first, self.shared = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def add(self, keys: np.ndarray, lines: np.ndarray) -> pa.RecordBatch:
+        """Indexes keys of lines; the rows (group, id) that this finds."""
+        keys, lines = np.concatenate([self.keys, keys]), np.concatenate([self.first, lines])
+        shared = np.append(self.shared, np.zeros(len(keys) - len(self.keys), bool))
+        order = np.argsort(keys, kind="stable")  # a key's line that is held stays the first
+        keys, lines = keys[order], lines[order]
+        new = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+        at = np.cumsum(new) - 1
+        self.keys, self.first, self.shared = keys[new], lines[new], shared[order][new]
+        other = lines != self.first[at]
+        return self._met(at[other], lines[other])
+
+    def probe(self, keys: np.ndarray, lines: np.ndarray) -> pa.RecordBatch:
+        """Looks up keys of lines; the rows (group, id) that this finds."""
+        at = np.searchsorted(self.keys, keys)
+        hit = np.flatnonzero(at < len(self.keys))
+        hit = hit[self.keys[at[hit]] == keys[hit]]
+        hit = hit[self.first[at[hit]] != lines[hit]]
+        return self._met(at[hit], lines[hit])
+
+    def _met(self, at: np.ndarray, lines: np.ndarray) -> pa.RecordBatch:
+        newly = np.unique(at[~self.shared[at]])
+        self.shared[newly] = True
+        at, lines = np.concatenate([newly, at]), np.concatenate([self.first[newly], lines])
+        order = np.lexsort((lines, at))
+        at, lines = at[order], lines[order]
+        new = np.append(True, (at[1:] != at[:-1]) | (lines[1:] != lines[:-1]))[: len(at)]
+        return pa.RecordBatch.from_arrays([pa.array(self.keys[at[new]]), pa.array(lines[new])], names=["group", "id"])
+
+
 def _match_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by part into (group, id) of the keys that an indexed line shares with another line."""
-    held: dict = {"part": None, "keys": [], "lines": []}
-
-    def out() -> pa.RecordBatch:
-        keys = np.concatenate(held["keys"]).view(np.uint64)
-        lines = np.concatenate(held["lines"])
-        order = np.lexsort((lines, keys >> np.uint64(1)))
-        group, owns, lines = keys[order] >> np.uint64(1), keys[order] & np.uint64(1), lines[order]
-        new_group = np.append(True, group[1:] != group[:-1])
-        new = new_group | np.append(True, lines[1:] != lines[:-1])
-        number = np.cumsum(new_group) - 1
-        shared = (np.bincount(number, new) > 1) & (np.bincount(number, owns) > 0)
-        keep = new & shared[number]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(group[keep].view(np.int64)), pa.array(lines[keep])], names=["group", "id"]
-        )
+    """Rows sorted by part, indexed keys first, into (group, id) of the keys that an indexed line shares with another.
+
+    A row may come out more than once.
+    """
+    now, index, keys, lines, held = (None, None), _Index(), [], [], 0
+
+    def found() -> pa.RecordBatch:
+        look = index.probe if now[1] else index.add
+        return look(np.concatenate(keys), np.concatenate(lines))
 
     for batch in batches:
-        for k, part in enumerate(batch.column(0).to_pylist()):
-            if part != held["part"]:
-                if held["keys"]:
-                    yield out()
-                held.update(part=part, keys=[], lines=[])
-            held["keys"].append(batch.column(1)[k].values.to_numpy(zero_copy_only=False))
-            held["lines"].append(batch.column(2)[k].values.to_numpy(zero_copy_only=False))
-    if held["keys"]:
-        yield out()
+        for k, row in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            if held and (row != now or held >= LOOKUP_KEYS):
+                yield found()
+                keys, lines, held = [], [], 0
+            if row[0] != now[0]:
+                index = _Index()
+            now = row
+            keys.append(batch.column(2)[k].values.to_numpy(zero_copy_only=False))
+            lines.append(batch.column(3)[k].values.to_numpy(zero_copy_only=False))
+            held += len(keys[-1])
+    if held:
+        yield found()
 
 
 def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    fresh = Fresh()
     for batch in batches:
         for part in slices(batch, 1, LINE_BYTES):
             texts = part.column(1).to_pylist()
             lines = Lines(texts)
-            names, _ = lines.names()
-            names, first = np.unique(names, return_index=True)
+            names = lines.first_names()
+            first = fresh(names)
+            names = names[first]
             base = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])[lines.owner[first]]
             cut = [texts[o][s:e] for o, s, e in zip(lines.owner[first].tolist(), (lines.starts[first] - base).tolist(), (lines.ends[first] - base).tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(cut, pa.string())], names=["name", "text"])
@@ -322,8 +383,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lines = checkpointed(rows.mapInArrow(_name_lines(whole), "doc_id long, line int, name long, check long"))
     total = lines.count()
     parts = max(LEAST_PARTS, total * 12 // PART_KEYS)
-    dealt = rows.mapInArrow(_deal_keys(parts), "part long, keys array<long>, lines array<long>")
-    dealt = dealt.repartition(parts, "part").sortWithinPartitions("part")
+    dealt = rows.mapInArrow(_deal_keys(parts), "part long, probe long, keys array<long>, lines array<long>")
+    dealt = dealt.repartition(parts, "part").sortWithinPartitions("part", "probe")
     members = checkpointed(dealt.mapInArrow(_match_keys, "group long, id long"))
     names = members.select("id").distinct()
     names = checkpointed(names)

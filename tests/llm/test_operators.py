@@ -576,6 +576,39 @@ def test_line_parity_maps_bound_the_edits():
             assert differ <= 2 * line_dedup.GRAM * line_dedup.TAU
 
 
+@pytest.mark.parametrize("at_once", [1, 7, 1 << 18])
+def test_keys_are_matched_whatever_fits_at_once(monkeypatch, at_once):
+    monkeypatch.setattr(line_dedup, "LOOKUP_KEYS", at_once)
+    rng = random.Random(at_once)
+    rows, held = [], defaultdict(lambda: (set(), set()))
+    for part in range(4):
+        for probe in (0, 1):
+            for _ in range(rng.randint(0, 9)):
+                pairs = [(part + 4 * min(rng.randint(0, 30), rng.randint(0, 30)), rng.randint(-5, 60)) for _ in range(rng.randint(1, 12))]
+                rows.append((part, probe, [k for k, _ in pairs], [x for _, x in pairs]))
+                for k, x in pairs:
+                    held[k][probe].add(x)
+    expected = {(k, x) for k, (own, met) in held.items() if own and len(own | met) > 1 for x in own | met}
+    table = pa.table({n: [r[k] for r in rows] for k, n in enumerate(["part", "probe", "keys", "lines"])})
+    found = [tuple(r.values()) for b in line_dedup._match_keys(iter(table.to_batches(max_chunksize=5))) for r in b.to_pylist()]
+    assert expected and set(found) == expected
+    assert not list(line_dedup._match_keys(iter([])))
+
+
+def test_a_task_tells_the_lines_it_has_met():
+    rng = np.random.default_rng(4)
+    fresh, met = line_dedup.Fresh(50), []
+    for _ in range(40):
+        names = rng.integers(-30, 30, rng.integers(0, 12))
+        places = fresh(names)
+        assert len(set(names[places])) == len(places) and len(fresh.known) <= 50
+        met += names[places].tolist()
+        assert set(names) <= set(met)
+    assert len(met) > len(set(met))  # it forgets, and then tells them again
+    plain = line_dedup.Fresh()
+    assert plain(np.array([5, 3, 5])).tolist() == [0, 1] and plain(np.array([3, 9, 5])).tolist() == [1]
+
+
 def test_line_dedup(spark, odd_docs):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 7)))
