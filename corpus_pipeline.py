@@ -63,7 +63,7 @@ STAGES = [
     ("line dedup", cut_repeated_lines),
     ("MinHash near-dedup", keep_one_of_copies),
     ("benchmark decontamination", keep_uncontaminated),
-    ("SentencePiece encoding", encode_pieces),
+    ("SentencePiece encoding and decoding", encode_pieces),
 ]
 #: The classifier and the encoder have no form in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
