@@ -12,6 +12,7 @@ from inkwell.llm import (
     html_text,
     language_id,
     line_dedup,
+    merkle,
     near_dedup,
     quality,
     sentencepiece_codec,
@@ -109,6 +110,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_lines", "n_long", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -122,10 +127,12 @@ QUERIES = {
         op8_html_text,
         op9_language_id,
         op10_line_dedup,
+        op12_merkle,
     )
 }
 ORACLES = {
     "op2_url_filter": url_filter.oracle_sql(),
     "op5_decontaminate": decontaminate.oracle_sql(),
     "op7_near_dedup": near_dedup.oracle_sql(),
+    "op12_merkle": merkle.oracle_sql(),
 }
