@@ -14,6 +14,7 @@ from inkwell.llm import (
     line_dedup,
     merkle,
     near_dedup,
+    periodic_runs,
     quality,
     sentencepiece_codec,
     token_counts,
@@ -114,6 +115,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), rewrite=True)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -128,6 +133,7 @@ QUERIES = {
         op9_language_id,
         op10_line_dedup,
         op12_merkle,
+        op13_periodic_runs,
     )
 }
 ORACLES = {
@@ -135,4 +141,5 @@ ORACLES = {
     "op5_decontaminate": decontaminate.oracle_sql(),
     "op7_near_dedup": near_dedup.oracle_sql(),
     "op12_merkle": merkle.oracle_sql(),
+    "op13_periodic_runs": periodic_runs.oracle_sql(),
 }
