@@ -16,6 +16,7 @@ from inkwell.llm import (
     near_dedup,
     periodic_runs,
     quality,
+    secret_scan,
     sentencepiece_codec,
     token_counts,
     url_filter,
@@ -111,6 +112,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_lines", "n_long", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -132,6 +137,7 @@ QUERIES = {
         op8_html_text,
         op9_language_id,
         op10_line_dedup,
+        op11_secrets,
         op12_merkle,
         op13_periodic_runs,
     )
@@ -140,6 +146,7 @@ ORACLES = {
     "op2_url_filter": url_filter.oracle_sql(),
     "op5_decontaminate": decontaminate.oracle_sql(),
     "op7_near_dedup": near_dedup.oracle_sql(),
+    "op11_secrets": secret_scan.oracle_sql(),
     "op12_merkle": merkle.oracle_sql(),
     "op13_periodic_runs": periodic_runs.oracle_sql(),
 }
