@@ -100,7 +100,7 @@ def test_collapsed_and_rewritten():
 
 def test_defined_results(spark):
     long = " ".join(f"w{k % 700}" for k in range(100_000))
-    rows = [(1, None), (2, ""), (3, " \t\n\x0b\x0c\r "), (4, long), (5, "Ab ab " * 20), (5, "Ab ab " * 20), (None, "z " * 12), (6, "z " * 11)]
+    rows = [(1, None), (2, ""), (3, " \t\n\x0b\x0c\r "), (4, long), (5, "Ab\u00a0ab Ab ab " * 10), (5, "Ab\u00a0ab Ab ab " * 10), (None, "z " * 12), (6, "z " * 11)]
     docs = spark.createDataFrame([(a, b, 1, 2) for a, b in rows], "doc_id long, text string, `a.b` int, length int")
     found = {r.doc_id: r for r in periodic_runs.periodic_runs(docs).collect()}
     nothing = hashlib.sha256(b"").hexdigest()
