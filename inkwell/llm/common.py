@@ -27,11 +27,20 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The same columns under the names c0, c1, and so on; whatever they were called, none clashes."""
+    return docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+
+
+def number(docs: DataFrame, name: str) -> str:
+    """What ``numbered`` calls the column of exactly this name."""
+    return f"c{docs.columns.index(name)}"
+
+
 def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns that an operator reads; whatever else the table carries stays behind."""
-    return small_batches(docs).select(
-        docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")
-    )
+    text = F.coalesce(F.col(number(docs, text_col)).cast("string"), F.lit(""))
+    return numbered(small_batches(docs)).select(F.col(number(docs, id_col)).cast("long").alias("doc_id"), text.alias("text"))
 
 
 def slices(batch: pa.RecordBatch, column: int = 1, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -1,29 +1,30 @@
 """Line dedup (operator 10): segment-partition edit join.
 
-Lines of at least ``MIN_CHARS`` characters are compared over the whole corpus.  Two lines are linked
-if their edit distance is at most ``TAU``; linked lines form classes; of each class the first line
-(by doc_id, then position) stays and the others are cut out of their texts.
-
-The join cuts every line of length L into TAU + 1 segments.  A line within TAU edits of it has at
-least one of them unchanged, near the same place, so lines are looked up by (L, segment number,
+All lines that aren't blank are compared over the whole corpus.  Two lines are linked if their edit
+distance is at most what the shorter one allows: an edit for every ``EDIT_CHARS`` characters, ``TAU`` at
+most (so none below ``EDIT_CHARS``, where two edits would turn one word into another).  Linked lines
+form classes; of each class the first line (by doc_id, then position) stays and the others are cut out
+of their texts.  Blank lines part paragraphs and are neither compared nor cut.
+
+The join cuts a line that allows t edits into t + 1 segments.  A longer line within t edits of it has
+at least one of them unchanged, near the same place, so lines are looked up by (length, segment number,
 segment): each line indexes its own segments and, for every length from its own down to TAU less,
-probes the substrings at the places that the edits before and behind a segment allow.  A task reads
+probes the substrings at the places that the edits before and behind a segment allow.  A line that
+allows none has one segment, itself: its links are its equals, which bear its name.  A task reads
 the keys off prefix sums of a polynomial hash, once for each line that it meets, and deals them out
 packed in arrays by parts of the key space.  One part is joined at a time: its indexed keys come
 first and are held, one line for each; lines that probe them stream by, so that no segment's lines
-are gathered, however many share it.  Lines that share a key are
-candidates.  Those that lengths and parity maps of trigrams don't rule out are verified with banded bit-parallel edit distance, for many pairs at once, and
-grouped (see ``grouping``).
-
-Shorter lines are compared exactly, if asked for (``whole``): of equal ones the first stays.  Blank
-lines part paragraphs and are neither compared nor cut.
+are gathered, however many share it.  Lines that share a key are candidates.  Those that lengths and
+parity maps of trigrams don't rule out are verified with banded bit-parallel edit distance, for many
+pairs at once, and grouped (see ``grouping``).  Of two very long lines equal stretches are skipped
+whole, and only the edits are tried.
 
 Lines are named by 64-bit hashes in the join; exact repeats are told by 128 bits.
 
 Defined results: a null text stays null and an empty one empty; rows with a null id are neither
 compared nor changed; rows that repeat an id are one document, whose equal lines at one position
-are one line; a table without long lines comes back unchanged; an empty table gives an empty result;
-all columns of the table are kept as they are, but for the text.
+are one line; a table of blank lines comes back unchanged; an empty table gives an empty result;
+all columns of the table are kept as they are, whatever their names, but for the text.
 """
 
 from __future__ import annotations
@@ -36,17 +37,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.common import mix64, slices, small_batches
+from inkwell.llm.common import mix64, number, numbered, slices, small_batches
 from inkwell.llm.grouping import link_groups
 from inkwell.session import checkpointed
 
-TAU, MIN_CHARS = 2, 24
+TAU, EDIT_CHARS = 2, 12
 #: Characters of the grams, and bits, of a line's parity map: bit k says whether an odd number of grams falls on k.
 GRAM, PARITY_BITS = 3, 512
 #: Keys that one part of the key space holds about, and the parts at least.
 PART_KEYS, LEAST_PARTS = 400_000, 32
 #: Characters of both sides that are verified at once.
 VERIFY_CHARS = 1 << 20
+#: Characters from which on two lines are compared by equal stretches.
+LONG_LINE = 1 << 14
 #: Keys of one part that are looked up at once.
 LOOKUP_KEYS = 1 << 18
 #: Names of lines that a task remembers to tell which lines it has met; beyond, it forgets them and starts anew.
@@ -71,13 +74,15 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
-class Lines:
-    """The long lines of some texts: where each begins and ends among all characters, its text and its number there.
+def allowed(size: np.ndarray) -> np.ndarray:
+    """The edits that lines of these lengths allow."""
+    return np.minimum(TAU, size // EDIT_CHARS)
 
-    With ``short``, the shorter lines that aren't blank too.
-    """
 
-    def __init__(self, texts: list[str], short: bool = False) -> None:
+class Lines:
+    """The lines of some texts that aren't blank: where each begins and ends among all characters, its text and its number there."""
+
+    def __init__(self, texts: list[str]) -> None:
         self.chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         n = len(self.chars)
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
@@ -89,10 +94,8 @@ class Lines:
         ends = np.minimum(after, offsets[owner + 1])
         first = np.searchsorted(owner, owner)  # the text's first line
         number = np.arange(len(starts)) - first
-        taken = ends - starts >= MIN_CHARS
-        if short:
-            ink = np.append(0, np.cumsum(~_SPACE[np.minimum(self.chars, len(_SPACE) - 1)], dtype=np.int64))
-            taken |= ink[ends] > ink[starts]
+        ink = np.append(0, np.cumsum(~_SPACE[np.minimum(self.chars, len(_SPACE) - 1)], dtype=np.int64))
+        taken = ink[ends] > ink[starts]
         self.starts, self.ends, self.owner, self.number = starts[taken], ends[taken], owner[taken], number[taken]
         self.up, self.down = _power(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
@@ -117,44 +120,73 @@ class Lines:
 
     def keys(self, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the segments of some lines (lowest bit 1) and of the substrings they probe (0), and each key's line."""
-        starts = self.starts[line]
-        size = self.ends[line] - starts
-        keys, lines = [], []
-        for less in range(TAU + 1):
-            for k, (at, length) in enumerate(segments(size - less)):
-                lo = np.maximum(at - k, at + less - (TAU - k))
-                hi = np.minimum(at + k, at + less + (TAU - k))
-                for shift in range(-TAU, TAU + 1):
+        keys, lines = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for less, edits in ((x, t) for t in range(1, TAU + 1) for x in range(t + 1)):
+            some = line[allowed(self.ends[line] - self.starts[line] - less) == edits]
+            starts = self.starts[some]
+            size = self.ends[some] - starts
+            for k, (at, length) in enumerate(segments(size - less, edits + 1)):
+                lo = np.maximum(at - k, at + less - (edits - k))
+                hi = np.minimum(at + k, at + less + (edits - k))
+                for shift in range(-edits, edits + 1):
                     place = at + shift
                     ok = (place >= lo) & (place <= hi) & (place >= 0) & (place + length <= size)
                     begin = (starts + place)[ok]
                     key = mix64(self.hashes(begin, begin + length[ok]) + ((size[ok] - less) * (TAU + 1) + k).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                     own = np.uint64(less == 0 and shift == 0)
                     keys.append(key & ~np.uint64(1) | own)
-                    lines.append(line[ok])
+                    lines.append(some[ok])
         return np.concatenate(keys), np.concatenate(lines)
 
 
-def segments(size: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Place and length of each of the TAU + 1 segments of lines of these lengths; the last ones are longer."""
-    short, longer = size // (TAU + 1), size % (TAU + 1)
+def segments(size: np.ndarray, many: int = TAU + 1) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Place and length of each of so many segments of lines of these lengths; the last ones are longer."""
+    short, longer = size // many, size % many
     out, at = [], np.zeros_like(size)
-    for k in range(TAU + 1):
-        length = short + (k >= TAU + 1 - longer)
+    for k in range(many):
+        length = short + (k >= many - longer)
         out.append((at, length))
         at = at + length
     return out
 
 
-def within(left: list[str], right: list[str], tau: int = TAU) -> np.ndarray:
-    """For each pair of texts whether their edit distance is at most ``tau``: banded and bit-parallel.
+def near(a: str, b: str, edits: int) -> bool:
+    """Whether two texts are within so many edits: what both begin with is skipped, then each edit is tried."""
+    lo, hi = 0, min(len(a), len(b)) + 1
+    step = 1 << 10
+    while hi - lo > 1:  # they are equal up to lo
+        at = min(lo + step, hi - 1)
+        if a[lo:at] == b[lo:at]:
+            lo, step = at, step * 2
+        else:
+            hi, step = at, max(1, (at - lo) // 2)
+    a, b = a[lo:], b[lo:]
+    if not a or not b or not edits:
+        return len(a) + len(b) <= edits
+    return near(a[1:], b[1:], edits - 1) or near(a[1:], b, edits - 1) or near(a, b[1:], edits - 1)
+
+
+def linked(left: list[str], right: list[str]) -> np.ndarray:
+    """For each pair of texts whether they are within the edits that the shorter one allows."""
+    edits = allowed(np.array([min(len(a), len(b)) for a, b in zip(left, right)], np.int64))
+    out = np.zeros(len(left), bool)
+    short = np.array([max(len(a), len(b)) < LONG_LINE for a, b in zip(left, right)], bool)
+    for k in np.flatnonzero(~short).tolist():
+        out[k] = abs(len(left[k]) - len(right[k])) <= edits[k] and near(left[k], right[k], int(edits[k]))
+    some = np.flatnonzero(short).tolist()
+    out[some] = distances([left[k] for k in some], [right[k] for k in some]) <= edits[some]
+    return out
+
+
+def distances(left: list[str], right: list[str], tau: int = TAU) -> np.ndarray:
+    """For each pair of texts their edit distance, if it is at most ``tau``, else more than that: banded and bit-parallel.
 
     Bit k of a pair's vectors stands for row j - tau + k of column j.  The distance is followed down
     the band's last diagonal to the last row of the left text, then along that row.
     """
     n = len(left)
     if not n:
-        return np.zeros(0, bool)
+        return np.zeros(0, np.int64)
     rows, columns = np.array([len(x) for x in left]), np.array([len(x) for x in right])
     swap = rows > columns
     left, right = [b if s else a for a, b, s in zip(left, right, swap)], [a if s else b for a, b, s in zip(left, right, swap)]
@@ -185,24 +217,21 @@ def within(left: list[str], right: list[str], tau: int = TAU) -> np.ndarray:
         distance += np.where(along, (right_plus >> bit & one).astype(np.int64) - (right_minus >> bit & one).astype(np.int64), 0)
         shifted = same >> one
         plus, minus = (right_minus | ~(shifted | right_plus)) & full, shifted & right_plus
-    return distance <= tau
+    return distance
 
 
-def _name_lines(short: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            at = 0
-            for part in slices(batch, 1, LINE_BYTES):
-                lines = Lines(part.column(1).to_pylist(), short)
-                first, second = lines.names()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[at + lines.owner]), pa.array(lines.number, pa.int32()), pa.array(first), pa.array(second)],
-                    names=["doc_id", "line", "name", "check"],
-                )
-                at += part.num_rows
-
-    return run
+def _name_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        at = 0
+        for part in slices(batch, 1, LINE_BYTES):
+            lines = Lines(part.column(1).to_pylist())
+            first, second = lines.names()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[at + lines.owner]), pa.array(lines.number, pa.int32()), pa.array(first), pa.array(second)],
+                names=["doc_id", "line", "name", "check"],
+            )
+            at += part.num_rows
 
 
 class Fresh:
@@ -328,7 +357,7 @@ def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def parity(lines: Lines) -> np.ndarray:
     """The parity maps of the long lines, a row each."""
-    many = lines.ends - lines.starts - GRAM + 1
+    many = np.maximum(0, lines.ends - lines.starts - GRAM + 1)
     owner = np.repeat(np.arange(len(many)), many)
     at = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + lines.starts[owner]
     falls = (lines.hashes(at, at + GRAM) >> np.uint64(20)).astype(np.int64) % PARITY_BITS
@@ -337,12 +366,13 @@ def parity(lines: Lines) -> np.ndarray:
 
 
 def may_be_linked(x: Column, y: Column) -> Column:
-    """Whether traits (n, parity) of two lines leave it open that they are within TAU edits.
+    """Whether traits (n, parity) of two lines leave it open that they are within the edits that the shorter one allows.
 
     An edit adds or takes one character at most, and GRAM grams on either side.
     """
     differ = sum(F.bit_count(F.get(x["parity"], k).bitwiseXOR(F.get(y["parity"], k))) for k in range(PARITY_BITS // 64))
-    return (F.abs(x["n"] - y["n"]) <= TAU) & (differ <= 2 * GRAM * TAU)
+    edits = F.least(F.lit(TAU), F.floor(F.least(x["n"], y["n"]) / EDIT_CHARS))
+    return (F.abs(x["n"] - y["n"]) <= edits) & (differ <= 2 * GRAM * edits)
 
 
 def _traits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,21 +396,20 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             while hi < len(order) and (hi - lo + 1) * (len(left[order[hi]]) + len(right[order[hi]])) <= VERIFY_CHARS:
                 hi += 1
             some = order[lo:hi]
-            kept += [some[k] for k in np.flatnonzero(within([left[k] for k in some], [right[k] for k in some]))]
+            kept += [some[k] for k in np.flatnonzero(linked([left[k] for k in some], [right[k] for k in some]))]
             lo = hi
         yield pa.RecordBatch.from_arrays(
             [pa.array([a[k] for k in kept], pa.int64()), pa.array([b[k] for k in kept], pa.int64())], names=["a", "b"]
         )
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
-    """doc_id, line, name, first_doc, first_line: every long line that repeats an earlier one of its class.
-
-    With ``whole``, every shorter line too that equals an earlier one.
-    """
-    rows = small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, line, name, first_doc, first_line: every line that repeats an earlier one of its class."""
+    rows = numbered(small_batches(docs)).select(
+        F.col(number(docs, id_col)).cast("long").alias("doc_id"), F.col(number(docs, text_col)).cast("string").alias("text")
+    )
     rows = rows.where("doc_id is not null and text is not null")
-    lines = checkpointed(rows.mapInArrow(_name_lines(whole), "doc_id long, line int, name long, check long"))
+    lines = checkpointed(rows.mapInArrow(_name_lines, "doc_id long, line int, name long, check long"))
     total = lines.count()
     parts = max(LEAST_PARTS, total * 12 // PART_KEYS)
     dealt = rows.mapInArrow(_deal_keys(parts), "part long, probe long, keys array<long>, lines array<long>")
@@ -419,10 +448,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-COUNTS = "n_lines int, n_long int, n_removed int"
+COUNTS = "n_lines int, n_compared int, n_removed int, n_short int"
 
 
-def _cut(text_at: int, counts: bool, short: bool):
+def _cut(text_at: int, counts: bool):
     """Rows whose last two columns list the lines to cut from the text at ``text_at``, and these lines' names.
 
     With ``counts``, every row comes out, with COUNTS behind its other columns; else those of which something is left.
@@ -432,32 +461,34 @@ def _cut(text_at: int, counts: bool, short: bool):
         for batch in batches:
             for part in slices(batch, text_at, LINE_BYTES):
                 texts, drops, known = (part.column(k).to_pylist() for k in (text_at, part.num_columns - 2, part.num_columns - 1))
-                gone = _found(texts, drops, known, short)
-                n_lines = [t.count("\n") + 1 if t else 0 for t in texts]
-                n_long = [0] * len(texts)
-                if counts or not short:
-                    n_long = [sum(len(x) >= MIN_CHARS for x in t.split("\n")) if t else 0 for t in texts]
-                for k, lines in gone.items():
-                    texts[k] = "\n".join(x for n, x in enumerate(texts[k].split("\n")) if n not in lines)
+                gone = _found(texts, drops, known)
+                numbers = [[0, 0, 0, 0] for _ in texts]
+                for k, text in enumerate(texts):
+                    if text and (counts or k in gone):
+                        lines, drop = text.split("\n"), gone.get(k, ())
+                        if counts:
+                            removed = [lines[n] for n in drop]
+                            short = sum(len(x) < TAU * EDIT_CHARS for x in removed)
+                            numbers[k] = [len(lines), sum(not x.isspace() for x in lines if x), len(removed), short]
+                        texts[k] = "\n".join(x for n, x in enumerate(lines) if n not in drop)
                 columns = part.columns[:-2]
                 columns[text_at] = pa.array(texts, pa.string())
                 if counts:
-                    removed = [len(gone.get(k, ())) for k in range(len(texts))]
-                    columns += [pa.array(x, pa.int32()) for x in (n_lines, n_long, removed)]
+                    columns += [pa.array(x, pa.int32()) for x in zip(*numbers)]
                     yield pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(len(columns))])
                 else:
-                    left = pa.array([k not in gone or (bool(texts[k]) and not texts[k].isspace() if short else len(gone[k]) < n_long[k]) for k in range(len(texts))], pa.bool_())
+                    left = pa.array([k not in gone or bool(t and not t.isspace()) for k, t in enumerate(texts)], pa.bool_())
                     yield pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(len(columns))]).filter(left)
 
     return run
 
 
-def _found(texts: list[str | None], drops: list, known: list, short: bool) -> dict[int, set[int]]:
+def _found(texts: list[str | None], drops: list, known: list) -> dict[int, set[int]]:
     """For each text with lines to cut, those that bear the names given; another text under the same id may lack them."""
     asked = [k for k, drop in enumerate(drops) if drop and texts[k]]
     if not asked:
         return {}
-    lines = Lines([texts[k] for k in asked], short)
+    lines = Lines([texts[k] for k in asked])
     place = lines.owner << 32 | lines.number
     wanted = np.concatenate([np.array(drops[k], np.int64) | i << 32 for i, k in enumerate(asked)])
     names = np.concatenate([np.array(known[k], np.int64) for k in asked])
@@ -471,25 +502,22 @@ def _found(texts: list[str | None], drops: list, known: list, short: bool) -> di
     return gone
 
 
-def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False
-) -> tuple[DataFrame, DataFrame]:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The documents without their repeated lines, as (kept, counted).
 
-    ``kept`` has the columns of docs; a document whose long lines were all cut out is left out.  With
-    ``whole``, as the registered queries call it, exact repeats of shorter lines are cut as well, and
-    only a document of which nothing but blank lines is left after a cut is left out.
-    ``counted`` has doc_id, n_lines, n_long, n_removed, text (what is left) for every document.
+    ``kept`` has the columns of docs; a document of which nothing but blank lines is left after a cut is
+    left out.  ``counted`` has doc_id, n_lines, n_compared (lines that aren't blank), n_removed, n_short
+    (of those removed the ones that are too short to allow all TAU edits) and text (what is left) for
+    every document.
     """
-    gone = repeated_lines(docs, id_col, text_col, whole).groupBy(F.col("doc_id").alias("__doc")).agg(
-        F.collect_list("line").alias("__lines"), F.collect_list("name").alias("__names")
+    gone = repeated_lines(docs, id_col, text_col).groupBy("doc_id").agg(
+        F.collect_list("line").alias("lines"), F.collect_list("name").alias("names")
     )
     gone = checkpointed(gone)
-    joined = docs.join(gone, docs[id_col].cast("long") == gone["__doc"], "left")
-    text = docs[text_col].cast("string")
-    rows = joined.select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns), "__lines", "__names")
-    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in docs.schema])
-    kept = rows.mapInArrow(_cut(docs.columns.index(text_col), False, whole), schema)
-    brief = joined.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), "__lines", "__names")
-    counted = brief.mapInArrow(_cut(1, True, whole), f"doc_id long, text string, {COUNTS}")
-    return kept, counted.select("doc_id", "n_lines", "n_long", "n_removed", "text")
+    rows, doc_id, text = numbered(docs), F.col(number(docs, id_col)).cast("long"), number(docs, text_col)
+    joined = rows.join(gone, doc_id == gone["doc_id"], "left").withColumn(text, F.col(text).cast("string"))
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f"c{k}" == text else f.dataType) for k, f in enumerate(docs.schema)])
+    kept = joined.select(*rows.columns, "lines", "names").mapInArrow(_cut(rows.columns.index(text), False), schema)
+    brief = joined.select(doc_id.alias("doc_id"), F.col(text).alias("text"), "lines", "names")
+    counted = brief.mapInArrow(_cut(1, True), f"doc_id long, text string, {COUNTS}")
+    return kept, counted.select("doc_id", "n_lines", "n_compared", "n_removed", "n_short", "text")

@@ -29,6 +29,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.llm.common import number, numbered
 from inkwell.session import checkpointed, discard
 
 #: Nodes that have a parent together, and characters of a digest.
@@ -184,11 +185,12 @@ def manifest(docs: DataFrame) -> DataFrame:
     those that ``tampered_ids`` names is lower-cased, with the siblings as they were, and ``verified``
     whether that is the root.
     """
-    columns = [docs[c] for c in HASHED]
-    changed = digest_of(*columns[:-1], lower_ascii(docs["text"].cast("string")))
-    leaves = docs.select(
-        docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), digest_of(*columns).alias("digest"),
-        F.when(tampered_ids(docs["doc_id"]) & docs["text"].isNotNull(), changed).alias("changed"),
+    columns = [F.col(number(docs, c)) for c in HASHED]
+    doc_id, _, lang, _, text = columns
+    changed = digest_of(*columns[:-1], lower_ascii(text.cast("string")))
+    leaves = numbered(docs).select(
+        doc_id.cast("long").alias("doc_id"), lang.cast("string").alias("lang"), digest_of(*columns).alias("digest"),
+        F.when(tampered_ids(doc_id) & text.isNotNull(), changed).alias("changed"),
     )
     leaves = checkpointed(leaves)
     proved = prove(leaves, ["doc_id", "changed"])

@@ -16,7 +16,7 @@ Defined results: a null or empty text is scored by its statistics (all zero); a
 and counts as held out; a null label teaches nothing, and of several labels of one id the least
 counts; repeated rows give repeated rows; an empty table gives an empty result; without labelled
 rows of both kinds every score is the share of label 1 (1.0 without any).  Further columns are not
-read.
+read, and may have any names.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import slices, small_batches, text_bytes
+from inkwell.llm.common import number, numbered, slices, small_batches, text_bytes
 from inkwell.llm.words import words
 
 BUCKETS, FACTORS = 1 << 15, 8
@@ -153,12 +153,16 @@ def train(
     docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text"
 ) -> Machine:
     """A machine fitted on at most ``max_rows`` documents with a label (columns doc_id, quality of ``labels``)."""
-    known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("__labelled"))
-    chosen = known.agg(F.min("quality").cast("int").alias("__quality")).orderBy(F.xxhash64("__labelled"), "__labelled").limit(max_rows)
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    rows = small_batches(docs).join(chosen, docs[id_col].cast("long") == chosen["__labelled"]).groupBy("__labelled")
-    rows = rows.agg(F.min(F.struct(F.xxhash64(text).alias("h"), text.alias("t"))).alias("__least"), F.min("__quality").alias("__quality"))
-    rows = rows.select("__labelled", "__least.t", "__quality")
+    known = numbered(labels).select(
+        F.col(number(labels, "doc_id")).cast("long").alias("labelled"), F.col(number(labels, "quality")).cast("int").alias("quality")
+    )
+    known = known.where("quality is not null and labelled is not null").groupBy("labelled")
+    chosen = known.agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("labelled"), "labelled").limit(max_rows)
+    text = F.coalesce(F.col(number(docs, text_col)).cast("string"), F.lit(""))
+    texts = numbered(small_batches(docs)).select(F.col(number(docs, id_col)).cast("long").alias("doc_id"), text.alias("text"))
+    rows = texts.join(chosen, F.col("doc_id") == F.col("labelled")).groupBy("labelled")
+    rows = rows.agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("t"))).alias("least"), F.min("quality").alias("quality"))
+    rows = rows.select("labelled", "least.t", "quality")
     schema = "quality int, at array<int>, x array<float>, stats array<float>"
     found = rows.mapInArrow(_examples, schema).toArrow()
     flat = lambda name: [np.asarray(v.values) for v in found.column(name)]
@@ -184,7 +188,7 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text") -> Column:
 
 
 def keep(docs: DataFrame, machine: Machine, least: float, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose text is scored ``least`` or more.
+    """The rows of docs, with all their columns, whatever their names, whose text is scored ``least`` or more.
 
     Whole rows pass through the task in batches, so none waits in a queue for its score.
     """
@@ -196,5 +200,5 @@ def keep(docs: DataFrame, machine: Machine, least: float, text_col: str = "text"
                 scores = shared.value.score(*inputs(*text_bytes(part.column(part.num_columns - 1))))
                 yield part.filter(pa.array(scores >= least)).select(list(range(part.num_columns - 1)))
 
-    text = F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("__text")
-    return small_batches(docs).select(*docs.columns, text).mapInArrow(run, docs.schema)
+    text = F.coalesce(F.col(number(docs, text_col)).cast("string"), F.lit("")).alias("text")
+    return numbered(small_batches(docs)).select("*", text).mapInArrow(run, docs.schema)

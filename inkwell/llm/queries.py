@@ -108,8 +108,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, counted = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), whole=True)
-    return counted.select("doc_id", "n_lines", "n_long", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+    _, counted = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return counted.select("doc_id", "n_lines", "n_compared", "n_removed", "n_short", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

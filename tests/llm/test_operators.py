@@ -562,7 +562,18 @@ def test_banded_distance():
     rng = random.Random(5)
     left = ["".join(rng.choice("ab") for _ in range(rng.randint(3, 14))) for _ in range(3000)]
     right = [edited(rng, x, rng.randint(0, 4)) if rng.random() < 0.9 else x[::-1] for x in left]
-    assert [bool(x) for x in line_dedup.within(left, right)] == [distance(a, b) <= 2 for a, b in zip(left, right)]
+    plain = [distance(a, b) for a, b in zip(left, right)]
+    found = line_dedup.distances(left, right).tolist()
+    assert [min(d, 3) for d in found] == [min(d, 3) for d in plain]
+    assert all(line_dedup.near(a, b, k) == (d <= k) for a, b, d in zip(left, right, plain) for k in range(3))
+    edits = [min(2, min(len(a), len(b)) // 12) for a, b in zip(left, right)]
+    assert line_dedup.linked(left, right).tolist() == [d <= e for d, e in zip(plain, edits)]
+
+
+def test_very_long_lines_are_compared_by_equal_stretches():
+    a = "lorem ipsum " * 500_000
+    for b, same in ((a[:7] + "x" + a[7:-3] + "yz", False), (a[:7] + "x" + a[8:-1] + "y", True), (a[1:-1], True), ("x" + a[1:4_000_000] + a[4_000_002:], False)):
+        assert line_dedup.linked([a], [b]).tolist() == [same]
 
 
 def test_line_parity_maps_bound_the_edits():
@@ -615,11 +626,11 @@ def test_line_dedup(spark, odd_docs):
     bases = [" ".join(word() for _ in range(rng.randint(5, 30))) for _ in range(60)]
     rows = []
     for k in range(60):
-        lines = [edited(rng, rng.choice(bases), rng.choice([0, 0, 1, 2, 3])) if rng.random() < 0.7 else rng.choice(["short", "", bases[0][:24], " ".join(word() for _ in range(20))]) for _ in range(rng.randint(0, 8))]
+        lines = [edited(rng, rng.choice(bases), rng.choice([0, 0, 1, 2, 3])) if rng.random() < 0.7 else rng.choice(["short", "", bases[0][:24], edited(rng, bases[1][:14], 1).strip(), bases[2][:12], " ".join(word() for _ in range(20))]) for _ in range(rng.randint(0, 8))]
         rows.append((k, "\n".join(lines), "l", 0.0, 1))
-    lines = [(d, n, x) for d, t, *_ in rows for n, x in enumerate(t.split("\n")) if len(x) >= line_dedup.MIN_CHARS]
+    lines = [(d, n, x) for d, t, *_ in rows for n, x in enumerate(t.split("\n")) if x.strip()]
     distinct = sorted({x for *_, x in lines})
-    links = [(a, b) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2]
+    links = [(a, b) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if abs(len(a) - len(b)) <= 2 and distance(a, b) <= min(2, min(len(a), len(b)) // 12)]
     assert len(links) > 30
     of = components_of(links, distinct)
     seen, gone = set(), set()
@@ -634,7 +645,8 @@ def test_line_dedup(spark, odd_docs):
         assert (found[d][0].n_removed, found[d][0].text) == (sum(g[0] == d for g in gone), left)
     assert found[None][0].text == bases[0] and found[99][0].text is None and len(found[3]) == 2
     assert kept.columns == docs.columns
-    lost = {d for d, *_ in rows if found[d][0].n_removed and found[d][0].n_removed == found[d][0].n_long}
+    lost = {d for d, *_ in rows if found[d][0].n_removed and found[d][0].n_removed == found[d][0].n_compared}
+    assert sum(r[0].n_short for r in found.values()) > 0
     assert {r.doc_id for r in kept.collect()} == {d for d, *_ in [*rows, *extra]} - lost
     assert line_dedup.dedup_lines(empty(docs))[1].count() == 0
     odd, odd_rows = odd_docs
@@ -651,7 +663,7 @@ def test_documents_with_lines_left_stay(spark):
     assert kept == {1: header, 2: "short verse\nall its own", 4: " \n", 5: None}
 
 
-def test_short_lines_are_cut_exactly(spark, tmp_path):
+def test_lines_that_allow_no_edit_are_cut_exactly(spark, tmp_path):
     from inkwell.llm import queries
 
     texts = {1: "Les.\n\nAnd ornd.\n漢字の文。", 2: "Les.\n\nand ornd.\nLes.", 3: "漢字の文。\nx\n\u3000", 4: "x\ny\n" + "a long line " * 3, 5: "y", 6: None}
@@ -662,11 +674,46 @@ def test_short_lines_are_cut_exactly(spark, tmp_path):
     found = by_id(queries.op10_line_dedup(spark, str(tmp_path)))
     assert {k: r[0].n_removed for k, r in found.items()} == {**removed, 6: 0}
     assert all(found[k][0].text_sha256 == hashlib.sha256(t.encode()).hexdigest() for k, t in left.items())
-    assert {k: r[0].n_long for k, r in found.items()} == {1: 0, 2: 0, 3: 0, 4: 1, 5: 0, 6: 0}
-    kept = {r.doc_id for r in line_dedup.dedup_lines(docs, whole=True)[0].collect()}
+    assert {k: r[0].n_compared for k, r in found.items()} == {1: 3, 2: 3, 3: 2, 4: 3, 5: 1, 6: 0}
+    kept = {r.doc_id for r in line_dedup.dedup_lines(docs)[0].collect()}
     assert kept == {1, 2, 3, 4, 6}
 
 
+def test_edits_follow_from_the_length(spark):
+    rows = [(1, "short line here 1234\na line of twenty four ch\neleven char"), (2, "short line here 1235\na line of twenty four cj\neleven chas")]
+    rows += [(3, "short line hier 1236\na line off twenty four cx"), (4, "short line\na line of twenty four")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: (r.text, r.n_short) for r in line_dedup.dedup_lines(docs)[1].collect()}
+    assert found == {1: (rows[0][1], 0), 2: ("eleven chas", 1), 3: ("short line hier 1236", 0), 4: ("short line\na line of twenty four", 0)}
+
+
+AWKWARD = ["a.b", "__text", "__lines", "__names", "__labelled", "__quality", "DOC_ID", "text ", "c0", "c1", "lines", "labelled"]
+
+
+def test_columns_of_any_name_are_kept(spark):
+    import corpus_pipeline
+
+    names = [*AWKWARD[:6], "doc_id", "text", *AWKWARD[6:]]
+    lines = ["first line of all the lines", "second line of all the lines"]
+    rows = [[k] * 6 + [k, "\n".join(lines[k % 2 :])] + [str(k)] * 6 for k in range(4)]
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        docs = spark.createDataFrame(rows, names)
+        labels = spark.createDataFrame([(k, k % 2, k) for k in range(4)], ["doc_id", "quality", "a.b"])
+        machine = quality.train(docs, labels)
+        assert quality.keep(docs, machine, 0.0).collect() == docs.collect()
+        kept = corpus_pipeline.cut_repeated_lines(spark, docs, "")
+        assert kept.columns == names and [tuple(r) for r in kept.collect()] == [tuple(rows[0])]
+        assert line_dedup.dedup_lines(docs)[1].count() == 4
+        assert token_counts.count_tokens(docs, MODEL).count() == 4
+        one = corpus_pipeline.keep_one_of_copies(spark, docs, "")
+        assert one.columns == names
+        benchmark = spark.createDataFrame([(1, "some words that no document has at all")], "item_id long, text string")
+        assert decontaminate.without_contaminated(docs, benchmark).columns == names
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+
+
 # -- pipeline
 
 
