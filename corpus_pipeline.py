@@ -3,12 +3,18 @@
 All stages but the last return the columns of documents.
 
 1.  quality classifier: documents with a score under 0.7 go;
-2.  line dedup: lines within two edits of an earlier line, and short ones equal to an earlier line,
-    are cut out; a document of which only blank lines are left goes;
+2.  line dedup: lines within the edits that their length allows of an earlier line are cut out; a
+    document of which only blank lines are left goes;
 3.  MinHash near-dedup: of each component of near copies the document with the smallest id stays;
 4.  benchmark decontamination: documents that contain a benchmark item go;
 5.  SentencePiece encoding and decoding: doc_id, n_tokens and token_ids of what is left, decoded_sha256
     and round_trip.
+
+Defined results: a null text is scored as an empty one, keeps no lines to cut, has no copies and no
+items, and is encoded to no ids; a row with a null id may be rejected for its text, but its lines are
+neither compared nor cut; of equal lines, and of copies, those with the smallest id stay, and rows that
+repeat an id are one document; whole texts of any length are worked on; an empty table gives an empty
+result; further columns come through all stages but the last unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat earlier ones."""
-    kept, _ = line_dedup.dedup_lines(docs, whole=True)
+    kept, _ = line_dedup.dedup_lines(docs)
     return kept
 
 
