@@ -11,19 +11,27 @@ of their own), list markers with indentation, preformatted text, and tables whos
 to the width of their column.  White space elsewhere collapses to single spaces.
 
 A page is parsed within its task; nothing is shuffled.  Tree and renderer keep their own stacks, so
-elements may be nested to any depth, and what is open is looked up by tag, not searched for.
+elements may be nested to any depth, and what is open is looked up by tag, not searched for.  The lines of
+an inner block are held as one part of the outer one and written out at the end, so that depth doesn't
+multiply the work.  For the same reason white space is bounded: indentation stops growing at
+``MAX_INDENT`` columns, tables inside of ``MAX_NESTED`` others are blocks of rows, and the cells of a table
+whose aligned text would be more than ``ALIGNED`` times as long as what is in its cells follow each
+other two spaces apart.  No text is left out by these bounds.
 
 Defined results: a null or empty page has an empty text; a null id stays null; broken markup is
 rendered by the rules above; marked sections other than in comments are bogus comments, up to the
-next ``>``; spans of cells that aren't numbers are 1, larger ones than the HTML standard's bounds are
+next ``>``; what begins like a tag behind a page's last ``>`` is text; spans of cells that aren't numbers are 1, larger ones than the HTML standard's bounds are
 these bounds; a character reference beyond all characters is U+FFFD; repeated rows give repeated
 rows; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections.abc import Generator, Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -61,6 +69,8 @@ SPACED = HEADINGS | frozenset("p blockquote ul ol dl pre table figure fieldset m
 BLOCKS = CLOSES_PARAGRAPH | frozenset("html body li dt dd tr caption legend optgroup option".split())
 #: The standard's bounds of a cell's spans.
 MAX_COLUMNS, MAX_ROWS = 1000, 65534
+#: Bounds of white space: columns of indentation, tables around an aligned one, aligned text for that of the cells.
+MAX_INDENT, MAX_NESTED, ALIGNED = 64, 16, 32
 _NUMBER = re.compile(r"[ \t\n\f\r]*\+?0*([0-9]*)")
 _ZEROS, _FAR = re.compile(r"&#0{7,}(?=[0-9])"), re.compile(r"&#[1-9][0-9]{7,};?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -84,6 +94,7 @@ class TreeBuilder(HTMLParser):
         self.open = [self.root]
         #: Of each tag the places among the open elements, innermost last.
         self.places: dict[str, list[int]] = {}
+        self.endless = False  # a comment was found that nothing ends
 
     def innermost(self, tags) -> int:
         return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
@@ -136,6 +147,13 @@ class TreeBuilder(HTMLParser):
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         return self.parse_bogus_comment(i)
 
+    def parse_comment(self, i: int, report: int = True) -> int:
+        if self.endless:
+            return -1
+        end = super().parse_comment(i, report)
+        self.endless = end < 0
+        return end
+
 
 def visible(node: Node, inherited: bool) -> tuple[bool, bool]:
     """Whether the element is laid out at all, and whether its own text shows."""
@@ -150,6 +168,41 @@ def visible(node: Node, inherited: bool) -> tuple[bool, bool]:
     return True, inherited
 
 
+class Part:
+    """Lines (or parts) with a mark before the first one (none: as before the others) and an indent before the others."""
+
+    __slots__ = ("lines", "mark", "indent")
+
+    def __init__(self, lines: list, mark: str | None = None, indent: str = "") -> None:
+        self.lines, self.mark, self.indent = lines, mark, indent
+
+
+def written(lines: list) -> list[str]:
+    """The lines with their parts written out; lines without anything aren't indented."""
+    out: list[str] = []
+    stack = [[iter(lines), None, "", True]]  # what is left, its mark, all indents so far, and whether it has begun
+    while stack:
+        left, _, indent, _ = stack[-1]
+        item = next(left, None)
+        if item is None:
+            stack.pop()
+        elif isinstance(item, Part):
+            deeper = indent + item.indent if len(indent) < MAX_INDENT else indent
+            stack.append([iter(item.lines), item.mark, deeper, False])
+        else:
+            before, at, some = [], len(stack) - 1, bool(item)
+            while not stack[at][3]:  # these parts begin with this line
+                _, mark, indent, _ = stack[at]
+                stack[at][3] = True
+                at -= 1
+                if mark is not None or some:
+                    before.append(indent[len(stack[at][2]) :] if mark is None else mark)
+                    some = some or bool(mark)
+            text = "".join(reversed(before)) + item
+            out.append(stack[at][2] + text if text else text)
+    return out
+
+
 class Block:
     """Lines of a block, and the blank lines that are due before the next one."""
 
@@ -196,12 +249,12 @@ class Block:
         else:
             self.lead = max(self.lead, gap)
 
-    def add(self, lines: list[str], spaced: bool, lead: int = 0, tail: int = 0) -> None:
+    def add(self, lines: list, spaced: bool, lead: int = 0, tail: int = 0) -> None:
         gap = 2 if spaced else 1
         self.break_block(max(gap, lead))
         if lines:
             self.flush_gap()
-            self.lines += lines
+            self.lines.append(lines[0] if len(lines) == 1 else Part(lines))
             self.gap = max(gap, tail)
 
 
@@ -224,7 +277,7 @@ def completed(rendering: Rendering) -> object:
     return value
 
 
-def inline(node: Node, out: Block, shown: bool, keep: bool, depth: int) -> Rendering:
+def inline(node: Node, out: Block, shown: bool, keep: bool, depth: int, tables: int) -> Rendering:
     for child in node.children:
         if isinstance(child, str):
             if shown:
@@ -243,24 +296,24 @@ def inline(node: Node, out: Block, shown: bool, keep: bool, depth: int) -> Rende
         elif tag == "input" and show and child.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text"):
             out.text(" " + child.attrs.get("value", "") + " ", False)
         elif tag in ("ul", "ol", "menu", "dir"):
-            out.add((yield list_lines(child, show, depth + 1)), depth == 0)
+            out.add((yield list_lines(child, show, depth + 1, tables)), depth == 0)
         elif tag == "table":
-            out.add((yield table_lines(child, show)), True)
+            out.add((yield table_lines(child, show, tables + 1)), True)
         elif tag in BLOCKS:
             inner = Block()
-            yield inline(child, inner, show, keep or tag == "pre", depth)
+            yield inline(child, inner, show, keep or tag == "pre", depth, tables)
             inner.end_line()
             lines = inner.lines
-            if tag in ("blockquote", "dd"):
-                lines = ["  " + x if x else x for x in lines]
+            if tag in ("blockquote", "dd") and lines:
+                lines = [Part(lines, None, "  ")]
             out.add(lines, tag in SPACED, inner.lead, inner.gap)
         else:
-            yield inline(child, out, show, keep or tag in ("textarea", "listing"), depth)
+            yield inline(child, out, show, keep or tag in ("textarea", "listing"), depth, tables)
 
 
-def list_lines(node: Node, shown: bool, depth: int) -> Rendering:
+def list_lines(node: Node, shown: bool, depth: int, tables: int) -> Rendering:
     """Items with markers; what follows an item's first line is indented to it."""
-    lines: list[str] = []
+    lines: list = []
     try:
         number = int(node.attrs.get("start", 1))
     except ValueError:
@@ -277,14 +330,14 @@ def list_lines(node: Node, shown: bool, depth: int) -> Rendering:
         holder = child if child.tag == "li" else Node("li", {})
         if child.tag != "li":
             holder.children = [child]
-        yield inline(holder, inner, show, False, depth)
+        yield inline(holder, inner, show, False, depth, tables)
         inner.end_line()
         mark = ""
         if child.tag == "li":
             mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
         if inner.lines:
-            lines += [mark + inner.lines[0], *(" " * len(mark) + x if x else x for x in inner.lines[1:])]
+            lines.append(Part(inner.lines, mark, " " * len(mark)))
     return lines
 
 
@@ -301,23 +354,38 @@ class Grid:
 
     def __init__(self) -> None:
         self.rows: list[list[tuple[int, list[str]]]] = []
-        self.down: dict[int, int] = {}  # rows that a column's cell from above still takes
+        #: Columns that cells from above still take: first, behind the last, the row in which they are free again.
+        self.down: list[list[int]] = []
+        self.until = 0
 
-    def end_group(self) -> None:
-        self.down = {}
+    def begin_group(self, rows: int) -> None:
+        """A group of so many rows at most begins; spans end with it."""
+        self.down, self.until = [], len(self.rows) + rows
 
     def new_row(self) -> None:
         self.rows.append([])
-        self.taken = self.down
-        self.down = {c: n - 1 for c, n in self.down.items() if n > 1}
-        self.at = 0
+        self.at = self.next = 0
 
     def cell(self, lines: list[str], across: int, deep: int) -> None:
-        while self.at in self.taken:
-            self.at += 1
+        row = len(self.rows) - 1
+        while self.next < len(self.down):
+            first, behind, free = self.down[self.next]
+            if free <= row:
+                del self.down[self.next]
+            elif first <= self.at:
+                self.at = max(self.at, behind)
+                self.next += 1
+            else:
+                break
         self.rows[-1].append((self.at, lines))
         if deep > 1:
-            self.down.update((c, deep - 1) for c in range(self.at, self.at + across))
+            free = min(row + deep, self.until)
+            before = self.down[self.next - 1] if self.next else None
+            if before and before[1:] == [self.at, free]:
+                before[1] = self.at + across
+            else:
+                self.down.insert(self.next, [self.at, self.at + across, free])
+                self.next += 1
         self.at += across
 
     def lines(self) -> list[str]:
@@ -326,27 +394,49 @@ class Grid:
             for c, lines in row:
                 widths[c] = max([widths.get(c, 0), *map(len, lines)])
         order = sorted(c for c, width in widths.items() if width)
+        far = dict(zip(order, itertools.accumulate(widths[c] + 2 for c in order)))
+        deep = [max((len(x) for _, x in row), default=0) for row in self.rows]
+        held = sum(len(x) + 2 for row in self.rows for _, lines in row for x in lines)
+        space = sum(n * far[max(used)] for row, n in zip(self.rows, deep) if (used := [c for c, _ in row if c in far]))
+        if space > ALIGNED * (held + 1024):
+            cells = ([lines for _, lines in row if lines] for row in self.rows)
+            return ["  ".join(x for lines in row for x in lines) for row in cells if row]
         out = []
-        for row in self.rows:
+        for row, n in zip(self.rows, deep):
             cells = dict(row)
             if cells:
-                used = [c for c in order if c <= row[-1][0]]
-                for n in range(max(map(len, cells.values()))):
-                    parts = ((cells[c][n] if c in cells and n < len(cells[c]) else "").ljust(widths[c]) for c in used)
+                used = order[: bisect.bisect_right(order, row[-1][0])]
+                for k in range(n):
+                    parts = ((cells[c][k] if c in cells and k < len(cells[c]) else "").ljust(widths[c]) for c in used)
                     out.append("  ".join(parts).rstrip())
         return out
 
 
-def table_lines(node: Node, shown: bool) -> Rendering:
-    """A caption, then rows of cells padded to the widths of their columns; spanned columns and rows stay empty."""
+def table_lines(node: Node, shown: bool, tables: int) -> Rendering:
+    """A caption, then rows of cells padded to the widths of their columns; spanned columns and rows stay empty.
+
+    Deep inside of other tables its lines are those of a block.
+    """
     caption: list[str] = []
     grid = Grid()
+    if tables > MAX_NESTED:
+        inner = Block()
+        for child in node.children:
+            holder = Node("div", {})
+            holder.children = [child]
+            yield inline(holder, inner, shown, False, 1, tables)
+            inner.break_block(1)
+        inner.end_line()
+        return inner.lines
 
     def cell(source: Node, show: bool) -> Rendering:
         inner = Block()
-        yield inline(source, inner, show, False, 1)
+        yield inline(source, inner, show, False, 1, tables)
         inner.end_line()
-        return [x for x in inner.lines if x]
+        return [x for x in written(inner.lines) if x]
+
+    def rows_in(parent: Node) -> int:
+        return 1 + sum(not isinstance(x, str) and x.tag in ("tr", "td", "th") for x in parent.children)
 
     def walk(parent: Node, show: bool) -> Rendering:
         in_row = parent.tag == "tr"
@@ -371,12 +461,13 @@ def table_lines(node: Node, shown: bool) -> Rendering:
                 yield walk(child, seen)
             elif child.tag in ("tbody", "thead", "tfoot"):
                 in_row = False
-                grid.end_group()
+                grid.begin_group(rows_in(child))
                 yield walk(child, seen)
-                grid.end_group()
+                grid.begin_group(rows_in(node))
             elif child.tag not in ("col", "colgroup"):
                 caption.extend((yield cell(child, seen)))
 
+    grid.begin_group(rows_in(node))
     yield walk(node, shown)
     return caption + grid.lines()
 
@@ -386,12 +477,15 @@ def render(html: str) -> str:
     if "&#" in html:  # the standard library reads a number of any length
         html = _FAR.sub("\uFFFD", _ZEROS.sub("&#", html))
     builder = TreeBuilder()
-    builder.feed(html)
+    last = html.rfind(">") + 1
+    builder.feed(html[:last])
     builder.close()
+    if last < len(html):  # no tag is complete here
+        builder.handle_data(unescape(html[last:]))
     out = Block()
-    completed(inline(builder.root, out, True, False, 0))
+    completed(inline(builder.root, out, True, False, 0, 0))
     out.end_line()
-    lines = out.lines
+    lines = written(out.lines)
     first, last = 0, len(lines)
     while first < last and not lines[first].strip():
         first += 1

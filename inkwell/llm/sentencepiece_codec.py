@@ -16,13 +16,15 @@ Defined results: a null or empty text has no ids and decodes to an empty text; a
 null; repeated rows give repeated rows; an empty table gives an empty result; further columns are
 not read.  A very long text is worked on in parts, and so is a long run without a space: windows of
 it that overlap are encoded apart and joined at a token that both have, which gives the encoding of
-the whole because each neighbouring pair stands together.  Windows without a common token are encoded
-as one.  A space sign (U+2581) in a text decodes as a
+the whole because each neighbouring pair stands together.  A run in which two windows have no token in
+common (as in one of a single character) is relaxed from its beginning to its end instead, stretch by
+stretch with what the one before came to, in time and memory in proportion to its length.  A space sign (U+2581) in a text decodes as a
 space, as in the library.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections import ChainMap
 from collections.abc import Iterator
 
@@ -50,6 +52,8 @@ PAIR_SLOTS = 1 << PAIR_BITS
 INDEX_BYTES = 1 << 20
 #: Bytes of a word that is encoded in windows, of a window, and of what it shares with the next one.
 LONG_BYTES, WINDOW, OVERLAP = 1 << 13, 1 << 12, 1 << 9
+#: Bytes of a long word whose edges are held at once where it is relaxed in order.
+STRETCH = 1 << 16
 _NEVER = 1 << 60
 _workers: dict[str, tuple] = {}
 
@@ -293,13 +297,51 @@ class Encoder:
                         finished(tuple(x[: left[0]] for x in held))
                         new = tuple(x[right[0] :] for x in new)
                     else:
-                        first = int(held[1][0])
-                        p, f, a, *_ = self.tokens([raw[first : ends[k + n]]])
-                        new = p, f + first, a + first
+                        return self.in_order(raw)
                 held = new
         finished(held)
         return b"".join(done)
 
+    def in_order(self, raw: bytes) -> bytes:
+        """The ids of one long word, relaxed position by position over stretches of its edges."""
+        text = np.frombuffer(raw, np.uint8)
+        starts = np.flatnonzero((text & 0xC0) != 0x80)
+        n, longest = len(raw), self.width * 8
+        last, back = array("i", [-2]) * (n + 1), array("i", [0]) * (n + 1)
+        last[0] = -1  # anything may stand behind the beginning
+        stands, texts, known = self.table.stands, self.texts, {}
+        lo = 0
+        while lo < n:
+            hi = int(starts[np.searchsorted(starts, lo + STRETCH)]) if lo + STRETCH <= starts[-1] else n
+            base = max(0, lo - longest)
+            part = text[base:hi]
+            start, end, piece = self.edges(part, np.zeros(len(part), np.int64), np.array([len(part)]))
+            new = end + base > lo
+            start, end, piece = start[new] + base, end[new] + base, piece[new]
+            order = np.argsort(end, kind="stable")
+            for s, e, p in zip(start[order].tolist(), end[order].tolist(), piece[order].tolist()):
+                before = last[s]
+                if before == -2 or last[e] != -2:
+                    continue
+                if before >= 0 and p >= 0:
+                    key = before << 32 | p
+                    fits = known.get(key)
+                    if fits is None:
+                        if len(known) > PAIR_SLOTS:
+                            known.clear()
+                        fits = known[key] = stands(texts[before], texts[p])
+                    if not fits:
+                        continue
+                last[e], back[e] = p, s
+            lo = hi
+        ends, at = [], n
+        while at:
+            ends.append(at)
+            at = back[at]
+        at = np.array(ends[::-1], np.int64)
+        ids, _ = self.token_ids(np.frombuffer(last, np.int32)[at].astype(np.int64), np.frombuffer(back, np.int32)[at].astype(np.int64), at, text)
+        return ids.astype("<i4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
         if len(self.words) > CACHE_WORDS:

@@ -1,9 +1,48 @@
 """A plain renderer for comparison: recursive, with tables as full grids and open elements searched one by one."""
 
 import re
+from html import unescape
 from html.parser import HTMLParser
 
-from inkwell.llm.html_text import BLOCKS, CLOSES_PARAGRAPH, HEADINGS, SIBLINGS, SPACED, VOID, Node, visible
+# Fixed values, written down from the HTML standard's sections on void elements, optional tags and rendering.
+VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+NEVER_SHOWN = set(
+    "area audio canvas datalist head iframe math noframes noscript object param rp script style svg template title video".split()
+)
+HEADINGS = {f"h{k}" for k in range(1, 7)}
+CLOSES_PARAGRAPH = HEADINGS | set(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form header "
+    "hgroup hr main menu nav ol p pre section summary table ul".split()
+)
+BLOCKS = CLOSES_PARAGRAPH | set("body caption dd dt html legend li optgroup option tr".split())
+SPACED = HEADINGS | set("blockquote dir dl fieldset figure hr menu ol p pre table ul".split())
+CELLS, GROUPS = {"td", "th"}, {"tbody", "thead", "tfoot"}
+SIBLINGS = {
+    "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
+    "optgroup": ({"option", "optgroup"}, {"select"}),
+    "option": ({"option"}, {"select", "datalist", "optgroup"}),
+    "tr": (CELLS | {"tr"}, {"table"}),
+    **{t: ({"dt", "dd"}, {"dl"}) for t in ("dt", "dd")},
+    **{t: (CELLS, {"tr", "table"}) for t in CELLS},
+    **{t: (GROUPS | CELLS | {"tr", "caption"}, {"table"}) for t in GROUPS},
+}
+
+
+class Node:
+    def __init__(self, tag, attrs):
+        self.tag, self.attrs, self.children = tag, attrs, []
+
+
+def visible(node, inherited):
+    """(laid out, own text shows) by the hidden attribute and the declarations of the style attribute, the last one first."""
+    kind = node.attrs.get("type", "").lower()
+    if node.tag in NEVER_SHOWN or "hidden" in node.attrs or (node.tag, kind) == ("input", "hidden"):
+        return False, False
+    declared = [d.split(":", 1) for d in node.attrs.get("style", "").lower().split(";") if ":" in d]
+    if any(k.strip() == "display" and v.strip() == "none" for k, v in declared):
+        return False, False
+    shown = [v.strip() for k, v in declared if k.strip() == "visibility"]
+    return True, shown[-1] not in ("hidden", "collapse") if shown else inherited
 
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -260,8 +299,11 @@ def table_lines(node: Node, shown: bool) -> list[str]:
 def render(html: str) -> str:
     """The visible text of a page."""
     builder = TreeBuilder()
-    builder.feed(html)
+    last = html.rfind(">") + 1
+    builder.feed(html[:last])
     builder.close()
+    if html[last:]:
+        builder.handle_data(unescape(html[last:]))
     out = Block()
     inline(builder.root, out, True, False, 0)
     out.end_line()

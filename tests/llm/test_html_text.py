@@ -1,11 +1,12 @@
 """Rendering against hand-written expectations, and of randomly broken pages against a plain recursive renderer."""
 
 import random
+import time
 
 import plain_html
 import pytest
 
-from inkwell.llm.html_text import extract, render
+from inkwell.llm.html_text import MAX_INDENT, extract, render
 
 CASES = {
     "": "",
@@ -82,6 +83,44 @@ def test_long_and_deep_pages():
     assert len(render("<p>word" * 20_000).split("\n\n")) == 20_000
 
 
+MEGABYTE = {
+    "unclosed": "<a " * 333_000,
+    "one tag": "<a " * 333_000 + ">",
+    "quotes": '<a x="' * 160_000 + ">",
+    "comments": "<!-- > " * 140_000,
+    "lists": "<ul><li>x" * 110_000,
+    "blocks": "<div>x" * 160_000,
+    "quoted": "<blockquote>x" * 75_000,
+    "terms": "<dl><dd>x" * 110_000,
+    "spans": "<table>" + "<tr><td rowspan=99999 colspan=1000>x" * 28_000,
+    "tables": "<table><tr><td>x" * 60_000,
+    "cells": "<table><tr>" + "<td>x" * 200_000,
+}
+
+
+@pytest.mark.parametrize("kind", MEGABYTE)
+def test_a_megabyte_takes_seconds(kind):
+    page = MEGABYTE[kind]
+    began = time.time()
+    text = render(page)
+    assert time.time() - began < 40 and len(text) < 12 * len(page)
+    shown = page.split(">")[1:] if kind not in ("unclosed", "one tag", "quotes", "comments") else []
+    assert text.count("x") >= sum(x.startswith("x") for x in shown)
+
+
+def test_bounds_of_white_space():
+    deep = render("<ul><li>x" * 40).split("\n")
+    assert deep[:3] == ["- x", "  - x", "    - x"] and deep[39] == " " * MAX_INDENT + "- x" and deep[34] == " " * MAX_INDENT + "- x"
+    wide = render("<table>" + "".join(f"<tr><td colspan={k * 900}>{'y' * 50}<td>z" for k in range(1, 60)) + "</table>").split("\n")
+    assert all(line.split() == ["y" * 50, "z"] for line in wide)
+    steps = render("<table>" + "<tr><td rowspan=999>x" * 3000 + "</table>").split("\n")
+    assert steps == ["x"] * 3000
+
+
+def test_what_looks_like_a_tag_at_the_end_is_text():
+    assert render("<p>a</p> b <i c") == "a\n\nb <i c"
+
+
 def test_extract_edges(spark):
     rows = [(1, "<p>a", "z"), (1, "<p>a", "z"), (None, "<b>b", "z"), (2, None, None), (3, "", "z")]
     pages = spark.createDataFrame(rows, "page_id long, html string, text string")

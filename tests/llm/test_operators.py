@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -222,6 +223,26 @@ def test_long_words_encode_as_the_library(monkeypatch):
     assert np.frombuffer(encoder.long_word(texts[4][:9000]), "<i4").tolist() == sp.encode(texts[4][:9000])
 
 
+@pytest.mark.parametrize("unit", ["a", "=", "ab", "abc", "-------x", "漢", "🙂é"])
+def test_periodic_runs_take_linear_time(unit):
+    encoder = sentencepiece_codec.Encoder(sentencepiece_codec.PieceTable(MODEL))
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    text = unit * (120_000 // len(unit))
+    began = time.time()
+    found = np.frombuffer(encoder.encode([text])[0], "<i4").tolist()
+    assert time.time() - began < 20 and found == sp.encode(text)
+
+
+def test_words_relaxed_in_order_encode_as_the_library(monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "STRETCH", 7)
+    encoder = sentencepiece_codec.Encoder(sentencepiece_codec.PieceTable(MODEL))
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rng = random.Random(8)
+    for _ in range(200):
+        word = "".join(rng.choice(["a", "b", "=", "漢", "the", "ing", "🙂", "zz", "\x00"]) for _ in range(rng.randrange(1, 60)))
+        assert np.frombuffer(encoder.in_order((" " + word).encode()), "<i4").tolist() == sp.encode(word)
+
+
 def test_whole_tokens_are_proved():
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     whole = token_counts.whole_tokens(MODEL)
