@@ -337,10 +337,12 @@ def rerank_fused(
 
 def search_context(
     specs: DataFrame, chunks: DataFrame, k: int = 15, least: float = 0.35, ratio: float = 0.9, rrf_k: int = 60, fused_n: int = 12,
-    n: int = 6, parents: bool = False, scorer: Callable[[Column, Column], Column] = overlap_scorer,
+    n: int = 6, parents: bool = False, scorer: Callable[[Column, Column], Column] = overlap_scorer, index=None,
 ) -> DataFrame:
     """query_id, item_id, position, max_score: the context of every question.
 
+    ``index`` is a stored text index of the chunks (see ``text_index``); without it their texts are read.
+
     specs (query_id, spec, text, vector_only, embedding) are retrieved side by side, as keys of one plan: nearest
     vectors over a relative threshold, and BM25 for those that aren't vector_only.  Both channels are fused for each
     spec, the specs' rankings for each question, and the first ``fused_n`` are reranked by every spec.  chunks:
@@ -354,7 +356,8 @@ def search_context(
         near = checkpointed(to_parents(near, ["query_id"], chunks))
     best = near.groupBy(F.floor(F.col("query_id") / MOST_SPECS).cast("long").alias("query_id")).agg(F.max("score").alias("max_score"))
     near = above_threshold(near, ["query_id"], least, ratio).select("query_id", F.lit("vector").alias("channel"), "item_id", "rank")
-    text = bm25(specs.where("not vector_only"), chunks, k, "key", "text", "item_id", "text")
+    worded = specs.where("not vector_only")
+    text = index.bm25(worded, k, "key", "text") if index else bm25(worded, chunks, k, "key", "text", "item_id", "text")
     one = fuse(near.union(text.select("query_id", F.lit("text"), "item_id", "rank")), ["query_id"], rrf_k)
     owner, spec = F.floor(F.col("query_id") / MOST_SPECS).cast("long"), (F.col("query_id") % MOST_SPECS).alias("channel")
     fused = fuse(one.select(owner.alias("query_id"), spec, "item_id", "rank"), ["query_id"], rrf_k).where(F.col("rank") <= fused_n)

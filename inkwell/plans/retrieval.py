@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkwell.operators import ids, retrieval
+from inkwell.operators.text_index import index_of
 from inkwell.plans.base import Catalogue
 
 catalogue = Catalogue()
@@ -38,7 +39,8 @@ def _vector_hits(t):
 
 
 def _bm25_hits(t):
-    return retrieval.bm25(t("benchmark"), t("documents"), 15, "item_id", "text", "doc_id", "text")
+    """The stored index of documents is read, not their texts."""
+    return index_of(t("documents"), "doc_id", "text").bm25(t("benchmark"), 15, "item_id", "text")
 
 
 @query(f"with {VECTOR_SQL} select query_id, item_id, score, rank::integer as rank from vec")
@@ -124,7 +126,7 @@ from r qualify position <= 6""")
 def rerank_overlap(t):
     texts = t("documents").select(F.col("doc_id").alias("item_id"), "text")
     asked = t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    found = _bm25_hits(t).join(texts, "item_id").join(F.broadcast(asked) if asked.count() < 10_000 else asked, "query_id")
+    found = _bm25_hits(t).join(texts, "item_id").join(asked, "query_id")
     return retrieval.rerank(found, ["query_id"], "question", "text", 6).select("query_id", "item_id", "rerank_score", "position")
 
 
@@ -139,12 +141,12 @@ select phrase_id, item_id, count(*) as n from whole group by all"""
 
 @query(_PHRASE.replace("SLOP", "0"))
 def phrase_exact(t):
-    return retrieval.phrase_matches(t("documents"), t("benchmark"), "doc_id", "text", "item_id", "text")
+    return index_of(t("documents"), "doc_id", "text").phrases(t("benchmark"), "item_id", "text")
 
 
 @query(_PHRASE.replace("SLOP", "2"))
 def phrase_slop(t):
-    return retrieval.phrase_matches(t("documents"), t("benchmark"), "doc_id", "text", "item_id", "text", slop=2)
+    return index_of(t("documents"), "doc_id", "text").phrases(t("benchmark"), "item_id", "text", slop=2)
 
 
 @query(f"""with {BM25_SQL}, hits as (select query_id from bm where score >= 40 group by 1)
@@ -257,26 +259,45 @@ def round_robin_questions(t):
     return retrieval.round_robin(t("part"), "p_brand", "p_type", "p_partkey", 40)
 
 
-@query("""select doc_id, doc_id % 6 < 3 as allowed from documents""")
+#: The kinds of files that may be uploaded, as the users of the knowledge base know them.
+_KINDS = "txt text md markdown pdf docx csv json log xml html htm"
+
+
+@query(f"""with k as (select string_split('{_KINDS} doc xls xlsx pptx exe Html PDF', ' ') as kinds),
+n as (select doc_id, case doc_id % 5 when 1 then '../' when 2 then 'a' || chr(92) when 3 then 'b/' else '' end || source || '.' || kinds[1 + doc_id // 5 % len(kinds)] as name from documents, k)
+select doc_id, name, doc_id % 5 in (0, 4) and lower(string_split(name, '.')[-1]) in (select unnest(string_split('{_KINDS}', ' '))) as allowed from n""")
 def upload_whitelist(t):
-    """S8"""
+    """Known kinds in either case, and no folders in the name."""
     from inkwell.sources.files import may_upload
 
-    names = F.array(*map(F.lit, ("a.pdf", "b.Docx", "c.csv", "d.exe", "../e.txt", "f")))
-    return t("documents").select("doc_id", may_upload(F.get(names, (F.col("doc_id") % 6).cast("int"))).alias("allowed"))
+    kinds = [*_KINDS.split(), "doc", "xls", "xlsx", "pptx", "exe", "Html", "PDF"]
+    kind = F.get(F.array(*map(F.lit, kinds)), (F.expr("doc_id div 5") % len(kinds)).cast("int"))
+    folder = F.get(F.array(*map(F.lit, ("", "../", "a\\", "b/", ""))), (F.col("doc_id") % 5).cast("int"))
+    names = t("documents").select("doc_id", F.concat(folder, "source", F.lit("."), kind).alias("name"))
+    return names.select("doc_id", "name", may_upload(F.col("name")).alias("allowed"))
+
 
+_SLOPPY = _PHRASE.replace("words as", "standing as").replace("from words", "from standing").split("hits as")[0].replace("with p as", "p as", 1)
 
-@query(f"""with {BM25_SQL.replace("qualify rank <= 15", "")}, {_PHRASE.replace("SLOP", "2").replace("words", "standing").replace("with p as", "p as", 1).rsplit("select phrase_id", 1)[0]},
-places as (select phrase_id as query_id, item_id, count(*) as places from whole group by all),
+
+@query(f"""with {BM25_SQL.replace("qualify rank <= 15", "")}, {_SLOPPY}
+moved as (select distinct phrase_id as query_id, item_id, width, slot, pos - slot as x from standing join parts using (term)),
+begins as (select distinct query_id, item_id, width, x as s from moved),
+ends as (select b.query_id, b.item_id, b.width, s, m.slot, min(x) as x from begins b join moved m on m.query_id = b.query_id and m.item_id = b.item_id
+  and x between s and s + 2 group by all),
+spans as (select query_id, item_id, s, max(x) as e from ends group by query_id, item_id, width, s having count(*) = width),
+closest as (select query_id, item_id, e, max(s) as s from spans group by all),
+places as (select query_id, item_id, sum(1.0::double / (1 + e - s)) as places from closest group by all),
 clause as (select query_id, item_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5))) as weight, max(length) as length,
   sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average))) as terms
   from postings join asked using (term) join spread using (term), total group by query_id, item_id),
-summed as (select query_id, item_id, round(terms + coalesce(2 * weight * places * 2.2 / (places + 1.2 * (0.25 + 0.75 * length / average)), 0), 6) as score
-  from clause left join places using (query_id, item_id), total)
+whole_weight as (select query_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5))) as weight from asked join spread using (term), total group by 1),
+summed as (select query_id, item_id, round(round(terms, 6) + coalesce(2 * w.weight * places * 2.2 / (places + 1.2 * (0.25 + 0.75 * length / average)), 0), 6) as score
+  from clause join whole_weight w using (query_id) left join places using (query_id, item_id), total)
 select query_id, item_id, score, (row_number() over (partition by query_id order by score desc, item_id))::integer as rank from summed qualify rank <= 15""")
 def text_search(t):
-    """R2 with its phrase clause"""
-    return retrieval.text_search(t("benchmark"), t("documents"), 15, "item_id", "text", "doc_id", "text")
+    """R2 with its phrase clause, whose frequency falls with the distance of the words."""
+    return index_of(t("documents"), "doc_id", "text").search(t("benchmark"), 15, "item_id", "text")
 
 
 @query("""with w as (select c_custkey, '数据' || substr('库表行列值', 1, 1 + (c_custkey % 5)::int) || ' ' || c_name as s from customer),
@@ -295,8 +316,8 @@ _SPECS = """specs as (select *, query_id * 64 + spec as key from (
     select item_id as query_id, substr(text, 1 + 12 * min(p), 80) as text, min(p) as position from benchmark, range(1, 4) r(p)
     where item_id % 4 <> 0 and substr(text, 1 + 12 * p, 80) <> text and trim(substr(text, 1 + 12 * p, 80)) <> '' group by item_id, text, substr(text, 1 + 12 * p, 80))
   union all select item_id, 5, substr(text || ' ' || text, 1, 1500), true from benchmark where item_id % 4 <> 0 and trim(text) <> '')),
-chunks as (select doc_id as item_id, text, source, list_transform(embedding, lambda x: x::double) as e from documents join embeddings on doc_id = vec_id),
-c as (select *, sqrt(list_sum(list_transform(e, lambda x: x * x))) as norm from chunks),
+chunks as (select doc_id as item_id, text, source, list_transform(embedding, lambda x: x::double) as e from documents left join embeddings on doc_id = vec_id),
+c as (select *, sqrt(list_sum(list_transform(e, lambda x: x * x))) as norm from chunks where e is not null),
 q as (select key, list_transform(embedding, lambda x: x::double) as e from specs join embeddings on vec_id = query_id * 50 + spec),
 qn as (select *, sqrt(list_sum(list_transform(e, lambda x: x * x))) as norm from q),
 raw as (select key, item_id, score, row_number() over (partition by key order by score desc, item_id) as rank from (
@@ -329,9 +350,7 @@ final as (select query_id, item_id, row_number() over (partition by query_id ord
 select query_id, item_id, position::integer as position, coalesce(max_score, 0) as max_score from final left join best using (query_id)""".replace("\\\\", "\\")
 
 
-@query("with " + _SPECS)
-def search_context(t):
-    """Specs, both channels, two fusions, reranking by every spec and its fusion, spread sources, best cosine."""
+def _context(t, parents: bool):
     q = t("benchmark").select(F.col("item_id").alias("query_id"), "text")
     rewrites = q.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("position"), "text")
     rewrites = rewrites.withColumn("text", F.expr("substring(text, 1 + 12 * position, 80)"))
@@ -339,15 +358,35 @@ def search_context(t):
     specs = retrieval.query_specs(q, rewrites, answers, F.col("query_id") % 4 == 0)
     vectors = t("embeddings").select("vec_id", "embedding")
     specs = specs.join(vectors, F.col("query_id") * ASKED + F.col("spec") == F.col("vec_id"), "left").drop("vec_id")
-    chunks = t("documents").join(vectors, F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("item_id"), "text", "source", "embedding")
-    return retrieval.search_context(specs, chunks)
+    chunks = t("documents").join(vectors, F.col("doc_id") == F.col("vec_id"), "left").select(F.col("doc_id").alias("item_id"), "text", "source", "embedding")
+    if parents:
+        up = F.expr("item_id div 4 * 4")
+        chunks = chunks.select("*", F.when(F.col("item_id") == up, "parent").otherwise("child").alias("chunk_type"), up.alias("parent"))
+    return retrieval.search_context(specs, chunks, parents=parents, index=index_of(t("documents"), "doc_id", "text"))
+
+
+@query("with " + _SPECS)
+def search_context(t):
+    """Specs, both channels, two fusions, reranking by every spec and its fusion, spread sources, best cosine."""
+    return _context(t, False)
+
+
+_MAPPED = """raw as (select key, item_id, score, row_number() over (partition by key order by score desc, item_id) as rank from (
+  select key, item_id // 4 * 4 as item_id, max(score) as score from hits where item_id // 4 * 4 in (select doc_id from documents) group by 1, 2)),
+best as"""
+
+
+@query("with " + _SPECS.replace("raw as (", "hits as (", 1).replace("best as", _MAPPED, 1))
+def search_context_parents(t):
+    """The same where vectors find children, which give way to their parents (every fourth document)."""
+    return _context(t, True)
 
 
 @query("""with e as (select c_custkey, 'c' || c_custkey as head, n_name as tail, 'lives in' as relation, c_mktsegment as hint from customer join nation on c_nationkey = n_nationkey),
-seeds as (select s_suppkey % 40 as query_id, s_suppkey as position, n_name as name from supplier join nation on s_nationkey = n_nationkey where s_suppkey < 80),
+seeds as (select s_suppkey % 40 as query_id, s_suppkey as position, n_name as name from supplier join nation on s_nationkey = n_nationkey),
 firsts as (select query_id, name, min(position) as position from seeds group by 1, 2),
 own as (select query_id, 0 as list, position, '- 【实体】' || name || '：region ' || n_regionkey as card from firsts join nation on name = n_name),
-loc as (select query_id, head, relation, tail, min(position) as position, min(hint) as hint from firsts join e on tail = name where c_custkey < 400 group by all),
+loc as (select query_id, head, relation, tail, min(position) as position, min(hint) as hint from firsts join e on tail = name group by all),
 local as (select query_id, 1, row_number() over (partition by query_id order by position, head, relation, tail), '- 【关系】' || head || ' —[' || relation || ']→ ' || tail || '：' || hint from loc),
 rel as (select r_regionkey * 8 + p as query_id, 2, p as position, '- 【关系】' || r_name from region, range(0, 8) x(p)),
 whole as (select * from own union all select * from local union all select * from rel),
@@ -358,9 +397,9 @@ from s where query_id < 40 qualify position <= 8""".replace("\\\\", "\\"))
 def dual_path_search(t):
     """Entity seeds with their edges, and relation cards, reranked as one pool."""
     names = t("nation").select("n_nationkey", "n_name", "n_regionkey")
-    edges = t("customer").where("c_custkey < 400").join(names, F.col("c_nationkey") == F.col("n_nationkey"))
+    edges = t("customer").join(names, F.col("c_nationkey") == F.col("n_nationkey"))
     edges = edges.select(F.concat(F.lit("c"), "c_custkey").alias("head"), F.lit("lives in").alias("relation"), F.col("n_name").alias("tail"), F.col("c_mktsegment").alias("hint"))
-    seeds = t("supplier").where("s_suppkey < 80").join(names, F.col("s_nationkey") == F.col("n_nationkey"))
+    seeds = t("supplier").join(names, F.col("s_nationkey") == F.col("n_nationkey"))
     seeds = seeds.groupBy((F.col("s_suppkey") % 40).alias("query_id"), F.col("n_name").alias("name")).agg(F.min("s_suppkey").alias("position"))
     rel = t("region").select((F.col("r_regionkey") * 8).alias("k"), F.concat(F.lit("- 【关系】"), "r_name").alias("card"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("position"))
     rel = rel.select((F.col("k") + F.col("position")).alias("query_id"), "position", "card")
@@ -370,30 +409,32 @@ def dual_path_search(t):
     return retrieval.dual_path(asked, seeds, rel, edges, told)
 
 
-@query(f"""with {BM25_SQL} select query_id, item_id, score from (select query_id, item_id, score, source from bm join documents on doc_id = item_id)
-where source = (select min(source) from documents) order by query_id, score desc, item_id""")
+@query(f"""with {BM25_SQL.replace("qualify rank <= 15", "")},
+fits as (select query_id, item_id, score, row_number() over (partition by query_id order by score desc, item_id) as rank, count(*) over (partition by query_id) as total
+  from bm join documents on doc_id = item_id where source = (select min(source) from documents))
+select query_id, item_id, score, rank::integer as rank, total from fits where rank > 15 and rank <= 30""")
 def keyword_list(t):
-    """Hits of one source, by score, then by index."""
+    """The second page of the documents of one source that match, by score, then by index, and how many there are."""
     first = t("documents").agg(F.min("source").alias("source"))
-    texts = t("documents").join(F.broadcast(first), "source").select(F.col("doc_id").alias("item_id"))  # one row
-    return _bm25_hits(t).join(texts, "item_id").select("query_id", "item_id", "score").orderBy("query_id", F.desc("score"), "item_id")
+    allowed = t("documents").join(F.broadcast(first), "source").select(F.col("doc_id").alias("item_id"))  # one row
+    return index_of(t("documents"), "doc_id", "text").listed(t("benchmark"), "item_id", "text", allowed, 2, 15)
 
 
-@query(f"""with {VECTOR_SQL}, best as (select query_id, max(score) as s from vec where query_id % 100 = 0 group by 1)
-select vec_id as query_id, coalesce(s, 0) as max_score from embeddings left join best on query_id = vec_id where vec_id % {ASKED} = 0""")
+@query(f"""with {VECTOR_SQL}, best as (select query_id, max(score) as s from vec group by 1)
+select item_id as query_id, coalesce(s, 0) as max_score from benchmark left join best on query_id = item_id""")
 def max_scores(t):
     """The best cosine of a question, 0 without hits."""
-    asked = t("embeddings").where(F.col("vec_id") % ASKED == 0).select(F.col("vec_id").alias("query_id"))
-    return retrieval.max_scores(asked, _vector_hits(t).where("query_id % 100 = 0"))
+    asked = t("benchmark").select(F.col("item_id").alias("query_id"))
+    return retrieval.max_scores(asked, _vector_hits(t))
 
 
-@query("""with h as (select l_partkey % 50 as query_id, l_orderkey * 8 + l_linenumber as item_id, l_extendedprice as score from lineitem where l_orderkey < 3000),
+@query("""with h as (select l_partkey % 50 as query_id, l_orderkey * 8 + l_linenumber as item_id, l_extendedprice as score from lineitem),
 m as (select query_id, case when item_id % 8 = 0 then item_id else item_id // 8 * 8 end as up, score from h where item_id % 8 = 0 or item_id // 8 % 3 <> 0),
 b as (select query_id, up as item_id, max(score) as score from m group by 1, 2)
 select query_id, item_id, score, (row_number() over (partition by query_id order by score desc, item_id))::integer as rank from b""")
 def parent_mapping(t):
     """Children give way to their parents; hits without a known parent go."""
-    hits = t("lineitem").where("l_orderkey < 3000").select(
+    hits = t("lineitem").select(
         (F.col("l_partkey") % 50).alias("query_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("item_id"), F.col("l_extendedprice").alias("score")
     )
     up = F.expr("item_id div 8 * 8")

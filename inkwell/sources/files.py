@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Kinds of files that may be uploaded, and encodings in the order in which they are tried.
-UPLOADS = "txt md csv json html htm pdf doc docx xls xlsx pptx".split()
+UPLOADS = "txt text md markdown pdf docx csv json log xml html htm".split()
 ENCODINGS = {"csv": ("utf-8-sig", "utf-8", "gbk"), "text": ("utf-8", "utf-16", "gbk")}
 #: How readers fail on files that are damaged, encrypted or not what their name says.
 UNREADABLE = (
