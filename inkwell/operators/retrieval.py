@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.session import checkpointed, spread
+from inkwell.session import checkpointed, discard, spread
 
 VECTOR_BLOCK, QUERY_BLOCK = 4096, 512
 #: Query terms up to this many are sent to every task, more are joined.
@@ -424,36 +424,69 @@ def observation(hits: DataFrame, by: list[str], item: str, text: str, score: str
 # -- similarity join
 
 
-def similar_pairs(vectors: DataFrame, key: str, least: float, vector: str = "embedding", bands: int = 40, rows: int = 10, seed: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Pairs a < b of different vectors with a cosine of at least ``least``, and members (item, class) of equal vectors.
+#: Items of a bucket up to which it isn't split, bits of a signature, bits that a split adds, and chance of missing a pair at the threshold.
+BUCKET_ITEMS, SIGN_BITS, SPLIT_BITS, MISSED = 64, 60, 3, 1e-4
+MOST_TREES = 4096
+
+
+def forest_size(rows: int, least: float, missed: float = MISSED) -> tuple[int, int]:
+    """Bits of the first buckets, and how many trees it takes not to miss a pair of cosine ``least`` there."""
+    bits = max(4, int(np.ceil(np.log2(max(1, rows) / BUCKET_ITEMS))) if rows > BUCKET_ITEMS else 4)
+    agree = 1 - np.arccos(np.clip(least, -1, 1)) / np.pi
+    return min(bits, SIGN_BITS), int(min(MOST_TREES, max(1, np.ceil(np.log(missed) / np.log1p(-(agree ** min(bits, SIGN_BITS)) + 1e-12)))))
+
 
-    Candidates share the signs of one of ``bands`` sets of ``rows`` random projections (a pair at cosine
-    0.95 is missed with a chance of 5 in 100 million); their exact cosines decide.  Only the smallest
-    id of equal vectors is compared.  No pair is formed outside of a shared bucket.
+def sign_buckets(items: DataFrame, least: float, seed: int = 5, most: int = BUCKET_ITEMS) -> DataFrame:
+    """item, tree, depth, prefix: buckets of items (item, v) by the signs of random projections, a forest of prefixes.
+
+    The first prefixes and the number of trees follow from the rows; a bucket that is still larger than ``most``
+    is split by further signs until it is small, or its items agree in all of them.
     """
-    v = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
-    v = v.select(F.col(key).cast("long").alias("item"), F.col(vector).cast("array<double>").alias("v"))
-    classes = v.groupBy("v").agg(F.min("item").alias("class"))
-    members = v.join(classes, "v").select("item", "class")
+    bits, trees = forest_size(items.count(), least)
 
     def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             matrix = np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1)
-            if planes is None:
-                planes = np.random.default_rng(seed).standard_normal((matrix.shape[1], bands * rows))
-            bits = (matrix @ planes > 0).reshape(batch.num_rows, bands, rows)
-            keys = (bits * (1 << np.arange(rows))).sum(axis=2) + (np.arange(bands) << rows)
-            offsets = pa.array((np.arange(batch.num_rows + 1) * bands).astype(np.int32))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(keys.ravel(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["item", "buckets"])
-
-    signed = classes.select(F.col("class").alias("item"), "v").mapInArrow(signs, "item long, buckets array<long>")
-    placed = signed.select("item", F.explode("buckets").alias("bucket"))
-    other = placed.select(F.col("item").alias("b"), "bucket")
-    pairs = placed.withColumnRenamed("item", "a").join(other, "bucket").where("a < b").select("a", "b").distinct()
+            found = np.empty((batch.num_rows, trees), np.int64)
+            for tree in range(trees):  # a tree's planes at a time
+                planes = np.random.default_rng([seed, tree]).standard_normal((matrix.shape[1], SIGN_BITS))
+                found[:, tree] = (matrix @ planes > 0) @ (1 << np.arange(SIGN_BITS, dtype=np.int64))
+            offsets = pa.array((np.arange(batch.num_rows + 1) * trees).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))], names=["item", "signs"])
+
+    left = checkpointed(items.select("item", "v").mapInArrow(signs, "item long, signs array<long>").select("item", F.posexplode("signs").alias("tree", "sign")))
+    done, depth = None, bits
+    while True:
+        prefix = F.col("sign").bitwiseAND(F.lit((1 << depth) - 1))
+        sized = left.groupBy("tree", prefix.alias("prefix")).agg(F.count("*").alias("many")).where("many > 1")
+        sized = checkpointed(sized)
+        placed = left.withColumn("prefix", prefix).join(sized, ["tree", "prefix"])
+        small = F.col("many") <= most if depth < SIGN_BITS else F.lit(True)
+        settled = checkpointed(placed.where(small).select("item", "tree", F.lit(depth).alias("depth"), "prefix"))
+        done = settled if done is None else done.union(settled)
+        if depth >= SIGN_BITS or sized.where(F.col("many") > most).isEmpty():
+            return done
+        rest = checkpointed(placed.where(~small).select("item", "tree", "sign"))
+        discard(left, sized)
+        left, depth = rest, min(SIGN_BITS, depth + SPLIT_BITS)
+
+
+def similar_pairs(vectors: DataFrame, key: str, least: float, vector: str = "embedding", seed: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Pairs a < b of different vectors with a cosine of at least ``least``, and members (item, class) of equal vectors.
+
+    Candidates share a bucket of ``sign_buckets``, whose forest is sized by the rows: buckets stay small however
+    many there are, and a pair at the threshold is missed with a chance of about ``MISSED`` (more where a crowded
+    bucket is split); exact cosines decide.  Only the smallest id of equal vectors is compared.
+    """
+    v = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
+    v = v.select(F.col(key).cast("long").alias("item"), F.col(vector).cast("array<double>").alias("v"))
+    classes = v.groupBy("v").agg(F.min("item").alias("class"))
+    members = v.join(classes, "v").select("item", "class")
+    placed = sign_buckets(classes.select(F.col("class").alias("item"), "v"), least, seed)
+    other = placed.withColumnRenamed("item", "b")
+    pairs = placed.withColumnRenamed("item", "a").join(other, ["tree", "depth", "prefix"]).where("a < b").select("a", "b").distinct()
     left = classes.select(F.col("class").alias("a"), F.col("v").alias("va"))
     right = classes.select(F.col("class").alias("b"), F.col("v").alias("vb"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from inkwell.operators import ids, retrieval
 from inkwell.operators.text_index import index_of
+from inkwell.operators.vector_index import vector_index_of
 from inkwell.plans.base import Catalogue
 
 catalogue = Catalogue()
@@ -48,6 +49,14 @@ def vector_topk(t):
     return _vector_hits(t)
 
 
+@query(f"with {VECTOR_SQL} select query_id, item_id, score, rank::integer as rank from vec")
+def vector_index_topk(t):
+    """The same rows from rings around centres, of which only those are read that may hold a neighbour."""
+    v = t("embeddings")
+    found, _ = vector_index_of(v.sparkSession, v, "vec_id").search(v.where(F.col("vec_id") % ASKED == 0), 15, "vec_id")
+    return found
+
+
 @query(f"with {BM25_SQL} select query_id, item_id, score, rank::integer as rank from bm")
 def bm25_topk(t):
     return _bm25_hits(t)
@@ -227,7 +236,22 @@ p as (select a.vec_id as a, b.vec_id as b, round(list_sum(list_transform(list_zi
 from n a join n b on a.vec_id < b.vec_id) select * from p where score >= 0.8""")
 def similar_pairs(t):
     """J17"""
-    return retrieval.all_pairs(*retrieval.similar_pairs(t("embeddings"), "vec_id", 0.8, bands=160))
+    return retrieval.all_pairs(*retrieval.similar_pairs(t("embeddings"), "vec_id", 0.8))
+
+
+@query("""with v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
+turned as (select vec_id, e, e[2:] || e[:1] as f from v),
+p as (select vec_id as a, vec_id + 1000000 as b,
+  list_sum(list_transform(list_zip(e, f), lambda x: x[1] * (x[1] + 0.25 * x[2]))) as d, list_sum(list_transform(e, lambda x: x * x)) as ee,
+  list_sum(list_transform(list_zip(e, f), lambda x: (x[1] + 0.25 * x[2]) * (x[1] + 0.25 * x[2]))) as ff from turned)
+select a, b, round(d / sqrt(ee * ff), 6) as score from p where round(d / sqrt(ee * ff), 6) >= 0.9""")
+def near_copies(t):
+    """Every vector and a copy of it that a quarter of its own turned coordinates blurs; the copies are found again."""
+    v = t("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    turned = F.concat(F.slice("embedding", 2, F.size("embedding") - 1), F.slice("embedding", 1, 1))
+    blurred = F.zip_with("embedding", turned, lambda x, y: x + 0.25 * y)
+    both = v.union(v.select(F.col("vec_id") + 1_000_000, blurred))
+    return retrieval.all_pairs(*retrieval.similar_pairs(both, "vec_id", 0.9))
 
 
 @query(f"""with {VECTOR_SQL}, hits as (select query_id, item_id, score from vec where rank <= 8) select h.* from hits h join embeddings e on e.vec_id = item_id
