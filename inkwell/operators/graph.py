@@ -5,6 +5,7 @@ Edges are rows of (head, relation, tail, ...); lists on them are arrays in first
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,8 +16,8 @@ from inkwell.operators.relational import all_of, containing, given, like
 from inkwell.session import checkpointed, discard
 
 KEY = ["head", "relation", "tail"]
-#: Limits of expansion: hops and edges; and of the elements of a list that renaming joins.
-MAX_HOPS, MAX_EDGES, MAX_LIST = 10, 500, 500
+#: Limits of expansion: hops and edges.
+MAX_HOPS, MAX_EDGES = 10, 500
 _ITEM = "array<map<string,string>>"
 
 
@@ -130,6 +131,49 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int, most: int | None = MAX
     return best if most is None else best.orderBy("hop", *KEY).limit(clamp(most, 1, MAX_EDGES))
 
 
+#: Paths of one expansion at most, unless told otherwise.
+MAX_PATHS = 200
+
+
+def hinted(hints: list[str], category: str | None = None) -> Column:
+    """Edges whose relation, or one of whose categories, holds one of the hints; all edges without hints."""
+    if not hints:
+        return F.lit(True)
+    fits = [F.col("relation").contains(F.lit(h)) for h in hints]
+    if category:
+        lists = F.coalesce(category, F.array().cast("array<string>"))
+        fits += [F.exists(lists, lambda c, h=h: c.contains(F.lit(h))) for h in hints]
+    return functools.reduce(lambda a, b: a | b, fits)
+
+
+def paths(edges: DataFrame, seeds: DataFrame, hops: int, hints: list[str] = (), category: str | None = None, most: int | None = MAX_PATHS) -> DataFrame:
+    """hop, seed, path, keys: the paths of up to ``hops`` edges from the seeds (name), either way, none with an edge twice.
+
+    Every edge of a path bears a hint, if there are any, so edges without one are left out before the first hop.  A
+    frontier row carries the keys of its edges; each hop is one join on its end, and is written once.  path is
+    the keys as one text.  With ``most`` only the first paths by hop, path and seed stay.
+    """
+    near = edges.where(hinted(list(hints), category)).select(*KEY).distinct()
+    near = near.withColumn("key", F.concat_ws("|", *KEY))
+    steps = checkpointed(near.select(F.col("head").alias("at"), F.col("tail").alias("to"), "key").union(near.where("head != tail").select("tail", "head", "key")))
+    frontier = seeds.select(F.col("name").alias("seed"), F.col("name").alias("end"), F.array().cast("array<string>").alias("keys")).distinct()
+    found = None
+    for hop in range(1, clamp(hops, 1, MAX_HOPS) + 1):
+        gone = frontier.join(steps, F.col("end") == F.col("at")).where(~F.array_contains("keys", F.col("key")))
+        frontier = checkpointed(gone.select("seed", F.col("to").alias("end"), F.concat("keys", F.array("key")).alias("keys")))
+        step = frontier.select(F.lit(hop).alias("hop"), "seed", F.array_join("keys", ">").alias("path"), "keys")
+        found = step if found is None else found.union(step)
+        if frontier.isEmpty():
+            break
+    return found if most is None else found.orderBy("hop", "path", "seed").limit(max(1, most))
+
+
+def edges_on_paths(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """The edges, with all their columns, that lie on a path of ``paths``."""
+    keys = found.select(F.explode("keys").alias("key")).distinct()
+    return edges.withColumn("key", F.concat_ws("|", *KEY)).join(keys, "key", "left_semi").drop("key")
+
+
 def subgraph(edges: DataFrame, seeds: DataFrame, hops: int = 1, most: int = 200) -> tuple[DataFrame, DataFrame]:
     """nodes (name) and links (source, target, relation) around seeds; up to five hops, the first ``most`` links by hop."""
     links = expand(edges, seeds, clamp(hops, 1, 5), most)
@@ -232,10 +276,11 @@ def orphans(names: DataFrame, edges: DataFrame) -> DataFrame:
     return names.select("name").distinct().join(nodes_of(edges), "name", "left_anti")
 
 
-def rename(edges: DataFrame, names: DataFrame, lists: list[str], order: list[str] | None = None) -> DataFrame:
+def rename(edges: DataFrame, names: DataFrame, lists: list[str], most: int | None = None) -> DataFrame:
     """Edges whose ends are renamed by names (old, new); edges that become one keep all of both lists.
 
-    Edges that become loops go.
+    With ``most`` only the first so many elements of each joined list stay (500 where users look at them one by
+    one).  Edges that become loops go.
     """
     head = names.select(F.col("old").alias("head"), F.col("new").alias("__h"))
     tail = names.select(F.col("old").alias("tail"), F.col("new").alias("__t"))
@@ -245,7 +290,10 @@ def rename(edges: DataFrame, names: DataFrame, lists: list[str], order: list[str
     )
     def flat(c: str) -> Column:
         items = F.array_sort(F.collect_list(F.struct("__from", F.col(c).alias("v"))))
-        return F.slice(F.array_distinct(F.flatten(F.transform(items, lambda x: x["v"]))), 1, MAX_LIST).alias(c)
+        whole = F.array_distinct(F.flatten(F.transform(items, lambda x: x["v"])))
+        return (whole if most is None else F.slice(whole, 1, most)).alias(c)
+
+
     return moved.where("head != tail").groupBy(*KEY).agg(*map(flat, lists))
 
 

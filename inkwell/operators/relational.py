@@ -114,18 +114,46 @@ def holds_keyword(text: Column) -> Column:
     return reduce(lambda a, b: a | b, marks, text.rlike(rf"(?i)(^|\W)({words})\s"))
 
 
-def containing(texts: DataFrame, text: str, words: DataFrame, word: str) -> DataFrame:
-    """Pairs of rows whose text holds the word (none empty), found by the word's first two characters.
+#: Characters of the longest gram that words are found by, and words of one gram that a copy of its texts meets.
+GRAM, GRAM_WORDS = 3, 1024
+
+
+def _grams(text: str, sizes: list[int]) -> Column:
+    """The distinct runs of characters of these sizes."""
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, F.lit(n)))
+    return F.array_distinct(F.concat(*[F.when(F.length(text) >= n, of(n)).otherwise(F.array().cast("array<string>")) for n in sizes]))
+
+
+def gram_candidates(texts: DataFrame, text: str, words: DataFrame, word: str) -> DataFrame:
+    """Rows of texts and words that share the word's rarest gram among the texts; all columns of both.
 
-    Every text is listed under each of its pairs of characters, and under each single one for words that are no longer;
-    so a word meets the texts that hold its beginning, not all of them.
+    A word's grams are its runs of ``GRAM`` characters (all of it, if it is shorter).  They are counted over the texts;
+    texts are listed only under grams that some word is keyed by, and where many words share one these are
+    dealt out and meet copies of its texts, so that no gram is one task's work.
     """
-    grams = F.array_distinct(
-        F.transform(F.sequence(F.lit(1), 2 * F.length(text)), lambda i: F.substring(F.col(text), F.shiftright(i + 1, 1), i % 2 + 1))
-    )
-    listed = texts.where(F.length(text) > 0).withColumn("__gram", F.explode(grams))
-    asked = words.where(F.length(word) > 0).withColumn("__gram", F.substring(word, 1, 2))
-    return listed.join(asked, "__gram").where(F.col(text).contains(F.col(word))).drop("__gram")
+    texts, words = texts.where(F.length(text) > 0), words.where(F.length(word) > 0)
+    asked = words.select(F.col(word).alias("__w")).distinct()
+    size = F.least(F.lit(GRAM), F.length("__w"))
+    asked = asked.select("__w", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("__w") - size + 1), lambda i: F.substring(F.col("__w"), i, size)))).alias("__gram"))
+    asked = checkpointed(asked)
+    listed = texts.withColumn("__gram", F.explode(_grams(text, list(range(1, GRAM + 1)))))
+    known = asked.select("__gram").distinct()
+    counts = listed.select("__gram").join(known, "__gram", "left_semi").groupBy("__gram").agg(F.count("*").alias("__df"))
+    keyed = asked.join(counts, "__gram").groupBy("__w").agg(F.min(F.struct("__df", "__gram")).alias("k"), F.count("*").alias("met"))
+    # A word of which some gram is in no text is in none.
+    many = asked.groupBy("__w").agg(F.count("*").alias("grams"))
+    keyed = checkpointed(keyed.join(many, "__w").where("met = grams").select("__w", F.col("k.__gram").alias("__gram")))
+    shares = keyed.groupBy("__gram").agg((F.floor((F.count("*") - 1) / GRAM_WORDS) + 1).cast("int").alias("__shares"))
+    shares = checkpointed(shares)
+    dealt = listed.join(shares, "__gram").withColumn("__share", F.explode(F.sequence(F.lit(0), F.col("__shares") - 1))).drop("__shares")
+    share = F.pmod(F.hash("__w"), F.col("__shares"))
+    found = words.join(keyed, F.col(word) == F.col("__w")).join(shares, "__gram").withColumn("__share", share).drop("__shares", "__w")
+    return dealt.join(found, ["__gram", "__share"]).drop("__gram", "__share")
+
+
+def containing(texts: DataFrame, text: str, words: DataFrame, word: str) -> DataFrame:
+    """Pairs of rows whose text holds the word (none empty), found by the word's rarest gram (see ``gram_candidates``)."""
+    return gram_candidates(texts, text, words, word).where(F.col(text).contains(F.col(word)))
 
 
 # -- paging

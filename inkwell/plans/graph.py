@@ -88,6 +88,33 @@ def khop_edges(t):
     return G.expand(edges, seed, 3)
 
 
+_PATHS = f"""{_EDGES}, fit as (select distinct head, relation, tail, head || '|' || relation || '|' || tail as key from edges where contains(relation, 'F') or contains(relation, 'supp')),
+steps as (select head as a, tail as b, key from fit union all select tail, head, key from fit where head <> tail),
+seeds as (select min(head) as name from edges where relation = 'F' union select min(n_name) from nation),
+p(hop, seed, fin, keys) as (select 0, name, name, []::varchar[] from seeds
+  union all select hop + 1, seed, b, list_append(keys, key) from p join steps on a = fin where hop < 3 and not list_contains(keys, key)),
+first_paths as (select hop, seed, array_to_string(keys, '>') as path, keys from p where hop > 0 order by hop, path, seed limit 60)"""
+
+
+def _paths(t):
+    edges = _edges(t)
+    first = edges.where("relation = 'F'").agg(F.min("head").alias("name")).union(t("nation").agg(F.min("n_name")))
+    return edges, G.paths(edges, first, 3, ["F", "supp"], most=60)
+
+
+@query(f"with recursive {_PATHS} select hop, seed, path from first_paths")
+def hinted_paths(t):
+    """Paths of up to three edges, none twice, each of which bears a hint; the first 60."""
+    return _paths(t)[1].select("hop", "seed", "path")
+
+
+@query(f"with recursive {_PATHS} select head, relation, tail, chunk_ids from edges where head || '|' || relation || '|' || tail in (select unnest(keys) from first_paths)")
+def path_subgraph(t):
+    """The edges on the first 60 paths, with their chunks."""
+    edges, found = _paths(t)
+    return G.edges_on_paths(edges, found).withColumn("chunk_ids", F.array_join("chunk_ids", ","))
+
+
 @query(f"with {_EDGES} select head, relation, tail from edges where list_has_any(string_split(chunk_ids, ','), ['c5', 'c10', 's3', 's4', 'c100'])")
 def chunk_anchor_edges(t):
     """G6, P12"""

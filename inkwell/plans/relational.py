@@ -100,6 +100,16 @@ def containment_join(t):
     return held.union(R.containing(words, "kw", names, "name").select("p_partkey", "kw")).distinct()
 
 
+@query("""select a.c_custkey, b.c_custkey as other from customer a join customer b on contains(a.c_name, b.c_name) union all
+select c_custkey, -s_suppkey from customer join supplier on contains(c_name, substr(s_name, 10))""")
+def shared_names(t):
+    """Names that are alike but for their numbers, against each other, and parts of others; each by its rarest gram."""
+    names = t("customer").select("c_custkey", "c_name")
+    other = names.select(F.col("c_custkey").alias("other"), F.col("c_name").alias("part"))
+    parts = t("supplier").select((-F.col("s_suppkey")).alias("other"), F.substring("s_name", 10, 100).alias("part"))
+    return R.containing(names, "c_name", other.union(parts), "part").select("c_custkey", "other")
+
+
 @query("""select c_custkey, contains(x, '+') or contains(x, '/*') or contains(x, 'sleep') or contains(x, '%0a') or contains(x, 'user()')
 or contains(x, 'updatexml') or contains(x, 'extractvalue') or contains(x, 'information_schema') or c_custkey % 6 = 0 as refused
 from (select c_custkey, lower(case c_custkey % 6 when 0 then 'a = 1 and b' when 1 then 'SLE EP(9)' when 2 then 'a+b' when 3 then '/ *' when 4 then 'Us er()' else c_name end) as y,
