@@ -12,6 +12,7 @@ from inkwell.operators import relational as R
 from inkwell.plans.base import Catalogue
 from inkwell.session import scratch
 from inkwell.sources import files, sinks
+from inkwell.sources.state import KeyedState
 from inkwell.streaming import ingest
 
 catalogue = Catalogue()
@@ -129,11 +130,11 @@ def graph_scan_page(t):
 
 
 _EVENTS = """ev as (select event_id as off, (user_id % 3)::bigint as kb, 'doc' || user_id % 20 as k, case when event_type = 'error' then 'DELETE' else 'UPSERT' end as action,
-'h' || value::int as sha from events where event_id < 5000)"""
+'h' || value::int as sha from events)"""
 
 
 def _events(t) -> DataFrame:
-    return t("events").where("event_id < 5000").select(
+    return t("events").select(
         F.lit(1).alias("v"), F.when(F.col("event_type") == "error", "DELETE").otherwise("UPSERT").alias("action"), (F.col("user_id") % 3).alias("kbId"),
         F.concat(F.lit("doc"), (F.col("user_id") % 20).cast("string")).alias("docLogicalKey"),
         F.concat(F.lit("h"), F.round("value").cast("int").cast("string")).alias("contentSha256"), F.col("event_id").alias("offset"),
@@ -156,11 +157,55 @@ def ingest_stream(t):
     """A stream over two batches of files keeps a registry's versions."""
     events = _events(t)
     spark, folder = events.sparkSession, scratch(events.sparkSession)
-    for k, part in enumerate(("offset < 2000", "offset >= 2000")):
+    for part in ("offset % 3 = 0", "offset % 3 != 0"):
         events.where(part).coalesce(1).write.mode("append").json(f"{folder}/in")
         ingest.start_ingest(spark, f"{folder}/in", f"{folder}/state", f"{folder}/progress").awaitTermination()
-        version = k + 1
-    return sinks.read_state(spark, f"{folder}/state", version, ingest.REGISTRY)
+    return ingest.Registry(spark, f"{folder}/state").read()
+
+
+_TRIED = f"""{_EVENTS.replace("value::int", "round(value)::int")}, tried as (select *, off % 50 = 7 as fails, off % 4 + 1 as tries, off % 101 = 0 as broken, off % 103 = 0 as keyless from ev),
+out as (select *, case when broken then 'malformed' when keyless then 'no key' when fails and tries > 3 then 'store is down' end as reason,
+  case when broken or keyless then 1 when fails then least(tries, 3) else 1 end as attempts from tried),
+left_over as (select kb, k, arg_max(action, off) as action, arg_max(sha, off) as sha from out where reason is null group by 1, 2)"""
+
+
+@query(f"""with {_TRIED} select 'dead' as kind, reason as what, attempts, count(*) as n from out where reason is not null group by all union all
+select 'kept', sha, 0, count(*) from left_over where action = 'UPSERT' group by sha""")
+def ingest_retries(t):
+    """M1: events that fail are tried again, up to three times, before they are given up; malformed ones are given up at once."""
+    events = _events(t)
+    spark, folder = events.sparkSession, scratch(events.sparkSession)
+    k = F.col("offset")
+    line = F.to_json(F.struct("v", "action", "kbId", F.when(k % 103 == 0, " ").otherwise(F.col("docLogicalKey")).alias("docLogicalKey"), "contentSha256", "offset"))
+    lines = events.select(F.when(k % 101 == 0, F.concat(F.lit("{"), line)).otherwise(line).alias("line"))
+
+    def work(rows):
+        """An event fails as often as its offset says, less one."""
+        fails = (F.col("offset") % 50 == 7) & (F.col("attempts") < F.col("offset") % 4)
+        return F.when(fails, "store is down")
+
+    registry = ingest.Registry(spark, folder, work)
+    registry.apply(lines, 0)
+    registry.apply(lines, 0)  # again, as after a failure: nothing happens
+    for number in (1, 2):
+        registry.apply(lines.where("false"), number)
+    dead = registry.dead().groupBy(F.lit("dead").alias("kind"), F.col("reason").alias("what"), "attempts").agg(F.count("*").alias("n"))
+    kept = registry.read().groupBy(F.lit("kept").alias("kind"), F.col("content_sha256").alias("what"), F.lit(0).alias("attempts")).agg(F.count("*").alias("n"))
+    return dead.union(kept)
+
+
+@query("""select c_custkey, case when c_custkey % 5 = 0 then 'new ' || c_name else c_name end as name from customer where c_custkey % 7 <> 3 or c_custkey % 5 = 0""")
+def keyed_state(t):
+    """K1, K2, K3: base and deltas; changes that set and delete, and the compaction of what they touched."""
+    rows = t("customer").select("c_custkey", F.col("c_name").alias("name"))
+    spark = rows.sparkSession
+    state = KeyedState(spark, scratch(spark), "c_custkey long, name string", ["c_custkey"], most=2)
+    state.apply(rows.withColumn("gone", F.lit(False)), 0)
+    state.apply(rows.where("c_custkey % 7 = 3").withColumn("gone", F.lit(True)), 1)
+    new = rows.where("c_custkey % 5 = 0").withColumn("name", F.concat(F.lit("new "), "name")).withColumn("gone", F.lit(False))
+    state.apply(new, 2)
+    state.apply(new, 2)
+    return state.read()
 
 
 @query("""select n_regionkey as kb_id, n_nationkey, case when n_regionkey = 2 then 'new' else n_name end as name from nation where n_regionkey not in (1, 3)""")
@@ -171,7 +216,7 @@ def snapshot_rebuild(t):
     sinks.rebuild_snapshot(rows, path)
     sinks.rebuild_snapshot(rows.where("kb_id = 2").withColumn("name", F.lit("new")), path, containers=[2, 3])
     sinks.purge_container(spark, path, 1)
-    return spark.read.schema("n_nationkey int, name string, kb_id int").parquet(path)
+    return sinks.read_snapshot(spark, path, rows.select("n_nationkey", "name", "kb_id").schema.simpleString()[7:-1].replace(":", " "))
 
 
 @query("""select c_custkey::varchar as c_custkey, c_name, printf('%.2f', c_acctbal) as c_acctbal from customer

@@ -7,38 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.session import delete_folder
+from inkwell.sources.commits import Commits
 
 
-def write_state(df: DataFrame, root: str, version: int) -> None:
-    """A table's state as a version of its own; writing a version again replaces it, others are untouched."""
-    df.write.mode("overwrite").parquet(f"{root}/version={version}")
-
-
-def read_state(spark: SparkSession, root: str, version: int, schema: str) -> DataFrame:
-    """The state of a version; an empty table if there is none."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.schema(schema).parquet(f"{root}/version={version}")
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        return spark.createDataFrame([], schema)
+def _folder_name(spark: SparkSession, value: object) -> str:
+    """How a partition's folder names a value."""
+    if value is None:
+        return "__HIVE_DEFAULT_PARTITION__"
+    return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(str(value))
 
 
 def rebuild_snapshot(df: DataFrame, root: str, by: str = "kb_id", containers: list | None = None) -> None:
-    """Replaces the partitions that ``df`` has rows of, and empties those of ``containers`` without rows; others stay."""
-    if containers:
-        there = {r[0] for r in df.where(F.col(by).isin(containers)).select(by).distinct().collect()}
-        for container in set(containers) - there:
-            purge_container(df.sparkSession, root, container, by)
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(root)
+    """Replaces the containers that ``df`` has rows of, and empties those of ``containers`` without rows; others stay.
 
-
-def purge_container(spark: SparkSession, root: str, container: object, by: str = "kb_id") -> None:
-    """Drops one container's partition."""
-    delete_folder(spark, f"{root}/{by}={container}")
+    It is one commit: rows go into a new folder, and readers see them, and all that is gone, with the manifest that is
+    written last; a failure before that leaves the snapshot as it was.
+    """
+    commits = Commits(df.sparkSession, root)
+    version, content = commits.latest()
+    folder = commits.new_folder("rows")
+    df.withColumn("__container", F.col(by).cast("string")).write.partitionBy("__container").parquet(commits.path(folder))
+    held = dict(content.get("containers", {}))
+    for container in containers or ():
+        held.pop(_folder_name(df.sparkSession, container), None)
+    for name in commits.names(folder):
+        if name.startswith("__container="):
+            held[name.removeprefix("__container=")] = f"{folder}/{name}"
+    commits.commit(version + 1, {"containers": held})
+    commits.sweep()
+
+
+def purge_container(spark: SparkSession, root: str, container: object) -> None:
+    """Drops one container in one commit."""
+    commits = Commits(spark, root)
+    version, content = commits.latest()
+    name = _folder_name(spark, container)
+    commits.commit(version + 1, {"containers": {k: v for k, v in content.get("containers", {}).items() if k != name}})
+    commits.sweep()
+
+
+def read_snapshot(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """The rows of all containers, as of the last commit."""
+    commits = Commits(spark, root)
+    paths = [commits.path(folder) for folder in commits.latest()[1].get("containers", {}).values()]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def produce(events: DataFrame, path: str, topic: str) -> None:
@@ -76,17 +88,3 @@ def report(metrics: DataFrame, path: str, numbers: list[str]) -> DataFrame:
     summary = metrics.agg(*[F.round(F.avg(clean(c)), 6).alias(c) for c in numbers if not c.startswith("_")])
     summary.write.mode("overwrite").json(f"{path}/summary")
     return summary
-
-
-def for_each_version(root: str, schema: str, change: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that turns version n into n + 1; a batch that is run again gives the same version.
-
-    The version before the one that was read is deleted: no batch can be run again from it.
-    """
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        old = read_state(batch.sparkSession, root, batch_id, schema)
-        write_state(change(old, batch), root, batch_id + 1)
-        delete_folder(batch.sparkSession, f"{root}/version={batch_id - 1}")
-
-    return run

@@ -6,17 +6,17 @@ connector is installed.  Each has a batch form with the same result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from inkwell.operators.relational import remove, upsert
-from inkwell.sources.sinks import for_each_version
+from inkwell.session import checkpointed, discard
+from inkwell.sources.state import KeyedState
 
 EVENT = "v int, action string, kbId long, docLogicalKey string, contentSha256 string, offset long"
 REGISTRY = "kb_id long, doc_key string, content_sha256 string"
@@ -45,11 +45,92 @@ def apply_events(registry: DataFrame, events: DataFrame) -> DataFrame:
     return upsert(left, last.where("action = 'UPSERT'").select(*registry.columns), keys)
 
 
-def start_ingest(spark: SparkSession, source: str, root: str, checkpoint: str) -> StreamingQuery:
-    """Reads what is new under ``source`` and keeps the registry's versions under ``root``."""
-    events = spark.readStream.schema(EVENT).json(source)
-    change = for_each_version(root, REGISTRY, apply_events)
-    return events.writeStream.foreachBatch(change).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+#: Times that an event is tried before it is given up.
+ATTEMPTS = 3
+DEAD = "line string, reason string, attempts int"
+_PENDING = "line string, attempts int"
+
+
+def judged(lines: DataFrame) -> DataFrame:
+    """line, attempts, e (the event), reason: why a line can't be applied, null if it can be."""
+    parsed = lines.withColumn("e", F.from_json("line", EVENT, {"mode": "PERMISSIVE"}))
+    e = F.col("e")
+    reason = (
+        F.when(F.get_json_object("line", "$").isNull(), "malformed")
+        .when(e["v"].isNull() | (e["v"] != 1), "unknown version")
+        .when(F.coalesce(F.trim(e["docLogicalKey"]), F.lit("")) == "", "no key")
+        .when(~F.coalesce(e["action"].isin("UPSERT", "DELETE"), F.lit(False)), "unknown action")
+    )
+    return parsed.withColumn("reason", reason)
+
+
+class Registry:
+    """The documents' registry in folder ``root``, its events that wait to be tried again, and those given up.
+
+    A batch of lines is one commit: the registry's delta (its bytes follow the batch), the events that failed so far
+    with their attempts, and the ones that are malformed, invalid or failed ``attempts`` times, with the reason.
+    ``work`` maps events (the columns of EVENT, attempts) to a column that says why an event failed, null if it
+    didn't.  A later event of the same key overtakes one that waits.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, work: Callable[[DataFrame], Column] | None = None, attempts: int = ATTEMPTS) -> None:
+        self.spark, self.work, self.attempts = spark, work, attempts
+        self.state = KeyedState(spark, f"{root}/registry", f"{REGISTRY}, offset long", ["kb_id", "doc_key"])
+
+    def read(self) -> DataFrame:
+        return self.state.read().drop("offset")
+
+    def _table(self, names: list[str], schema: str) -> DataFrame:
+        paths = [self.state.commits.path(n) for n in names]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def dead(self) -> DataFrame:
+        """line, reason, attempts of the events that were given up."""
+        return self._table(self.state.commits.latest()[1].get("dead", []), DEAD)
+
+    def waiting(self) -> DataFrame:
+        """line, attempts of the events that are tried again with the next batch."""
+        return self._table(self.state.commits.latest()[1].get("pending", []), _PENDING)
+
+    def apply(self, batch: DataFrame, number: int) -> None:
+        """Applies lines (line) as change ``number``."""
+        commits = self.state.commits
+        content = commits.latest()[1]
+        if number <= content.get("number", -1):
+            return
+        lines = batch.select("line", F.lit(0).alias("attempts")).union(self.waiting())
+        rows = judged(lines.where("trim(line) != ''"))
+        if self.work is not None:
+            failure = self.work(rows.select("e.*", "attempts", "reason"))
+            failed = rows.select("line", "attempts", "e", "reason", "e.*").withColumn("failure", F.when(F.col("reason").isNull(), failure))
+            rows = failed.select("line", "attempts", "e", "reason", "failure")
+        else:
+            rows = rows.withColumn("failure", F.lit(None).cast("string"))
+        rows = checkpointed(rows.withColumn("attempts", F.col("attempts") + 1))
+        # What was applied already with a higher offset isn't undone by an event that had to wait.
+        good = rows.where("reason is null and failure is null").select("e.*")
+        last = last_per_key(valid_events(good), ["kb_id", "doc_key"], "offset")
+        known = self.state._latest(content)
+        if known is not None:
+            newer = known.select(F.col("kb_id").alias("k"), F.col("doc_key").alias("d"), F.col("offset").alias("o"))
+            last = last.join(newer, (F.col("kb_id") == F.col("k")) & (F.col("doc_key") == F.col("d")) & (F.col("offset") < F.col("o")), "left_anti")
+        over = F.col("attempts") >= self.attempts
+        dead = rows.where("reason is not null or failure is not null").where(F.col("reason").isNotNull() | over)
+        dead = dead.select("line", F.coalesce("reason", "failure").alias("reason"), "attempts")
+        waiting = rows.where(F.col("reason").isNull() & F.col("failure").isNotNull() & ~over).select("line", "attempts")
+        beside = {"dead": [*content.get("dead", []), commits.new_folder("dead")], "pending": [commits.new_folder("pending")]}
+        dead.write.parquet(commits.path(beside["dead"][-1]))
+        waiting.write.parquet(commits.path(beside["pending"][0]))
+        changes = last.select("kb_id", "doc_key", "content_sha256", "offset", (F.col("action") == "DELETE").alias("gone"))
+        self.state.apply(changes, number, beside=beside)
+        discard(rows)
+
+
+def start_ingest(spark: SparkSession, source: str, root: str, checkpoint: str, work: Callable[[DataFrame], Column] | None = None) -> StreamingQuery:
+    """Reads the lines that are new under ``source`` and keeps the registry under ``root``; see ``Registry``."""
+    registry = Registry(spark, root, work)
+    lines = spark.readStream.text(source).withColumnRenamed("value", "line")
+    return lines.writeStream.foreachBatch(registry.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def islands(events: DataFrame, by: list[str], at: str, quiet: int = QUIET) -> DataFrame:
@@ -73,24 +154,47 @@ def debounced(events: DataFrame, by: Column, at: str, quiet: int = QUIET, late:
 def rate_limited(events: DataFrame, key: str, at: str, order: str, seconds: int, most: int) -> DataFrame:
     """key, order column, nth, allowed: hits within windows that begin with a key's first hit after the last window.
 
-    A key's hits are read in order by one task, one at a time, with nothing held but the open window.
+    Every hit points at the first one that a window begun by it leaves out.  That one lies in the next stretch of
+    ``seconds`` of its key, or is the first behind it, so the pointers need only windows over (key, stretch).  The
+    starts of windows are the hits that a key's first one reaches; they are marked by doubling: each round
+    follows pointers twice as long, so a key of n windows takes log n rounds, and is never one task's work.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, begin, n = None, 0, 0
-        for batch in batches:
-            keys, times = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            nth = []
-            for k, ms in zip(keys, times):
-                if k != now or ms >= begin + seconds * 1_000_000:
-                    now, begin, n = k, ms, 0
-                n += 1
-                nth.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nth, pa.int64())], names=["key", "id", "nth"])
-
-    rows = events.select(F.col(key).alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("at"), F.col(order).alias("id"))
-    rows = rows.repartition("key").sortWithinPartitions("key", "at", "id")
-    found = rows.mapInArrow(run, "key long, id long, nth long")
+    width = seconds * 1_000_000
+    rows = events.select(F.col(key).alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("at"), F.col(order).cast("long").alias("id"))
+    rows = rows.where("key is not null and at is not null and id is not null")
+    rows = checkpointed(rows.withColumn("cell", F.floor(F.col("at") / width)))
+    # Only the first hit at each moment can begin a window.
+    moments = checkpointed(rows.groupBy("key", "cell", "at").agg(F.min("id").alias("id")))
+    firsts = moments.groupBy("key", "cell").agg(F.min("at").alias("first"))
+    later = Window.partitionBy("key").orderBy("cell")  # a row for each stretch that has hits
+    firsts = checkpointed(firsts.select("key", "cell", "first", F.lead("first").over(later).alias("then"), F.lead("cell").over(later).alias("then_cell")))
+    targets = moments.select("key", (F.col("cell") + 1).alias("cell"), (F.col("at") + width).alias("at"), F.col("at").alias("of"))
+    both = targets.union(moments.select("key", "cell", "at", F.lit(None).cast("long")))
+    ahead = Window.partitionBy("key", "cell").orderBy("at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    met = both.withColumn("next", F.min(F.when(F.col("of").isNull(), F.col("at"))).over(ahead)).where("of is not null")
+    # Without a hit in the next stretch, behind the moment, it is the first one of a later stretch.
+    own = firsts.select("key", F.col("cell").alias("c"), F.col("then").alias("t1"), F.col("then_cell").alias("c1"))
+    after = firsts.select("key", F.col("cell").alias("c2"), F.col("then").alias("t2"))
+    met = met.withColumn("c", F.col("cell") - 1).join(own, ["key", "c"], "left").join(after.withColumnRenamed("c2", "cell"), ["key", "cell"], "left")
+    beyond = F.when(F.col("c1") > F.col("cell"), F.col("t1")).otherwise(F.col("t2"))
+    jump = checkpointed(met.select("key", F.col("of").alias("at"), F.coalesce("next", beyond).alias("next")).where("next is not null"))
+    starts = checkpointed(moments.groupBy("key").agg(F.min("at").alias("at")))
+    while True:
+        reached = starts.join(jump, ["key", "at"]).select("key", F.col("next").alias("at"))
+        grown = checkpointed(starts.union(reached).distinct())
+        if jump.isEmpty() or reached.join(starts, ["key", "at"], "left_anti").isEmpty():
+            break
+        then = jump.select("key", F.col("at").alias("next"), F.col("next").alias("far"))
+        longer = checkpointed(jump.join(then, ["key", "next"]).select("key", "at", F.col("far").alias("next")))
+        discard(starts, jump)
+        starts, jump = grown, longer
+    begun = starts.select("key", F.floor(F.col("at") / width).alias("cell"), F.col("at").alias("begin"))
+    mine = begun.withColumnRenamed("begin", "b0")
+    last = begun.select("key", (F.col("cell") + 1).alias("cell"), F.col("begin").alias("b1"))
+    placed = rows.join(mine, ["key", "cell"], "left").join(last, ["key", "cell"], "left")
+    begin = F.when(F.col("b0") <= F.col("at"), F.col("b0")).otherwise(F.col("b1"))
+    nth = F.row_number().over(Window.partitionBy("key", "begin").orderBy("at", "id")).cast("long")
+    found = placed.withColumn("begin", begin).withColumn("nth", nth)
     return found.select(F.col("key").alias(key), F.col("id").alias(order), "nth", (F.col("nth") <= most).alias("allowed"))
 
 
