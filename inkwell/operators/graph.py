@@ -142,7 +142,7 @@ def hinted(hints: list[str], category: str | None = None) -> Column:
     fits = [F.col("relation").contains(F.lit(h)) for h in hints]
     if category:
         lists = F.coalesce(category, F.array().cast("array<string>"))
-        fits += [F.exists(lists, lambda c, h=h: c.contains(F.lit(h))) for h in hints]
+        fits.append(F.exists(lists, lambda c: functools.reduce(lambda a, b: a | b, [c.contains(F.lit(h)) for h in hints])))
     return functools.reduce(lambda a, b: a | b, fits)
 
 

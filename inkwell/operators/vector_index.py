@@ -100,6 +100,8 @@ class VectorIndex:
             for batch in batches:
                 for at in range(0, batch.num_rows, PACK):
                     part = batch.slice(at, PACK)
+                    if not len(centres):
+                        return
                     away = _angles(_matrix(part.column(1)), centres)
                     n, m = away.shape
                     taken = pa.array(np.repeat(np.arange(n), m))

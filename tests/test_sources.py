@@ -71,7 +71,7 @@ def test_sinks(spark, tmp_path):
     kb = spark.createDataFrame([(1, "a"), (2, "b")], "kb_id int, x string")
     sinks.rebuild_snapshot(kb, str(tmp_path / "snap"))
     sinks.rebuild_snapshot(kb.where("kb_id = 2").withColumn("x", F.lit("c")), str(tmp_path / "snap"))
-    assert sorted((r.kb_id, r.x) for r in spark.read.parquet(str(tmp_path / "snap")).collect()) == [(1, "a"), (2, "c")]
+    assert sorted((r.kb_id, r.x) for r in sinks.read_snapshot(spark, str(tmp_path / "snap"), "x string, kb_id int").collect()) == [(1, "a"), (2, "c")]
     means = sinks.report(spark.createDataFrame([(0.5,), (float("nan"),), (1.0,)], "m double"), str(tmp_path / "r"), ["m"])
     assert means.first().m == 0.75
 
@@ -87,8 +87,9 @@ def test_ingest_stream(spark, tmp_path):
     ingest.start_ingest(spark, str(source), root, marks).awaitTermination()
     (source / "2.json").write_text("\n".join([_event("b", "DELETE", None, 6), _event("c", "UPSERT", "w", 7)]))
     ingest.start_ingest(spark, str(source), root, marks).awaitTermination()
-    state = sinks.read_state(spark, root, 2, ingest.REGISTRY)
-    assert sorted((r.doc_key, r.content_sha256) for r in state.collect()) == [("a", "z"), ("c", "w")]
+    registry = ingest.Registry(spark, root)
+    assert sorted(r.reason for r in registry.dead().collect()) == ["no key", "unknown version"]
+    assert sorted((r.doc_key, r.content_sha256) for r in registry.read().collect()) == [("a", "z"), ("c", "w")]
 
 
 def test_debounced_stream(spark, tmp_path):
