@@ -1,21 +1,21 @@
-"""Chunking: paragraphs, structure, soft cuts, overlap, parents and children, batches.
+"""Chunking: paragraphs, structure, soft cuts, overlap, parents and children, batches, windows, marks.
 
-Spans are half-open and count code points.  What cuts a text depends on its earlier cuts, so one
-text is cut by a small Python helper inside a vectorised function over the text column; everything
-around it (exploding, ids, joins, deduplication) is DataFrame work.
+Spans are half-open and count code points.  A text is cut where it lies, by column expressions over arrays of its
+lines and paragraphs: what depends on earlier cuts is a fold over such an array, so nothing is shuffled
+and no text leaves the JVM.  Only the soft cuts of stretches that are too long are sought by a
+small helper (``soft_cuts``), which is sent these stretches and nothing else.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
-from itertools import accumulate
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.operators import ids
+from inkwell.session import checkpointed
 
 # Where a text may be cut, strongest first.  No ASCII full stop: it also ends numbers.
 CUTS = ("。！？!?；;", "，,：:）)】]”\"", "\n\r", " \t")
@@ -26,247 +26,223 @@ BATCH, SHORT_TAIL = 4000, 500
 #: Units and windows for breaks; characters that an answer's part may be away from where the last one ended.
 UNIT, WINDOW, SLACK = 180, 8, 50
 CUT_MARK = "<<<<CUT>>>>"
-_THOUGHTS, _FENCED = re.compile(r"<think>.*?</think>", re.S | re.I), re.compile(r"```(?:\w+)?\s*(.*?)\s*```", re.S)
-_BLANK_LINES = re.compile(r"(?:\r?\n[ \t]*){2,}")
-_EDGE = " \t\n\r"
-_FENCE, _TABLE, _HEADING = re.compile(r"```"), re.compile(r"\s*\|.*\|\s*$"), re.compile(r"(#{1,6})\s+")
-
-Span = tuple[int, int]
-
-
-@dataclass(frozen=True)
-class Block:
-    start: int
-    end: int
-    kind: str
-    level: int = 0
-
-
-def trimmed(text: str, start: int, end: int) -> Span | None:
-    """The span without blanks and line ends at its edges; None if nothing is left."""
-    inner = text[start:end]
-    left = len(inner) - len(inner.lstrip(_EDGE))
-    right = len(inner.rstrip(_EDGE))
-    return (start + left, start + right) if right > left else None
-
-
-def paragraphs(text: str) -> list[Span]:
-    """Spans between blank lines."""
-    edges = [0, *(x for m in _BLANK_LINES.finditer(text) for x in m.span()), len(text)]
-    found = (trimmed(text, a, b) for a, b in zip(edges[::2], edges[1::2]))
-    return [s for s in found if s]
-
-
-def soft_cut(text: str, start: int, end: int) -> int:
-    """Behind the last mark of the strongest kind near the end of the stretch; its end if there is none."""
-    lowest = min(start + int((end - start) * LOOK_BACK), end)
-    window = text[max(lowest - 1, 0) : end]
-    for marks in CUTS:
-        last = max(window.rfind(m) for m in marks)
-        if last >= 0:
-            return max(lowest - 1, 0) + last + 1
-    return end
-
-
-def pieces(text: str, span: Span, most: int) -> list[Span]:
-    """A span in parts of at most ``most`` characters, cut softly."""
-    start, end = span
-    out = []
-    while most > 0 and end - start > most:
-        cut = soft_cut(text, start, start + most)
-        cut = cut if cut > start else start + most
-        out.append((start, cut))
-        start = cut
-    return [*out, (start, end)]
-
-
-def line_groups(text: str, span: Span, most: int) -> list[Span]:
-    """A span in groups of whole lines of at most ``most`` characters; a longer line stands alone."""
-    if most <= 0 or span[1] - span[0] <= most:
-        return [span]
-    ends = [span[0] + m.end() for m in re.finditer(r"\n", text[span[0] : span[1]])]
-    out, begin, last = [], span[0], span[0]
-    for end in [*(e for e in ends if e < span[1]), span[1]]:
-        if last > begin and end - begin > most:
-            out.append((begin, last))
-            begin = last
-        last = end
-    return [*out, (begin, last)]
-
-
-def structure(text: str) -> list[Block]:
-    """Code fences, tables, headings and paragraphs in order; a fence without an end runs to the text's end."""
-    if not text:
-        return []
-    lines = text.split("\n")
-    at = [0]
-    for line in lines:
-        at.append(at[-1] + len(line) + 1)
-    kinds, fenced = [], False
-    for line in lines:
-        fence = bool(_FENCE.match(line))
-        heading = _HEADING.match(line)
-        if fenced or fence:
-            kinds.append("close" if fenced and fence else "code" if fenced else "open")
-            fenced = not fenced if fence else fenced
-        elif _TABLE.match(line):
-            kinds.append("table")
-        elif heading:
-            kinds.append(f"heading{len(heading[1])}")
-        else:
-            kinds.append("paragraph" if line.strip() else "blank")
-    out: list[Block] = []
-    k = 0
-    while k < len(lines):
-        stop, kind = k + 1, kinds[k]
-        if kind == "open":
-            while stop < len(lines) and kinds[stop - 1] != "close":
-                stop += 1
-        elif kind in ("table", "paragraph"):
-            while stop < len(lines) and kinds[stop] == kind:
-                stop += 1
-        span: Span | None = (at[k], min(at[stop] - 1, len(text)))
-        if kind in ("paragraph", "blank"):
-            span = trimmed(text, *span)
-        if span:
-            name = {"open": "code"}.get(kind, kind.rstrip("123456"))
-            out.append(Block(*span, name, int(kind[-1]) if kind.startswith("heading") else 0))
-        k = stop
-    return out
-
-
-def overlapped(text: str, span: Span, overlap: int, most: int) -> tuple[int, int]:
-    """Characters to add left and right: up to ``overlap``, the right ones given up first over ``most``.
+#: White space in the sense of Unicode; what is trimmed off a span; blank lines.
+_WS, _EDGE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]", " \t\n\r"
+_BLANK = r"(?:\r?\n[ \t]*){2,}"
+_SPAN, _PART = "struct<start:int,end:int>", "struct<start:int,end:int,kind:string>"
+
+
+def _text(text: Column) -> Column:
+    return F.coalesce(text, F.lit(""))
+
+
+def _sub(text: Column, start: Column, size: Column) -> Column:
+    """``size`` characters from a place that counts from 0."""
+    return F.substring(text, (start + 1).cast("int"), F.greatest(size, F.lit(0)).cast("int"))
+
+
+def _cumulated(sizes: Column) -> Column:
+    """The sums of a list up to each of its numbers."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("sums"))
+    step = lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["sums"], F.array(s["at"] + n)).alias("sums"))
+    return F.aggregate(sizes, start, step, lambda s: s["sums"])
+
+
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, rf"^{_WS}+|{_WS}+$", "")
+
+
+def paragraphs(text: Column) -> Column:
+    """start, end, text of the stretches between blank lines, without white space at their edges."""
+    parts = F.regexp_extract_all(_text(text), F.lit(rf"{_BLANK}|(?s:.+?)(?={_BLANK}|\z)"), 0)
+    ends = _cumulated(F.transform(parts, F.length))
+
+    def inner(part: Column, end: Column) -> Column:
+        lead = F.length(part) - F.length(F.ltrim(part, F.lit(_EDGE)))
+        said = F.trim(part, F.lit(_EDGE))
+        start = end - F.length(part) + lead
+        return F.struct(start.cast("int").alias("start"), (start + F.length(said)).cast("int").alias("end"), said.alias("text"))
+
+    return F.filter(F.zip_with(parts, ends, inner), lambda s: s["end"] > s["start"])
+
+
+def _soft_ends(text: str, most: int) -> list[int]:
+    """Where parts of at most ``most`` characters end: behind the last mark of the strongest kind near each one's end."""
+    out, start = [], 0
+    while most > 0 and len(text) - start > most:
+        end = start + most
+        low = max(start + int(most * LOOK_BACK) - 1, 0)
+        window = text[low:end]
+        places = (max(window.rfind(m) for m in marks) for marks in CUTS)
+        cut = next((low + p + 1 for p in places if p >= 0), end)
+        start = cut if cut > start else end
+        out.append(start)
+    return [*out, len(text)]
+
+
+def soft_cuts(texts: Column, most: int) -> Column:
+    """For each of a list of texts the ends of its parts of at most ``most`` characters; null for null."""
+
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(lambda list_: None if list_ is None else [None if t is None else _soft_ends(t, most) for t in list_])
+
+    run.__annotations__ = {"column": pd.Series, "return": pd.Series}
+    # Marked so that the optimizer leaves it a column of its own and doesn't fold it into the expressions that use it.
+    return F.pandas_udf(run, "array<array<int>>").asNondeterministic()(texts)
+
+
+def _pieces(rows: DataFrame, spans: str, most: int, out: str, kept: str | None = None) -> DataFrame:
+    """``rows`` with ``out``: the spans (start, end, text, ...) of a column as pieces (start, end, text, nth of its span).
+
+    Only texts that are too long go to the helper.  With ``kept`` the pieces bear this field of their span too.
+    """
+    long = F.transform(spans, lambda s: F.when(s["end"] - s["start"] > most, s["text"]))
+    some = F.exists(long, lambda x: x.isNotNull())
+    rows = rows.withColumn("__ends", soft_cuts(F.when(some, long), most))
+
+    def cut(span: Column, nth: Column) -> Column:
+        ends = F.coalesce(F.get(F.col("__ends"), nth), F.array(span["end"] - span["start"]))
+        begins = F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.size(ends) - 1))
+        extra = [span[kept].alias(kept)] if kept else []
+        return F.zip_with(begins, ends, lambda a, b: F.struct(
+            (span["start"] + a).cast("int").alias("start"), (span["start"] + b).cast("int").alias("end"), _sub(span["text"], a, b - a).alias("text"), nth.alias("of"), *extra
+        ))
+
+    return rows.withColumn(out, F.flatten(F.transform(spans, cut))).drop("__ends")
+
+
+def overlaps(text: Column, start: Column, end: Column, overlap: int, most: int) -> tuple[Column, Column]:
+    """Characters to add left and right of a span: up to ``overlap``, the right ones given up first over ``most``.
 
     If sentences begin and end within both additions, these end at sentence borders.
     """
-    start, end = span
-    left, right = min(overlap, start), min(overlap, len(text) - end)
-    room_left, room_right = left, right
-    over = max(0, left + right + end - start - most) if most > 0 else 0
-    cut = min(over, right)
-    right, over = right - cut, over - cut
-    left -= min(over, left)
-    a, b = start - left, end + right
-    stops = CUTS[0] + CUTS[2]
-    first = next((i + 1 for i in range(a, min(len(text), a + room_left + 1)) if text[i] in stops), a)
-    last = next((i + 1 for i in range(b - 1, max(0, b - room_right - 1) - 1, -1) if text[i] in stops), b)
-    if first < start and last > end:
-        a, b = first, last
-    return start - a, b - end
-
-
-def batches(text: str, most: int = BATCH, short: int = SHORT_TAIL) -> list[Span]:
-    """Whole paragraphs packed up to ``most`` characters; long ones are cut; a short last batch joins the one before."""
-    units = [p for s in paragraphs(text) for p in pieces(text, s, most)]
-    out: list[Span] = []
-    for start, end in units:
-        if out and end - out[-1][0] <= most:
-            out[-1] = (out[-1][0], end)
-        else:
-            out.append((start, end))
-    if len(out) > 1 and out[-1][1] - out[-1][0] < short:
-        tail = out.pop()
-        out[-1] = (out[-1][0], tail[1])
-    return out
-
-
-def flat_spans(text: str, most: int = MOST) -> list[Span]:
-    """Paragraphs, cut where they are too long."""
-    return [p for s in paragraphs(text) for p in pieces(text, s, most)]
-
-
-def parents(text: str, most: int = MOST) -> list[tuple[int, int, str]]:
-    """Spans of parents: a heading opens one, code and tables stand alone, paragraphs gather up to ``most``."""
-    out: list[tuple[int, int, str]] = []
-    current: Span | None = None
-
-    def close() -> None:
-        nonlocal current
-        if current:
-            out.extend((*p, "text") for p in pieces(text, current, most))
-        current = None
-
-    for block in structure(text):
-        if block.kind in ("code", "table"):
-            close()
-            out += [(*g, block.kind) for g in line_groups(text, (block.start, block.end), most)]
-        elif block.kind == "heading":
-            close()
-            current = (block.start, block.end)
-        elif current and block.end - current[0] <= most:
-            current = (current[0], block.end)
-        else:
-            close()
-            current = (block.start, block.end)
-    close()
-    return out
-
-
-def children(text: str, parent: tuple[int, int, str], size: int = CHILD) -> list[Span]:
-    """A structured parent whole, any other in parts."""
-    start, end, kind = parent
-    return [(start, end)] if kind != "text" else pieces(text, (start, end), max(LEAST_CHILD, size))
-
-
-def from_marks(text: str, answer: str) -> tuple[list[Span], str]:
-    """Spans between a model's marks, and how they were found: ``strict`` if the answer without marks is the text,
-    ``aligned`` if its parts follow each other in the text with little between, else none."""
-    plain = _THOUGHTS.sub("", answer or "").strip()
-    fence = _FENCED.search(plain) or _FENCED.search(answer or "")
-    tried = [answer, (answer or "").strip(), plain, *((fence[1], fence[1].strip()) if fence else ())]
-    for candidate in dict.fromkeys(x for x in tried if x):
-        parts = candidate.split(CUT_MARK)
-        if "".join(parts) == text:
-            ends = list(accumulate(map(len, parts)))
-            mode = "strict"
-        else:
-            ends, mode = [], "aligned"
-            at = 0
-            for part in parts if len(parts) > 1 else ():
-                found = text.find(part, at)
-                if found < 0 or found - at > SLACK:
-                    break
-                at = found + len(part)
-                ends.append(at)
-            if len(ends) != len(parts) or text[at:].strip():
-                continue
-            ends[-1] = len(text)
-        edges = sorted({0, *ends, len(text)})
-        if spans := list(zip(edges, edges[1:])):
-            return spans, mode
-    return [], ""
-
-
-def nearest_break(sizes: list[int], target: int) -> int:
+    size, zero = F.length(text), F.lit(0)
+    left, right = F.least(F.lit(overlap), start), F.least(F.lit(overlap), size - end)
+    over = F.greatest(zero, left + right + end - start - most) if most > 0 else zero
+    a, b = start - (left - F.least(over - F.least(over, right), left)), end + right - F.least(over, right)
+    stops = (CUTS[0] + CUTS[2]).replace("]", r"\]")
+    near = _sub(text, a, F.least(size, a + left + 1) - a)
+    low = F.greatest(zero, b - right - 1)
+    before = F.length(F.regexp_extract(near, f"^[^{stops}]*", 0))
+    behind = F.length(F.regexp_extract(_sub(text, low, b - low), f"(?s)^.*[{stops}]", 0))
+    first, last = F.when(before < F.length(near), a + before + 1).otherwise(a), F.when(behind > 0, low + behind).otherwise(b)
+    whole = (first < start) & (last > end)
+    return start - F.when(whole, first).otherwise(a), F.when(whole, last).otherwise(b) - end
+
+
+def structure(text: Column) -> Column:
+    """start, end, kind, level of code fences, tables, headings and paragraphs; a fence without an end runs to the text's end."""
+    lines = F.split(_text(text), "\n")
+    block = "struct<start:int,end:int,kind:string,level:int>"
+    start = F.struct(
+        F.lit(0).alias("at"), F.lit(False).alias("fenced"), F.lit(None).cast(block).alias("now"), F.array().cast(f"array<{block}>").alias("done")
+    )
+
+    def step(s: Column, line: Column) -> Column:
+        fence = line.startswith("```")
+        level = F.length(F.regexp_extract(line, rf"^(#{{1,6}}){_WS}+", 1))
+        plain = F.when(line.rlike(rf"^{_WS}*\|.*\|{_WS}*$"), "table").when(level > 0, "heading")
+        plain = plain.when(F.length(_strip(line)) > 0, "paragraph").otherwise("blank")
+        kind = F.when(s["fenced"] | fence, "code").otherwise(plain)
+        end = s["at"] + F.length(line)
+        lead = F.length(line) - F.length(F.ltrim(line, F.lit(_EDGE)))
+        trail = F.length(line) - F.length(F.rtrim(line, F.lit(_EDGE)))
+        loose = kind.isin("paragraph", "blank")
+        goes_on = s["now"].isNotNull() & (s["fenced"] | (~fence & kind.isin("table", "paragraph") & (s["now"]["kind"] == kind)))
+        begin = F.when(goes_on, s["now"]["start"]).otherwise(F.when(loose, s["at"] + lead).otherwise(s["at"]))
+        now = F.struct(
+            begin.cast("int").alias("start"), F.when(loose, end - trail).otherwise(end).cast("int").alias("end"), kind.alias("kind"),
+            F.when(kind == "heading", level).otherwise(0).cast("int").alias("level"),
+        )
+        done = F.when(goes_on | s["now"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["now"])))
+        return F.struct((end + 1).alias("at"), (s["fenced"] != fence).alias("fenced"), now.cast(block).alias("now"), done.alias("done"))
+
+    found = F.aggregate(lines, start, step, lambda s: F.concat(s["done"], F.array(s["now"])))
+    return F.when(F.length(_text(text)) == 0, F.array().cast(f"array<{block}>")).otherwise(F.filter(found, lambda b: (b["end"] > b["start"]) | (b["kind"] == "code")))
+
+
+def _gathered(blocks: Column, most: int) -> Column:
+    """start, end, kind of parents before they are cut: a heading opens one, code and tables stand alone, others gather."""
+    none = F.lit(None).cast(_SPAN)
+    start = F.struct(none.alias("now"), F.array().cast(f"array<{_PART}>").alias("done"))
+    of = lambda x, kind: F.struct(x["start"].alias("start"), x["end"].alias("end"), kind.alias("kind")).cast(_PART)
+    closed = lambda s: F.when(s["now"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(of(s["now"], F.lit("text")))))
+
+    def step(s: Column, b: Column) -> Column:
+        alone = b["kind"].isin("code", "table")
+        joins = (b["kind"] != "heading") & s["now"].isNotNull() & (b["end"] - s["now"]["start"] <= most)
+        now = F.when(alone, none).otherwise(F.struct(F.when(joins, s["now"]["start"]).otherwise(b["start"]).alias("start"), b["end"].alias("end")).cast(_SPAN))
+        done = F.when(alone, F.concat(closed(s), F.array(of(b, b["kind"])))).when(joins, s["done"]).otherwise(closed(s))
+        return F.struct(now.alias("now"), done.alias("done"))
+
+    return F.aggregate(blocks, start, step, closed)
+
+
+def _line_groups(part: Column, most: int) -> Column:
+    """A span (start, end, kind, text) in groups of whole lines of at most ``most`` characters; a longer line stands alone."""
+    sizes = F.transform(F.split(part["text"], "\n"), lambda x: F.length(x) + 1)
+    ends = F.transform(_cumulated(sizes), lambda e: F.least(part["start"] + e, part["end"]))
+    ends = F.filter(ends, lambda e: e < part["end"])
+    start = F.struct(part["start"].alias("begin"), part["start"].alias("last"), F.array().cast(f"array<{_SPAN}>").alias("done"))
+    span = lambda a, b: F.array(F.struct(a.alias("start"), b.alias("end")).cast(_SPAN))
+
+    def step(s: Column, end: Column) -> Column:
+        over = (s["last"] > s["begin"]) & (end - s["begin"] > most)
+        return F.struct(
+            F.when(over, s["last"]).otherwise(s["begin"]).alias("begin"), end.cast("int").alias("last"), F.when(over, F.concat(s["done"], span(s["begin"], s["last"]))).otherwise(s["done"]).alias("done")
+        )
+
+    whole = F.aggregate(F.concat(ends, F.array(part["end"])), start, step, lambda s: F.concat(s["done"], span(s["begin"], s["last"])))
+    return F.when((F.lit(most) <= 0) | (part["end"] - part["start"] <= most), span(part["start"], part["end"])).otherwise(whole)
+
+
+def _packed(units: Column, most: int, short: int) -> Column:
+    """start, end of units packed up to ``most`` characters; a short last batch joins the one before."""
+    start = F.struct(F.lit(None).cast(_SPAN).alias("now"), F.array().cast(f"array<{_SPAN}>").alias("done"))
+
+    def step(s: Column, u: Column) -> Column:
+        joins = s["now"].isNotNull() & (u["end"] - s["now"]["start"] <= most)
+        now = F.struct(F.when(joins, s["now"]["start"]).otherwise(u["start"]).alias("start"), u["end"].alias("end")).cast(_SPAN)
+        done = F.when(joins | s["now"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["now"])))
+        return F.struct(now.alias("now"), done.alias("done"))
+
+    def last(s: Column) -> Column:
+        before = F.try_element_at(s["done"], F.lit(-1))
+        small = (F.size(s["done"]) > 0) & (s["now"]["end"] - s["now"]["start"] < short)
+        joined = F.concat(F.slice(s["done"], 1, F.greatest(F.size(s["done"]) - 1, F.lit(0))), F.array(F.struct(before["start"].alias("start"), s["now"]["end"].alias("end")).cast(_SPAN)))
+        return F.when(s["now"].isNull(), s["done"]).when(small, joined).otherwise(F.concat(s["done"], F.array(s["now"])))
+
+    return F.aggregate(units, start, step, last)
+
+
+def nearest_break(sizes: Column, target: int) -> Column:
     """How many of the units, but not all of them, come nearest to the target length together; of equals the first."""
-    sums = list(accumulate(sizes[:-1]))
-    return min(range(len(sums)), key=lambda k: abs(sums[k] - target)) + 1 if sums else 1
+    sums = _cumulated(F.slice(sizes, 1, F.greatest(F.size(sizes) - 1, F.lit(0))))
+    away = F.transform(sums, lambda x, k: F.struct(F.abs(x - target).alias("d"), (k + 1).alias("n")))
+    return F.coalesce(F.array_min(away)["n"], F.lit(1))
 
 
-def windows(text: str, target: int = SIZE, choose=nearest_break) -> list[Span]:
-    """Units of up to UNIT characters, joined up to a break that ``choose`` finds in each window of WINDOW of them."""
-    units = [p for s in paragraphs(text) for p in pieces(text, s, UNIT)]
-    out, k = [], 0
-    while k < len(units):
-        window = units[k : k + WINDOW]
-        n = choose([b - a for a, b in window], target) if len(window) > 1 else 1
-        out.append((window[0][0], window[n - 1][1]))
-        k += n
-    return out
+def _windowed(units: Column, target: int, choose: Callable[[Column, int], Column]) -> Column:
+    """start, end of units joined up to a break that ``choose`` finds in each window of WINDOW of them."""
+    start = F.struct(F.lit(0).alias("k"), F.array().cast(f"array<{_SPAN}>").alias("done"))
 
+    def step(s: Column, nth: Column) -> Column:
+        window = F.slice(units, s["k"] + 1, WINDOW)
+        n = F.when(F.size(window) > 1, choose(F.transform(window, lambda u: u["end"] - u["start"]), target)).otherwise(1).cast("int")
+        span = F.struct(F.get(window, F.lit(0))["start"].alias("start"), F.get(window, n - 1)["end"].alias("end")).cast(_SPAN)
+        grown = F.struct((s["k"] + n).cast("int").alias("k"), F.concat(s["done"], F.array(span)).alias("done"))
+        return F.when(nth < s["k"], s).otherwise(grown)
 
-# -- over columns
+    return F.aggregate(F.when(F.size(units) > 0, F.sequence(F.lit(0), F.size(units) - 1)).otherwise(F.array().cast("array<int>")), start, step, lambda s: s["done"])
 
-_SPANS = "array<struct<start: int, end: int, kind: string, left: int, right: int>>"
 
+# -- over tables
 
-def _over(text: Column, cut, kind: str = _SPANS) -> Column:
-    def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: cut(t or ""))
 
-    run.__annotations__ = {"column": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, kind)(text)
+def _units(docs: DataFrame, doc_id: str, text: str, most: int) -> DataFrame:
+    """doc_id, text, units: every document's paragraphs in pieces of at most ``most`` characters."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("spans", paragraphs(F.col("text")))
+    return _pieces(rows, "spans", most, "units").drop("spans")
 
 
 def flat_chunks(docs: DataFrame, doc_id: str, text: str, overlap: int = OVERLAP, most: int = MOST) -> DataFrame:
@@ -274,45 +250,99 @@ def flat_chunks(docs: DataFrame, doc_id: str, text: str, overlap: int = OVERLAP,
 
     doc_id holds source document ids; a null or blank text has no chunks.
     """
-    cap = most + 2 * overlap
-
-    def cut(t: str) -> list[dict]:
-        spans = flat_spans(t, most)
-        sides = [overlapped(t, s, overlap, cap) for s in spans]
-        return [{"start": a, "end": b, "kind": "text", "left": x, "right": y} for (a, b), (x, y) in zip(spans, sides)]
-
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.posexplode(_over(F.col(text), cut)).alias("chunk_index", "s"))
-    start, size = F.col("s.start") - F.col("s.left") + 1, F.col("s.end") + F.col("s.right") - F.col("s.start") + F.col("s.left")
-    content = F.trim(F.substring(F.col("text"), start, size))
-    return rows.select(
-        "doc_id", "chunk_index", "s.start", "s.end", F.col("s.left").alias("overlap_left"), F.col("s.right").alias("overlap_right"),
-        content.alias("content"), ids.chunk_id(F.col("doc_id"), F.col("chunk_index"), content).alias("chunk_id"),
-    )
+    rows = _units(docs, doc_id, text, most).select("doc_id", "text", F.posexplode("units").alias("chunk_index", "s")).select("doc_id", "text", "chunk_index", "s.start", "s.end")
+    left, right = overlaps(F.col("text"), F.col("start"), F.col("end"), overlap, most + 2 * overlap)
+    rows = rows.withColumn("overlap_left", left.cast("int")).withColumn("overlap_right", right.cast("int"))
+    content = F.trim(_sub(F.col("text"), F.col("start") - F.col("overlap_left"), F.col("end") + F.col("overlap_right") - F.col("start") + F.col("overlap_left")))
+    rows = rows.withColumn("content", content).drop("text")
+    return rows.withColumn("chunk_id", ids.chunk_id(F.col("doc_id"), F.col("chunk_index"), F.col("content")))
+
+
+def parent_spans(docs: DataFrame, doc_id: str, text: str, most: int = MOST) -> DataFrame:
+    """doc_id, parents: start, end, text and kind of every document's parents."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), _text(F.col(text)).alias("text"))
+    rows = rows.withColumn("wide", _gathered(structure(F.col("text")), most))
+    told = F.transform("wide", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), _sub(F.col("text"), s["start"], s["end"] - s["start"]).alias("text")))
+    rows = rows.withColumn("wide", told)
+    part = lambda s, a, b: F.struct(a.alias("start"), b.alias("end"), _sub(s["text"], a - s["start"], b - a).alias("text"), s["kind"].alias("kind"))
+    cut = F.transform("wide", lambda s: F.when(s["kind"] == "text", F.array(part(s, s["start"], s["end"]))).otherwise(
+        F.transform(_line_groups(s, most), lambda g: part(s, g["start"], g["end"]))
+    ))
+    rows = rows.withColumn("wide", F.flatten(cut))
+    # Structured parts are as they are; only the others are cut softly.
+    soft = F.transform("wide", lambda s: s.withField("text", F.when(s["kind"] == "text", s["text"])))
+    rows = _pieces(rows.withColumn("soft", soft), "soft", most, "parents", "kind")
+    again = F.transform("parents", lambda p: p.withField("text", F.coalesce(p["text"], F.get("wide", p["of"])["text"])).withField("end", F.when(p["kind"] == "text", p["end"]).otherwise(F.get("wide", p["of"])["end"])))
+    return rows.select("doc_id", again.alias("parents"))
 
 
 def parent_child_chunks(docs: DataFrame, doc_id: str, text: str, most: int = MOST, child: int = CHILD) -> tuple[DataFrame, DataFrame]:
-    """Parents (doc_id, chunk_index, chunk_id, chunk_type, content, child_ids) and their children (parent_id, child_id, content)."""
-    kind = "array<struct<start: int, end: int, kind: string, children: array<struct<start: int, end: int>>>>"
-
-    def cut(t: str) -> list[dict]:
-        return [
-            {"start": p[0], "end": p[1], "kind": p[2], "children": [{"start": a, "end": b} for a, b in children(t, p, child)]}
-            for p in parents(t, most)
-        ]
-
-    part = lambda s: F.trim(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.posexplode(_over(F.col(text), cut, kind)).alias("chunk_index", "s"))
-    rows = rows.withColumn("content", part(F.col("s"))).where("content != ''")
-    rows = rows.withColumn("chunk_id", ids.chunk_id(F.col("doc_id"), F.col("chunk_index"), F.col("content")))
-    listed = F.transform(F.col("s.children"), part)
-    rows = rows.select("doc_id", "chunk_index", "chunk_id", F.col("s.kind").alias("chunk_type"), "content", F.filter(listed, lambda x: x != "").alias("parts"))
-    own = F.transform("parts", lambda x: F.struct(ids.child_id(F.col("chunk_id"), x).alias("child_id"), x.alias("content")))
+    """Parents (doc_id, chunk_index, chunk_id, chunk_type, content, child_ids) and their children (parent_id, child_id, content).
+
+    A structured parent is its own child, any other one is cut into parts.
+    """
+    size = max(LEAST_CHILD, child)
+    rows = parent_spans(docs, doc_id, text, most)
+    soft = F.transform("parents", lambda p: p.withField("text", F.when(p["kind"] == "text", p["text"])))
+    rows = _pieces(rows.withColumn("soft", soft), "soft", size, "kids", "kind")
+    whole = lambda k: F.coalesce(k["text"], F.get("parents", k["of"])["text"])
+    mine = lambda p, nth: F.transform(F.filter("kids", lambda k: k["of"] == nth), lambda k: F.trim(whole(k)))
+    listed = F.transform("parents", lambda p, nth: F.struct(p["kind"].alias("kind"), F.trim(p["text"]).alias("content"), mine(p, nth).alias("parts")))
+    rows = rows.select("doc_id", F.posexplode(listed).alias("chunk_index", "s")).select("doc_id", "chunk_index", F.col("s.kind").alias("chunk_type"), "s.content", "s.parts")
+    rows = rows.where("content != ''").withColumn("chunk_id", ids.chunk_id(F.col("doc_id"), F.col("chunk_index"), F.col("content")))
+    parts = F.filter("parts", lambda x: x != "")
+    own = F.transform(parts, lambda x: F.struct(ids.child_id(F.col("chunk_id"), x).alias("child_id"), x.alias("content")))
     rows = rows.withColumn("own", own)
     listed_ids = F.array_distinct(F.transform("own", lambda x: x["child_id"]))
     kids = rows.select(F.col("chunk_id").alias("parent_id"), F.explode("own").alias("c")).select("parent_id", "c.child_id", "c.content")
     return rows.select("doc_id", "chunk_index", "chunk_id", "chunk_type", "content", listed_ids.alias("child_ids")), kids.distinct()
 
 
+def batches(docs: DataFrame, doc_id: str, text: str, most: int = BATCH, short: int = SHORT_TAIL) -> DataFrame:
+    """doc_id, batch, start, end: whole paragraphs packed up to ``most`` characters; long ones are cut; a short last batch joins the one before."""
+    found = _units(docs, doc_id, text, most).select("doc_id", F.posexplode(_packed(F.col("units"), most, short)).alias("batch", "s"))
+    return found.select("doc_id", "batch", "s.start", "s.end")
+
+
+def window_spans(docs: DataFrame, doc_id: str, text: str, target: int = SIZE, choose: Callable[[Column, int], Column] = nearest_break) -> DataFrame:
+    """doc_id, start, end: units of up to UNIT characters, joined up to a break that ``choose`` finds in each window of them.
+
+    ``choose`` maps the sizes of a window's units to how many of them come before the break; it takes a model's place.
+    """
+    found = _units(docs, doc_id, text, UNIT).select("doc_id", F.explode(_windowed(F.col("units"), target, choose)).alias("s"))
+    return found.select("doc_id", "s.start", "s.end")
+
+
+def excerpts(docs: DataFrame, doc_id: str, text: str, least: int = 60, most: int = 800) -> DataFrame:
+    """doc_id, position, excerpt: paragraphs of at least ``least`` characters, long ones in soft parts."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.filter(paragraphs(F.col(text)), lambda s: s["end"] - s["start"] >= least).alias("spans"))
+    return _pieces(rows, "spans", most, "units").select("doc_id", F.posexplode("units").alias("position", "s")).select("doc_id", "position", F.col("s.text").alias("excerpt"))
+
+
+def _find(part: Column, text: Column, at: Column) -> Column:
+    """Where a part stands in a text, from a place on; -1 if it doesn't."""
+    return F.call_function("locate", part, text, (at + 1).cast("int")) - 1
+
+
+def _marked(text: Column, candidate: Column) -> Column:
+    """mode and ends of the parts of one form of an answer: null if they neither are the text nor follow each other in it."""
+    parts = F.split(candidate, CUT_MARK)
+    strict = F.struct(F.lit("strict").alias("mode"), _cumulated(F.transform(parts, F.length)).alias("ends"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(True).alias("ok"), F.array().cast("array<int>").alias("ends"))
+
+    def step(s: Column, part: Column) -> Column:
+        place = F.when(F.length(part) == 0, s["at"]).otherwise(_find(part, text, s["at"]))
+        ok = s["ok"] & (place >= 0) & (place - s["at"] <= SLACK)
+        at = F.when(ok, place + F.length(part)).otherwise(s["at"]).cast("int")
+        return F.struct(at.alias("at"), ok.alias("ok"), F.when(ok, F.concat(s["ends"], F.array(at))).otherwise(s["ends"]).alias("ends"))
+
+    done = F.aggregate(parts, start, step)
+    rest = F.length(_strip(_sub(text, done["at"], F.length(text)))) == 0
+    ends = F.concat(F.slice(done["ends"], 1, F.greatest(F.size(done["ends"]) - 1, F.lit(0))), F.array(F.length(text)))
+    aligned = F.struct(F.lit("aligned").alias("mode"), ends.alias("ends"))
+    return F.when(F.array_join(parts, "") == text, strict).when((F.size(parts) > 1) & done["ok"] & rest, aligned)
+
+
 def paragraph_sizes(text: Column) -> Column:
     """The lengths of a text's paragraphs."""
     inner = F.transform(F.split(F.coalesce(text, F.lit("")), r"(?:\r?\n[ \t]*){2,}"), lambda p: F.length(F.regexp_replace(p, r"^[ \t\r\n]+|[ \t\r\n]+$", "")))
@@ -333,74 +363,58 @@ def longest(size: Column, configured: Column | None = None) -> Column:
 
 
 def marked_spans(docs: DataFrame, doc_id: str, text: str, answer: str) -> DataFrame:
-    """doc_id, mode, start, end: the spans that a model's answer marks in a text (see ``from_marks``)."""
-
-    def run(texts: pd.Series, answers: pd.Series) -> pd.Series:
-        out = []
-        for t, a in zip(texts, answers):
-            spans, mode = from_marks(t or "", a or "")
-            out.append([{"mode": mode, "start": x, "end": y} for x, y in spans])
-        return pd.Series(out)
+    """doc_id, mode, start, end: the spans between a model's marks, and how they were found.
 
-    run.__annotations__ = {"texts": pd.Series, "answers": pd.Series, "return": pd.Series}
-    found = F.pandas_udf(run, "array<struct<mode: string, start: int, end: int>>")(F.col(text), F.col(answer))
-    return docs.select(F.col(doc_id).alias("doc_id"), F.explode(found).alias("s")).select("doc_id", "s.mode", "s.start", "s.end")
-
-
-def window_spans(docs: DataFrame, doc_id: str, text: str, target: int = SIZE, choose=nearest_break) -> DataFrame:
-    """doc_id, start, end: the spans of ``windows``; ``choose`` takes a model's place."""
-    cut = lambda t: [{"start": a, "end": b} for a, b in windows(t, target, choose)]
-    found = _over(F.col(text), cut, "array<struct<start: int, end: int>>")
-    return docs.select(F.col(doc_id).alias("doc_id"), F.explode(found).alias("s")).select("doc_id", "s.start", "s.end")
-
-
-def excerpts(docs: DataFrame, doc_id: str, text: str, least: int = 60, most: int = 800) -> DataFrame:
-    """doc_id, position, excerpt: paragraphs of at least ``least`` characters, long ones in soft parts."""
+    ``strict`` if the answer without marks is the text, ``aligned`` if its parts follow each other in the text with
+    little between.  The answer is tried as it is, stripped, without thoughts, and as what stands in its fence.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), _text(F.col(text)).alias("t"), _text(F.col(answer)).alias("a"))
+    plain = _strip(F.regexp_replace("a", r"(?is)<think>.*?</think>", ""))
+    fence = rf"(?s)```(?:[\p{{L}}\p{{N}}_]+)?{_WS}*(.*?){_WS}*```"
+    inside = lambda x: F.when(x.rlike(fence), F.regexp_extract(x, fence, 1))
+    fenced = F.coalesce(inside(plain), inside(F.col("a")))
+    tried = F.array_distinct(F.filter(F.array("a", _strip(F.col("a")), plain, fenced, _strip(fenced)), lambda x: F.length(x) > 0))
+    found = F.filter(F.transform(tried, lambda x: _marked(F.col("t"), x)), lambda x: x.isNotNull() & (F.length("t") > 0))
+    rows = rows.withColumn("found", F.get(found, 0)).where("found is not null")
+    edges = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0), F.length("t")), "found.ends")))
+    rows = rows.select("doc_id", "found.mode", edges.alias("edges"))
+    spans = F.zip_with(F.slice("edges", 1, F.size("edges") - 1), F.slice("edges", 2, F.size("edges") - 1), lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+    return rows.select("doc_id", "mode", F.explode(spans).alias("s")).select("doc_id", "mode", "s.start", "s.end")
 
-    def cut(t: str) -> list[str]:
-        return [t[a:b] for s in paragraphs(t) if s[1] - s[0] >= least for a, b in pieces(t, s, most)]
 
-    found = _over(F.col(text), cut, "array<string>")
-    return docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(found).alias("position", "excerpt"))
+#: Lines that may stand between the parts of a table: blank ones, and those that say that it goes on.
+_BETWEEN, _RULE = r"(?i)^\s*$|^\s*(续|[(（]?continued)", r"^[\s|:-]+$"
 
 
 def stitch_tables(pages: DataFrame, doc_id: str, page: str, text: str) -> DataFrame:
-    """doc_id, text: a document's pages joined; a table that goes on after a page break loses its repeated header.
+    """doc_id, page, line, text: the lines of a document's pages, without the headers that a table repeats after a break.
 
-    pages of one document are joined in order; its lines are one group, as large as the document.
+    A table goes on if only blank lines, or ones that say so, stand between its parts, and the next part begins with
+    the same header; these lines and the header, with the rule below it, are left out then.  Lines are rows: each
+    knows its stretch of table lines, and a stretch is summed up as its first line and what stands before it,
+    so that joining two needs these summaries only.
     """
-    skipped = re.compile(r"\s*$|\s*(续|[(（]?continued)", re.I)
-    rule = re.compile(r"[\s|:-]+$")
-
-    def join(t: str) -> str:
-        out: list[str] = []
-        gap: list[str] = []  # lines since the last table that may stand between its parts
-        header = None
-        lines = t.split("\n")
-        k = 0
-        while k < len(lines):
-            line = lines[k]
-            if not _TABLE.match(line):
-                if header is not None and skipped.match(line):
-                    gap.append(line)
-                else:
-                    out += [*gap, line]
-                    gap, header = [], None
-                k += 1
-                continue
-            stop = k
-            while stop < len(lines) and _TABLE.match(lines[stop]):
-                stop += 1
-            rows = lines[k:stop]
-            if gap and rows[0].strip() == header:
-                rows = rows[2:] if len(rows) > 1 and rule.match(rows[1]) else rows[1:]
-                gap = []
-            else:
-                header = rows[0].strip()
-            out += gap + rows
-            gap, k = [], stop
-        return "\n".join(out + gap)
-
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.col(text).alias("t"))))
-    whole = pages.groupBy(F.col(doc_id).alias("doc_id")).agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "\n").alias("text"))
-    return whole.select("doc_id", _over(F.col("text"), join, "string").alias("text"))
+    rows = pages.select(F.col(doc_id).alias("doc_id"), F.col(page).alias("page"), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line", "text"))
+    kind = F.when(F.col("text").rlike(r"^\s*\|.*\|\s*$"), "table").when(F.col("text").rlike(_BETWEEN), "between").otherwise("other")
+    rows = rows.withColumn("kind", kind)
+    order = Window.partitionBy("doc_id").orderBy("page", "line")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    begins = (F.col("kind") == "table") & ~F.coalesce(F.lag("kind").over(order) == "table", F.lit(False))
+    rows = rows.withColumn("stretch", F.sum(begins.cast("int")).over(so_far)).withColumn("others", F.sum((F.col("kind") == "other").cast("int")).over(so_far))
+    # One row for each stretch, with what it begins with, compared with the stretch before it.
+    nth = F.row_number().over(Window.partitionBy("doc_id", "stretch", "kind").orderBy("page", "line"))
+    rows = checkpointed(rows.withColumn("nth", nth))
+    table = rows.where("kind = 'table'").groupBy("doc_id", "stretch").agg(
+        F.max(F.when(F.col("nth") == 1, F.trim("text"))).alias("header"), F.max(F.when(F.col("nth") == 2, F.col("text").rlike(_RULE))).alias("ruled"), F.max("others").alias("others")
+    )
+    before = Window.partitionBy("doc_id").orderBy("stretch")
+    same = (F.lag("header").over(before) == F.col("header")) & (F.lag("others").over(before) == F.col("others"))
+    told = table.select(F.col("doc_id").alias("d"), F.col("stretch").alias("s"), F.coalesce(same, F.lit(False)).alias("on"), F.coalesce("ruled", F.lit(False)).alias("ruled"))
+    told = checkpointed(told.where("on"))
+    own = told.select("d", "s", "ruled", F.lit(True).alias("goes_on"))
+    ahead = told.select(F.col("d").alias("d2"), (F.col("s") - 1).alias("s2"), F.lit(True).alias("gap"))
+    joined = rows.join(own, (F.col("doc_id") == F.col("d")) & (F.col("stretch") == F.col("s")), "left")
+    joined = joined.join(ahead, (F.col("doc_id") == F.col("d2")) & (F.col("stretch") == F.col("s2")), "left")
+    header = F.col("goes_on") & (F.col("kind") == "table") & (F.col("nth") <= F.when(F.col("ruled"), 2).otherwise(1))
+    left_out = F.coalesce(header, F.lit(False)) | (F.coalesce("gap", F.lit(False)) & (F.col("kind") == "between"))
+    return joined.where(~left_out).select("doc_id", "page", "line", "text")

@@ -127,9 +127,7 @@ joined as (select doc_id, case when b = last and b > 0 and e - s < {chunking.SHO
 select doc_id, b::int as batch, min(s)::int as start, max(e)::int as "end" from joined group by 1, 2""")
 def batch_spans(t):
     """C11"""
-    cut = lambda x: [{"start": a, "end": b} for a, b in chunking.batches(x)]
-    found = chunking._over(F.col("text"), cut, "array<struct<start: int, end: int>>")
-    return _spaced(t).select("doc_id", F.posexplode(found).alias("batch", "s")).select("doc_id", "batch", "s.start", "s.end")
+    return chunking.batches(_spaced(t), "doc_id", "text")
 
 
 @query(f"""with {_LINES}, n as (select doc_id, count(*) as many, max(e - s) as longest from spans group by 1)
@@ -183,3 +181,26 @@ select doc_id, s::int as start, e::int as "end" from found""")
 def window_spans(t):
     """C14: breakpoints in windows of eight units, at the length nearest to the target where no model chooses."""
     return chunking.window_spans(_spaced(t), "doc_id", "text")
+
+
+def _pages(t):
+    """Pages of three tables each; some lines between tables are text, some say that the table goes on."""
+    k = F.col("k")
+    between = F.when(k % 4 == 0, F.concat(F.lit("said "), k.cast("string"))).when(k % 4 == 1, "(continued)").otherwise("")
+    name = F.concat(F.lit("| name "), (F.expr("k div 5") % 2).cast("string"), F.lit(" | value |"))
+    block = F.concat_ws("\n", name, F.lit("|---|---|"), F.concat(F.lit("| "), k.cast("string"), F.lit(" | x |")), between, F.lit(""))
+    lines = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "t"))
+    pages = lines.groupBy("doc_id", F.expr("k div 3").alias("page")).agg(F.array_sort(F.collect_list(F.struct("k", block.alias("b")))).alias("bs"))
+    return pages.select("doc_id", "page", F.array_join(F.transform("bs", lambda x: x["b"]), "\n").alias("text"))
+
+
+@query(r"""with ks as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as k from documents),
+raw as (select doc_id, k // 3 as page, k, i, case i when 0 then '| name ' || (k // 5 % 2) || ' | value |' when 1 then '|---|---|' when 2 then '| ' || k || ' | x |'
+  when 3 then case k % 4 when 0 then 'said ' || k when 1 then '(continued)' else '' end else '' end as text from ks, range(5) r(i)),
+l as (select *, row_number() over (partition by doc_id, page order by k, i) - 1 as line from raw),
+goes as (select doc_id, k, k > 0 and k // 5 % 2 = (k - 1) // 5 % 2 and (k - 1) % 4 <> 0 as goes_on from ks)
+select l.doc_id, page::int as page, line::int as line, text from l join goes g on g.doc_id = l.doc_id and g.k = l.k left join goes n on n.doc_id = l.doc_id and n.k = l.k + 1
+where not (g.goes_on and i < 2) and not (i > 2 and coalesce(n.goes_on, false) and l.k % 4 <> 0) and not (i = 4 and l.k % 4 = 0 and coalesce(n.goes_on, false))""")
+def stitched_tables(t):
+    """Tables that go on after a page break lose their repeated headers; lines are rows."""
+    return chunking.stitch_tables(_pages(t), "doc_id", "page", "text").select("doc_id", F.col("page").cast("int").alias("page"), "line", "text")

@@ -6,6 +6,7 @@ Customers and nations are entities; an order is an edge customer -[status]-> nat
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkwell.operators import graph as G
@@ -364,9 +365,10 @@ def cursor_write_back(t):
     return done.select("name", F.size("hints").alias("hints"), "merged", "summary")
 
 
-@query("""select a as old, 1 + (a - 1) % 7 as new from range(1, 701) r(a)""")
+@query("""with c as (select c_custkey, c_nationkey, count(*) over (partition by c_nationkey) as n from customer)
+select c_custkey as old, min(c_custkey) over (partition by c_nationkey) as new from c where n > 1""")
 def canonical_chain(t):
-    """Chains of a hundred names each."""
-    n = t("region").sparkSession.range(1, 694)
-    pairs = n.select(F.col("id").alias("a"), (F.col("id") + 7).alias("b"))
+    """The customers of a nation as a chain, each linked with the one before it."""
+    before = F.lag("c_custkey").over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    pairs = t("customer").select(before.alias("a"), F.col("c_custkey").alias("b")).where("a is not null")
     return G.canonical(pairs)

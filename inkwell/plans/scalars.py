@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from inkwell.functions import numbers, text
@@ -19,6 +21,17 @@ def entity_normalize(t):
     return t("customer").select("c_custkey", text.entity_name(name).alias("name"))
 
 
+@query("""select c_custkey, case when length(c_name) < c_custkey % 25 then '' else substr(c_name, 1, (c_custkey % 25)::int) || repeat('*', greatest(least(c_custkey % 25 + 4, length(c_name)) - c_custkey % 25, 0)::int)
+|| substr(c_name, (c_custkey % 25 + 5)::int) end as hidden from (select c_custkey, case when c_custkey % 11 = 0 then '' else c_name end as c_name from customer)
+where c_name <> '' union all select c_custkey, '' from customer where c_custkey % 11 = 0""")
+def hidden_names(t):
+    """2.12: characters of a name behind stars, from any place on."""
+    name = F.when(F.col("c_custkey") % 11 == 0, "").otherwise(F.col("c_name"))
+    rows = t("customer").select("c_custkey", name.alias("c_name"))
+    start = functools.reduce(lambda rest, k: F.when(F.col("c_custkey") % 25 == k, text.hide(F.col("c_name"), k, k + 4)).otherwise(rest), range(25), F.lit(None).cast("string"))
+    return rows.select("c_custkey", start.alias("hidden"))
+
+
 @query(r"""select doc_id, regexp_replace(s, '(\S)\S(\S*)', '\1*\2', 'g') as name_mask,
 regexp_replace('a' || doc_id || 'user@mail.example', '(^.)[^@]*(@.*$)', '\1****\2', 'g') as mail_mask,
 regexp_replace((13800000000 + doc_id)::varchar, '(\d{3})\d{4}(\d{4})', '\1****\2', 'g') as phone_mask,

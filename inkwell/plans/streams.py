@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from inkwell.operators import evaluation as E
 
+from inkwell.operators.model_tasks import json_tasks as json_tasks_of
 from inkwell.plans.base import Catalogue
 from inkwell.plans.retrieval import VECTOR_SQL, _vector_hits
+from inkwell.session import scratch
 from inkwell.streaming import ingest
 
 catalogue = Catalogue()
@@ -99,13 +101,77 @@ def folded_sequences(t):
     return E.folded_sequence(t("events"), "user_id", "event_id", "event_type")
 
 
-@query("""select n::integer as n, attempt::integer as attempt, greatest(1, round_even(n * (1 - 0.35::double * (attempt - 1)), 0))::integer as kept from range(1, 16) a(n), range(1, 4) b(attempt)""")
+@query("""select conv_id, n::integer as n, attempt::integer as attempt, greatest(1, round_even(n * (1 - 0.35::double * (attempt - 1)), 0))::integer as kept
+from (select conv_id, count(*) as n from conversations group by 1), range(1, 4) b(attempt)""")
 def context_trim(t):
-    """E3"""
-    spark = t("region").sparkSession
-    rows = spark.range(1, 16).crossJoin(spark.range(1, 4).withColumnRenamed("id", "attempt"))
-    n, attempt = F.col("id").cast("int"), F.col("attempt").cast("int")
-    return rows.select(n.alias("n"), attempt.alias("attempt"), E.trimmed_count(n, attempt).alias("kept"))
+    """The turns of a conversation that each further attempt keeps."""
+    rows = t("conversations").groupBy("conv_id").agg(F.count("*").cast("int").alias("n"))
+    rows = rows.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    return rows.withColumn("kept", E.trimmed_count(F.col("n"), F.col("attempt")))
+
+
+@query("""with r as (select conv_id, role from conversations), runs as (select 'same' as run, conv_id as q from r union all select 'fewer', conv_id from r where role = 'user' union all select 'other', conv_id + 1 from r)
+select run, run = 'same' as valid, count(*) as n from runs group by 1""")
+def judged_cache(t):
+    """Cached judgements hold for a run that asked the same questions as often."""
+    asked = t("conversations").select(F.col("conv_id").alias("q"))
+    runs = {"same": asked, "fewer": t("conversations").where("role = 'user'").select(F.col("conv_id").alias("q")), "other": asked.select((F.col("q") + 1).alias("q"))}
+    out = None
+    for name, run in runs.items():
+        row = run.agg(F.lit(name).alias("run"), F.lit(E.same_questions(asked, run, "q")).alias("valid"), F.count("*").alias("n"))
+        out = row if out is None else out.union(row)
+    return out
+
+
+@query("""with b as (select user_id, ts, case when ts > lag(ts) over w + interval 3600 seconds or lag(ts) over w is null then 1 else 0 end as b from events window w as (partition by user_id order by ts)),
+k as (select *, sum(b) over (partition by user_id order by ts rows unbounded preceding) as k from b)
+select user_id, min(ts) as started, max(ts) + interval 3600 seconds as fires, count(*) as n from k group by user_id, k""")
+def debounce_stream(t):
+    """M6 as a stream: each run of events of a user fires once, an hour of quiet after its last one."""
+    rows = t("events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    spark, folder = rows.sparkSession, scratch(rows.sparkSession)
+    # A moment long after all others moves the watermark over every run.
+    end = rows.agg((F.max("ts") + F.expr("interval 30 days")).alias("ts")).select(F.lit(-1).cast("long").alias("user_id"), "ts")
+    for part in (rows, end):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    fired = ingest.debounced(stream, F.col("user_id"), "ts", 3600, "1 day")
+    run = fired.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/marks").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{folder}/out").where("key >= 0").select(
+        F.col("key").alias("user_id"), *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("started", "fires")), "n"
+    )
+
+
+@query("""select conv_id as session, max(turn) as newest, least(4, count(*)) as kept from conversations where turn is not null group by 1""")
+def session_memory_stream(t):
+    """M8 as a stream: the last turns that a session's state holds."""
+    rows = t("conversations").where("turn is not null").select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), (F.col("turn") * 1000 + 1_700_000_000_000).alias("at"))
+    spark, folder = rows.sparkSession, scratch(rows.sparkSession)
+    rows.coalesce(1).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+    held = ingest.session_memory(stream, 4, 3_600_000)
+    run = held.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/marks").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("session", "newest", F.col("kept").cast("long").alias("kept"))
+
+
+@query("""select case when item_id % 7 = 3 then 'failed' else 'answered' end as outcome, case when item_id % 7 = 3 then 3 else 1 + item_id % 3 end as tries, count(*) as n,
+sum(case when item_id % 7 = 3 then 0 else length(text) end)::bigint as chars from benchmark group by all""")
+def json_tasks(t):
+    """2.14: a model's answers as typed rows; answers that don't fit are asked for again, up to three times."""
+
+    def answer(prompt: str, attempt: int) -> str:
+        """Stands for a model: some prompts are answered at the second or third try, some never."""
+        number, chars = map(int, prompt.split())
+        if number % 7 == 3 or attempt <= number % 3:
+            return '```json\n{"chars": "many"' if attempt % 2 else '{"other": 1}'
+        return '<think>{"chars": 0}</think> Here: ```json\n{"chars": %d}\n```' % chars
+
+    rows = t("benchmark").select("item_id", F.concat_ws(" ", F.col("item_id").cast("string"), F.length("text").cast("string")).alias("prompt"))
+    found = json_tasks_of(rows, "item_id", "prompt", answer, "chars long")
+    outcome = F.when(F.col("answer").isNull(), "failed").otherwise("answered").alias("outcome")
+    return found.groupBy(outcome, F.col("tries").cast("long").alias("tries")).agg(F.count("*").alias("n"), F.coalesce(F.sum("answer.chars"), F.lit(0)).alias("chars"))
 
 
 @query("""select item_id from benchmark where text not in (select text from documents)""")

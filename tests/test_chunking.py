@@ -1,106 +1,157 @@
-"""Chunking against golden fixtures and properties."""
+"""Column expressions over lines and paragraphs against plain loops over each text, and on small cases."""
 
-from hypothesis import given, settings
-from hypothesis import strategies as st
+import random
+
+import plain_chunks as plain
+import pytest
+from pyspark.sql import functions as F
 
 from inkwell.operators import chunking as C
 
+BITS = [
+    "word", "two words", "。", "！", "，", ". ", " ", "  ", "\t", "\n", "\n\n", "\r\n", "\r\n \r\n", "\n \t\n", "```\n", "```py\n", "# T\n", "### Sub\n",
+    "#no\n", "| a | b |\n", "|---|---|\n", " | c |\n", "a|b\n", "数据库表", "é🙂", " ", "　\n", "x" * 40, "。x" * 9, "end", "``", "\x1c", "\x0b\n",
+]
+
+
+def texts(seed, n=220):
+    rng = random.Random(seed)
+    return ["", " ", "\n\n", "```", "a"] + ["".join(rng.choices(BITS, k=rng.randrange(1, 45))) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    found = texts(1)
+    return found, spark.createDataFrame([*enumerate(found), (-1, None)], "id int, text string").repartition(3).cache()
+
+
+def rows(df, *columns):
+    out = {}
+    for r in df.select("id" if "id" in df.columns else "doc_id", *columns).collect():
+        out.setdefault(r[0], []).append(tuple(r)[1:])
+    return out
+
+
+def spans(df, column):
+    return {r[0]: [(x["start"], x["end"]) for x in r[1]] for r in df.select("id", column).collect()}
+
+
+def test_paragraphs(docs):
+    found, table = docs
+    got = {r.id: [(x["start"], x["end"], x["text"]) for x in r.s] for r in table.select("id", C.paragraphs(F.col("text")).alias("s")).collect()}
+    assert got == {-1: [], **{k: [(a, b, t[a:b]) for a, b in plain.paragraphs(t)] for k, t in enumerate(found)}}
+
 
-def texts(text, spans):
-    return [text[a:b] for a, b in spans]
-
-
-def test_paragraphs():
-    assert texts("一句。\n\n二句。\n \n\n三句。", C.paragraphs("一句。\n\n二句。\n \n\n三句。")) == ["一句。", "二句。", "三句。"]
-    assert C.paragraphs("一行\n二行") == [(0, 5)]
-    text = "\n \n  ab \n\n\n cd\t\n\n"
-    assert texts(text, C.paragraphs(text)) == ["ab", "cd"]
-    assert C.paragraphs("") == [] == C.paragraphs(" \n\n ")
-
-
-def test_soft_cut():
-    text = "甲乙，丙丁戊己庚辛。壬癸"
-    assert C.soft_cut(text, 0, len(text)) == 10
-    assert C.soft_cut("x" * 100, 0, 50) == 50
-
-
-def test_pieces_cut_behind_sentences():
-    text = "一二三。四五六。七八九。十百千。"
-    spans = C.pieces(text, (0, len(text)), 12)
-    assert [s[0] for s in spans[1:]] == [s[1] for s in spans[:-1]]
-    assert spans[0][0] == 0 and spans[-1][1] == len(text)
-    assert all(text[e - 1] == "。" for _, e in spans)
-
-
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="ab。，\n ", max_size=200), st.integers(1, 40))
-def test_pieces_properties(text, most):
-    spans = C.pieces(text, (0, len(text)), most)
-    assert "".join(texts(text, spans)) == text
-    assert all(b - a <= most for a, b in spans)
-
-
-def test_overlap():
-    text = "x" * 400
-    assert C.overlapped(text, (100, 200), 20, 0) == (20, 20)
-    assert C.overlapped("x" * 500, (100, 300), 50, 220) == (20, 0)
-    assert C.overlapped("x" * 50, (0, 50), 20, 0) == (0, 0)
-
-
-def test_structure():
-    text = "# T\npara one\nmore\n```py\n# no\n```\n| a | b |\n|---|---|\n### Sub\nend"
-    found = C.structure(text)
-    assert [b.kind for b in found] == ["heading", "paragraph", "code", "table", "heading", "paragraph"]
-    assert [b.level for b in found if b.kind == "heading"] == [1, 3]
-    assert all(a.end <= b.start for a, b in zip(found, found[1:]))
-    assert [(b.kind, b.end) for b in C.structure("```\na\nb")] == [("code", 7)]
-    assert C.structure("") == []
-
-
-def test_line_groups_keep_rows_whole():
-    text = "\n".join(f"| row {k} | value |" for k in range(6))
-    spans = C.line_groups(text, (0, len(text)), 80)
-    assert "".join(texts(text, spans)) == text
-    assert all(part.rstrip("\n").endswith("|") and part.startswith("|") for part in texts(text, spans))
-    assert len(C.line_groups("y" * 100, (0, 100), 10)) == 1
-
-
-def test_parents_and_children():
-    text = "# A\nbody a.\n# B\nbody b."
-    found = C.parents(text)
-    assert [text[a:b].split("\n")[0] for a, b, _ in found] == ["# A", "# B"]
-    text = "intro\n\n```\ncode\n```\n| t | u |\n\nend"
-    kinds = [k for _, _, k in C.parents(text)]
-    assert kinds == ["text", "code", "table", "text"]
-    assert all(b - a <= 310 for a, b, _ in C.parents("字" * 500, 300)) and len(C.parents("字" * 500, 300)) >= 2
-    text = "一二三。四五六。七八九。十百千。" * 10
-    kids = C.children(text, (0, len(text), "text"), 12)
-    assert all(text[e - 1] == "。" for _, e in kids) and kids[-1][1] == len(text)
-
-
-def test_batches():
-    assert C.batches("short") == [(0, 5)]
-    text = "\n\n".join("p" * 400 for _ in range(30))
-    found = C.batches(text)
-    assert all(b - a <= 4000 for a, b in found[:-1]) and found[-1][1] == len(text)
-    text = ("字" * 99 + "。") * 80
-    assert len(C.batches(text)) >= 2 and all(text[b - 1] == "。" for _, b in C.batches(text))
-    text = "a" * 3900 + "\n\n" + "b" * 300
-    assert len(C.batches(text)) == 1
-
-
-def test_chunk_tables(spark):
-    docs = spark.createDataFrame([("0:d:1", "# A\n\nbody one.\n\n| x | y |"), ("0:d:2", None), ("0:d:3", " ")], "id string, text string")
-    chunks = C.flat_chunks(docs, "id", "text").collect()
-    assert [r.chunk_index for r in chunks] == [0, 1, 2]
-    assert len({r.chunk_id for r in chunks}) == 3
-    parents, kids = C.parent_child_chunks(docs, "id", "text")
-    known = {r.chunk_id for r in parents.collect()}
-    assert {r.parent_id for r in kids.collect()} <= known
-    assert all(r.child_id.startswith(r.parent_id + ":sub:") for r in kids.collect())
-
-
-def test_stitched_tables(spark):
-    pages = [("d", 1, "text\n| h | i |\n|---|---|\n| 1 | 2 |"), ("d", 2, "\n(continued)\n| h | i |\n|---|---|\n| 3 | 4 |\nend")]
-    found = C.stitch_tables(spark.createDataFrame(pages, "doc string, page int, text string"), "doc", "page", "text").first()
-    assert found.text.count("| h | i |") == 1 and "| 3 | 4 |" in found.text and found.text.endswith("end")
+def test_structure(docs):
+    found, table = docs
+    got = {r.id: [(x["start"], x["end"], x["kind"], x["level"]) for x in r.s] for r in table.select("id", C.structure(F.col("text")).alias("s")).collect()}
+    wanted = {k: [(b.start, b.end, b.kind, b.level) for b in plain.structure(t)] for k, t in enumerate(found)}
+    for k, t in enumerate(found):
+        assert got[k] == wanted[k], t
+    assert got[-1] == []
+
+
+@pytest.mark.parametrize("most", [7, 25, 1400])
+def test_pieces(docs, most):
+    found, table = docs
+    units = C._units(table, "id", "text", most)
+    got = {r.doc_id: [(x["start"], x["end"], x["text"]) for x in r.units] for r in units.select("doc_id", "units").collect()}
+    assert got == {-1: [], **{k: [(a, b, t[a:b]) for a, b in plain.flat_spans(t, most)] for k, t in enumerate(found)}}
+
+
+@pytest.mark.parametrize("overlap, most", [(0, 20), (5, 20), (12, 30)])
+def test_overlaps(docs, overlap, most):
+    found, table = docs
+    got = rows(C.flat_chunks(table, "id", "text", overlap, most), "chunk_index", "start", "end", "overlap_left", "overlap_right")
+    for k, t in enumerate(found):
+        cut = plain.flat_spans(t, most)
+        wanted = [(n, a, b, *plain.overlapped(t, (a, b), overlap, most + 2 * overlap)) for n, (a, b) in enumerate(cut)]
+        assert sorted(got.get(k, [])) == wanted, t
+    assert -1 not in got
+
+
+@pytest.mark.parametrize("most", [15, 60, 1400])
+def test_parents(docs, most):
+    found, table = docs
+    got = {r.doc_id: [(x["start"], x["end"], x["kind"], x["text"]) for x in r.parents] for r in C.parent_spans(table, "id", "text", most).collect()}
+    for k, t in enumerate(found):
+        assert got[k] == [(a, b, kind, t[a:b]) for a, b, kind in plain.parents(t, most)], t
+
+
+def test_parents_and_children(docs):
+    found, table = docs
+    parents, kids = C.parent_child_chunks(table.withColumn("id", F.concat(F.lit("d"), "id")), "id", "text", 120, 64)
+    got = rows(parents, "chunk_index", "chunk_type", "content")
+    listed = {r.chunk_id: r.child_ids for r in parents.collect()}
+    for k, t in enumerate(found):
+        wanted = [(n, kind, t[a:b].strip(" ")) for n, (a, b, kind) in enumerate(plain.parents(t, 120))]
+        assert sorted(got.get(f"d{k}", [])) == [w for w in wanted if w[2]], t
+    mine = {}
+    for r in kids.collect():
+        mine.setdefault(r.parent_id, set()).add((r.child_id, r.content))
+    assert {p: {c for c, _ in some} for p, some in mine.items()} == {p: set(ids) for p, ids in listed.items() if ids}
+    wanted = {t[a:b].strip(" ") for t in found for p in plain.parents(t, 120) if t[p[0] : p[1]].strip(" ") for a, b in plain.children(t, p, 64)} - {""}
+    assert {c for some in mine.values() for _, c in some} == wanted
+
+
+@pytest.mark.parametrize("most, short", [(30, 10), (80, 25), (4000, 500)])
+def test_batches(docs, most, short):
+    found, table = docs
+    got = rows(C.batches(table, "id", "text", most, short), "batch", "start", "end")
+    assert {k: sorted(v) for k, v in got.items()} == {k: [(n, *s) for n, s in enumerate(b)] for k, t in enumerate(found) if (b := plain.batches(t, most, short))}
+
+
+@pytest.mark.parametrize("target", [10, 60, 800])
+def test_windows(spark, target):
+    found = ["\n\n".join(t.replace("\n", "")[:90] or "x" for t in texts(seed, 25)) for seed in range(12)]
+    table = spark.createDataFrame([*enumerate(found)], "id int, text string")
+    got = rows(C.window_spans(table, "id", "text", target), "start", "end")
+    assert {k: sorted(v) for k, v in got.items()} == {k: plain.windows(t, target) for k, t in enumerate(found)}
+    whole = rows(C.window_spans(table, "id", "text", target, lambda sizes, _: F.size(sizes)), "start", "end")
+    assert {k: sorted(v) for k, v in whole.items()} == {k: plain.windows(t, target, lambda sizes, _: len(sizes)) for k, t in enumerate(found)}
+
+
+def test_excerpts(docs):
+    found, table = docs
+    got = rows(C.excerpts(table, "id", "text", 20, 30), "position", "excerpt")
+    wanted = {k: [t[a:b] for s in plain.paragraphs(t) if s[1] - s[0] >= 20 for a, b in plain.pieces(t, s, 30)] for k, t in enumerate(found)}
+    assert {k: [x for _, x in sorted(v)] for k, v in got.items()} == {k: v for k, v in wanted.items() if v}
+
+
+def test_marks(spark):
+    rng, pairs = random.Random(5), []
+    for t in texts(3, 150):
+        cuts = sorted(rng.randrange(len(t) + 1) for _ in range(rng.randrange(4)))
+        parts = [t[a:b] for a, b in zip([0, *cuts], [*cuts, len(t)])]
+        lost = [p[rng.randrange(2) :] if rng.random() < 0.4 else p for p in parts]
+        answer = plain.CUT_MARK.join(lost)
+        pairs.append((t, rng.choice([answer, f"<think>a{plain.CUT_MARK}b</think>{answer}", f" ```text\n{answer}\n``` ", answer + " ", answer[:-1], answer.upper(), None, ""])))
+    table = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "id int, text string, answer string")
+    got = rows(C.marked_spans(table, "id", "text", "answer"), "mode", "start", "end")
+    for k, (t, answer) in enumerate(pairs):
+        cut, mode = plain.from_marks(t, answer or "")
+        assert sorted(got.get(k, [])) == [(mode, a, b) for a, b in cut], (t, answer)
+    assert len(got) > 40
+
+
+def test_small_cases(spark):
+    table = spark.createDataFrame([(1, "第一句。第二句。\n\n| a | b |\n|---|---|\n\n# Head\nbody")], "id int, text string")
+    kinds = [(x["kind"], x["level"]) for x in table.select(C.structure(F.col("text"))).first()[0]]
+    assert kinds == [("paragraph", 0), ("table", 0), ("heading", 1), ("paragraph", 0)]
+    assert C._soft_ends("一二三。四五六。七八九", 5) == [4, 8, 11]
+    assert C._soft_ends("y" * 11, 5) == [5, 10, 11]
+
+
+def test_tables_over_page_breaks(spark):
+    head = "| n | v |"
+    pages = [
+        (1, 0, f"intro\n{head}\n|---|---|\n| 1 | a |\n"), (1, 1, f"(continued)\n\n {head} \n|---|---|\n| 2 | b |"), (1, 2, f"{head}\n| 3 | c |\nend\n{head}\n| 4 | d |"),
+        (2, 0, "| x |\n| 1 |"), (2, 1, "\n| y |\n| 2 |"), (3, 0, None), (3, 1, ""),
+    ]
+    table = spark.createDataFrame(pages, "d int, p int, t string")
+    found = {}
+    for r in C.stitch_tables(table, "d", "p", "t").orderBy("doc_id", "page", "line").collect():
+        found.setdefault(r.doc_id, []).append(r.text)
+    # The third page's first table follows the second's without a line between, so it is the same stretch of lines.
+    assert found[1] == ["intro", head, "|---|---|", "| 1 | a |", "| 2 | b |", head, "| 3 | c |", "end", head, "| 4 | d |"]
+    assert found[2] == ["| x |", "| 1 |", "", "| y |", "| 2 |"] and found[3] == ["", ""]
