@@ -37,6 +37,8 @@ RATE, UP, DOWN, TAPS = 12_000, 2, 3, 16
 FRAME, HOP, MELS = 256, 128, 24
 #: Frames of a patch; a text's last patch is filled with the floor.
 PATCH = 64
+#: Patches that a task reads back at once.
+PATCHES_AT_ONCE = 512
 FLOOR_DB = -60.0
 OPEN_DB, CLOSE_DB = 1.5, 0.5
 #: Payloads are filled with zero bytes up to a positive multiple of this.
@@ -239,14 +241,21 @@ def features(stored: DataFrame, tensors: bool = False) -> DataFrame:
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, PATCHED if tensors else FEATURES)
 
 
+def _few_patches(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch with about PATCHES_AT_ONCE patches each; a longer document stands alone."""
+    if batch.num_rows:
+        many = pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(np.cumsum(many) // PATCHES_AT_ONCE)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            yield batch.slice(lo, hi - lo)
+
+
 def read_patches(written: DataFrame) -> DataFrame:
     """The columns of a table of PATCHED but the patches, and READ, taken from the patches as tensors."""
     others = [c for c in written.columns if c != "patches"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in _few_patches(whole, len(others))):
             lists = batch.column(len(others))
             rows = lists.flatten()
             read = tensor_column(pc.struct_field(rows, "log_mel")).to_numpy_ndarray()

@@ -15,9 +15,10 @@ search loses nothing at any size of a document.
 Verification.  The sets of candidates' documents are taken once more and counted against the items'
 full sets.
 
-The items' minima and sets are broadcast only if the benchmark has at most ``broadcast_items``
-items; else both joins shuffle by hash, after each document's set has been made distinct.  The
-bitmap has ``BITMAP_BITS`` bits at any size; the more minima, the more shingles pass it for nothing.
+The items' minima, and their sets, are each broadcast only if their rows take at most
+``broadcast_bytes``; else the join shuffles by hash, after each document's set has been made distinct.
+The bitmap has sixteen bits for every minimum, up to ``MOST_BITS``; beyond, more shingles pass it for
+nothing.
 
 Defined results: null and empty texts, on either side, have an empty set and match nothing; a text
 with fewer than five words has its whole sequence as its only shingle; rows with a null id are left
@@ -33,9 +34,10 @@ from pyspark.sql import functions as F
 from inkwell.session import checkpointed
 
 PERCENT = 75
-#: Bits of the bitmap of minima, and of each of the numbers that hold it.
-BITMAP_BITS, WORD_BITS = 1 << 19, 32
-BROADCAST_ITEMS = 20_000
+#: Bits of the bitmap of minima at least and at most, and of each of the numbers that hold it.
+LEAST_BITS, MOST_BITS, WORD_BITS = 1 << 16, 1 << 20, 32
+#: Bytes of rows that are sent to every task, and of a row of minima or of a set.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 48
 SMALLEST = 8
 """Upper end of the first size partition; each further one's is twice the one before."""
 
@@ -71,23 +73,29 @@ def minima(items: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
 
 
-def _mark(shingle: Column, part: int | Column) -> Column:
+def bitmap_bits(minima_rows: int) -> int:
+    """Bits of the bitmap of so many minima."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * minima_rows - 1).bit_length()))
+
+
+def _mark(shingle: Column, part: int | Column, bits: int) -> Column:
     """The bit of the bitmap that stands for a shingle in a size partition."""
-    return F.pmod(F.xxhash64(shingle, F.lit(part) if isinstance(part, int) else part), F.lit(BITMAP_BITS)).cast("int")
+    return F.pmod(F.xxhash64(shingle, F.lit(part) if isinstance(part, int) else part), F.lit(bits)).cast("int")
 
 
-def among_minima(low: DataFrame, shingle: Column) -> Column:
+def among_minima(low: DataFrame, shingle: Column, bits: int | None = None) -> Column:
     """Whether a shingle may be one of the minima ``low``: under the bound and on a mark of a size partition."""
+    bits = bits or bitmap_bits(low.count())
     bounds = low.groupBy("part").agg(F.max("rank").alias("top")).collect()
-    mark = _mark(F.col("shingle"), F.col("part"))
+    mark = _mark(F.col("shingle"), F.col("part"), bits)
     words = low.groupBy(F.floor(mark / WORD_BITS).cast("int").alias("word")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(shingle, part), {BITMAP_BITS}) as int) & {WORD_BITS - 1})")).alias("bits")
+        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(shingle, part), {bits}) as int) & {WORD_BITS - 1})")).alias("bits")
     )
     held = {r.word: r.bits for r in words.collect()}
-    bitmap = F.expr(f"array({', '.join(f'{held.get(k, 0)}L' for k in range(BITMAP_BITS // WORD_BITS))})")
+    bitmap = F.expr(f"array({', '.join(f'{held.get(k, 0)}L' for k in range(bits // WORD_BITS))})")
     found = F.lit(False)
     for part, top in sorted((r.part, r.top) for r in bounds):
-        mark = _mark(shingle, part)
+        mark = _mark(shingle, part, bits)
         word = F.get(bitmap, F.shiftright(mark, WORD_BITS.bit_length() - 1))
         found = found | ((rank(shingle) <= top) & (F.getbit(word, mark.bitwiseAND(F.lit(WORD_BITS - 1))) == 1))
     return found
@@ -97,7 +105,7 @@ def contained_items(
     docs: DataFrame,
     benchmark: DataFrame,
     percent: int = PERCENT,
-    broadcast_items: int = BROADCAST_ITEMS,
+    broadcast_bytes: int = BROADCAST_BYTES,
     id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
@@ -111,19 +119,24 @@ def contained_items(
         F.array_distinct(shingle_hashes(benchmark[item_text_col].cast("string"))).alias("shingles"),
     )
     items = checkpointed(items.where("item_id is not null and size(shingles) > 0").distinct())
-    small = items.count() <= broadcast_items
-    sized = F.broadcast if small else lambda df: df
     low = checkpointed(minima(items, percent))
+    n_low, n_sets = low.count(), items.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    small = n_low * ROW_BYTES <= broadcast_bytes
     grams = texts.select("doc_id", F.explode(shingle_hashes(F.col("text"))).alias("shingle"))
-    grams = grams.where(among_minima(low, F.col("shingle")))
+    grams = grams.where(among_minima(low, F.col("shingle"), bitmap_bits(n_low)))
     if not small:
         grams = grams.distinct()
-    found = grams.join(sized(low.select("item_id", "shingle")), "shingle").select("doc_id", "item_id").distinct()
+    looked_up = low.select("item_id", "shingle")
+    found = grams.join(F.broadcast(looked_up) if small else looked_up, "shingle").select("doc_id", "item_id").distinct()
     found = checkpointed(found)
     suspects = texts.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
     sets = items.select("item_id", F.size("shingles").alias("n_item"), F.explode("shingles").alias("shingle"))
     grams = suspects.select("doc_id", F.explode(shingle_hashes(F.col("text"))).alias("shingle"))
-    shared = grams.join(sized(sets), "shingle").join(found, ["doc_id", "item_id"], "left_semi")
+    if n_sets * ROW_BYTES <= broadcast_bytes:
+        sets = F.broadcast(sets)
+    else:
+        grams = grams.distinct()
+    shared = grams.join(sets, "shingle").join(found, ["doc_id", "item_id"], "left_semi")
     counted = shared.distinct().groupBy("doc_id", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
     return counted.where(F.col("n_shared") * 100 >= F.col("n_item") * percent).select(
         "doc_id", "item_id", "n_shared", F.col("n_item").cast("long").alias("n_item")

@@ -284,7 +284,7 @@ def test_decontamination(spark):
     assert {r.doc_id for r in kept.collect()} == {d for d, *_ in rows} - {d for d, _ in wanted}
     assert decontaminate.contained_items(empty(docs), bench).count() == 0
     assert decontaminate.contained_items(docs, bench.where("false")).count() == 0
-    shuffled = decontaminate.contained_items(docs, bench, broadcast_items=0)
+    shuffled = decontaminate.contained_items(docs, bench, broadcast_bytes=0)
     assert sorted((r.doc_id, r.item_id) for r in shuffled.collect()) == sorted(wanted)
     low = decontaminate.minima(bench.select("item_id", F.array_distinct(decontaminate.shingle_hashes(F.col("text"))).alias("shingles")).where("size(shingles) > 0"))
     assert low.where(~decontaminate.among_minima(low, F.col("shingle"))).count() == 0
