@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm import decontaminate, line_dedup, near_dedup, quality, sentencepiece_codec
 from inkwell.llm.queries import PIECES, quality_machine
-from inkwell.session import checkpointed, table
+from inkwell.session import checkpointed, discard, table
 
 LEAST_SCORE = 0.7
 
@@ -76,10 +76,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's rows are written to the shared checkpoint folder before the next."""
+    """All stages over documents; each one's rows are written to the shared checkpoint folder, and deleted once the next
+    one's are."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = checkpointed(docs)
+            discard(before)
     return docs
