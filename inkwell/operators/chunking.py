@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.operators import ids
-from inkwell.session import checkpointed
+from inkwell.session import checkpointed, spread
 
 # Where a text may be cut, strongest first.  No ASCII full stop: it also ends numbers.
 CUTS = ("。！？!?；;", "，,：:）)】]”\"", "\n\r", " \t")
@@ -54,8 +54,9 @@ def _strip(text: Column) -> Column:
 
 def paragraphs(text: Column) -> Column:
     """start, end, text of the stretches between blank lines, without white space at their edges."""
-    parts = F.regexp_extract_all(_text(text), F.lit(rf"{_BLANK}|(?s:.+?)(?={_BLANK}|\z)"), 0)
-    ends = _cumulated(F.transform(parts, F.length))
+    parts = F.split(_text(text), _BLANK, -1)
+    between = F.concat(F.array(F.lit("")), F.regexp_extract_all(_text(text), F.lit(_BLANK), 0))
+    ends = _cumulated(F.zip_with(between, parts, lambda x, y: F.length(x) + F.length(y)))
 
     def inner(part: Column, end: Column) -> Column:
         lead = F.length(part) - F.length(F.ltrim(part, F.lit(_EDGE)))
@@ -111,23 +112,42 @@ def _pieces(rows: DataFrame, spans: str, most: int, out: str, kept: str | None =
     return rows.withColumn(out, F.flatten(F.transform(spans, cut))).drop("__ends")
 
 
-def overlaps(text: Column, start: Column, end: Column, overlap: int, most: int) -> tuple[Column, Column]:
-    """Characters to add left and right of a span: up to ``overlap``, the right ones given up first over ``most``.
+def _let(then: Callable[[Column], Column], **values: Column) -> Column:
+    """``then`` of values that are computed once, however often it uses them."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), then), F.lit(0))
 
-    If sentences begin and end within both additions, these end at sentence borders.
+
+def overlaps(near: Column, base: Column, size: Column, start: Column, end: Column, overlap: int, most: int) -> Column:
+    """l and r, characters to add left and right of a span: up to ``overlap``, the right ones given up first over ``most``.
+
+    If sentences begin and end within both additions, these end at sentence borders.  ``near`` is the text from
+    ``base`` on that an addition may look at (see ``flat_chunks``), ``size`` the length of the whole.
     """
-    size, zero = F.length(text), F.lit(0)
-    left, right = F.least(F.lit(overlap), start), F.least(F.lit(overlap), size - end)
-    over = F.greatest(zero, left + right + end - start - most) if most > 0 else zero
-    a, b = start - (left - F.least(over - F.least(over, right), left)), end + right - F.least(over, right)
     stops = (CUTS[0] + CUTS[2]).replace("]", r"\]")
-    near = _sub(text, a, F.least(size, a + left + 1) - a)
-    low = F.greatest(zero, b - right - 1)
-    before = F.length(F.regexp_extract(near, f"^[^{stops}]*", 0))
-    behind = F.length(F.regexp_extract(_sub(text, low, b - low), f"(?s)^.*[{stops}]", 0))
-    first, last = F.when(before < F.length(near), a + before + 1).otherwise(a), F.when(behind > 0, low + behind).otherwise(b)
-    whole = (first < start) & (last > end)
-    return start - F.when(whole, first).otherwise(a), F.when(whole, last).otherwise(b) - end
+    zero = F.lit(0)
+
+    def placed(x: Column) -> Column:
+        over = F.greatest(zero, x["left"] + x["right"] + end - start - most) if most > 0 else zero
+        return _let(lambda o: _let(sought, left=x["left"], right=x["right"], a=start - (x["left"] - F.least(o["over"] - F.least(o["over"], x["right"]), x["left"])), b=end + x["right"] - F.least(o["over"], x["right"])), over=over)
+
+    def sought(x: Column) -> Column:
+        low = F.greatest(zero, x["b"] - x["right"] - 1)
+        ahead = _sub(near, x["a"] - base, F.least(size, x["a"] + x["left"] + 1) - x["a"])
+        return _let(told, a=x["a"], b=x["b"], low=low, ahead=ahead, behind=_sub(near, low - base, x["b"] - low))
+
+    def told(x: Column) -> Column:
+        before = F.length(F.regexp_extract(x["ahead"], f"^[^{stops}]*", 0))
+        last = F.length(F.regexp_extract(x["behind"], f"(?s)^.*[{stops}]", 0))
+        return _let(
+            sides, a=x["a"], b=x["b"], first=F.when(before < F.length(x["ahead"]), x["a"] + before + 1).otherwise(x["a"]), last=F.when(last > 0, x["low"] + last).otherwise(x["b"])
+        )
+
+    def sides(x: Column) -> Column:
+        whole = (x["first"] < start) & (x["last"] > end)
+        left, right = start - F.when(whole, x["first"]).otherwise(x["a"]), F.when(whole, x["last"]).otherwise(x["b"]) - end
+        return F.struct(left.cast("int").alias("l"), right.cast("int").alias("r"))
+
+    return _let(placed, left=F.least(F.lit(overlap), start), right=F.least(F.lit(overlap), size - end))
 
 
 def structure(text: Column) -> Column:
@@ -240,8 +260,9 @@ def _windowed(units: Column, target: int, choose: Callable[[Column, int], Column
 
 
 def _units(docs: DataFrame, doc_id: str, text: str, most: int) -> DataFrame:
-    """doc_id, text, units: every document's paragraphs in pieces of at most ``most`` characters."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("spans", paragraphs(F.col("text")))
+    """doc_id, text, size, units: every document's paragraphs in pieces of at most ``most`` characters."""
+    rows = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    rows = rows.select("*", F.length("text").alias("size"), paragraphs(F.col("text")).alias("spans"))
     return _pieces(rows, "spans", most, "units").drop("spans")
 
 
@@ -250,11 +271,16 @@ def flat_chunks(docs: DataFrame, doc_id: str, text: str, overlap: int = OVERLAP,
 
     doc_id holds source document ids; a null or blank text has no chunks.
     """
-    rows = _units(docs, doc_id, text, most).select("doc_id", "text", F.posexplode("units").alias("chunk_index", "s")).select("doc_id", "text", "chunk_index", "s.start", "s.end")
-    left, right = overlaps(F.col("text"), F.col("start"), F.col("end"), overlap, most + 2 * overlap)
-    rows = rows.withColumn("overlap_left", left.cast("int")).withColumn("overlap_right", right.cast("int"))
-    content = F.trim(_sub(F.col("text"), F.col("start") - F.col("overlap_left"), F.col("end") + F.col("overlap_right") - F.col("start") + F.col("overlap_left")))
-    rows = rows.withColumn("content", content).drop("text")
+    rows = _units(docs, doc_id, text, most)
+    # A chunk takes along what its additions may look at, so that the text ends here.
+    base = lambda u: F.greatest(u["start"] - overlap - 1, F.lit(0))
+    near = lambda u: _sub(F.col("text"), base(u), u["end"] - base(u) + overlap + 2)
+    told = F.transform("units", lambda u: F.struct(u["start"].alias("start"), u["end"].alias("end"), base(u).alias("base"), near(u).alias("near")))
+    rows = rows.select("doc_id", "size", F.posexplode(told).alias("chunk_index", "s")).select("doc_id", "size", "chunk_index", "s.*")
+    sides = overlaps(*map(F.col, ("near", "base", "size", "start", "end")), overlap, most + 2 * overlap)
+    rows = rows.select("*", F.explode(F.array(sides)).alias("o"))  # an explode of one keeps these expressions in one place
+    content = F.trim(_sub(F.col("near"), F.col("start") - F.col("o.l") - F.col("base"), F.col("end") + F.col("o.r") - F.col("start") + F.col("o.l")))
+    rows = rows.select("doc_id", "chunk_index", "start", "end", F.col("o.l").alias("overlap_left"), F.col("o.r").alias("overlap_right"), content.alias("content"))
     return rows.withColumn("chunk_id", ids.chunk_id(F.col("doc_id"), F.col("chunk_index"), F.col("content")))
 
 

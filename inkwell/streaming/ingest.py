@@ -162,7 +162,7 @@ def rate_limited(events: DataFrame, key: str, at: str, order: str, seconds: int,
     width = seconds * 1_000_000
     rows = events.select(F.col(key).alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("at"), F.col(order).cast("long").alias("id"))
     rows = rows.where("key is not null and at is not null and id is not null")
-    rows = checkpointed(rows.withColumn("cell", F.floor(F.col("at") / width)))
+    rows = rows.withColumn("cell", F.floor(F.col("at") / width))
     # Only the first hit at each moment can begin a window.
     moments = checkpointed(rows.groupBy("key", "cell", "at").agg(F.min("id").alias("id")))
     firsts = moments.groupBy("key", "cell").agg(F.min("at").alias("first"))
@@ -179,14 +179,13 @@ def rate_limited(events: DataFrame, key: str, at: str, order: str, seconds: int,
     beyond = F.when(F.col("c1") > F.col("cell"), F.col("t1")).otherwise(F.col("t2"))
     jump = checkpointed(met.select("key", F.col("of").alias("at"), F.coalesce("next", beyond).alias("next")).where("next is not null"))
     starts = checkpointed(moments.groupBy("key").agg(F.min("at").alias("at")))
-    while True:
+    many, before = starts.count(), -1
+    while many > before:
         reached = starts.join(jump, ["key", "at"]).select("key", F.col("next").alias("at"))
         grown = checkpointed(starts.union(reached).distinct())
-        if jump.isEmpty() or reached.join(starts, ["key", "at"], "left_anti").isEmpty():
-            break
+        many, before = grown.count(), many
         then = jump.select("key", F.col("at").alias("next"), F.col("next").alias("far"))
-        longer = checkpointed(jump.join(then, ["key", "next"]).select("key", "at", F.col("far").alias("next")))
-        discard(starts, jump)
+        longer = checkpointed(jump.join(then, ["key", "next"]).select("key", "at", F.col("far").alias("next"))) if many > before else jump
         starts, jump = grown, longer
     begun = starts.select("key", F.floor(F.col("at") / width).alias("cell"), F.col("at").alias("begin"))
     mine = begun.withColumnRenamed("begin", "b0")
