@@ -10,7 +10,8 @@ The renderer keeps block spacing (paragraphs and headings a blank line apart, ot
 of their own), list markers with indentation, preformatted text, and tables whose cells are padded
 to the width of their column.  White space elsewhere collapses to single spaces.
 
-A page is parsed within its task; nothing is shuffled.  Tree and renderer keep their own stacks, so
+A page is parsed within its task; nothing is shuffled, but that a table in fewer parts than there are
+cores is dealt over all of them first.  Tree and renderer keep their own stacks, so
 elements may be nested to any depth, and what is open is looked up by tag, not searched for.  The lines of
 an inner block are held as one part of the outer one and written out at the end, so that depth doesn't
 multiply the work.  For the same reason white space is bounded: indentation stops growing at
@@ -39,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import slices, small_batches
+from inkwell.session import spread
 
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -504,4 +506,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["page_id", "text"])
 
     rows = small_batches(pages).select(pages[id_col].cast("long").alias("page_id"), F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("html"))
-    return rows.mapInArrow(run, "page_id long, text string")
+    return spread(rows).mapInArrow(run, "page_id long, text string")

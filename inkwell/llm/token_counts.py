@@ -4,7 +4,8 @@ Most words of a text are single tokens.  Which vocabulary strings encode alone a
 proved once, on the driver, by encoding each of them; the resulting set is bounded by the
 vocabulary and is broadcast.  A task then cuts its texts into pre-tokens (see ``pretokens``),
 counts those in the set as one each, and has only the rest merged by the tokenizer, whose counts
-a bounded per-worker cache keeps.  There is no shuffle.
+a bounded per-worker cache keeps.  There is no shuffle, but that a table in fewer parts than there are
+cores is dealt over all of them first.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; a null id stays null; repeated
 rows give repeated rows; an empty table gives an empty result; further columns are not read.
@@ -22,6 +23,7 @@ from pyspark.sql import types as T
 
 from inkwell.llm.common import id_text, slices
 from inkwell.llm.pretokens import SPACE, check_model, load, parts, pretokens
+from inkwell.session import spread
 
 SCHEMA = T.StructType(
     [
@@ -96,4 +98,4 @@ def count_tokens(
                     names=SCHEMA.names,
                 )
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    return spread(id_text(docs, id_col, text_col)).mapInArrow(run, SCHEMA)
