@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.operators.retrieval import ranked
-from inkwell.session import checkpointed
+from inkwell.session import checkpointed, folder_exists
 
 #: Vectors that centres are fitted on at most, centres at most, rounds of fitting, vectors of a block, queries packed together.
 SAMPLE, MOST_CENTRES, ROUNDS, BLOCK, PACK = 20_000, 1024, 6, 1024, 256
@@ -171,6 +171,6 @@ def vector_index_of(spark: SparkSession, vectors: DataFrame, item_id: str) -> Ve
     from inkwell.operators.text_index import state_of
 
     key = (spark.sparkContext.applicationId, item_id, state_of(vectors))
-    if key not in _built:
+    if key not in _built or not folder_exists(spark, getattr(_built[key].blocks, "inkwell_path", "")):
         _built[key] = VectorIndex.build(vectors, item_id)
     return _built[key]

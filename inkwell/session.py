@@ -74,6 +74,15 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a folder, in whatever store it is; an empty path is none."""
+    if not path:
+        return False
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(context._jsc.hadoopConfiguration()).exists(where)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder."""
     return f"{_folder(spark)}/inkwell-{uuid.uuid4().hex}"
