@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.functions.numbers import exact
 from inkwell.operators import relational as R
 from inkwell.plans.base import Catalogue
 from inkwell.session import scratch
-from inkwell.sources import files, sinks
+from inkwell.sources import files, office, sinks
 from inkwell.sources.state import KeyedState
 from inkwell.streaming import ingest
 
@@ -20,26 +18,6 @@ query = catalogue.query
 _NATIONS = "n_nationkey, n_name, n_regionkey"
 
 
-def _put(df: DataFrame, name: str, raw: bytes) -> str:
-    """A small file of given bytes in a new folder, in whatever store the shared folder is; returns the folder."""
-    spark = df.sparkSession
-    path = scratch(spark)
-    context = spark.sparkContext
-    where = context._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-    out = where.getFileSystem(context._jsc.hadoopConfiguration()).create(where)
-    out.write(bytearray(raw))
-    out.close()
-    return path
-
-
-def _zip(parts: dict[str, str]) -> bytes:
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        for name, text in parts.items():
-            z.writestr(name, text)
-    return out.getvalue()
-
-
 def _ordered(t) -> DataFrame:
     return t("nation").repartition(1, "n_regionkey").sortWithinPartitions("n_regionkey", "n_nationkey")
 
@@ -64,27 +42,36 @@ def csv_scan(t):
     return files.csv_documents(rows.sparkSession, path).select("content")
 
 
-@query("""select string_agg(n_name, chr(10) || chr(10) order by n_nationkey) || chr(10) || chr(10) || 'key' || chr(9) || 'value' as content, true as readable from nation""")
+@query("""with said as (select doc_id, [trim(x) for x in string_split(coalesce(text, ''), chr(10)) if trim(x) <> ''] as lines,
+coalesce(source, '') || chr(9) || coalesce(lang, '') as line from documents)
+select doc_id || '.docx' as source_name, array_to_string(list_append(lines, line), chr(10) || chr(10)) as content, true as readable from said""")
 def docx_scan(t):
-    """S3: a document of small texts; paragraphs first, then the table's rows."""
-    names = [r.n_name for r in t("nation").orderBy("n_nationkey").collect()]
-    space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
-    said = "".join(f"<w:p><w:r><w:t>{x}</w:t></w:r></w:p>" for x in names)
-    row = "".join(f"<w:tc><w:p><w:r><w:t>{x}</w:t></w:r></w:p></w:tc>" for x in ("key", "value"))
-    body = f'<w:document xmlns:w="{space}"><w:body>{said}<w:p/><w:tbl><w:tr>{row}</w:tr></w:tbl></w:body></w:document>'
-    path = _put(t("nation"), "d.docx", _zip({"word/document.xml": body}))
-    return files.documents(t("nation").sparkSession, path).select("content", "readable")
+    """S3: a file for each document; its paragraphs first, then the rows of its table."""
+    rows = t("documents")
+    path = scratch(rows.sparkSession)
+    cells = F.array(F.array("source", "lang"))
+    written = rows.select(F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("name"), office.docx(F.split("text", "\n"), cells).alias("content"))
+    office.write_files(written, path)
+    return files.documents(rows.sparkSession, path).select("source_name", "content", "readable")
 
 
-@query("select n_name as name, n_nationkey::varchar as key, null::varchar as other from nation")
+@query("""select o_orderkey, o_custkey::int as o_custkey, o_orderstatus, o_totalprice::decimal(12,2) as o_totalprice, date_trunc('second', o_orderdate)::timestamp as o_orderdate, o_orderpriority,
+null::varchar as o_comment from orders""")
 def spreadsheet_import(t):
-    """Titles map to columns; a title that the sheet lacks gives nulls."""
-    rows = [("Key", "Name"), *((r.n_nationkey, r.n_name) for r in t("nation").collect())]
-    cell = lambda at, x: f'<c r="{at}" t="inlineStr"><is><t>{x}</t></is></c>'
-    sheet = "".join(f'<row r="{k}">{cell(f"A{k}", a)}{cell(f"B{k}", b)}</row>' for k, (a, b) in enumerate(rows, 1))
-    space = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-    path = _put(t("nation"), "s.xlsx", _zip({"xl/worksheets/sheet1.xml": f'<worksheet xmlns="{space}"><sheetData>{sheet}</sheetData></worksheet>'}))
-    return files.spreadsheet_rows(t("nation").sparkSession, path, {"Name": "name", "Key": "key", "Other": "other"})
+    """S15, 2.12: typed rows of workbooks, by declared types; titles map to columns, one that no sheet has gives nulls."""
+    rows = t("orders")
+    spark, path = rows.sparkSession, scratch(rows.sparkSession)
+    fields = [
+        office.Field("o_orderkey", "Order", "bigint(20)", number=True),
+        office.Field("o_custkey", "Customer", "int(10)", number=True),
+        office.Field("o_orderstatus", "Status", "char(1)", labels="F=done,O=open,P=part"),
+        office.Field("o_totalprice", "Price", "decimal(12,2)", number=True),
+        office.Field("o_orderdate", "Ordered", "datetime", pattern="yyyy-MM-dd HH:mm:ss"),
+        office.Field("o_orderpriority", "Priority", "varchar(15)"),
+    ]
+    office.export_workbooks(rows, path, fields, ["o_orderkey"], title="Orders", name="orders")
+    found = office.read_workbooks(spark, path, [*fields, office.Field("o_comment", "Comment", "varchar(79)")], "orders", 1)
+    return found.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
 
 
 @query("select text as question, role as ground_truth, null::varchar as source from conversations where text is not null")
@@ -229,6 +216,33 @@ def csv_export(t):
     return spark.read.schema("c_custkey string, c_name string, c_acctbal string").option("header", True).csv(path)
 
 
+@query("""with c as (select *, round(c_acctbal * 100)::bigint as cents from customer),
+r as (select *, abs(cents) // 10 + case when abs(cents) % 10 > 5 or (abs(cents) % 10 = 5 and abs(cents) // 10 % 2 = 1) then 1 else 0 end as tenths from c),
+total as (select sum(cents)::bigint as n from c)
+select c_custkey::varchar as "Key", case c_mktsegment when 'BUILDING' then 'b' when 'MACHINERY' then 'm' else '' end as "Segment",
+case when c_acctbal < 0 then chr(9) else '' end || c_acctbal::varchar || ' u' as "Balance",
+case when cents < 0 and tenths > 0 then '-' else '' end || tenths // 10 || case when tenths % 10 = 0 then '' else '.' || tenths % 10 end as "Rounded",
+case when c_nationkey % 5 = 0 then 'none' else c_nationkey::varchar end as "Nation", upper(left(c_name, 3)) || '<&>' as "Name" from r
+union all select '合计', '', regexp_replace(regexp_replace(case when n < 0 then '-' else '' end || abs(n) // 100 || '.' || lpad((abs(n) % 100)::varchar, 2, '0'), '0+$', ''), '[.]$', ''), '', '', '' from total""")
+def spreadsheet_export(t):
+    """K19, 2.14: cells by each column's rules, sheets of at most 500 rows, a row of totals behind the last."""
+    rows = t("customer").select(
+        "c_custkey", "c_mktsegment", "c_acctbal", exact(F.col("c_acctbal")).cast("decimal(12,2)").alias("rounded"),
+        F.when(F.col("c_nationkey") % 5 != 0, F.col("c_nationkey")).alias("nation"), "c_name",
+    )
+    path = scratch(rows.sparkSession)
+    fields = [
+        office.Field("c_custkey", "Key", number=True),
+        office.Field("c_mktsegment", "Segment", labels="BUILDING=b,MACHINERY=m"),
+        office.Field("c_acctbal", "Balance", suffix=" u", total=True),
+        office.Field("rounded", "Rounded", scale=1),
+        office.Field("nation", "Nation", default="none"),
+        office.Field("c_name", "Name", handler=lambda name: F.concat(F.upper(F.left(name, F.lit(3))), F.lit("<&>"))),
+    ]
+    office.export_workbooks(rows, path, fields, ["c_custkey"], 500)
+    return files.spreadsheet_rows(rows.sparkSession, path, {f.title: f.title for f in fields})
+
+
 @query("select round(avg(quality), 6) as quality, round(avg(toxic), 6) as toxic from labels")
 def eval_report(t):
     """The rows and their means; NaN doesn't count."""

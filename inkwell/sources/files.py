@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import csv
 import io
-import re
 import sys
 import zipfile
 import zlib
@@ -14,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.sources.office import cells_of, sheet_rows
+
 # Kinds of files that may be uploaded, and encodings in the order in which they are tried.
 UPLOADS = "txt text md markdown pdf docx csv json log xml html htm".split()
 ENCODINGS = {"csv": ("utf-8-sig", "utf-8", "gbk"), "text": ("utf-8", "utf-16", "gbk")}
@@ -23,7 +24,6 @@ UNREADABLE = (
     csv.Error, zlib.error, zipfile.BadZipFile, ElementTree.ParseError,
 )
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-_S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
 def decode(raw: bytes, encodings: tuple[str, ...]) -> str:
@@ -45,30 +45,6 @@ def docx_text(raw: bytes) -> str:
     return "\n\n".join([x for x in found if x] + rows)
 
 
-def xlsx_rows(raw: bytes) -> list[list[str]]:
-    """The first sheet's rows as texts."""
-    book = zipfile.ZipFile(io.BytesIO(raw))
-    shared: list[str] = []
-    if "xl/sharedStrings.xml" in book.namelist():
-        shared = ["".join(t.text or "" for t in s.iter(f"{_S}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
-    sheets = sorted(n for n in book.namelist() if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n))
-    sheet = ElementTree.fromstring(book.read(min(sheets, key=lambda n: (len(n), n))))
-    out = []
-    for row in sheet.iter(f"{_S}row"):
-        cells: list[str] = []
-        for c in row.findall(f"{_S}c"):
-            letters = re.match(r"[A-Z]+", c.get("r", "A"))[0]
-            column = 0
-            for x in letters:
-                column = column * 26 + ord(x) - 64
-            cells += [""] * (column - 1 - len(cells))
-            value = c.find(f"{_S}v")
-            text = value.text if value is not None else "".join(t.text or "" for t in c.iter(f"{_S}t"))
-            cells.append(shared[int(text)] if c.get("t") == "s" else text or "")
-        out.append(cells)
-    return out
-
-
 def csv_text(raw: bytes) -> str:
     csv.field_size_limit(sys.maxsize)  # a cell may be as long as its file
     rows = csv.reader(io.StringIO(decode(raw, ENCODINGS["csv"])))
@@ -80,7 +56,7 @@ def _to_text(suffix: str, raw: bytes) -> str | None:
         if suffix == "docx":
             return docx_text(raw)
         if suffix == "xlsx":
-            return "\n".join("\t".join(row) for row in xlsx_rows(raw))
+            return "\n".join("\t".join(row) for row in sheet_rows(raw))
         if suffix == "csv":
             return csv_text(raw)
         return None if suffix in ("pdf", "doc", "xls", "pptx") else decode(raw, ENCODINGS["text"])
@@ -120,21 +96,8 @@ def csv_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def spreadsheet_rows(spark: SparkSession, path: str, header: dict[str, str]) -> DataFrame:
     """Rows of the first sheets under a path, with the columns that ``header`` maps titles to; unreadable files have none."""
-    files = spark.read.format("binaryFile").load(path)
-
-    @F.pandas_udf("array<array<string>>")
-    def rows(raw: pd.Series) -> pd.Series:
-        return raw.map(readable)
-
-    def readable(content: bytes) -> list[list[str]]:
-        try:
-            return xlsx_rows(content)
-        except UNREADABLE:
-            return []
-
-    table = files.select(rows("content").alias("r")).where("size(r) > 0").select(F.element_at("r", 1).alias("titles"), F.explode(F.slice(F.col("r"), F.lit(2), F.size("r"))).alias("row"))
-    at = lambda title: F.array_position("titles", title)
-    return table.select(*[F.when(at(t) > 0, F.get("row", (at(t) - 1).cast("int"))).alias(c) for t, c in header.items()])
+    cells = cells_of(spark, path, list(header))
+    return cells.select(*[F.col("cells")[k].alias(c) for k, c in enumerate(header.values())])
 
 
 def dataset(spark: SparkSession, path: str) -> DataFrame:
