@@ -156,8 +156,9 @@ def rate_limited(events: DataFrame, key: str, at: str, order: str, seconds: int,
 
     Every hit points at the first one that a window begun by it leaves out.  That one lies in the next stretch of
     ``seconds`` of its key, or is the first behind it, so the pointers need only windows over (key, stretch).  The
-    starts of windows are the hits that a key's first one reaches; they are marked by doubling: each round
-    follows pointers twice as long, so a key of n windows takes log n rounds, and is never one task's work.
+    starts of windows are the hits that a key's first one reaches; they are marked by doubling: after the pointers of
+    2^k windows have been followed, the first 2^(k+1) starts are known, all of them new ones.  A stretch has one start at
+    most, so the key with most stretches tells how often to double; no key is one task's work.
     """
     width = seconds * 1_000_000
     rows = events.select(F.col(key).alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("at"), F.col(order).cast("long").alias("id"))
@@ -167,7 +168,11 @@ def rate_limited(events: DataFrame, key: str, at: str, order: str, seconds: int,
     moments = checkpointed(rows.groupBy("key", "cell", "at").agg(F.min("id").alias("id")))
     firsts = moments.groupBy("key", "cell").agg(F.min("at").alias("first"))
     later = Window.partitionBy("key").orderBy("cell")  # a row for each stretch that has hits
-    firsts = checkpointed(firsts.select("key", "cell", "first", F.lead("first").over(later).alias("then"), F.lead("cell").over(later).alias("then_cell")))
+    firsts = firsts.select(
+        "key", "cell", "first", F.lead("first").over(later).alias("then"), F.lead("cell").over(later).alias("then_cell"), F.row_number().over(later).alias("nth")
+    )
+    firsts = checkpointed(firsts)
+    longest = firsts.agg(F.max("nth")).head()[0] or 1
     targets = moments.select("key", (F.col("cell") + 1).alias("cell"), (F.col("at") + width).alias("at"), F.col("at").alias("of"))
     both = targets.union(moments.select("key", "cell", "at", F.lit(None).cast("long")))
     ahead = Window.partitionBy("key", "cell").orderBy("at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
@@ -178,15 +183,15 @@ def rate_limited(events: DataFrame, key: str, at: str, order: str, seconds: int,
     met = met.withColumn("c", F.col("cell") - 1).join(own, ["key", "c"], "left").join(after.withColumnRenamed("c2", "cell"), ["key", "cell"], "left")
     beyond = F.when(F.col("c1") > F.col("cell"), F.col("t1")).otherwise(F.col("t2"))
     jump = checkpointed(met.select("key", F.col("of").alias("at"), F.coalesce("next", beyond).alias("next")).where("next is not null"))
-    starts = checkpointed(moments.groupBy("key").agg(F.min("at").alias("at")))
-    many, before = starts.count(), -1
-    while many > before:
-        reached = starts.join(jump, ["key", "at"]).select("key", F.col("next").alias("at"))
-        grown = checkpointed(starts.union(reached).distinct())
-        many, before = grown.count(), many
-        then = jump.select("key", F.col("at").alias("next"), F.col("next").alias("far"))
-        longer = checkpointed(jump.join(then, ["key", "next"]).select("key", "at", F.col("far").alias("next"))) if many > before else jump
-        starts, jump = grown, longer
+    starts = firsts.where("nth = 1").select("key", F.col("first").alias("at"))
+    known = 1
+    while known < longest:
+        starts = starts.union(_followed(starts, jump))
+        if 2 * known < longest:
+            twice = checkpointed(_longer(jump))
+            starts = starts.union(_followed(starts, twice))
+            jump = checkpointed(_longer(twice)) if 4 * known < longest else twice
+        starts, known = checkpointed(starts), 4 * known
     begun = starts.select("key", F.floor(F.col("at") / width).alias("cell"), F.col("at").alias("begin"))
     mine = begun.withColumnRenamed("begin", "b0")
     last = begun.select("key", (F.col("cell") + 1).alias("cell"), F.col("begin").alias("b1"))
@@ -197,6 +202,16 @@ def rate_limited(events: DataFrame, key: str, at: str, order: str, seconds: int,
     return found.select(F.col("key").alias(key), F.col("id").alias(order), "nth", (F.col("nth") <= most).alias("allowed"))
 
 
+def _followed(starts: DataFrame, jump: DataFrame) -> DataFrame:
+    """Where pointers lead from some moments (key, at)."""
+    return starts.join(jump, ["key", "at"]).select("key", F.col("next").alias("at"))
+
+
+def _longer(jump: DataFrame) -> DataFrame:
+    """Pointers (key, at, next) followed twice."""
+    return jump.join(jump.select("key", F.col("at").alias("next"), F.col("next").alias("far")), ["key", "next"]).select("key", "at", F.col("far").alias("next"))
+
+
 def last_messages(turns: DataFrame, by: str, order: str, most: int) -> DataFrame:
     """The last ``most`` turns of every session."""
     back = Window.partitionBy(by).orderBy(F.desc(order))
