@@ -6,7 +6,7 @@ Edges are rows of (head, relation, tail, ...); lists on them are arrays in first
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,15 +70,15 @@ def merge_into(old: DataFrame, new: DataFrame, lists: list[str]) -> DataFrame:
     return both.select(*KEY, *[F.array_union(empty(F.col(c)), empty(F.col(f"__{c}"))).alias(c) for c in lists])
 
 
-def degrees(edges: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """name, out_degree, in_degree over distinct edges without loops; names without edges have 0."""
-    ends = edges.select(*KEY).where("head != tail and head != '' and tail != ''").distinct()
-    sides = ends.select(F.col("head").alias("name"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(
-        ends.select("tail", F.lit(0), F.lit(1))
+def degrees(edges: DataFrame, names: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """name, out_degree, in_degree over distinct edges without loops, within the columns ``by``; names without edges have 0."""
+    ends = edges.select(*by, *KEY).where("head != tail and head != '' and tail != ''").distinct()
+    sides = ends.select(*by, F.col("head").alias("name"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(
+        ends.select(*by, "tail", F.lit(0), F.lit(1))
     )
     if names is not None:
-        sides = sides.union(names.select("name", F.lit(0), F.lit(0)))
-    return sides.groupBy("name").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
+        sides = sides.union(names.select(*by, "name", F.lit(0), F.lit(0)))
+    return sides.groupBy(*by, "name").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
 def top_entities(edges: DataFrame, n: int) -> DataFrame:

@@ -295,8 +295,3 @@ def job_log(runs: DataFrame, most: int = 2000) -> DataFrame:
         "job", "started", "ended", millis.alias("millis"), F.when(F.col("error").isNull(), "0").otherwise("1").alias("status"),
         F.concat("job", F.lit(": "), millis.cast("string"), F.lit(" ms")).alias("message"), F.substring("error", 1, most).alias("error"),
     )
-
-
-def emptied(table: DataFrame) -> DataFrame:
-    """The state of a table after it was truncated."""
-    return table.where(F.lit(False))

@@ -181,12 +181,6 @@ def job_log(t):
     return R.job_log(runs)
 
 
-@query("select o_orderkey, o_orderstatus from orders where false")
-def truncate_table(t):
-    """K18"""
-    return R.emptied(t("orders").select("o_orderkey", "o_orderstatus"))
-
-
 # -- joins
 
 

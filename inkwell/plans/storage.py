@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions.numbers import exact
+from inkwell.operators import graph as G
 from inkwell.operators import relational as R
 from inkwell.plans.base import Catalogue
-from inkwell.session import scratch
+from inkwell.session import checkpointed, discard, scratch
 from inkwell.sources import files, office, sinks
 from inkwell.sources.state import KeyedState
 from inkwell.streaming import ingest
@@ -206,6 +207,46 @@ def snapshot_rebuild(t):
     return sinks.read_snapshot(spark, path, rows.select("n_nationkey", "name", "kb_id").schema.simpleString()[7:-1].replace(":", " "))
 
 
+@query("select o_orderkey, o_orderstatus from orders where o_orderstatus = 'F'")
+def truncate_table(t):
+    """A table is emptied in one commit; rows written after that are all it has."""
+    rows = t("orders").select("o_orderkey", "o_orderstatus")
+    spark, path = rows.sparkSession, scratch(rows.sparkSession)
+    sinks.rebuild_snapshot(rows, path, "o_orderstatus")
+    sinks.truncate(spark, path)
+    sinks.rebuild_snapshot(rows.where("o_orderstatus = 'F'"), path, "o_orderstatus")
+    return sinks.read_snapshot(spark, path, "o_orderkey long, o_orderstatus string")
+
+
+_GRAPH = """raw as (select o_orderkey % 4 as kb_id, c_name as head, o_orderstatus as relation, n_name as tail from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey),
+edges as (select *, count(*) as n_chunks from raw where kb_id <> 2 and (kb_id <> 1 or relation = 'F') group by all),
+ends as (select kb_id, head as name, 1 as o, 0 as i from edges union all select kb_id, tail, 0, 1 from edges)"""
+
+
+@query(f"""with {_GRAPH} select kb_id, name, null::varchar as relation, null::varchar as tail, sum(o)::bigint as outward, sum(i)::bigint as inward, null::bigint as n_chunks from ends group by kb_id, name
+union all select kb_id, head, relation, tail, null, null, n_chunks from edges""")
+def graph_snapshot(t):
+    """A graph's entities with their degrees and its edges, in one commit; one base is synced again, one is dropped."""
+    c, n = t("customer"), t("nation")
+    rows = t("orders").join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = rows.select((F.col("o_orderkey") % 4).alias("kb_id"), F.col("c_name").alias("head"), F.col("o_orderstatus").alias("relation"), F.col("n_name").alias("tail"))
+    spark, path = rows.sparkSession, scratch(rows.sparkSession)
+
+    def sync(raw, containers=None):
+        edges = checkpointed(raw.groupBy("kb_id", *G.KEY).agg(F.count("*").alias("n_chunks")))
+        sinks.rebuild_tables({"entities": G.degrees(edges, by=["kb_id"]), "edges": edges}, path, "kb_id", containers)
+        discard(edges)
+
+    sync(rows)
+    sync(rows.where("kb_id = 1 and relation = 'F'"), [1])
+    sinks.purge_container(spark, path, 2)
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    entities = sinks.read_snapshot(spark, path, "kb_id long, name string, out_degree long, in_degree long", "entities")
+    edges = sinks.read_snapshot(spark, path, "kb_id long, head string, relation string, tail string, n_chunks long", "edges")
+    entities = entities.select("kb_id", "name", none("string", "relation"), none("string", "tail"), F.col("out_degree").alias("outward"), F.col("in_degree").alias("inward"), none("long", "n_chunks"))
+    return entities.union(edges.select("kb_id", "head", "relation", "tail", none("long", "o"), none("long", "i"), "n_chunks"))
+
+
 @query("""select c_custkey::varchar as c_custkey, c_name, printf('%.2f', c_acctbal) as c_acctbal from customer
 union all select 'total', null, sum(c_acctbal::decimal(30,2))::varchar from customer""")
 def csv_export(t):

@@ -18,38 +18,52 @@ def _folder_name(spark: SparkSession, value: object) -> str:
 
 
 def rebuild_snapshot(df: DataFrame, root: str, by: str = "kb_id", containers: list | None = None) -> None:
-    """Replaces the containers that ``df`` has rows of, and empties those of ``containers`` without rows; others stay.
+    """Replaces the containers that ``df`` has rows of, and empties those of ``containers`` without rows; others stay."""
+    rebuild_tables({"rows": df}, root, by, containers)
 
-    It is one commit: rows go into a new folder, and readers see them, and all that is gone, with the manifest that is
-    written last; a failure before that leaves the snapshot as it was.
+
+def rebuild_tables(tables: dict[str, DataFrame], root: str, by: str = "kb_id", containers: list | None = None) -> None:
+    """Replaces, in each table, the containers that its rows are of, and empties those of ``containers`` without rows.
+
+    It is one commit over all tables: rows go into new folders, and readers see them, and all that is gone, with the
+    manifest that is written last; a failure before that leaves every table as it was, so none is ahead of another.
     """
-    commits = Commits(df.sparkSession, root)
+    commits = Commits(next(iter(tables.values())).sparkSession, root)
     version, content = commits.latest()
-    folder = commits.new_folder("rows")
-    df.withColumn("__container", F.col(by).cast("string")).write.partitionBy("__container").parquet(commits.path(folder))
-    held = dict(content.get("containers", {}))
-    for container in containers or ():
-        held.pop(_folder_name(df.sparkSession, container), None)
-    for name in commits.names(folder):
-        if name.startswith("__container="):
-            held[name.removeprefix("__container=")] = f"{folder}/{name}"
-    commits.commit(version + 1, {"containers": held})
+    held = dict(content.get("tables", {}))
+    for table, df in tables.items():
+        folder = commits.new_folder(table)
+        df.withColumn("__container", F.col(by).cast("string")).write.partitionBy("__container").parquet(commits.path(folder))
+        gone = {_folder_name(df.sparkSession, container) for container in containers or ()}
+        kept = {name: path for name, path in held.get(table, {}).items() if name not in gone}
+        new = [name for name in commits.names(folder) if name.startswith("__container=")]
+        held[table] = kept | {name.removeprefix("__container="): f"{folder}/{name}" for name in new}
+    commits.commit(version + 1, {"tables": held})
     commits.sweep()
 
 
 def purge_container(spark: SparkSession, root: str, container: object) -> None:
-    """Drops one container in one commit."""
+    """Drops one container of all tables in one commit."""
     commits = Commits(spark, root)
     version, content = commits.latest()
     name = _folder_name(spark, container)
-    commits.commit(version + 1, {"containers": {k: v for k, v in content.get("containers", {}).items() if k != name}})
+    held = {table: {k: v for k, v in paths.items() if k != name} for table, paths in content.get("tables", {}).items()}
+    commits.commit(version + 1, {"tables": held})
+    commits.sweep()
+
+
+def truncate(spark: SparkSession, root: str, table: str = "rows") -> None:
+    """Drops all rows of one table in one commit; its files go with the next commits but one."""
+    commits = Commits(spark, root)
+    version, content = commits.latest()
+    commits.commit(version + 1, {"tables": content.get("tables", {}) | {table: {}}})
     commits.sweep()
 
 
-def read_snapshot(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """The rows of all containers, as of the last commit."""
+def read_snapshot(spark: SparkSession, root: str, schema: str, table: str = "rows") -> DataFrame:
+    """The rows of all containers of a table, as of the last commit."""
     commits = Commits(spark, root)
-    paths = [commits.path(folder) for folder in commits.latest()[1].get("containers", {}).values()]
+    paths = [commits.path(folder) for folder in commits.latest()[1].get("tables", {}).get(table, {}).values()]
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 

@@ -50,6 +50,35 @@ def test_a_rebuild_that_fails_leaves_the_old_rows(spark, tmp_path, monkeypatch):
     assert sinks.read_snapshot(spark, str(tmp_path / "none"), SNAPSHOT).count() == 0
 
 
+def test_tables_change_together(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "s")
+    a = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], SNAPSHOT)
+    b = spark.createDataFrame([("p", 1), ("q", 1), ("r", 2)], SNAPSHOT)
+    read = lambda table: sorted((r.kb_id, r.x) for r in sinks.read_snapshot(spark, root, SNAPSHOT, table).collect())
+    sinks.rebuild_tables({"a": a, "b": b}, root)
+    written, real = [], Commits.new_folder
+
+    def second_fails(self, kind):
+        written.append(kind)
+        if kind == "b":
+            raise OSError("lost")
+        return real(self, kind)
+
+    monkeypatch.setattr(Commits, "new_folder", second_fails)
+    with pytest.raises(OSError):
+        sinks.rebuild_tables({"a": a.where("kb_id = 9"), "b": b}, root, containers=[1])
+    monkeypatch.undo()
+    assert written == ["a", "b"]
+    assert (read("a"), read("b")) == ([(1, "a"), (2, "b"), (3, "c")], [(1, "p"), (1, "q"), (2, "r")])
+    sinks.rebuild_tables({"a": a.where("kb_id = 9"), "b": b.where("x = 'q'")}, root, containers=[1])
+    assert (read("a"), read("b")) == ([(2, "b"), (3, "c")], [(1, "q"), (2, "r")])
+    sinks.purge_container(spark, root, 2)
+    assert (read("a"), read("b")) == ([(3, "c")], [(1, "q")])
+    sinks.truncate(spark, root, "b")
+    sinks.truncate(spark, root, "b")
+    assert (read("a"), read("b")) == ([(3, "c")], [])
+
+
 def size_of(path):
     return sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(path) for f in fs)
 
