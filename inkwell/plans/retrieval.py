@@ -246,12 +246,13 @@ p as (select vec_id as a, vec_id + 1000000 as b,
   list_sum(list_transform(list_zip(e, f), lambda x: (x[1] + 0.25 * x[2]) * (x[1] + 0.25 * x[2]))) as ff from turned)
 select a, b, round(d / sqrt(ee * ff), 6) as score from p where round(d / sqrt(ee * ff), 6) >= 0.9""")
 def near_copies(t):
-    """Every vector and a copy of it that a quarter of its own turned coordinates blurs; the copies are found again."""
-    v = t("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    """Every vector and a copy of it that a quarter of its own turned coordinates blurs; each copy is looked up among the links."""
+    v = t("embeddings").select((F.col("vec_id") * 2).alias("item"), F.col("embedding").cast("array<double>").alias("embedding"))
     turned = F.concat(F.slice("embedding", 2, F.size("embedding") - 1), F.slice("embedding", 1, 1))
     blurred = F.zip_with("embedding", turned, lambda x, y: x + 0.25 * y)
-    both = v.union(v.select(F.col("vec_id") + 1_000_000, blurred))
-    return retrieval.all_pairs(*retrieval.similar_pairs(both, "vec_id", 0.9))
+    both = v.union(v.select(F.col("item") + 1, blurred))
+    found = retrieval.linked(v.select(F.col("item").alias("a"), (F.col("item") + 1).alias("b")), *retrieval.similar_pairs(both, "item", 0.9))
+    return found.select(F.expr("a div 2").alias("a"), (F.expr("a div 2") + 1_000_000).alias("b"), "score")
 
 
 @query(f"""with {VECTOR_SQL}, hits as (select query_id, item_id, score from vec where rank <= 8) select h.* from hits h join embeddings e on e.vec_id = item_id

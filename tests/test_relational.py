@@ -40,6 +40,41 @@ def test_similar_pairs_of_copies(spark, tmp_path):
     assert len(wanted) > 200 and found == wanted
 
 
+def test_near_copies_among_near_vectors(spark, tmp_path):
+    """Own copies only, each once, where other vectors and equal ones are as near, and ids reach those of copies."""
+    import duckdb
+    import numpy as np
+
+    from inkwell.plans import catalogue
+
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((6, 32))
+    matrix = np.concatenate([base[rng.integers(0, 6, 120)] + 0.02 * rng.standard_normal((120, 32)), np.repeat(base[:2], 5, axis=0), np.ones((3, 32))])
+    rows = [(k if k % 2 else k + 1_000_000, [float(x) for x in row]) for k, row in enumerate(matrix)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = sorted((r.a, r.b, r.score) for r in catalogue.QUERIES["near_copies"](spark, str(tmp_path)).collect())
+    duck = duckdb.connect()
+    duck.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert found == sorted(duck.execute(catalogue.ORACLES["near_copies"]).fetchall())
+
+
+def test_no_pair_is_missed_across_blocks(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(retrieval, "JOIN_BLOCK", 64)
+    monkeypatch.setattr(retrieval, "STRIPE", 24)
+    rng = np.random.default_rng(9)
+    centre = rng.standard_normal(24)
+    matrix = np.concatenate([centre + 0.3 * rng.standard_normal((200, 24)), rng.standard_normal((150, 24))])  # one crowded direction
+    unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    cosine = np.round(unit @ unit.T, 6)
+    wanted = {(i, j) for i in range(350) for j in range(i + 1, 350) if cosine[i, j] >= 0.9}
+    rows = spark.createDataFrame([(k, [float(x) for x in row]) for k, row in enumerate(matrix)], "id long, embedding array<double>").repartition(3)
+    pairs, _ = retrieval.similar_pairs(rows, "id", 0.9)
+    found = [(r.a, r.b) for r in pairs.collect()]
+    assert len(found) == len(set(found)) and set(found) == wanted and len(wanted) > 5000
+
+
 def test_scores_of_observations_are_rounded_as_stored(spark):
     """193.81955 is stored as a little less, 0.03125 exactly: as printf, not as the digits read."""
     hits = spark.createDataFrame([(1, 7, 1, "a", 193.81955), (1, 8, 2, "b", 0.03125), (1, 9, 3, "c", 1234.5)], "q int, item int, rank int, text string, score double")
