@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from inkwell.operators.retrieval import ranked
 from inkwell.session import checkpointed, folder_exists
 
-#: Vectors that centres are fitted on at most, centres at most, rounds of fitting, vectors of a block, queries packed together.
-SAMPLE, MOST_CENTRES, ROUNDS, BLOCK, PACK = 20_000, 1024, 6, 1024, 256
+#: Vectors that centres are fitted on at most, centres at most, rounds of fitting, vectors compared at a time there, vectors of a
+#: block, queries packed together.
+SAMPLE, MOST_CENTRES, ROUNDS, STRIPE, BLOCK, PACK = 20_000, 1024, 6, 2048, 1024, 256
 _BLOCKS = "centre int, ring int, low double, high double, n int, ids array<long>, values array<double>"
 #: What rounding to 6 places, and to doubles, may change of a score.
 SLACK = 2e-6
@@ -43,7 +44,7 @@ def fit_centres(sample: np.ndarray, many: int, seed: int = 3) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centres = sample[rng.choice(len(sample), min(many, len(sample)), replace=False)]
     for _ in range(ROUNDS):
-        nearest = np.argmax(sample @ centres.T, axis=1)
+        nearest = np.concatenate([np.argmax(sample[at : at + STRIPE] @ centres.T, axis=1) for at in range(0, len(sample), STRIPE)])
         sums = np.zeros_like(centres)
         np.add.at(sums, nearest, sample)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -64,7 +65,9 @@ class VectorIndex:
         rows = rows.select(F.col(item_id).cast("long").alias("item_id"), F.col(vector).cast("array<double>").alias("v"))
         n = rows.count()
         # The sample is bounded; what is read of it doesn't depend on how rows lie.
-        sample = rows.orderBy(F.xxhash64("item_id"), "item_id").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
+        # Rows whose hash is too large to be among the first are left out before the sort, which takes place in one task.
+        low = rows.where(F.xxhash64("item_id") < -(1 << 63) + (2 * SAMPLE << 64) // n) if n > 2 * SAMPLE else rows
+        sample = low.orderBy(F.xxhash64("item_id"), "item_id").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
         spark = rows.sparkSession
         if not n:
             return cls(spark.createDataFrame([], _BLOCKS), np.zeros((0, 0)))
@@ -93,7 +96,7 @@ class VectorIndex:
         return cls(checkpointed(blocks), centres)
 
     def _visits(self, queries: DataFrame) -> DataFrame:
-        """query_id, v, centre, away: the angle between every query and every centre."""
+        """query_id, centre, away: the angle between every query and every centre."""
         centres = self.centres
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,17 +109,18 @@ class VectorIndex:
                     n, m = away.shape
                     taken = pa.array(np.repeat(np.arange(n), m))
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(taken), part.column(1).take(taken), pa.array(np.tile(np.arange(m, dtype=np.int32), n)), pa.array(away.ravel())],
-                        names=["query_id", "v", "centre", "away"],
+                        [part.column(0).take(taken), pa.array(np.tile(np.arange(m, dtype=np.int32), n)), pa.array(away.ravel())],
+                        names=["query_id", "centre", "away"],
                     )
 
-        return queries.mapInArrow(run, "query_id long, v array<double>, centre int, away double")
+        return queries.mapInArrow(run, "query_id long, centre int, away double")
 
-    def _scored(self, visits: DataFrame, k: int, same: bool) -> DataFrame:
-        """query_id, item_id, score of the best k of each visited block; visits: query_id, v, centre, ring."""
+    def _scored(self, visits: DataFrame, asked: DataFrame, k: int, same: bool) -> DataFrame:
+        """query_id, item_id, score of the best k of each visited block; visits: query_id, centre, ring, asked: query_id, v."""
         share = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-visits.select("query_id").distinct().count() // PACK))))
-        packed = visits.groupBy("centre", "ring", share.alias("share")).agg(F.collect_list(F.struct("query_id", "v")).alias("q"))  # about PACK at most
-        met = packed.join(self.blocks.select("centre", "ring", "ids", "values"), ["centre", "ring"])
+        packed = visits.join(asked, "query_id").groupBy("centre", "ring", share.alias("share")).agg(F.collect_list(F.struct("query_id", "v")).alias("q"))  # about PACK at most
+        # Never sent to all tasks by way of the driver: a query's vector is there once for each ring, whatever size its table seems to have.
+        met = packed.hint("merge").join(self.blocks.select("centre", "ring", "ids", "values"), ["centre", "ring"])
         met = met.select(F.col("q.query_id").alias("q_ids"), F.flatten("q.v").alias("q_values"), "ids", "values")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,6 +145,7 @@ class VectorIndex:
         """The k nearest items of every query (query_id, item_id, score, rank), and the share of all vectors that was read."""
         asked = queries.where(F.col(query_id).isNotNull() & F.col(vector).isNotNull())
         asked = asked.select(F.col(query_id).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("v"))
+        asked = checkpointed(asked)
         rings = checkpointed(self.blocks.select("centre", "ring", "low", "high", "n"))
         away = checkpointed(self._visits(asked))
         nearest = F.greatest(F.lit(0.0), F.col("away") - F.col("high"), F.col("low") - F.col("away"))
@@ -151,12 +156,12 @@ class VectorIndex:
         close = close.where(F.coalesce("before", F.lit(0)) <= k).drop("many", "before")
         first = close.join(rings, "centre").withColumn("nearest", nearest)
         first = first.withColumn("before", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))).where(F.coalesce("before", F.lit(0)) <= k)
-        first = checkpointed(first.select("query_id", "v", "centre", "ring", "n"))
-        found = checkpointed(self._scored(first, k, include_self))
+        first = checkpointed(first.select("query_id", "centre", "ring", "n"))
+        found = checkpointed(self._scored(first, asked, k, include_self))
         bar = ranked(found, k, ["query_id"], "score", "item_id").where(F.col("rank") == k).select("query_id", (F.col("score") - SLACK).alias("bar"))
         left = away.join(bar, "query_id", "left").join(rings, "centre").where(F.cos(nearest) >= F.coalesce("bar", F.lit(-2.0)))
-        left = checkpointed(left.select("query_id", "v", "centre", "ring", "n").join(first.select("query_id", "centre", "ring"), ["query_id", "centre", "ring"], "left_anti"))
-        more = self._scored(left, k, include_self)
+        left = checkpointed(left.select("query_id", "centre", "ring", "n").join(first.select("query_id", "centre", "ring"), ["query_id", "centre", "ring"], "left_anti"))
+        more = self._scored(left, asked, k, include_self)
         read = first.select("n").union(left.select("n")).agg(F.sum("n").alias("read"))
         whole = rings.agg(F.sum("n").alias("all"))
         share = read.crossJoin(whole).select((F.col("read") / (F.col("all") * asked.count())).alias("share"))  # one row each

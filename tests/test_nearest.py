@@ -51,6 +51,20 @@ def test_rings_of_few_vectors(spark):
     assert VectorIndex.build(none, "id").search(few, 2, "id")[0].count() == 0
 
 
+def test_visits_carry_no_vectors(spark):
+    """A query's vector isn't repeated for every ring, and packed queries are never broadcast."""
+    vectors = table(spark, np.random.default_rng(4).standard_normal((300, 8)))
+    index = VectorIndex.build(vectors, "id", block=32)
+    asked = vectors.select(F.col("id").alias("query_id"), F.col("embedding").alias("v"))
+    visits = index._visits(asked)
+    assert visits.columns == ["query_id", "centre", "away"] and visits.count() == 300 * len(index.centres)
+    rings = index.blocks.select("centre", "ring")
+    met = index._scored(visits.join(rings, "centre").select("query_id", "centre", "ring"), asked, 3, False)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [centre" in plan
+    assert met.select("query_id").distinct().count() == 300
+
+
 def test_forest_finds_planted_pairs_and_keeps_buckets_small(spark):
     rng = np.random.default_rng(1)
     largest = []
