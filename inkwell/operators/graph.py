@@ -306,18 +306,19 @@ def canonical(pairs: DataFrame) -> DataFrame:
     """old, new: for every name of the pairs (a, b) the least name that it reaches.
 
     In each round a name takes the least label among its neighbours', then its label's own label; so a chain of n names
-    needs about log n rounds, and no name gathers its neighbours.
+    needs about log n rounds, and no name gathers its neighbours.  All joins are by merging: written tables look small
+    enough to be sent to every task, and each of them would pass the driver in every round.
     """
     both = checkpointed(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
     label = checkpointed(both.select(F.col("a").alias("old")).distinct().select("old", F.col("old").alias("new")))
     while True:
-        sent = both.join(label, F.col("a") == F.col("old")).select(F.col("b").alias("old"), "new")
+        sent = both.join(label.hint("merge"), F.col("a") == F.col("old")).select(F.col("b").alias("old"), "new")
         # A label tells its own owner too: whoever bears it hears of what the owner's other bearers know.
-        told = sent.join(label.select("old", F.col("new").alias("owner")), "old").select(F.col("owner").alias("old"), "new")
+        told = sent.join(label.select("old", F.col("new").alias("owner")).hint("merge"), "old").select(F.col("owner").alias("old"), "new")
         least = checkpointed(label.union(sent).union(told).groupBy("old").agg(F.min("new").alias("new")))
         jump = least.select(F.col("old").alias("new"), F.col("new").alias("further"))
-        after = checkpointed(least.join(jump, "new").select("old", F.least("new", "further").alias("new")))
-        moved = after.join(label.withColumnRenamed("new", "before"), "old").where("new != before")
+        after = checkpointed(least.join(jump.hint("merge"), "new").select("old", F.least("new", "further").alias("new")))
+        moved = after.join(label.withColumnRenamed("new", "before").hint("merge"), "old").where("new != before")
         done = moved.isEmpty()
         discard(label, least)
         if done:
