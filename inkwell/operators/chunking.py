@@ -28,6 +28,7 @@ UNIT, WINDOW, SLACK = 180, 8, 50
 CUT_MARK = "<<<<CUT>>>>"
 #: White space in the sense of Unicode; what is trimmed off a span; blank lines.
 _WS, _EDGE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]", " \t\n\r"
+_WHITE = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _BLANK = r"(?:\r?\n[ \t]*){2,}"
 _SPAN, _PART = "struct<start:int,end:int>", "struct<start:int,end:int,kind:string>"
 
@@ -49,7 +50,12 @@ def _cumulated(sizes: Column) -> Column:
 
 
 def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{_WS}+|{_WS}+$", "")
+    return F.trim(text, F.lit(_WHITE))
+
+
+def _said(text: Column) -> Column:
+    """Whether there is anything but white space."""
+    return text.rlike("[^" + _WS[1:])
 
 
 def paragraphs(text: Column) -> Column:
@@ -168,14 +174,14 @@ def structure(text: Column) -> Column:
         lead = F.length(line) - F.length(F.ltrim(line, F.lit(_EDGE)))
         trail = F.length(line) - F.length(F.rtrim(line, F.lit(_EDGE)))
         loose = kind.isin("paragraph", "blank")
-        goes_on = s["now"].isNotNull() & (s["fenced"] | (~fence & kind.isin("table", "paragraph") & (s["now"]["kind"] == kind)))
-        begin = F.when(goes_on, s["now"]["start"]).otherwise(F.when(loose, s["at"] + lead).otherwise(s["at"]))
+        goes_on = s["now"].isNotNull() & (s["fenced"] | (~line["fence"] & kind.isin("table", "paragraph") & (s["now"]["kind"] == kind)))
+        begin = F.when(goes_on, s["now"]["start"]).otherwise(F.when(loose, s["at"] + line["lead"]).otherwise(s["at"]))
         now = F.struct(
-            begin.cast("int").alias("start"), F.when(loose, end - trail).otherwise(end).cast("int").alias("end"), kind.alias("kind"),
-            F.when(kind == "heading", level).otherwise(0).cast("int").alias("level"),
+            begin.cast("int").alias("start"), F.when(loose, end - line["trail"]).otherwise(end).cast("int").alias("end"), kind.alias("kind"),
+            F.when(kind == "heading", line["level"]).otherwise(0).cast("int").alias("level"),
         )
         done = F.when(goes_on | s["now"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["now"])))
-        return F.struct((end + 1).alias("at"), (s["fenced"] != fence).alias("fenced"), now.cast(block).alias("now"), done.alias("done"))
+        return F.struct((end + 1).alias("at"), (s["fenced"] != line["fence"]).alias("fenced"), now.cast(block).alias("now"), done.alias("done"))
 
     found = F.aggregate(lines, start, step, lambda s: F.concat(s["done"], F.array(s["now"])))
     return F.when(F.length(_text(text)) == 0, F.array().cast(f"array<{block}>")).otherwise(F.filter(found, lambda b: (b["end"] > b["start"]) | (b["kind"] == "code")))
@@ -345,28 +351,31 @@ def excerpts(docs: DataFrame, doc_id: str, text: str, least: int = 60, most: int
     return _pieces(rows, "spans", most, "units").select("doc_id", F.posexplode("units").alias("position", "s")).select("doc_id", "position", F.col("s.text").alias("excerpt"))
 
 
-def _find(part: Column, text: Column, at: Column) -> Column:
-    """Where a part stands in a text, from a place on; -1 if it doesn't."""
-    return F.call_function("locate", part, text, (at + 1).cast("int")) - 1
-
-
 def _marked(text: Column, candidate: Column) -> Column:
     """mode and ends of the parts of one form of an answer: null if they neither are the text nor follow each other in it."""
-    parts = F.split(candidate, CUT_MARK)
-    strict = F.struct(F.lit("strict").alias("mode"), _cumulated(F.transform(parts, F.length)).alias("ends"))
-    start = F.struct(F.lit(0).alias("at"), F.lit(True).alias("ok"), F.array().cast("array<int>").alias("ends"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(True).alias("ok"), F.array().cast("array<int>").alias("ends"), text.alias("rest"))
 
     def step(s: Column, part: Column) -> Column:
-        place = F.when(F.length(part) == 0, s["at"]).otherwise(_find(part, text, s["at"]))
-        ok = s["ok"] & (place >= 0) & (place - s["at"] <= SLACK)
-        at = F.when(ok, place + F.length(part)).otherwise(s["at"]).cast("int")
-        return F.struct(at.alias("at"), ok.alias("ok"), F.when(ok, F.concat(s["ends"], F.array(at))).otherwise(s["ends"]).alias("ends"))
+        # A part is sought in what is left of the text, no further than it may be away.
+        place = F.call_function("locate", part, F.substring(s["rest"], F.lit(1), F.length(part) + SLACK)) - 1
+        return F.when(s["ok"], _let(lambda x: moved(s, x), place=F.when(F.length(part) == 0, 0).otherwise(place), size=F.length(part))).otherwise(s)
+
+    def moved(s: Column, x: Column) -> Column:
+        used = x["place"] + x["size"]
+        at, ok = (s["at"] + used).cast("int"), x["place"] >= 0
+        on = F.struct(at.alias("at"), ok.alias("ok"), F.concat(s["ends"], F.array(at)).alias("ends"), F.substring(s["rest"], used + 1, F.length(s["rest"])).alias("rest"))
+        return F.when(ok, on).otherwise(F.struct(s["at"].alias("at"), ok.alias("ok"), s["ends"].alias("ends"), s["rest"].alias("rest")))
+
+    def aligned(x: Column) -> Column:
+        ends = F.concat(F.slice(x["done"]["ends"], 1, F.greatest(F.size(x["done"]["ends"]) - 1, F.lit(0))), F.array(F.length(text)))
+        return F.when(x["done"]["ok"] & ~_said(x["done"]["rest"]), F.struct(F.lit("aligned").alias("mode"), ends.alias("ends")))
+
+    def judged(x: Column) -> Column:
+        strict = F.struct(F.lit("strict").alias("mode"), _cumulated(F.transform(x["parts"], F.length)).alias("ends"))
+        loose = F.when(F.size(x["parts"]) > 1, _let(aligned, done=F.aggregate(x["parts"], start, step)))
+        return F.when(F.array_join(x["parts"], "") == text, strict).otherwise(loose)
 
-    done = F.aggregate(parts, start, step)
-    rest = F.length(_strip(_sub(text, done["at"], F.length(text)))) == 0
-    ends = F.concat(F.slice(done["ends"], 1, F.greatest(F.size(done["ends"]) - 1, F.lit(0))), F.array(F.length(text)))
-    aligned = F.struct(F.lit("aligned").alias("mode"), ends.alias("ends"))
-    return F.when(F.array_join(parts, "") == text, strict).when((F.size(parts) > 1) & done["ok"] & rest, aligned)
+    return _let(judged, parts=F.split(candidate, CUT_MARK))
 
 
 def paragraph_sizes(text: Column) -> Column:
@@ -394,15 +403,20 @@ def marked_spans(docs: DataFrame, doc_id: str, text: str, answer: str) -> DataFr
     ``strict`` if the answer without marks is the text, ``aligned`` if its parts follow each other in the text with
     little between.  The answer is tried as it is, stripped, without thoughts, and as what stands in its fence.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), _text(F.col(text)).alias("t"), _text(F.col(answer)).alias("a"))
-    plain = _strip(F.regexp_replace("a", r"(?is)<think>.*?</think>", ""))
+    rows = spread(docs.select(F.col(doc_id).alias("doc_id"), _text(F.col(text)).alias("t"), _text(F.col(answer)).alias("a"))).where(F.length("t") > 0)
+    # Patterns are tried only where they may match; an explode of one keeps the stripped form in one place.
+    said = F.when(F.lower("a").contains("<think>"), F.regexp_replace("a", r"(?is)<think>.*?</think>", "")).otherwise(F.col("a"))
+    rows = rows.select("*", F.explode(F.array(_strip(said))).alias("plain"))
+    plain = F.col("plain")
     fence = rf"(?s)```(?:[\p{{L}}\p{{N}}_]+)?{_WS}*(.*?){_WS}*```"
-    inside = lambda x: F.when(x.rlike(fence), F.regexp_extract(x, fence, 1))
+    inside = lambda x: F.when(x.contains("```") & x.rlike(fence), F.regexp_extract(x, fence, 1))
     fenced = F.coalesce(inside(plain), inside(F.col("a")))
-    tried = F.array_distinct(F.filter(F.array("a", _strip(F.col("a")), plain, fenced, _strip(fenced)), lambda x: F.length(x) > 0))
-    found = F.filter(F.transform(tried, lambda x: _marked(F.col("t"), x)), lambda x: x.isNotNull() & (F.length("t") > 0))
-    rows = rows.withColumn("found", F.get(found, 0)).where("found is not null")
-    edges = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0), F.length("t")), "found.ends")))
+    tried = F.array_distinct(F.filter(F.array(F.col("a"), _strip(F.col("a")), plain, fenced, _strip(fenced)), lambda x: F.length(x) > 0))
+    # A form is tried only if those before it didn't fit.
+    found = F.aggregate(tried, F.lit(None).cast("struct<mode:string,ends:array<int>>"), lambda s, x: F.coalesce(s, _marked(F.col("t"), x)))
+    # An explode of one keeps this in one place; a filter would work it out once more.
+    rows = rows.select("doc_id", F.length("t").alias("size"), F.explode(F.array(found)).alias("found"))
+    edges = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0), F.col("size")), "found.ends")))
     rows = rows.select("doc_id", "found.mode", edges.alias("edges"))
     spans = F.zip_with(F.slice("edges", 1, F.size("edges") - 1), F.slice("edges", 2, F.size("edges") - 1), lambda a, b: F.struct(a.alias("start"), b.alias("end")))
     return rows.select("doc_id", "mode", F.explode(spans).alias("s")).select("doc_id", "mode", "s.start", "s.end")

@@ -1,8 +1,13 @@
 """What bounds the memory and the work of single steps, whatever their input's size."""
 
+from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.operators import chunking as C
 from inkwell.operators import graph as G
+from inkwell.operators import retrieval as R
+from inkwell.plans import catalogue
+from inkwell.streaming import ingest
 
 
 def plan_of(df):
@@ -15,3 +20,10 @@ def test_canonical_sends_no_table_to_every_task(spark, monkeypatch):
     pairs = spark.range(1, 40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {(r.old, r.new) for r in G.canonical(pairs).collect()} == {(k, 1) for k in range(1, 41)}
     assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
+
+
+def test_marked_spans_split_an_answer_once(spark):
+    table = spark.createDataFrame([(1, "a\nb", "a\n<<<<CUT>>>>b"), (2, "a\nb", "<think>x</think>a<<<<CUT>>>>b "), (3, "a", "b")], "id int, text string, answer string")
+    found = C.marked_spans(table, "id", "text", "answer")
+    assert sorted(map(tuple, found.collect())) == [(1, "strict", 0, 2), (1, "strict", 2, 3), (2, "aligned", 0, 1), (2, "aligned", 1, 3)]
+    assert plan_of(found).count("split(") == 1
