@@ -164,15 +164,22 @@ def structure(text: Column) -> Column:
         F.lit(0).alias("at"), F.lit(False).alias("fenced"), F.lit(None).cast(block).alias("now"), F.array().cast(f"array<{block}>").alias("done")
     )
 
-    def step(s: Column, line: Column) -> Column:
-        fence = line.startswith("```")
+    def told(line: Column) -> Column:
+        # What a line is by itself, before the fold, so that each pattern is tried once.
         level = F.length(F.regexp_extract(line, rf"^(#{{1,6}}){_WS}+", 1))
-        plain = F.when(line.rlike(rf"^{_WS}*\|.*\|{_WS}*$"), "table").when(level > 0, "heading")
-        plain = plain.when(F.length(_strip(line)) > 0, "paragraph").otherwise("blank")
-        kind = F.when(s["fenced"] | fence, "code").otherwise(plain)
-        end = s["at"] + F.length(line)
-        lead = F.length(line) - F.length(F.ltrim(line, F.lit(_EDGE)))
-        trail = F.length(line) - F.length(F.rtrim(line, F.lit(_EDGE)))
+        table = line.contains("|") & line.rlike(rf"^{_WS}*\|.*\|{_WS}*$")
+        return _let(
+            lambda x: F.struct(
+                line.startswith("```").alias("fence"), F.when(table, "table").when(x["level"] > 0, "heading").when(_said(line), "paragraph").otherwise("blank").alias("plain"),
+                x["level"].alias("level"), x["size"].alias("size"), (x["size"] - F.length(F.ltrim(line, F.lit(_EDGE)))).alias("lead"), (x["size"] - F.length(F.rtrim(line, F.lit(_EDGE)))).alias("trail"),
+            ), level=F.when(line.startswith("#"), level).otherwise(0), size=F.length(line),
+        )
+
+    def step(s: Column, line: Column) -> Column:
+        return _let(lambda x: placed(s, line, x["kind"]), kind=F.when(s["fenced"] | line["fence"], "code").otherwise(line["plain"]))
+
+    def placed(s: Column, line: Column, kind: Column) -> Column:
+        end = s["at"] + line["size"]
         loose = kind.isin("paragraph", "blank")
         goes_on = s["now"].isNotNull() & (s["fenced"] | (~line["fence"] & kind.isin("table", "paragraph") & (s["now"]["kind"] == kind)))
         begin = F.when(goes_on, s["now"]["start"]).otherwise(F.when(loose, s["at"] + line["lead"]).otherwise(s["at"]))
@@ -183,7 +190,7 @@ def structure(text: Column) -> Column:
         done = F.when(goes_on | s["now"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["now"])))
         return F.struct((end + 1).alias("at"), (s["fenced"] != line["fence"]).alias("fenced"), now.cast(block).alias("now"), done.alias("done"))
 
-    found = F.aggregate(lines, start, step, lambda s: F.concat(s["done"], F.array(s["now"])))
+    found = F.aggregate(F.transform(lines, told), start, step, lambda s: F.concat(s["done"], F.array(s["now"])))
     return F.when(F.length(_text(text)) == 0, F.array().cast(f"array<{block}>")).otherwise(F.filter(found, lambda b: (b["end"] > b["start"]) | (b["kind"] == "code")))
 
 
@@ -292,7 +299,7 @@ def flat_chunks(docs: DataFrame, doc_id: str, text: str, overlap: int = OVERLAP,
 
 def parent_spans(docs: DataFrame, doc_id: str, text: str, most: int = MOST) -> DataFrame:
     """doc_id, parents: start, end, text and kind of every document's parents."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), _text(F.col(text)).alias("text"))
+    rows = spread(docs.select(F.col(doc_id).alias("doc_id"), _text(F.col(text)).alias("text")))
     rows = rows.withColumn("wide", _gathered(structure(F.col("text")), most))
     told = F.transform("wide", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), _sub(F.col("text"), s["start"], s["end"] - s["start"]).alias("text")))
     rows = rows.withColumn("wide", told)

@@ -27,3 +27,10 @@ def test_marked_spans_split_an_answer_once(spark):
     found = C.marked_spans(table, "id", "text", "answer")
     assert sorted(map(tuple, found.collect())) == [(1, "strict", 0, 2), (1, "strict", 2, 3), (2, "aligned", 0, 1), (2, "aligned", 1, 3)]
     assert plan_of(found).count("split(") == 1
+
+
+def test_structure_tries_a_pattern_once(spark):
+    table = spark.createDataFrame([(1, "# h\n\n| a |\nx")], "id int, text string")
+    found = table.select(C.structure(F.col("text")).alias("b"))
+    assert [b["kind"] for b in found.first().b] == ["heading", "table", "paragraph"]
+    assert plan_of(found).count("{1,6}") == 1
