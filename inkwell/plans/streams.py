@@ -130,12 +130,14 @@ def debounce_stream(t):
     """M6 as a stream: each run of events of a user fires once, an hour of quiet after its last one."""
     rows = t("events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     spark, folder = rows.sparkSession, scratch(rows.sparkSession)
+    parts = max(1, -(-rows.count() // ingest.EVENTS_OF_TASK))
     # A moment long after all others moves the watermark over every run.
     end = rows.agg((F.max("ts") + F.expr("interval 30 days")).alias("ts")).select(F.lit(-1).cast("long").alias("user_id"), "ts")
-    for part in (rows, end):
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    fired = ingest.debounced(stream, F.col("user_id"), "ts", 3600, "1 day")
+    for part in (rows.repartition(parts), end.coalesce(1)):
+        part.write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", parts).parquet(f"{folder}/in")
+    # Dealt once more, as Spark reads several files in one task, which holds a run for each of its events.
+    fired = ingest.debounced(stream.repartition(parts), F.col("user_id"), "ts", 3600, "1 day")
     run = fired.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/marks").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(f"{folder}/out").where("key >= 0").select(

@@ -22,6 +22,8 @@ EVENT = "v int, action string, kbId long, docLogicalKey string, contentSha256 st
 REGISTRY = "kb_id long, doc_key string, content_sha256 string"
 #: Seconds of quiet before a changed container is synchronised.
 QUIET = 180
+#: Events that a task of a stream takes at once.
+EVENTS_OF_TASK = 500_000
 
 
 def valid_events(events: DataFrame) -> DataFrame:

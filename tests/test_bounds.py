@@ -51,3 +51,14 @@ def test_dual_path_compares_cards_in_parts(spark, monkeypatch):
     # By score, then by list and place; edges at one seed by their ends.
     mine = [c for q, c, _ in sorted(whole, key=lambda r: r[2]) if q == 0]
     assert mine == [*(f"- 【关系】c{k} —[in]→ n0：beta" for k in (10, 24, 38, 52)), "- 【实体】n0：zero", "- 【关系】c0 —[in]→ n0"]
+
+
+def test_debounced_events_are_dealt(spark, tmp_path, monkeypatch):
+    rows = spark.range(1000).select((F.col("id") % 5).alias("user_id"), F.timestamp_seconds(F.col("id") * 1800).cast("timestamp_ntz").alias("ts"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    whole = sorted(map(tuple, catalogue.QUERIES["debounce_stream"](spark, str(tmp_path)).collect()))
+    counts, plain = [], DataFrame.repartition
+    monkeypatch.setattr(ingest, "EVENTS_OF_TASK", 300)
+    monkeypatch.setattr(DataFrame, "repartition", lambda self, n, *by: (counts.append(n), plain(self, n, *by))[1])
+    assert sorted(map(tuple, catalogue.QUERIES["debounce_stream"](spark, str(tmp_path)).collect())) == whole and len(whole) == 1000
+    assert counts == [4, 4]
