@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.operators import ids
-from inkwell.session import checkpointed, spread
+from inkwell.session import checkpointed, small_batches, spread
 
 # Where a text may be cut, strongest first.  No ASCII full stop: it also ends numbers.
 CUTS = ("。！？!?；;", "，,：:）)】]”\"", "\n\r", " \t")
@@ -90,12 +90,14 @@ def _soft_ends(text: str, most: int) -> list[int]:
 def soft_cuts(texts: Column, most: int) -> Column:
     """For each of a list of texts the ends of its parts of at most ``most`` characters; null for null."""
 
-    def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda list_: None if list_ is None else [None if t is None else _soft_ends(t, most) for t in list_])
+    def run(column: pa.Array) -> pa.Array:
+        # One row's texts at a time become Python objects.
+        found = ([None if t is None else _soft_ends(t, most) for t in list_.as_py()] if list_.is_valid else None for list_ in column)
+        return pa.array(found, pa.list_(pa.list_(pa.int32())))
 
-    run.__annotations__ = {"column": pd.Series, "return": pd.Series}
+    run.__annotations__ = {"column": pa.Array, "return": pa.Array}
     # Marked so that the optimizer leaves it a column of its own and doesn't fold it into the expressions that use it.
-    return F.pandas_udf(run, "array<array<int>>").asNondeterministic()(texts)
+    return F.arrow_udf(run, "array<array<int>>").asNondeterministic()(texts)
 
 
 def _pieces(rows: DataFrame, spans: str, most: int, out: str, kept: str | None = None) -> DataFrame:
@@ -105,7 +107,7 @@ def _pieces(rows: DataFrame, spans: str, most: int, out: str, kept: str | None =
     """
     long = F.transform(spans, lambda s: F.when(s["end"] - s["start"] > most, s["text"]))
     some = F.exists(long, lambda x: x.isNotNull())
-    rows = rows.withColumn("__ends", soft_cuts(F.when(some, long), most))
+    rows = small_batches(rows).withColumn("__ends", soft_cuts(F.when(some, long), most))
 
     def cut(span: Column, nth: Column) -> Column:
         ends = F.coalesce(F.get(F.col("__ends"), nth), F.array(span["end"] - span["start"]))

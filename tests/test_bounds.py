@@ -36,6 +36,13 @@ def test_structure_tries_a_pattern_once(spark):
     assert plan_of(found).count("{1,6}") == 1
 
 
+def test_cuts_are_sought_in_small_batches(spark):
+    session = spark.newSession()
+    table = session.createDataFrame([(1, "word " * 100)], "id int, text string")
+    assert C.window_spans(table, "id", "text").count() == 2
+    assert session.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
+
+
 def test_dual_path_compares_cards_in_parts(spark, monkeypatch):
     asked = spark.createDataFrame([(q, "alpha beta") for q in range(3)], "query_id long, text string")
     seeds = spark.createDataFrame([(q, q, f"n{q % 2}") for q in range(3)], "query_id long, position long, name string")
