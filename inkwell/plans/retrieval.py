@@ -8,6 +8,7 @@ from inkwell.operators import ids, retrieval
 from inkwell.operators.text_index import index_of
 from inkwell.operators.vector_index import vector_index_of
 from inkwell.plans.base import Catalogue
+from inkwell.session import checkpointed
 
 catalogue = Catalogue()
 query = catalogue.query
@@ -44,6 +45,11 @@ def _bm25_hits(t):
     return index_of(t("documents"), "doc_id", "text").bm25(t("benchmark"), 15, "item_id", "text")
 
 
+def _texted(hits, texts):
+    """Hits with their texts: they are written first, so that their size is known and the texts are read where they lie, not dealt."""
+    return texts.join(checkpointed(hits), "item_id")
+
+
 @query(f"with {VECTOR_SQL} select query_id, item_id, score, rank::integer as rank from vec")
 def vector_topk(t):
     return _vector_hits(t)
@@ -135,7 +141,7 @@ from r qualify position <= 6""")
 def rerank_overlap(t):
     texts = t("documents").select(F.col("doc_id").alias("item_id"), "text")
     asked = t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    found = _bm25_hits(t).join(texts, "item_id").join(asked, "query_id")
+    found = _texted(_bm25_hits(t), texts).join(asked, "query_id")
     return retrieval.rerank(found, ["query_id"], "question", "text", 6).select("query_id", "item_id", "rerank_score", "position")
 
 
@@ -173,7 +179,7 @@ string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as citation
 from bm join documents d on d.doc_id = item_id where rank <= 3 group by query_id""")
 def observation_text(t):
     texts = t("documents").select(F.col("doc_id").alias("item_id"), "text")
-    return retrieval.observation(_bm25_hits(t).where("rank <= 3").join(texts, "item_id"), ["query_id"], "item_id", "text", "score")
+    return retrieval.observation(_texted(_bm25_hits(t).where("rank <= 3"), texts), ["query_id"], "item_id", "text", "score")
 
 
 @query("""with q as (select item_id as query_id, substr(text, 1, 8 + (item_id % 8)::int) as text from benchmark)

@@ -69,3 +69,9 @@ def test_debounced_events_are_dealt(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(DataFrame, "repartition", lambda self, n, *by: (counts.append(n), plain(self, n, *by))[1])
     assert sorted(map(tuple, catalogue.QUERIES["debounce_stream"](spark, str(tmp_path)).collect())) == whole and len(whole) == 1000
     assert counts == [4, 4]
+
+
+def test_reranked_texts_are_not_dealt(spark):
+    found = catalogue.QUERIES["rerank_overlap"](spark, "/root/testdata/sf0.001")
+    plan = plan_of(found)
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
