@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.operators import ids
-from inkwell.session import checkpointed, small_batches, spread
+from inkwell.session import small_batches, spread
 
 # Where a text may be cut, strongest first.  No ASCII full stop: it also ends numbers.
 CUTS = ("。！？!?；;", "，,：:）)】]”\"", "\n\r", " \t")
@@ -439,31 +439,47 @@ def stitch_tables(pages: DataFrame, doc_id: str, page: str, text: str) -> DataFr
     """doc_id, page, line, text: the lines of a document's pages, without the headers that a table repeats after a break.
 
     A table goes on if only blank lines, or ones that say so, stand between its parts, and the next part begins with
-    the same header; these lines and the header, with the rule below it, are left out then.  Lines are rows: each
-    knows its stretch of table lines, and a stretch is summed up as its first line and what stands before it,
-    so that joining two needs these summaries only.
+    the same header; these lines and the header, with the rule below it, are left out then.  A page stays one row until
+    the end: it is summed up as its first and its last header, each with the count of other lines before it, and
+    windows over the pages of a document compare these.
     """
-    rows = pages.select(F.col(doc_id).alias("doc_id"), F.col(page).alias("page"), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line", "text"))
-    kind = F.when(F.col("text").rlike(r"^\s*\|.*\|\s*$"), "table").when(F.col("text").rlike(_BETWEEN), "between").otherwise("other")
-    rows = rows.withColumn("kind", kind)
-    order = Window.partitionBy("doc_id").orderBy("page", "line")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    begins = (F.col("kind") == "table") & ~F.coalesce(F.lag("kind").over(order) == "table", F.lit(False))
-    rows = rows.withColumn("stretch", F.sum(begins.cast("int")).over(so_far)).withColumn("others", F.sum((F.col("kind") == "other").cast("int")).over(so_far))
-    # One row for each stretch, with what it begins with, compared with the stretch before it.
-    nth = F.row_number().over(Window.partitionBy("doc_id", "stretch", "kind").orderBy("page", "line"))
-    rows = checkpointed(rows.withColumn("nth", nth))
-    table = rows.where("kind = 'table'").groupBy("doc_id", "stretch").agg(
-        F.max(F.when(F.col("nth") == 1, F.trim("text"))).alias("header"), F.max(F.when(F.col("nth") == 2, F.col("text").rlike(_RULE))).alias("ruled"), F.max("others").alias("others")
-    )
-    before = Window.partitionBy("doc_id").orderBy("stretch")
-    same = (F.lag("header").over(before) == F.col("header")) & (F.lag("others").over(before) == F.col("others"))
-    told = table.select(F.col("doc_id").alias("d"), F.col("stretch").alias("s"), F.coalesce(same, F.lit(False)).alias("on"), F.coalesce("ruled", F.lit(False)).alias("ruled"))
-    told = checkpointed(told.where("on"))
-    own = told.select("d", "s", "ruled", F.lit(True).alias("goes_on"))
-    ahead = told.select(F.col("d").alias("d2"), (F.col("s") - 1).alias("s2"), F.lit(True).alias("gap"))
-    joined = rows.join(own, (F.col("doc_id") == F.col("d")) & (F.col("stretch") == F.col("s")), "left")
-    joined = joined.join(ahead, (F.col("doc_id") == F.col("d2")) & (F.col("stretch") == F.col("s2")), "left")
-    header = F.col("goes_on") & (F.col("kind") == "table") & (F.col("nth") <= F.when(F.col("ruled"), 2).otherwise(1))
-    left_out = F.coalesce(header, F.lit(False)) | (F.coalesce("gap", F.lit(False)) & (F.col("kind") == "between"))
-    return joined.where(~left_out).select("doc_id", "page", "line", "text")
+    table, between, other = 0, 1, 2
+    kind = lambda x: F.when(x.rlike(r"^\s*\|.*\|\s*$"), table).when(x.rlike(_BETWEEN), between).otherwise(other).cast("tinyint")
+    lines, kinds, begins, whole = F.split("text", "\n"), F.col("kinds"), F.col("begins"), F.size("kinds")
+    others = lambda xs: F.size(F.filter(xs, lambda x: x == other)).cast("long")
+    order = Window.partitionBy("doc_id").orderBy(F.asc("page"))
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = pages.select(F.col(doc_id).alias("doc_id"), F.col(page).alias("page"), F.coalesce(text, F.lit("")).alias("text"))
+    rows = rows.withColumn("kinds", F.transform(lines, kind))
+    rows = rows.withColumn("open", F.coalesce(F.lag(F.element_at("kinds", -1)).over(order) == table, F.lit(False)))
+    rows = rows.withColumn("others", F.coalesce(F.sum(others(kinds)).over(earlier), F.lit(0)))
+    # Where stretches of table lines begin, with their first lines.
+    goes_on = lambda k: F.when(k > 0, F.get(kinds, k - 1) == table).otherwise(F.col("open"))
+    found = F.transform(lines, lambda x, k: F.when((F.get(kinds, k) == table) & ~goes_on(k), F.struct(k.alias("k"), F.trim(x).alias("header"))))
+    rows = rows.withColumn("begins", F.filter(found, lambda x: x.isNotNull()))
+    told = lambda x: F.when(x.isNotNull(), F.struct(x["header"].alias("header"), (F.col("others") + others(F.slice(kinds, 1, x["k"]))).alias("others")))
+    first, last = F.get(begins, F.lit(0)), F.get(begins, F.size(begins) - 1)
+    rows = rows.withColumn("first", told(first)).withColumn("seen", F.last(told(last), ignorenulls=True).over(earlier))
+    # Which of them go on with the stretch before them; the first one's may be on an earlier page.
+    same = F.when(F.col("first").isNotNull(), F.coalesce(F.col("seen") == F.col("first"), F.lit(False)))
+    rows = rows.withColumn("same", same)
+    many = F.greatest(F.size(begins) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(begins, 1, many), F.slice(begins, 2, many), lambda a, b: (a["header"] == b["header"]) & (others(F.slice(kinds, a["k"] + 1, b["k"] - a["k"])) == 0))
+    rows = rows.withColumn("on", F.when(F.size(begins) > 0, F.concat(F.array("same"), pairs)).otherwise(F.array().cast("array<boolean>")))
+    # What the pages on both sides tell: whether the line before this page is a header that is left out, and whether the next stretch goes on.
+    back = Window.partitionBy("doc_id").orderBy(F.desc("page"))
+    at_end = (last["k"] == whole - 1) & F.element_at("on", -1)
+    rows = rows.withColumn("ahead", F.coalesce(F.last("same", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
+    rows = rows.withColumn("header_before", F.coalesce(F.lead(F.when(F.size(begins) > 0, at_end)).over(back), F.lit(False)))
+    stretch = lambda k, on: F.struct(k.alias("k"), on.alias("on"))
+    starts = F.concat(F.array(stretch(F.lit(-1), F.col("header_before"))), F.zip_with(begins, "on", lambda b, on: stretch(b["k"], on)))
+    rows = rows.select("doc_id", "page", "text", "kinds", "ahead", starts.alias("starts"))
+    ends = F.concat(F.slice("starts", 2, F.size("starts") - 1), F.array(stretch(whole, F.col("ahead"))))
+    # A line of a stretch stays (0), goes (1) or goes if it is a rule (2).
+    fate = lambda x, away, on, gap: F.when((x == between) & gap, 1).when(on & (away == 0), 1).when(on & (away == 1) & (x == table), 2).otherwise(0)
+    own = lambda a, b: F.transform(F.slice(kinds, F.greatest(a["k"], F.lit(0)) + 1, b["k"] - F.greatest(a["k"], F.lit(0))), lambda x, k: fate(x, k + F.greatest(-a["k"], F.lit(0)), a["on"], b["on"]))
+    fates = F.flatten(F.zip_with("starts", ends, own))
+    # Every page has a line; a plain explode would work the list out twice, to drop empty ones.
+    rows = rows.select("doc_id", "page", F.posexplode_outer(F.zip_with(lines, fates, lambda x, f: F.struct(x.alias("text"), f.alias("fate")))).alias("line", "x"))
+    left_out = (F.col("x.fate") == 1) | ((F.col("x.fate") == 2) & F.col("x.text").rlike(_RULE))
+    return rows.where(~left_out).select("doc_id", "page", "line", "x.text")

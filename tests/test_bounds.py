@@ -75,3 +75,11 @@ def test_reranked_texts_are_not_dealt(spark):
     found = catalogue.QUERIES["rerank_overlap"](spark, "/root/testdata/sf0.001")
     plan = plan_of(found)
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+
+
+def test_stitched_pages_are_sorted_whole(spark):
+    pages = spark.createDataFrame([(1, 0, "| a |\n|---|\n| 1 |"), (1, 1, "| a |\n| 2 |\n\n| a |\n| 3 |")], "d int, p int, t string")
+    found = C.stitch_tables(pages, "d", "p", "t")
+    assert found.count() == 6
+    plan = plan_of(found)
+    assert "Sort" in plan and "Generate" in plan and "Join" not in plan and plan.index("Generate") < plan.index("Sort")

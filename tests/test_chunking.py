@@ -155,3 +155,31 @@ def test_tables_over_page_breaks(spark):
     # The third page's first table follows the second's without a line between, so it is the same stretch of lines.
     assert found[1] == ["intro", head, "|---|---|", "| 1 | a |", "| 2 | b |", head, "| 3 | c |", "end", head, "| 4 | d |"]
     assert found[2] == ["| x |", "| 1 |", "", "| y |", "| 2 |"] and found[3] == ["", ""]
+
+
+def test_tables_over_page_breaks_line_by_line(spark):
+    rng, pages = random.Random(7), []
+    kinds = ("| a |", " | a | ", "| b |", "|---|", "|---|", "", " ", "(continued)", "said")
+    for d in range(150):
+        some = rng.sample(kinds, rng.randrange(2, 6))
+        pages += [(d, 2 * p, rng.choice([None, *["\n".join(rng.choices(some, k=rng.randrange(1, 5)))] * 9])) for p in range(rng.randrange(1, 8))]
+    wanted = set()
+    for d in range(150):
+        lines = [(p, k, x) for e, p, t in pages if e == d for k, x in enumerate((t or "").split("\n"))]
+        header, gap, gone, n = None, None, set(), 0  # gap: lines behind the last table; None behind other text
+        for at, (_, _, x) in enumerate(lines):
+            if x.strip().startswith("|"):
+                n += 1
+                if n == 1:
+                    on = gap is not None and header == x.strip()
+                    gone |= {at, *gap} if on else set()
+                    header = x.strip()
+                if n == 2 and on and x == "|---|":
+                    gone.add(at)
+                gap = []
+            else:
+                n = 0
+                gap = None if x == "said" or gap is None else [*gap, at]
+        wanted |= {(d, *line) for at, line in enumerate(lines) if at not in gone}
+    found = C.stitch_tables(spark.createDataFrame(pages, "d int, p int, t string"), "d", "p", "t")
+    assert {tuple(r) for r in found.collect()} == wanted
