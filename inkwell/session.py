@@ -28,6 +28,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Parts of a scan of files that one task reads, and tasks for each core that are left at least.
+PARTS_OF_TASK, TASKS_OF_CORE = 32, 4
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """``df``, several parts of it to a task, if it comes in many more parts than there are cores.
+
+    For scans of small files: Spark counts 4 MB for opening one, so that a part holds a few dozen of them at most, and a
+    task's own cost is several times that of its files.
+    """
+    parts = df.rdd.getNumPartitions()
+    return df.coalesce(max(-(-parts // PARTS_OF_TASK), TASKS_OF_CORE * df.sparkSession.sparkContext.defaultParallelism))
+
+
 #: Rows that Spark hands to Python at once, unless the session says otherwise.
 BATCH_ROWS, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 

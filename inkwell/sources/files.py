@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.session import gathered
 from inkwell.sources.office import cells_of, sheet_rows
 
 # Kinds of files that may be uploaded, and encodings in the order in which they are tried.
@@ -85,7 +86,7 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
         return pd.Series([_to_text(s, r) for s, r in zip(suffix, raw)], dtype=object)
 
     named = files.select(F.element_at(F.split("path", "/"), -1).alias("source_name"), suffix_of(F.col("path")).alias("suffix"), "content")
-    read = named.withColumn("text", text("suffix", "content"))
+    read = gathered(named).withColumn("text", text("suffix", "content"))
     return read.select("source_name", "suffix", F.col("text").alias("content"), F.sha2("content", 256).alias("content_sha256"), F.col("text").isNotNull().alias("readable"))
 
 

@@ -7,6 +7,7 @@ from inkwell.operators import chunking as C
 from inkwell.operators import graph as G
 from inkwell.operators import retrieval as R
 from inkwell.plans import catalogue
+from inkwell.sources import files
 from inkwell.streaming import ingest
 
 
@@ -83,3 +84,14 @@ def test_stitched_pages_are_sorted_whole(spark):
     assert found.count() == 6
     plan = plan_of(found)
     assert "Sort" in plan and "Generate" in plan and "Join" not in plan and plan.index("Generate") < plan.index("Sort")
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    cores = spark.sparkContext.defaultParallelism
+    for k in range(5 * cores):
+        (tmp_path / f"{k}.txt").write_text(f"said {k}")
+    found = files.documents(session, str(tmp_path))
+    assert found.rdd.getNumPartitions() == 4 * cores
+    assert {(r.source_name, r.content) for r in found.collect()} == {(f"{k}.txt", f"said {k}") for k in range(5 * cores)}
