@@ -17,6 +17,8 @@ from inkwell.streaming import ingest
 catalogue = Catalogue()
 query = catalogue.query
 _NATIONS = "n_nationkey, n_name, n_regionkey"
+#: Files of one folder, on average, where a query writes one for each row.
+FILES_OF_FOLDER = 2000
 
 
 def _ordered(t) -> DataFrame:
@@ -47,12 +49,12 @@ def csv_scan(t):
 coalesce(source, '') || chr(9) || coalesce(lang, '') as line from documents)
 select doc_id || '.docx' as source_name, array_to_string(list_append(lines, line), chr(10) || chr(10)) as content, true as readable from said""")
 def docx_scan(t):
-    """S3: a file for each document; its paragraphs first, then the rows of its table."""
+    """S3: a file for each document; its paragraphs first, then the rows of its table.  Tasks list the folders, some thousand files each."""
     rows = t("documents")
     path = scratch(rows.sparkSession)
     cells = F.array(F.array("source", "lang"))
     written = rows.select(F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("name"), office.docx(F.split("text", "\n"), cells).alias("content"))
-    office.write_files(written, path)
+    office.write_files(written, path, 1 + rows.count() // FILES_OF_FOLDER)
     return files.documents(rows.sparkSession, path).select("source_name", "content", "readable")
 
 

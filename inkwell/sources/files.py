@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
+import re
 import sys
 import zipfile
 import zlib
 from xml.etree import ElementTree
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.session import gathered
+from inkwell.sources.folders import read_files
 from inkwell.sources.office import cells_of, sheet_rows
 
 # Kinds of files that may be uploaded, and encodings in the order in which they are tried.
@@ -24,6 +25,7 @@ UNREADABLE = (
     ValueError, LookupError, AttributeError, TypeError, RuntimeError, EOFError, OSError,
     csv.Error, zlib.error, zipfile.BadZipFile, ElementTree.ParseError,
 )
+_SUFFIX = re.compile(r"\.([^./\\]+)$")
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -66,7 +68,7 @@ def _to_text(suffix: str, raw: bytes) -> str | None:
 
 
 def suffix_of(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
+    return F.lower(F.regexp_extract(path, _SUFFIX.pattern, 1))
 
 
 def may_upload(name: Column) -> Column:
@@ -79,15 +81,13 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
 
     Kinds whose readers aren't installed, and files that no encoding fits, have no content.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
-    @F.pandas_udf("string")
-    def text(suffix: pd.Series, raw: pd.Series) -> pd.Series:
-        return pd.Series([_to_text(s, r) for s, r in zip(suffix, raw)], dtype=object)
+    def read(name: str, raw: bytes) -> list[tuple]:
+        suffix = _SUFFIX.search(name)
+        return [(name, _to_text(suffix[1].lower() if suffix else "", raw), hashlib.sha256(raw).hexdigest())]
 
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("source_name"), suffix_of(F.col("path")).alias("suffix"), "content")
-    read = gathered(named).withColumn("text", text("suffix", "content"))
-    return read.select("source_name", "suffix", F.col("text").alias("content"), F.sha2("content", 256).alias("content_sha256"), F.col("text").isNotNull().alias("readable"))
+    found = read_files(spark, path, read, "source_name string, content string, content_sha256 string")
+    return found.select("source_name", suffix_of(F.col("source_name")).alias("suffix"), "content", "content_sha256", F.col("content").isNotNull().alias("readable"))
 
 
 def csv_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -95,3 +95,33 @@ def test_small_files_share_tasks(spark, tmp_path):
     found = files.documents(session, str(tmp_path))
     assert found.rdd.getNumPartitions() == 4 * cores
     assert {(r.source_name, r.content) for r in found.collect()} == {(f"{k}.txt", f"said {k}") for k in range(5 * cores)}
+
+
+def test_tasks_list_folders_of_files(spark, tmp_path, monkeypatch):
+    """The driver's plan names no file; what is found is what Spark's own reader finds."""
+    from inkwell.sources import folders
+
+    monkeypatch.setattr(folders, "BATCH_FILES", 3)
+    for name in ("a.txt", "b c%20é.TXT", "in/d.txt", "in/deep/er/e.txt", "in/k=1/f.txt", "_k=2/g.txt", "_left/h.txt", ".left/i.txt", "in/_j.txt", ".k.txt", "l._COPYING_", "none", *(f"many/{n}.txt" for n in range(20))):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    (tmp_path / "empty").mkdir()
+    found = files.documents(spark, str(tmp_path))
+    assert not any(str(tmp_path) in name for name in found.inputFiles()) and str(tmp_path) not in plan_of(found)
+    plain = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path))
+    wanted = sorted(map(tuple, plain.select(F.element_at(F.split("path", "/"), -1), F.col("content").cast("string"), F.sha2("content", 256)).collect()))
+    assert sorted(map(tuple, found.select("source_name", "content", "content_sha256").collect())) == wanted and len(wanted) == 27
+    assert {r.suffix for r in found.collect()} == {"txt", ""}
+    # A pattern, one file and a folder without files are read as well.
+    assert files.documents(spark, f"{tmp_path}/*.txt").count() == 1 and files.documents(spark, f"{tmp_path}/in/d.txt").first().content == "in/d.txt"
+    assert files.documents(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_many_files_are_dealt_over_folders(spark, tmp_path):
+    from inkwell.sources import office
+
+    rows = spark.range(50).select(F.concat(F.col("id").cast("string"), F.lit(".txt")).alias("name"), F.col("id").cast("string").cast("binary").alias("content"))
+    for _ in range(2):  # a known name is written anew, where it was
+        office.write_files(rows, str(tmp_path), 5)
+    assert len(list(tmp_path.iterdir())) == 5 and len(list(tmp_path.glob("*/*.txt"))) == 50
+    assert {(r.source_name, r.content) for r in files.documents(spark, str(tmp_path)).collect()} == {(f"{k}.txt", str(k)) for k in range(50)}
